@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from loreweave.llm import shared
 
 #: Lengths in bytes of the n-grams; texts are lower-cased (A-Z) first.
-SIZES = (4, 5, 6)
+SIZES = (4, 5, 6, 7)
 #: n-grams are hashed to this many buckets, a power of two.
 BUCKETS = 1 << 20
 THRESHOLD = 0.7
@@ -143,16 +143,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, limits: FitLimits) -> tuple[np.ndarr
     """Weights and bias by accelerated gradient descent on the mean log loss with an L2 penalty; classes weigh the same."""
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     step = 1.0 / (0.25 * float((weight * (x * x).sum(axis=1)).sum()) + limits.penalty + 0.25)
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b, weight, y = np.zeros(x.shape[1], np.float32), 0.0, weight.astype(np.float32), y.astype(np.float32)
     w0, b0 = w, b
     for k in range(limits.steps):
         m = k / (k + 3)
-        v, c = w + m * (w - w0), b + m * (b - b0)
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ v + c, -40, 40)))
+        v, c = w + np.float32(m) * (w - w0), b + m * (b - b0)
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ v + np.float32(c), -40, 40)))
         g = weight * (p - y)
         w0, b0 = w, b
-        w, b = v - step * (x.T @ g + limits.penalty * v), c - step * g.sum()
-    return w, float(b)
+        w, b = v - np.float32(step) * (g @ x + np.float32(limits.penalty) * v), c - step * float(g.sum())
+    return w.astype(np.float64), float(b)
 
 
 def fit(documents: DataFrame, labels: DataFrame, limits: FitLimits = FitLimits()) -> Model:
