@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import simhash_bktree, toxicity_nbsvm
+from loreweave.llm import debruijn_dedup, simhash_bktree, toxicity_nbsvm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity_nbsvm.held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = debruijn_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = cleaned.select("doc_id", F.coalesce("loreweave_kept", "text").alias("kept"), "loreweave_words", "loreweave_removed")
+    return kept.select("doc_id", F.col("loreweave_words").alias("n_words"), F.col("loreweave_removed").alias("n_removed"), debruijn_dedup.kept_digest("kept").alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op3_simhash_groups": op3_simhash_groups,
         "op8_toxicity": op8_toxicity,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 
