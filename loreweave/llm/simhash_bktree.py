@@ -24,7 +24,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,10 +122,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _masks(spark: SparkSession, masks: set[int], parts: int) -> tuple[DataFrame, set[int]]:
-    """A table (mask, child) of (radius + 1) ** level rows."""
-    rows = [(_signed(m), _signed(c)) for m in sorted(masks) for c in _split_mask(m, parts)]
-    return F.broadcast(spark.createDataFrame(rows, "mask long, child long")), {c for m in masks for c in _split_mask(m, parts)}
+def _children(masks: set[int], parts: int) -> tuple[Column, set[int]]:
+    """An array of each mask's children, by column ``mask``: (radius + 1) ** level of them in all."""
+    split = {m: _split_mask(m, parts) for m in sorted(masks)}
+    arrays = [x for m, c in split.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(v)) for v in c]))]
+    return F.element_at(F.create_map(*arrays), F.col("mask")), {c for own in split.values() for c in own}
 
 
 def _search(radius: int):
@@ -162,12 +163,11 @@ def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 def links(fingerprints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links ``(a, b)`` between the distinct values of column ``fp`` that connect all groups within the radius."""
-    spark = fingerprints.sparkSession
     rows = fingerprints.select("fp").distinct().withColumn("mask", F.lit(0).cast("long"))
     masks, found = {0}, []
     while True:
-        table, masks = _masks(spark, masks, radius + 1)
-        rows = rows.join(table, "mask").select("fp", F.col("child").alias("mask"))
+        children, masks = _children(masks, radius + 1)
+        rows = rows.select("fp", F.explode(children).alias("mask"))
         rows = rows.withColumn("shard", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
         sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
         free = 64 - min(bin(m).count("1") for m in masks)
