@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import debruijn_dedup, simhash_bktree, toxicity_nbsvm
+from loreweave.llm import bpe_transducer, debruijn_dedup, simhash_bktree, toxicity_nbsvm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +30,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("loreweave_words").alias("n_words"), F.col("loreweave_removed").alias("n_removed"), debruijn_dedup.kept_digest("kept").alias("kept_sha256"))
 
 
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_transducer.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {
         "op3_simhash_groups": op3_simhash_groups,
         "op8_toxicity": op8_toxicity,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_bpe_codec": op10_bpe_codec,
     }
 
 
