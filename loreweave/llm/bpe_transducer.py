@@ -43,13 +43,6 @@ _SEPARATORS = regex.compile("[\\x1c-\\x1f]")
 _END = ""  # stands for the word-end suffix inside this module
 
 
-def _byte_characters() -> list[str]:
-    """The printable character of each byte in byte-level vocabularies: itself if printable, else the next from U+0100."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
 class MergeList:
     """Ranked merges over symbols, and whether two tokens may stand side by side in an encoding."""
 
@@ -224,7 +217,7 @@ class Vocabulary:
         self.byte_decoder = spec.get("decoder") is not None
         split = next(p for p in [spec["pre_tokenizer"], *spec["pre_tokenizer"].get("pretokenizers", [])] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
-        self.characters = _byte_characters()
+        self.characters = shared.byte_characters()
         self.values = {c: b for b, c in enumerate(self.characters)}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 

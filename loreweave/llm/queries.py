@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import bpe_transducer, debruijn_dedup, simhash_bktree, toxicity_nbsvm
+from loreweave.llm import bm25_packing, bpe_transducer, debruijn_dedup, mpeg_ts, simhash_bktree, toxicity_nbsvm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bktree.groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_ts.features(mpeg_ts.store(_table(spark, sf_dir, "documents")))
+
+
+def op6_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity_nbsvm.fit(documents, _table(spark, sf_dir, "labels"))
@@ -37,6 +45,8 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_simhash_groups": op3_simhash_groups,
+        "op5_mpeg_ts": op5_mpeg_ts,
+        "op6_bm25_packing": op6_bm25_packing,
         "op8_toxicity": op8_toxicity,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_bpe_codec": op10_bpe_codec,

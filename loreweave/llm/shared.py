@@ -25,7 +25,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     This cuts the lineage as a checkpoint does, compressed and by column, and a lost executor costs nothing
@@ -34,7 +34,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loreweave-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     schema = df.schema
     del df
     gc.collect()
@@ -65,3 +65,10 @@ def text_digest(text: str = "text"):
 
 def offsets_of(lengths: list[int]) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(np.asarray(lengths, dtype=np.int64))))
+
+
+def byte_characters() -> list[str]:
+    """The printable character of each byte in byte-level vocabularies: itself if printable, else the next from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
