@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import bm25_packing, bpe_transducer, debruijn_dedup, mpeg_ts, simhash_bktree, toxicity_nbsvm
+from loreweave.llm import bm25_packing, bpe_transducer, debruijn_dedup, html_wrapper, mpeg_ts, simhash_bktree, toxicity_nbsvm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bktree.groups(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_html_wrapper": op1_html_wrapper,
         "op3_simhash_groups": op3_simhash_groups,
         "op5_mpeg_ts": op5_mpeg_ts,
         "op6_bm25_packing": op6_bm25_packing,
