@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import bm25_packing, bpe_transducer, debruijn_dedup, html_wrapper, mpeg_ts, simhash_bktree, toxicity_nbsvm
+from loreweave.llm import bm25_packing, bpe_transducer, debruijn_dedup, html_wrapper, license_rules, mpeg_ts, multi_index_ann, shared, simhash_bktree, token_rollup, toxicity_nbsvm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +19,36 @@ def op1_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bktree.groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents: words and pieces are inserted; words are counted anew, without
+    those that hold no letter or digit; copies of a text of a smaller id are deleted. Two batches come twice."""
+    documents = _table(spark, sf_dir, "documents")
+    counts = documents.select(
+        "doc_id", "source", "lang", F.md5("text").alias("digest"),
+        token_rollup.word_count().alias("words"), token_rollup.spelled_count().alias("spelled"), token_rollup.piece_count().alias("pieces"),
+    )
+    counts = shared.written(counts, "token-counts")
+    first = counts.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    copies = shared.written(counts.join(first, "digest").where("doc_id > first_id"), "copies")
+    rollup = token_rollup.Rollup(spark, f"{shared.scratch_dir(spark)}/loreweave-rollup-{uuid.uuid4().hex}")
+    words, pieces = token_rollup.inserted(counts, F.col("words"), "words"), token_rollup.inserted(counts, F.col("pieces"), "pieces")
+    revised = token_rollup.revised(counts, F.col("words"), F.col("spelled"), "words")
+    gone = token_rollup.deleted(copies, F.col("spelled"), "words").unionByName(token_rollup.deleted(copies, F.col("pieces"), "pieces"))
+    for batch, changes in (("load-words", words), ("load-pieces", pieces), ("load-words", words), ("revise-words", revised), ("drop-copies", gone)):
+        rollup.commit(batch, changes)
+    rollup.compact()
+    rollup.commit("revise-words", revised)
+    return rollup.totals()
+
+
 def op5_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_ts.features(mpeg_ts.store(_table(spark, sf_dir, "documents")))
 
@@ -29,6 +57,10 @@ def op6_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index_ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity_nbsvm.fit(documents, _table(spark, sf_dir, "labels"))
@@ -46,17 +78,45 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_html_wrapper": op1_html_wrapper,
+        "op2_license_rules": op2_license_rules,
         "op3_simhash_groups": op3_simhash_groups,
+        "op4_token_rollup": op4_token_rollup,
         "op5_mpeg_ts": op5_mpeg_ts,
         "op6_bm25_packing": op6_bm25_packing,
+        "op7_multi_index": op7_multi_index,
         "op8_toxicity": op8_toxicity,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_bpe_codec": op10_bpe_codec,
+        "pipeline": pipeline,
     }
 
 
+_TOKEN_ROLLUP = r"""
+WITH counts AS (
+  SELECT doc_id, source, lang, text,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS spelled_all,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D\p{L}\p{N}]*[\p{L}\p{N}][^\x20\x09-\x0D]*')), 0) AS words,
+         coalesce(len(regexp_extract_all(text, '\p{L}+|\p{N}|[^\x20\x09-\x0D\p{L}\p{N}]+')), 0) AS pieces,
+         min(doc_id) OVER (PARTITION BY text) AS first_id
+  FROM documents),
+kept AS (SELECT * FROM counts WHERE text IS NULL OR doc_id IS NULL OR doc_id = first_id)
+SELECT source, lang, 'words' AS tokenizer, CAST(count(*) AS BIGINT) AS documents, CAST(sum(words) AS BIGINT) AS tokens FROM kept GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'pieces', CAST(count(*) AS BIGINT), CAST(sum(pieces) AS BIGINT) FROM kept GROUP BY source, lang
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op2_license_rules": license_rules.oracle(),
+        "op4_token_rollup": _TOKEN_ROLLUP,
+    }
