@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from loreweave.plans import knowledge_queries, search_queries
+
 
 def queries() -> dict:
-    return {}
+    return {**search_queries.QUERIES, **knowledge_queries.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**search_queries.ORACLE, **knowledge_queries.ORACLE}
