@@ -1,18 +1,18 @@
 """Repeated word spans: windows of k words as edges of a de Bruijn graph, compacted into paths by Spark joins.
 
+0. Copies of a whole text are known by its digest; only the one with the smallest id goes on, and the others lose
+   all words if they have a window.
 1. Anchors. Every window of k words is represented by the least hash of its k - a + 1 runs of a words, so equal
    windows have equal anchors. Anchors that start in one document only cannot belong to a repeated window;
    the others are found by one aggregation over about a quarter of the positions.
-2. Edges. Windows with a shared anchor give an edge each: a 128-bit identity, its place (document, position),
-   and the edges before and after it. Per edge, the smallest document with its first position there is the
-   source of the edge; an edge is repeated where it has two documents.
-3. Compaction. An edge continues the one before it in the source where either follows only the other in all
-   documents (no branch at the node between them). One join of the edges with themselves finds these steps,
-   and runs of steps become paths (gaps and islands over source coordinates).
-4. Verification. Places of edges in other documents are joined with their paths, and places of a document that
-   run along a path without a gap become spans, with the source document and position they repeat.
-5. The words covered by a span whose source has a smaller id are removed; the document's words are read again
-   and the identity of each span's windows is checked against the edges' own before it counts.
+2. Edges. Windows with a shared anchor give an edge each: a 128-bit identity, its coordinates (document, position),
+   and the edges before and after it. An edge is repeated where it has two documents; the smallest is its source,
+   and an edge that has one neighbour only on either side in all documents does not branch there.
+3. Compaction. The repeated edges are joined with their coordinates. Where a document steps from one to the next
+   position, both have the same source, and neither branches between them, the steps are one path (gaps and
+   islands over the document's coordinates).
+4. Verification and removal. Each document is read again; a path counts where the words at its coordinates have
+   the identity of its first edge, and its words are removed.
 
 All decisions are made on the documents as given, not on what is left of them.
 
@@ -92,23 +92,23 @@ def _anchor_rows(k: int, a: int):
         known = _WordHashes()
         for batch in shared.table_of(batches):
             found, owners = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), shared.as_bytes(batch.column(1)), strict=True):
+            for digest, text in zip(batch.column(0).to_pylist(), shared.as_bytes(batch.column(1)), strict=True):
                 words = text.split()
                 if len(words) >= k:
                     own = np.unique(_anchors(_hashed(words, known), k, a))
                     found.append(own)
-                    owners.append(np.full(len(own), doc, dtype=np.int64))
+                    owners.append(np.full(len(own), digest, dtype=np.int64))
             if found:
-                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(found)), pa.array(np.concatenate(owners))], ["anchor", "doc_id"])
+                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(found)), pa.array(np.concatenate(owners))], ["anchor", "digest"])
 
     return run
 
 
-_EDGE = "hi long, lo long, loreweave_doc long, loreweave_digest long, pos int, prev long, next long"
+_EDGE = "hi long, lo long, loreweave_doc long, loreweave_digest long, pos int, prev int, next int"
 
 
 def _edge_rows(k: int, a: int):
-    """Windows whose anchor is shared, with the low half of the identity of the window before and after (0: none such)."""
+    """Windows whose anchor is shared, with 32 bits of the identity of the window before and after (0: none such)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -126,10 +126,10 @@ def _edge_rows(k: int, a: int):
                 if not keep.any():
                     continue
                 hi, lo = _runs(words, k, _M1), _runs(words, k, _M2)
-                linked = np.where(keep, lo, np.uint64(0))
+                linked = np.where(keep, lo, np.uint64(0)).astype(np.uint32).view(np.int32)
                 pos = np.flatnonzero(keep)
-                prev = np.concatenate((np.zeros(1, np.uint64), linked[:-1]))[pos]
-                after = np.concatenate((linked[1:], np.zeros(1, np.uint64)))[pos]
+                prev = np.concatenate((np.zeros(1, np.int32), linked[:-1]))[pos]
+                after = np.concatenate((linked[1:], np.zeros(1, np.int32)))[pos]
                 for column, x in zip(columns, (hi[pos], lo[pos], np.full(len(pos), doc, np.int64), np.full(len(pos), digest, np.int64), pos.astype(np.int32), prev, after), strict=True):
                     column.append(x)
             if columns[0]:
@@ -139,53 +139,54 @@ def _edge_rows(k: int, a: int):
     return run
 
 
+def _low(column: str):
+    """The low 32 bits of a long, as a signed integer."""
+    return F.shiftright(F.shiftleft(column, 32), 32).cast("int")
+
+
 def repeated_spans(documents: DataFrame, k: int = WINDOW_WORDS, a: int = ANCHOR_WORDS) -> DataFrame:
-    """``doc, digest, start, windows, path, source_doc, source_pos, hi, lo``: places of a path whose source has a smaller id.
+    """``doc, digest, start, windows, source_doc, hi, lo``: where a document runs along a path that has a smaller source.
 
-    A row says that ``windows`` windows in a row of the document, from word ``start``, run along one compacted
-    path. ``hi, lo`` identify the first of them.
+    A row says that ``windows`` windows in a row of the document, from word ``start``, are one compacted path; ``hi, lo``
+    identify its first edge.
     """
     shared.small_batches(documents.sparkSession)
-    keyed = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = keyed.mapInArrow(_anchor_rows(k, a), "anchor long, doc_id long")
-    common = anchors.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("anchor")
-    wanted = anchors.join(common, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = shared.written(wanted.select(F.col("doc_id").alias("loreweave_doc"), "anchors"), "shared-anchors")  # an array no longer than its document
-
-    members = keyed.join(wanted, F.col("doc_id") == F.col("loreweave_doc")).select("doc_id", shared.text_digest().alias("digest"), "text", "anchors")
+    keyed = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_digest().alias("digest"), "text")
+    anchors = shared.written(keyed.select("digest", "text").mapInArrow(_anchor_rows(k, a), "anchor long, digest long"), "anchors")
+    common = anchors.groupBy("anchor").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("anchor")
+    wanted = anchors.join(common, "anchor").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))  # an array no longer than its text
+    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("loreweave_doc"))
+    wanted = shared.written(wanted.join(first, "digest").select(F.col("digest").alias("loreweave_digest"), "loreweave_doc", "anchors"), "shared-anchors")
+    shared.discard(anchors)
+
+    mine = (F.col("doc_id") == F.col("loreweave_doc")) & (F.col("digest") == F.col("loreweave_digest"))
+    members = keyed.join(wanted, mine).select("doc_id", "digest", "text", "anchors")
     edges = shared.written(members.mapInArrow(_edge_rows(k, a), _EDGE), "edges")
-    place = F.struct(F.col("loreweave_doc").alias("doc"), F.col("loreweave_digest").alias("digest"), F.col("pos"))
     nodes = edges.groupBy("hi", "lo").agg(
-        F.min(place).alias("source"),
+        F.min("loreweave_doc").alias("source_doc"),
         F.max("loreweave_doc").alias("most"),
         *[f(c).alias(f"{c}_{n}") for c in ("prev", "next") for n, f in (("min", F.min), ("max", F.max))],
     )
-    nodes = shared.written(
-        nodes.where("source.doc <> most").select(
-            "hi", "lo", "source.*",
-            F.when(F.col("prev_min") == F.col("prev_max"), F.col("prev_min")).alias("only_prev"),
-            F.when(F.col("next_min") == F.col("next_max"), F.col("next_min")).alias("only_next"),
-        ),
-        "repeated-edges",
-    )
-    before = nodes.select("doc", "digest", (F.col("pos") + 1).alias("pos"), F.col("lo").alias("before_lo"), F.col("only_next").alias("before_next"))
-    steps = nodes.join(before, ["doc", "digest", "pos"], "left")
-    joined = F.coalesce((F.col("only_prev") == F.col("before_lo")) & (F.col("before_next") == F.col("lo")), F.lit(False))
+    only = lambda c: F.when(F.col(f"{c}_min") == F.col(f"{c}_max"), F.col(f"{c}_min")).alias(f"only_{c}")
+    nodes = nodes.where("source_doc <> most").select("hi", "lo", "source_doc", only("prev"), only("next"))
+    nodes = shared.written(nodes, "repeated-edges")
+
+    places = edges.select("hi", "lo", F.col("loreweave_doc").alias("doc"), F.col("loreweave_digest").alias("digest"), "pos").join(nodes, ["hi", "lo"]).where("source_doc < doc")
     along = Window.partitionBy("doc", "digest").orderBy("pos")  # the positions of one document
-    paths = steps.withColumn("path", F.max(F.when(~joined, F.col("pos"))).over(along))
-    paths = paths.select("hi", "lo", F.col("doc").alias("source_doc"), F.col("digest").alias("source_digest"), "path", F.col("pos").alias("source_pos"))
-
-    places = edges.select("hi", "lo", F.col("loreweave_doc").alias("doc"), F.col("loreweave_digest").alias("digest"), "pos").join(paths, ["hi", "lo"]).where("source_doc < doc")
-    shift = F.col("pos") - F.col("source_pos")
-    spans = places.groupBy("doc", "digest", "source_doc", "source_digest", "path", shift.alias("shift")).agg(F.min("source_pos").alias("first"), F.max("source_pos").alias("last"), F.count("*").alias("windows"), F.min(F.struct("pos", "hi", "lo")).alias("at"))
-    # along one shift of one path a document may enter and leave; the gaps are then split position by position
-    whole = spans.where(F.col("windows") == F.col("last") - F.col("first") + 1)
-    broken = spans.where(F.col("windows") < F.col("last") - F.col("first") + 1).select("doc", "digest", "source_doc", "source_digest", "path", "shift")
-    pieces = places.withColumn("shift", shift).join(broken, ["doc", "digest", "source_doc", "source_digest", "path", "shift"])
-    columns = ["doc", "digest", "path", "source_doc"]
-    out = whole.select(*columns, F.col("at.pos").alias("start"), "windows", F.col("first").alias("source_pos"), "at.hi", "at.lo")
-    single = pieces.select(*columns, F.col("pos").alias("start"), F.lit(1).cast("long").alias("windows"), "source_pos", "hi", "lo")
-    return out.unionByName(single)
+    before = lambda c: F.lag(c).over(along)
+    step = (before("pos") == F.col("pos") - 1) & (before("source_doc") == F.col("source_doc"))
+    step = step & (before("only_next") == _low("lo")) & (F.col("only_prev") == before(_low("lo")))
+    paths = places.withColumn("start", F.when(~F.coalesce(step, F.lit(False)), F.col("pos")))
+    paths = paths.withColumn("start", F.max("start").over(along))
+    spans = paths.groupBy("doc", "digest", "start").agg(F.count("*").alias("windows"), F.min(F.struct("pos", "source_doc", "hi", "lo")).alias("at"))
+    return spans.select("doc", "digest", "start", "windows", "at.source_doc", "at.hi", "at.lo")
+
+
+def exact_copies(documents: DataFrame) -> DataFrame:
+    """``doc, digest`` of the rows whose whole text also is that of a smaller id."""
+    rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), shared.text_digest().alias("digest"), F.md5(F.coalesce("text", F.lit(""))).alias("identity"))
+    first = rows.groupBy("digest", "identity").agg(F.min("doc").alias("first"))
+    return rows.join(first, ["digest", "identity"]).where("doc <> first").select("doc", "digest").distinct()
 
 
 def _covered(words: list[bytes], spans: list[dict], k: int, known: _WordHashes) -> np.ndarray:
@@ -201,46 +202,42 @@ def _covered(words: list[bytes], spans: list[dict], k: int, known: _WordHashes)
     return np.cumsum(steps[:-1]) > 0
 
 
-_KEPT = T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+_KEPT = T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("sha256", T.StringType())])
 
 
 def remove_repeats(documents: DataFrame, k: int = WINDOW_WORDS, a: int = ANCHOR_WORDS) -> DataFrame:
     """Every column of ``documents``, and ``loreweave_kept`` (kept words joined by one blank; null where nothing was
-    removed), ``loreweave_words`` and ``loreweave_removed``."""
+    removed), ``loreweave_words``, ``loreweave_removed`` and ``loreweave_sha256`` (of the kept words so joined)."""
     spans = repeated_spans(documents, k, a)
     found = spans.groupBy("doc", "digest").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("windows").cast("int").alias("windows"), "hi", "lo")).alias("loreweave_spans"))  # no more than its document has words
-    found = shared.written(found.select(F.col("doc").alias("loreweave_doc"), F.col("digest").alias("loreweave_digest"), "loreweave_spans"), "spans")
+    found = found.unionByName(exact_copies(documents).withColumn("loreweave_spans", F.lit(None)), allowMissingColumns=True).withColumn("loreweave_hit", F.lit(True))
+    found = shared.written(found.select(F.col("doc").alias("loreweave_doc"), F.col("digest").alias("loreweave_digest"), "loreweave_hit", "loreweave_spans"), "spans")
     known = documents.join(found, (documents["doc_id"] == found["loreweave_doc"]) & (shared.text_digest() == found["loreweave_digest"]), "left")
 
     @F.arrow_udf(_KEPT)
-    def clean(text: pa.Array, spans: pa.Array) -> pa.Array:
-        words_known, kept, counts, removed = _WordHashes(), [], [], []
-        for data, own in zip(shared.as_bytes(text), spans.to_pylist(), strict=True):
+    def clean(text: pa.Array, hit: pa.Array, spans: pa.Array) -> pa.Array:
+        words_known, kept, counts, removed, digests = _WordHashes(), [], [], [], []
+        for data, touched, own in zip(shared.as_bytes(text), hit.to_pylist(), spans.to_pylist(), strict=True):
             words = data.split()
             counts.append(len(words))
-            if not own:
-                kept.append(None)
-                removed.append(0)
-                continue
-            gone = _covered(words, own, k, words_known)
-            removed.append(int(gone.sum()))
-            kept.append(b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x))
-        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["kept", "n_words", "n_removed"])
-
-    out = known.withColumn("loreweave_clean", clean(F.col("text"), F.col("loreweave_spans")))
+            left = words
+            if touched and own is None and len(words) >= k:  # a copy of a whole text
+                left = []
+            elif own:
+                gone = _covered(words, own, k, words_known).tolist()
+                left = [w for w, x in zip(words, gone, strict=True) if not x]
+            joined = b" ".join(left)
+            removed.append(len(words) - len(left))
+            kept.append(joined if removed[-1] else None)
+            digests.append(hashlib.sha256(joined).hexdigest())
+        columns = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+        return pa.StructArray.from_arrays(columns, [f.name for f in _KEPT])
+
+    out = known.withColumn("loreweave_clean", clean(F.col("text"), F.col("loreweave_hit"), F.col("loreweave_spans")))
     return out.select(
         *[documents[c] for c in documents.columns],
         F.col("loreweave_clean.kept").alias("loreweave_kept"),
         F.col("loreweave_clean.n_words").alias("loreweave_words"),
         F.col("loreweave_clean.n_removed").alias("loreweave_removed"),
+        F.col("loreweave_clean.sha256").alias("loreweave_sha256"),
     )
-
-
-def kept_digest(column: str = "text"):
-    """SHA-256 (hex) of the words of a text joined by one blank."""
-
-    @F.arrow_udf(T.StringType())
-    def digest(text: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(b" ".join(t.split())).hexdigest() for t in shared.as_bytes(text)], pa.string())
-
-    return digest(F.col(column))

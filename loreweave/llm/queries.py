@@ -70,8 +70,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = debruijn_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = cleaned.select("doc_id", F.coalesce("loreweave_kept", "text").alias("kept"), "loreweave_words", "loreweave_removed")
-    return kept.select("doc_id", F.col("loreweave_words").alias("n_words"), F.col("loreweave_removed").alias("n_removed"), debruijn_dedup.kept_digest("kept").alias("kept_sha256"))
+    return cleaned.select("doc_id", F.col("loreweave_words").alias("n_words"), F.col("loreweave_removed").alias("n_removed"), F.col("loreweave_sha256").alias("kept_sha256"))
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -12,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. A batch is also held under 64 MB by Spark, so long texts make it shorter.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch; long texts make it shorter.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -37,15 +38,26 @@ def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     df.write.option("compression", compression).parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first finds plans still held by listeners that were told of their end
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing will read again."""
+    sc = table.sparkSession.sparkContext
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of texts small where the session has Spark's default of 10,000 rows."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep the Arrow batches of texts small where the session has Spark's defaults of 10,000 rows and 64 MB."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
