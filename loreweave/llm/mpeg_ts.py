@@ -23,7 +23,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loreweave.llm import shared
 
@@ -199,14 +198,28 @@ def store(documents: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes`` and ``media``, the transport stream of each whole text, written to the scratch folder."""
     shared.small_batches(documents.sparkSession)
 
-    @F.arrow_udf("binary")
-    def media(text: pa.Array) -> pa.Array:
-        return pa.array([multiplex(padded(t)) for t in shared.as_bytes(text)], pa.binary())
-
-    rows = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media(F.col("text")).alias("media"))
+    rows = documents.select("doc_id", "text").mapInArrow(_media, "doc_id long, n_bytes long, media binary")
     return shared.written(rows, "media", compression="zstd")
 
 
+def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams of texts, a few megabytes at a time."""
+    for batch in shared.table_of(batches):
+        begin, size, streams, lengths = 0, 0, [], []
+        for text in shared.as_bytes(batch.column(1)):
+            lengths.append(len(text))
+            streams.append(multiplex(padded(text)))
+            size += len(streams[-1])
+            if size > shared.BATCH_BYTES:
+                yield _media_batch(batch.column(0)[begin : begin + len(streams)], lengths, streams)
+                begin, size, streams, lengths = begin + len(streams), 0, [], []
+        yield _media_batch(batch.column(0)[begin:], lengths, streams)
+
+
+def _media_batch(ids: pa.Array, lengths: list[int], streams: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(lengths, pa.int64()), pa.array(streams, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+
 _FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -214,15 +227,18 @@ def features(media: DataFrame) -> DataFrame:
     """Read the stored streams back: ``doc_id, n_bytes`` and the payload's and the stream's digests and features."""
     shared.small_batches(media.sparkSession)
 
-    @F.arrow_udf(_FEATURES)
-    def read(stored: pa.Array) -> pa.Array:
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, f"doc_id long, n_bytes long, {_FEATURES}")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = ["doc_id", "n_bytes", *(c.split()[0] for c in _FEATURES.split(", "))]
+    for batch in shared.table_of(batches):
         rows = []
-        for data in stored.to_pylist():
+        for stored in batch.column(2):
+            data = stored.as_py()
             stream = demultiplex(data)
             p = stream.payload
             rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), stream.feature()))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = zip(*rows, strict=True) if rows else [()] * 6
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _FEATURES.split(", ")])
-
-    return media.select("doc_id", "n_bytes", read(F.col("media")).alias("read")).select("doc_id", "n_bytes", "read.*")
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
