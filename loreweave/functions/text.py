@@ -68,12 +68,16 @@ def tokens(c: Column | str) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
         return F.when(s.rlike(r"^\p{IsHan}"), pairs).otherwise(F.array(F.lower(s)))
 
-    return F.coalesce(F.flatten(F.transform(segments(c), one)), F.array().cast("array<string>"))
+    plain = F.transform(F.regexp_extract_all(_col(c), F.lit(r"[\p{L}\p{Nd}\p{M}]+"), F.lit(0)), F.lower)
+    found = F.when(_col(c).rlike(r"\p{IsHan}"), F.flatten(F.transform(segments(c), one))).otherwise(plain)
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def index_tokens(c: Column | str) -> Column:
-    """Tokens as the index stores them: folded after projection."""
-    return F.transform(tokens(c), fold_accents)
+    """Tokens as the index stores them: folded after projection. Texts without Han need one pass of one pattern."""
+    plain = F.regexp_extract_all(F.lower(fold_accents(c)), F.lit(r"[\p{L}\p{Nd}\p{M}]+"), F.lit(0))
+    found = F.when(_col(c).rlike(r"\p{IsHan}"), F.transform(tokens(c), fold_accents)).otherwise(plain)
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def projected(c: Column | str) -> Column:
