@@ -58,7 +58,7 @@ def test_fallback_by_vocabulary():
 
 
 def test_bm25_repeated_terms_and_weights(spark):
-    docs = spark.createDataFrame([(1, "by", "from here by"), (2, "x", "by the from"), (3, "y", "none"), (4, "z", "nothing"), (5, "w", "at all")], "id long, title string, body string")
+    docs = spark.createDataFrame([(1, "by", "by from by"), (2, "x", "by the from"), (3, "y", "none"), (4, "z", "nothing"), (5, "w", "at all")], "id long, title string, body string")
     plain = {r["doc_id"]: r["bm25"] for r in lexical.bm25(docs, "id", {"body": 1.0}, "by from").collect()}
     assert set(plain) == {1, 2} and plain[1] < plain[2] < 0
     twice = {r["doc_id"]: r["bm25"] for r in lexical.bm25(docs, "id", {"body": 1.0}, "by by from").collect()}
