@@ -23,6 +23,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -40,6 +41,20 @@ _KNOWN_WORDS = 200_000
 _KNOWN_PAIRS = 300_000
 _PLAIN = regex.compile("[!-~]*")
 _SEPARATORS = regex.compile("[\\x1c-\\x1f]")
+#: Code points that Unicode 16, which the vocabularies' words go by, has neither as letters nor as digits.
+_LATER = regex.compile(
+    "[\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf"
+    "\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f"
+    "\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    "\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168"
+    "\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2"
+    "\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    "\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
+)
+#: Lower cases that are newer than Python's tables.
+_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_NEW_CASE = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
 _END = ""  # stands for the word-end suffix inside this module
 
 
@@ -216,11 +231,22 @@ class Vocabulary:
         self.merges, self.lookahead = MergeList(merges, self.ids), sufficient_lookahead(merges)
         self.byte_decoder = spec.get("decoder") is not None
         split = next(p for p in [spec["pre_tokenizer"], *spec["pre_tokenizer"].get("pretokenizers", [])] if p["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
+        written = split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}")
+        self.pattern = regex.compile(written)
+        # the same for runs with code points that newer tables call letters or digits
+        later = _LATER.pattern[1:-1]
+        for kind in ("L", "N"):
+            written = written.replace(rf"[\p{{{kind}}}]", rf"[\p{{{kind}}}--[{later}]]")
+        written = written.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"(?:[{later}]|[^\p{{White_Space}}\p{{L}}\p{{N}}])")
+        self.strict_pattern = regex.compile(written, regex.V1)
         self.characters = shared.byte_characters()
         self.values = {c: b for b, c in enumerate(self.characters)}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
+    def words(self, text: str) -> list[str]:
+        plain = text.isascii() or not _LATER.search(text)
+        return (self.pattern if plain else self.strict_pattern).findall(text)
+
     def tokens(self, word: str) -> list[str]:
         raw = word if _PLAIN.fullmatch(word) else "".join(map(self.characters.__getitem__, word.encode()))
         raw += _END if self.suffix else ""
@@ -231,6 +257,8 @@ def _normal(text: str) -> str:
     """NFC and lower case character by character; white space only separates words and needs no change."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if _NEW_CASE.search(text):
+            text = text.translate(_LOWER)
     return text.lower()
 
 
@@ -267,7 +295,7 @@ class TextCodec(dict):
         value = self.older.get(run)
         if value is None:
             v = self.vocabulary
-            words = v.pattern.findall(run)
+            words = v.words(run)
             if words == [run]:
                 ids, decoder = [v.ids[t] for t in v.tokens(run)], Decoder(v)
                 value = (" ".join(map(str, ids)), "".join(map(decoder.push, ids)) + decoder.finish())
@@ -283,7 +311,7 @@ class TextCodec(dict):
     def _runs(self, text: str) -> list[str]:
         normal = _normal(text)
         # split() also splits at four control characters that are no white space to the vocabulary's pattern
-        return self.vocabulary.pattern.findall(normal) if _SEPARATORS.search(normal) else normal.split()
+        return self.vocabulary.words(normal) if _SEPARATORS.search(normal) else normal.split()
 
     def encoded(self, text: str) -> Iterator[tuple[str, str]]:
         v = self.vocabulary

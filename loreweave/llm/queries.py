@@ -65,7 +65,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity_nbsvm.fit(documents, _table(spark, sf_dir, "labels"))
     scored = toxicity_nbsvm.score(documents, model)
-    return scored.select("doc_id", F.coalesce(toxicity_nbsvm.held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic_predicted").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(toxicity_nbsvm.held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("loreweave_toxicity").alias("score"), F.col("loreweave_toxic").alias("predicted"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

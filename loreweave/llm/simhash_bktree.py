@@ -204,7 +204,7 @@ def drop_copies(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents with one of each group: the row with the smallest id. Rows without an id are kept."""
     copies = groups(documents, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
     kept = documents.join(copies, documents["doc_id"] == copies["copy_id"], "left_anti")
-    order = Window.partitionBy("doc_id").orderBy("doc_id")
     turn = "loreweave_turn"
-    kept = kept.withColumn(turn, F.row_number().over(order))
-    return kept.where(F.col("doc_id").isNull() | (F.col(turn) == 1)).drop(turn)
+    order = Window.partitionBy("doc_id").orderBy("doc_id")
+    named = kept.where("doc_id is not null").withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
+    return named.unionByName(kept.where("doc_id is null"))

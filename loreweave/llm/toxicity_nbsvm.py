@@ -193,14 +193,15 @@ def fit(documents: DataFrame, labels: DataFrame, limits: FitLimits = FitLimits()
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([p.tobytes() for p in packed], pa.binary())], ["toxic", "bits"])
 
     found = texts.mapInArrow(presence, "toxic int, bits binary").toArrow()  # features / 8 bytes for each sampled row
-    y = np.asarray(found.column("toxic").to_pylist(), dtype=np.float64)
-    bits = np.unpackbits(np.frombuffer(b"".join(found.column("bits").to_pylist()), dtype=np.uint8).reshape(len(y), -1), axis=1)[:, : len(best)]
+    rows = sorted(zip(found.column("toxic").to_pylist(), found.column("bits").to_pylist(), strict=True))  # so that sums do not hang on the order of tasks
+    y = np.asarray([label for label, _ in rows], dtype=np.float64)
+    bits = np.unpackbits(np.frombuffer(b"".join([b for _, b in rows]), dtype=np.uint8).reshape(len(y), -1), axis=1)[:, : len(best)]
     w, b = _logistic(bits.astype(np.float32) * ratios, y, limits)
     return Model(slots, np.concatenate(([0.0], w * ratios)), b)
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Every column of ``documents`` and, at the end, ``toxicity`` and ``toxic_predicted``; texts are read whole."""
+    """Every column of ``documents`` and, at the end, ``loreweave_toxicity`` and ``loreweave_toxic``; texts are read whole."""
     shared.small_batches(documents.sparkSession)
     carried = documents.sparkSession.sparkContext.broadcast(model)  # one bucket table and one weight table of fixed size
 
@@ -208,5 +209,5 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     def toxicity(text: pa.Array) -> pa.Array:
         return pa.array(carried.value.scores(shared.as_bytes(text)), pa.float64())
 
-    scored = documents.withColumn("toxicity", toxicity(F.col("text")))
-    return scored.withColumn("toxic_predicted", (F.col("toxicity") >= threshold).cast("int"))
+    scored = documents.withColumn("loreweave_toxicity", toxicity(F.col("text")))
+    return scored.withColumn("loreweave_toxic", (F.col("loreweave_toxicity") >= threshold).cast("int"))
