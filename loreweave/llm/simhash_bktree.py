@@ -187,24 +187,32 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD
     return out
 
 
-def groups(documents: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id that links lead to."""
+def _grouped(documents: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """``doc_id``, ``digest`` (of the text), ``fp``, ``root`` (a fingerprint of the group) and ``component_id``."""
     shared.small_batches(documents.sparkSession)
-    prints = shared.written(documents.select("doc_id", _fingerprints(F.col("text")).alias("fp")), "fingerprints")
+    prints = shared.written(documents.select("doc_id", shared.text_digest().alias("digest"), _fingerprints(F.col("text")).alias("fp")), "fingerprints")
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components.connected(links(own, radius, shard_rows))
     rooted = own.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = shared.written(rooted.join(least, "root").select(F.col("fp").alias("named_fp"), "component_id"), "fingerprint-groups")
-    out = prints.join(named, prints["fp"] == named["named_fp"], "left")
+    named = shared.written(rooted.join(least, "root").select(F.col("fp").alias("named_fp"), "root", "component_id"), "fingerprint-groups")
+    return prints.join(named, prints["fp"] == named["named_fp"], "left").drop("named_fp")
+
+
+def groups(documents: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id that links lead to."""
+    out = _grouped(documents, radius, shard_rows)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_copies(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents with one of each group: the row with the smallest id. Rows without an id are kept."""
-    copies = groups(documents, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    kept = documents.join(copies, documents["doc_id"] == copies["copy_id"], "left_anti")
-    turn = "loreweave_turn"
-    order = Window.partitionBy("doc_id").orderBy("doc_id")
-    named = kept.where("doc_id is not null").withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
-    return named.unionByName(kept.where("doc_id is null"))
+def drop_copies(documents: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The documents with one of each group: a row with the smallest id (of texts that share it, the one of the
+    smallest digest). Rows without an id are kept."""
+    kept = _grouped(documents, radius, shard_rows).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
+    kept = kept.select(F.col("one.doc_id").alias("loreweave_doc"), F.col("one.digest").alias("loreweave_digest"))
+    turn, digest = "loreweave_turn", "loreweave_digest"
+    rows = documents.where("doc_id is not null").withColumn(digest, shared.text_digest())
+    rows = rows.join(kept, (rows["doc_id"] == kept["loreweave_doc"]) & (rows[digest] == kept[digest]), "left_semi")
+    order = Window.partitionBy("doc_id", digest).orderBy("doc_id")
+    named = rows.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn, digest)
+    return named.unionByName(documents.where("doc_id is null"))

@@ -21,11 +21,11 @@ def auc(scored):
 
 
 def test_held_out_accuracy(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     model = X.fit(docs.select("doc_id", "text"), labels)
     scored = X.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(X.held_out("doc_id")).select("loreweave_toxicity", "loreweave_toxic", "toxic").collect()
-    assert auc([(r[0], r[2]) for r in scored]) >= 0.95
+    assert auc([(r[0], r[2]) for r in scored]) >= 0.97
     clean, toxic = ([r for r in scored if r[2] == y] for y in (0, 1))
     assert sum(r[1] for r in clean) <= 0.02 * len(clean) and sum(r[1] for r in toxic) >= 0.8 * len(toxic)
 
