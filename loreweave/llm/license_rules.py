@@ -1,12 +1,14 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each is normalised, and sentences that are known get their identifier. The
-identifiers of a text, in order, are then matched against licence rules, each a sequence of identifiers; rules
-are tried in their order, the more specific first, and what a rule has matched is not matched again. Known
-sentences left over are reported as well.
+A text is cut into fragments at line breaks and sentence ends, and each is normalised, which takes comment marks
+away. A known sentence is a run of consecutive fragments whose words, in order, are all of its words: it may be
+wrapped at any word, but not over a blank line, and it begins and ends where fragments do. Of known sentences of
+which one lies within the other, the longer counts. The identifiers of a text, in order, are then matched against
+licence rules, each a sequence of identifiers; rules are tried in their order, the more specific first, and what
+a rule has matched is not matched again. Known sentences left over are reported as well.
 
-The join with the known sentences is a broadcast of a fixed table, so unknown sentences never leave their task;
-only identifiers are grouped by text.
+The join with the word runs of the known sentences is a broadcast of a fixed table, so other fragments never
+leave their task; only matches are grouped by text.
 
 Defined results: texts without a known sentence give no row, so null and empty texts and an empty table give
 none; rows that are equal in id and text give one row; a null id is reported as null. Extra columns are ignored.
@@ -15,8 +17,10 @@ none; rows that are equal in id and text give one row; a null id is reported as
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.llm import shared
@@ -78,6 +82,9 @@ RULES = [
     ("Proprietary", ["reserved"]),
 ]
 
+#: Where a fragment ends: each line break by itself, so that a blank line is a fragment without words.
+_CUT = r"[.!?;:]+[ \t]*(?:\r\n|[ \t\n\r\f])|\r\n|[\n\r\f]"
+#: Where the SQL twin ends a sentence: it knows sentences on one line only.
 _END, _NOT_WORD = r"[.!?;:]+[ \t\n\r\f]|[\n\r\f]+", r"[^a-z0-9.+]+"
 
 
@@ -91,6 +98,36 @@ def _known() -> list[tuple[str, str]]:
     return [(normalised(re.split(_END, wording + " ")[0]), name) for name, wordings in SENTENCES.items() for wording in wordings]
 
 
+@lru_cache(maxsize=1)
+def _word_runs() -> list[tuple[str, str, str, int, int, list[int]]]:
+    """Every run of words of each known sentence: the run, the sentence, its name, both lengths and where the run begins."""
+    found = []
+    for sentence, name in sorted(set(_known())):
+        words, starts = sentence.split(), defaultdict(list)
+        for a in range(len(words)):
+            for b in range(a, len(words)):
+                starts[" ".join(words[a : b + 1])].append(a)
+        found += [(run, sentence, name, run.count(" ") + 1, len(words), at) for run, at in starts.items()]
+    return found
+
+
+def _hits(documents: DataFrame) -> DataFrame:
+    """``doc_id, digest, pos, name`` of the known sentences.
+
+    In fragments that follow each other, the words before a fragment less the words of the sentence before its run
+    are the same for all parts of one occurrence; it is whole where the parts have as many words as the sentence."""
+    known = documents.sparkSession.createDataFrame(_word_runs(), "fragment string, sentence string, name string, n int, total int, starts array<int>")
+    rows = documents.select("doc_id", shared.text_digest().alias("digest"), F.posexplode(F.split(F.concat("text", F.lit(" ")), _CUT)).alias("pos", "raw"))
+    parts = rows.select("doc_id", "digest", "pos", _sentence("raw").alias("fragment")).join(F.broadcast(known), "fragment")  # a fixed table
+    parts = parts.repartition("doc_id", "digest").dropDuplicates(["doc_id", "digest", "sentence", "name", "pos"])
+    order = Window.partitionBy("doc_id", "digest", "sentence", "name").orderBy("pos")
+    parts = parts.withColumn("island", F.col("pos") - F.row_number().over(order)).withColumn("before", F.sum("n").over(order) - F.col("n"))
+    parts = parts.withColumn("at", F.explode("starts"))
+    whole = parts.groupBy("doc_id", "digest", "sentence", "name", "total", "island", (F.col("before") - F.col("at")).alias("origin")).agg(F.sum("n").alias("n"), F.min("pos").alias("pos"), F.max("pos").alias("last"))
+    whole = whole.where("n = total")
+    return whole.groupBy("doc_id", "digest", "pos", "last").agg(F.collect_set("name").alias("names"))
+
+
 def _sentence(column: str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.col(column)), _NOT_WORD, " "), r"^[ .]+|[ .]+$", "")
 
@@ -98,10 +135,9 @@ def _sentence(column: str) -> Column:
 def scan(documents: DataFrame) -> DataFrame:
     """``doc_id, licenses, known_sentences, unmatched``: licences by comma in rule order, the identifiers in text
     order, and those that no rule took."""
-    spark = documents.sparkSession
-    known = F.broadcast(spark.createDataFrame(sorted(set(_known())), "sentence string, name string"))  # a fixed table
-    rows = documents.select("doc_id", shared.text_digest().alias("digest"), F.posexplode(F.split(F.concat("text", F.lit(" ")), _END)).alias("pos", "raw"))
-    hits = rows.select("doc_id", "digest", "pos", _sentence("raw").alias("sentence")).join(known, "sentence")
+    earlier = Window.partitionBy("doc_id", "digest").orderBy("pos", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
+    hits = _hits(documents).withColumn("reached", F.max("last").over(earlier))
+    hits = hits.where("reached is null or reached < last").withColumn("name", F.explode("names"))  # what lies within a longer one is part of it
     named = hits.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("pos", "name"))).alias("hits"))  # no more than the text has sentences
     sequence = F.concat(F.lit("|"), F.array_join(F.transform("hits", lambda h: h["name"]), "||"), F.lit("|"))
     found = named.select("doc_id", "digest", sequence.alias("sequence"), sequence.alias("rest0"))

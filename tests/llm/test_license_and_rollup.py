@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 import pytest
 from helpers import EDGES, empty, frame
@@ -27,6 +29,39 @@ def test_rules_take_sequences_in_order(spark):
     assert R.scan(empty(spark)).count() == 0
 
 
+def wrapped(name, width, mark="", end="."):
+    text = R.SENTENCES[name][0]
+    return textwrap.fill(text if text[-1] in ":." else text + end, width, initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False, break_long_words=False)
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_sentences_are_known(spark, mark):
+    blank = f"\n{mark.rstrip()}\n"
+    mit, bsd = ["mit-grant", "mit-notice", "mit-warranty"], ["bsd-redistribute", "bsd-source", "bsd-binary"]
+    header = f"""{mark}Copyright 2020 The Authors. All rights reserved.
+{mark}Licensed under the Apache License, Version 2.0 (the "License");
+{mark}you may not use this file except in compliance with the License.
+{mark}You may obtain a copy of the License at
+{mark.rstrip()}
+{mark}    http://www.apache.org/licenses/LICENSE-2.0
+{mark.rstrip()}
+{mark}Unless required by applicable law or agreed to in writing, software
+{mark}distributed under the License is distributed on an "AS IS" BASIS,
+{mark}WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+    docs = [(i, f"{mark}MIT License" + blank + blank.join(wrapped(n, width, mark) for n in mit)) for i, width in enumerate((12, 40, 72, 80))]
+    docs += [(10, "\n".join(wrapped(n, 76, mark) for n in bsd)), (11, wrapped("isc-grant", 79, mark).replace("\n", "\r\n")), (12, header), (12, header)]
+    docs += [(13, f"{mark}This work is\n{mark}licensed under CC BY 4.0."), (14, blank.join(wrapped("mit-notice", 40, mark).split("\n"))), (15, wrapped("mit-notice", 40, mark).replace("substantial", "some"))]
+    docs += [(16, "no sentence end |\nReleased under the MIT License.\nand on")]
+    got = {r["doc_id"]: (r["licenses"], r["known_sentences"], r["unmatched"]) for r in R.scan(frame(spark, docs)).collect()}
+    for i in range(4):
+        assert got.pop(i) == ("MIT", "mit-title," + ",".join(mit), "")
+    assert got == {
+        10: ("BSD-2-Clause", ",".join(bsd), ""), 11: ("ISC", "isc-grant", ""), 12: ("Apache-2.0,Proprietary", "reserved,apache-under,apache-comply,apache-copy,apache-basis", ""),
+        13: ("CC-BY-4.0", "cc-by-4", ""), 16: ("MIT", "mit-released", ""),
+    }
+
+
 def test_scan_stays_out_of_python(spark):
     plan = R.scan(frame(spark, EDGES))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
