@@ -1,8 +1,8 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
 A text is cut into fragments at line breaks and sentence ends, and each is normalised, which takes comment marks
-away. A known sentence is a run of consecutive fragments whose words, in order, are all of its words: it may be
-wrapped at any word, but not over a blank line, and it begins and ends where fragments do. Of known sentences of
+away. A known sentence is a run of consecutive fragments whose words, in order, are all of its words, those after a
+colon or semicolon too: it may be wrapped at any word, but not over a blank line, and it begins and ends where fragments do. Of known sentences of
 which one lies within the other, the longer counts. The identifiers of a text, in order, are then matched against
 licence rules, each a sequence of identifiers; rules are tried in their order, the more specific first, and what
 a rule has matched is not matched again. Known sentences left over are reported as well.
@@ -84,7 +84,7 @@ RULES = [
 
 #: Where a fragment ends: each line break by itself, so that a blank line is a fragment without words.
 _CUT = r"[.!?;:]+[ \t]*(?:\r\n|[ \t\n\r\f])|\r\n|[\n\r\f]"
-#: Where the SQL twin ends a sentence: it knows sentences on one line only.
+#: Where the SQL twin ends a sentence: it knows sentences on one line only, and wordings by their first part.
 _END, _NOT_WORD = r"[.!?;:]+[ \t\n\r\f]|[\n\r\f]+", r"[^a-z0-9.+]+"
 
 
@@ -93,8 +93,13 @@ def normalised(sentence: str) -> str:
     return re.sub(r"^[ .]+|[ .]+$", "", re.sub(_NOT_WORD, " ", sentence.lower()))
 
 
+def _wordings() -> list[tuple[str, str]]:
+    """Each wording whole, by its words as fragments have them: the points of a word that may end a fragment are not part of it."""
+    return [(" ".join(w for w in (x.strip(".") for x in normalised(wording).split()) if w), name) for name, wordings in SENTENCES.items() for wording in wordings]
+
+
 def _known() -> list[tuple[str, str]]:
-    """Each wording as the scan cuts it. A wording that holds a sentence end is known by its first part."""
+    """Each wording as the SQL twin cuts it. There, a wording that holds a sentence end is known by its first part."""
     return [(normalised(re.split(_END, wording + " ")[0]), name) for name, wordings in SENTENCES.items() for wording in wordings]
 
 
@@ -102,7 +107,7 @@ def _known() -> list[tuple[str, str]]:
 def _word_runs() -> list[tuple[str, str, str, int, int, list[int]]]:
     """Every run of words of each known sentence: the run, the sentence, its name, both lengths and where the run begins."""
     found = []
-    for sentence, name in sorted(set(_known())):
+    for sentence, name in sorted(set(_wordings())):
         words, starts = sentence.split(), defaultdict(list)
         for a in range(len(words)):
             for b in range(a, len(words)):
@@ -112,7 +117,7 @@ def _word_runs() -> list[tuple[str, str, str, int, int, list[int]]]:
 
 
 def _hits(documents: DataFrame) -> DataFrame:
-    """``doc_id, digest, pos, name`` of the known sentences.
+    """``doc_id, digest, pos, last, name`` of the known sentences, by their first and last fragments.
 
     In fragments that follow each other, the words before a fragment less the words of the sentence before its run
     are the same for all parts of one occurrence; it is whole where the parts have as many words as the sentence."""
@@ -124,8 +129,7 @@ def _hits(documents: DataFrame) -> DataFrame:
     parts = parts.withColumn("island", F.col("pos") - F.row_number().over(order)).withColumn("before", F.sum("n").over(order) - F.col("n"))
     parts = parts.withColumn("at", F.explode("starts"))
     whole = parts.groupBy("doc_id", "digest", "sentence", "name", "total", "island", (F.col("before") - F.col("at")).alias("origin")).agg(F.sum("n").alias("n"), F.min("pos").alias("pos"), F.max("pos").alias("last"))
-    whole = whole.where("n = total")
-    return whole.groupBy("doc_id", "digest", "pos", "last").agg(F.collect_set("name").alias("names"))
+    return whole.where("n = total").select("doc_id", "digest", "pos", "last", "name")
 
 
 def _sentence(column: str) -> Column:
@@ -137,7 +141,7 @@ def scan(documents: DataFrame) -> DataFrame:
     order, and those that no rule took."""
     earlier = Window.partitionBy("doc_id", "digest").orderBy("pos", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
     hits = _hits(documents).withColumn("reached", F.max("last").over(earlier))
-    hits = hits.where("reached is null or reached < last").withColumn("name", F.explode("names"))  # what lies within a longer one is part of it
+    hits = hits.where("reached is null or reached < last")  # what lies within a longer one is part of it
     named = hits.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("pos", "name"))).alias("hits"))  # no more than the text has sentences
     sequence = F.concat(F.lit("|"), F.array_join(F.transform("hits", lambda h: h["name"]), "||"), F.lit("|"))
     found = named.select("doc_id", "digest", sequence.alias("sequence"), sequence.alias("rest0"))

@@ -62,6 +62,18 @@ def test_wrapped_sentences_are_known(spark, mark):
     }
 
 
+def test_wordings_are_read_to_their_end(spark):
+    tail = "\n\nThis program is distributed in the hope that it will be useful, but\nWITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\nGeneral Public License for more details.\n"
+    docs = [(i, wrapped("gpl-free" if i % 2 else "gpl2-free", width) + tail) for i, width in enumerate((72, 72, 2000, 2000))]
+    docs += [(4, "This program is free software."), (5, R.SENTENCES["gpl-free"][0].replace("version 3", "version 4")), (6, R.SENTENCES["mpl-subject"][0] + "."), (7, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1")]
+    got = {r["doc_id"]: (r["licenses"], r["known_sentences"], r["unmatched"]) for r in R.scan(frame(spark, docs)).collect()}
+    two, three = (("GPL-2.0-or-later", "gpl2-free,gpl-hope,gpl-details", ""), ("GPL-3.0-or-later", "gpl-free,gpl-hope,gpl-details", ""))
+    assert got == {0: two, 1: three, 2: two, 3: three, 6: ("MPL-2.0", "mpl-subject", "")}
+    all_names = [(i, ".\n\n".join(x)) for i, x in enumerate(R.SENTENCES.values())]
+    got = {r["doc_id"]: r["known_sentences"] for r in R.scan(frame(spark, all_names)).collect()}
+    assert got == {i: ",".join([name] * len(x)) for i, (name, x) in enumerate(R.SENTENCES.items())}
+
+
 def test_scan_stays_out_of_python(spark):
     plan = R.scan(frame(spark, EDGES))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
