@@ -1,11 +1,14 @@
 """Packing token sequences by lexical retrieval: each window is filled with its seed's nearest unused texts.
 
 Texts are tokenized whole; an end id closes each document. Full windows are cut from the front of a long
-document, and what is left of every document goes to a shard, by a hash of its id. Each shard, of bounded size,
+document, and what is left of every document goes to a shard by its strongest term: of the terms that another
+remainder holds, the one of the largest BM25 impact. Remainders of one term share a shard, small terms share
+shards, and a term with more remainders than a shard takes is split by a hash. Each shard, of bounded size,
 builds an inverted index of BM25 impacts over its remainders. The document frequencies and the average length
-behind them are counted over all remainders of all shards; the vocabulary bounds them. A seed's rarest terms
-that other remainders share are looked up, the best unused neighbours fill its window in order, and the one
-that does not fit is cut: its rest is the next seed. A shard so leaves one window with padding, its last.
+behind them are counted over all remainders of all shards; the vocabulary bounds them. All of a seed's terms
+are looked up in its shard, the best unused neighbours fill its window in order, and the one that does not fit
+is cut: its rest is the next seed. A shard so leaves one window with padding, its last. Neighbours in another
+shard are not found.
 
 Defined results: a null or empty text is its end id alone; a null id is packed like any other; repeated rows
 are packed as often as they occur; ties go to the smaller place in the shard, which follows the id; an empty
@@ -32,7 +35,6 @@ WINDOW = 2048
 END_ID = 1
 #: Remainders in a shard, on average.
 SHARD_TEXTS = 4096
-QUERY_TERMS = 12
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 #: Words, numbers, runs of other characters and white space, as byte-level vocabularies split them.
@@ -118,14 +120,22 @@ class _Index:
         order = np.argsort(self.terms, kind="stable")
         self.owners, self.impacts = owners[order], impacts[order]
         self.places = np.concatenate(([0], np.cumsum(np.bincount(self.terms, minlength=len(idf)))))
-        self.idf, self.size = idf, len(texts)
+        self.size = self.listed = len(texts)
+
+    def _let_go(self, used: np.ndarray) -> None:
+        """Drop the postings of used texts, once they are half of those that are left."""
+        left = self.size - np.count_nonzero(used)
+        if 2 * left > self.listed:
+            return
+        kept = ~used[self.owners]
+        self.places = np.concatenate(([0], np.cumsum(kept)))[self.places]
+        self.owners, self.impacts, self.listed = self.owners[kept], self.impacts[kept], left
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused texts that share a query term with the seed, best first."""
+        """Unused texts that share a term with the seed, best first, by all of its terms."""
+        self._let_go(used)
         terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]].astype(np.int64)
-        terms = terms[self.places[terms + 1] - self.places[terms] > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TERMS]]
+        terms = terms[self.places[terms + 1] > self.places[terms]]
         if not len(terms):
             return terms
         at = [slice(self.places[t], self.places[t + 1]) for t in terms]
@@ -175,6 +185,48 @@ def _fill(texts: list[np.ndarray], index: _Index, window: int) -> Iterator[list[
         yield pieces
 
 
+def _strongest(idf: np.ndarray, df: np.ndarray, mean: float):
+    """The term of the largest impact that another remainder holds too, the smaller on a tie; -1 where there is none."""
+
+    @F.arrow_udf("int")
+    def strongest(ids: pa.Array) -> pa.Array:
+        out = []
+        for x in ids.to_pylist():
+            own = np.frombuffer(x, dtype="<u2")
+            term, tf = np.unique(own, return_counts=True)
+            impact = np.where(df[term] > 1, idf[term] * tf / (tf + K1 * (1 - B + B * len(own) / mean)), 0)
+            at = int(np.argmax(impact))
+            out.append(int(term[at]) if impact[at] > 0 else -1)
+        return pa.array(out, pa.int32())
+
+    return strongest(F.col("ids"))
+
+
+def _placed(counts: dict[int, int], shard_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """By term (-1 last), its first shard and over how many it is split."""
+    base, parts = np.zeros((1 << 16) + 1, np.int64), np.ones((1 << 16) + 1, np.int64)
+    shard, filled = 0, 0
+    for term, n in sorted(counts.items()):
+        if n > shard_texts or filled + n > shard_texts:
+            shard, filled = shard + (filled > 0), 0
+        base[term] = shard
+        if n > shard_texts:
+            parts[term] = -(-n // shard_texts)
+            shard += int(parts[term])
+        else:
+            filled += n
+    return base, parts
+
+
+def _sharded(base: np.ndarray, parts: np.ndarray):
+    @F.arrow_udf("long")
+    def shard(term: pa.Array, spread: pa.Array) -> pa.Array:
+        at = term.to_numpy(zero_copy_only=False)
+        return pa.array(base[at] + spread.to_numpy(zero_copy_only=False) % parts[at], pa.int64())
+
+    return shard(F.col("term"), F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(1 << 30)))
+
+
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -210,8 +262,9 @@ def pack(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
     df = np.zeros(1 << 16)
     df[list(frequency)] = list(frequency.values())
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    shards = max(1, -(-n // shard_texts))
-    rests = pieces.where("kind = 1").select(F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)).alias("shard"), "doc_id", "start", "doc_tokens", "ids")
+    rests = pieces.where("kind = 1").select("doc_id", "start", "doc_tokens", "ids", _strongest(idf, df, mean).alias("term"))
+    held = {r["term"]: r["n"] for r in rests.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row an id of the vocabulary
+    rests = rests.select(_sharded(*_placed(held, shard_texts)).alias("shard"), "doc_id", "start", "doc_tokens", "ids")
     packed = rests.groupBy("shard").applyInArrow(_pack(idf, mean, window), _PACKED)
     full = pieces.where("kind = 0").select("doc_id", "start", "length", _crc("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), "ids")
     return full.unionByName(packed)

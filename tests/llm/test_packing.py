@@ -63,3 +63,42 @@ def test_a_seed_takes_its_lexical_neighbours():
     used[0] = True
     assert index.neighbours(0, used).tolist() == [2, 4]
     assert [i for i, _, _ in next(iter(P._fill(texts, index, 9)))] == [0, 2, 4]
+
+
+def test_all_terms_of_a_seed_are_looked_up():
+    """The best neighbour shares 30 terms with the seed, others only its 12 rarest; scores equal brute force as texts are used up."""
+    rng = np.random.default_rng(5)
+    texts = [np.arange(1, 43), np.arange(13, 43), *(np.asarray([i, 50 + i]) for i in range(1, 13)), *(rng.integers(1, 80, 20) for _ in range(60))]
+    texts = [x.astype(np.uint16) for x in texts]
+    idf = np.where(np.arange(100) < 13, 2.0, 1.5)
+    mean = float(np.mean([len(x) for x in texts]))
+    index, used = P._Index(texts, idf, mean), np.zeros(len(texts), dtype=bool)
+
+    def score(seed, other):
+        tf = {t: np.count_nonzero(texts[other] == t) for t in set(texts[seed].tolist()) & set(texts[other].tolist())}
+        return sum(idf[t] * n * (P.K1 + 1) / (n + P.K1 * (1 - P.B + P.B * len(texts[other]) / mean)) for t, n in tf.items())
+
+    for seed in range(len(texts)):
+        used[seed] = True
+        near = index.neighbours(seed, used).tolist()
+        want = {o: score(seed, o) for o in range(len(texts)) if not used[o]}
+        want = {o: x for o, x in want.items() if x > 0}
+        assert set(near) == set(want) or len(near) == P.NEIGHBOURS
+        assert np.allclose([want[o] for o in near], sorted(want.values(), reverse=True)[: len(near)], rtol=1e-4)
+        if seed == 0:
+            assert near[0] == 1
+
+
+def test_related_texts_share_a_shard(spark):
+    topics = ["zebra", "granite", "violin", "comet", "orchard", "harbour"]
+    docs = [(i, f"note {i} on the {topics[i % 6]} " + f"{topics[i % 6]} " * 12) for i in range(120)]
+    rows = P.pack(frame(spark, docs), PATH, window=4096, shard_texts=20).collect()
+    shards = defaultdict(set)
+    for r in rows:
+        shards[r["doc_id"] % 6].add(r["sequence_id"] >> 32)
+    assert len({s for x in shards.values() for s in x}) > 1 and all(len(x) == 1 for x in shards.values()), shards
+
+
+def test_shards_are_bounded():
+    base, parts = P._placed({-1: 3, 5: 4, 6: 6, 7: 25, 9: 2, 11: 8}, 10)
+    assert [(int(base[t]), int(parts[t])) for t in (-1, 5, 6, 7, 9, 11)] == [(0, 1), (0, 1), (1, 1), (2, 3), (5, 1), (5, 1)]
