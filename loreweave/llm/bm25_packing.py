@@ -1,18 +1,19 @@
 """Packing token sequences by lexical retrieval: each window is filled with its seed's nearest unused texts.
 
 Texts are tokenized whole; an end id closes each document. Full windows are cut from the front of a long
-document, and what is left of every document goes to a shard by its strongest term: of the terms that another
-remainder holds, the one of the largest BM25 impact. Remainders of one term share a shard, small terms share
-shards, and a term with more remainders than a shard takes is split by a hash. Each shard, of bounded size,
-builds an inverted index of BM25 impacts over its remainders. The document frequencies and the average length
-behind them are counted over all remainders of all shards; the vocabulary bounds them. All of a seed's terms
-are looked up in its shard, the best unused neighbours fill its window in order, and the one that does not fit
-is cut: its rest is the next seed. A shard so leaves one window with padding, its last. Neighbours in another
-shard are not found.
+document. What is left of every document is put in order by its lexical signature: the terms of the largest BM25
+impact that other remainders hold too, strongest first. Spark deals that order out by range, so remainders that
+share their strongest terms lie side by side, and one term, or one text, that very many have is split like any
+other run. Each partition is read as a row of shards of ``shard_texts`` remainders. A shard is an inverted index of
+BM25 impacts; the document frequencies and the average length behind them are counted over all remainders, and the
+vocabulary bounds them. A window's seed is looked up once, by all of its terms; its unused neighbours fill the
+window, best first, and the one that does not fit is cut: its rest is the next seed. Where the seed has no
+neighbour left, the next unused remainder goes on as a seed of the same window. A shard leaves one window with
+padding, its last. Neighbours in another shard are not found.
 
 Defined results: a null or empty text is its end id alone; a null id is packed like any other; repeated rows
-are packed as often as they occur; ties go to the smaller place in the shard, which follows the id; an empty
-table gives an empty result. Extra columns are ignored.
+are packed as often as they occur; ties go to the smaller place in the shard, which follows signature and id; an
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,11 @@ from loreweave.llm import shared
 
 WINDOW = 2048
 END_ID = 1
-#: Remainders in a shard, on average.
-SHARD_TEXTS = 4096
+#: Remainders in a shard, and shards in a partition.
+SHARD_TEXTS, PARTITION_SHARDS = 1024, 8
+#: Terms of a signature.
+SIGNATURE = 3
+#: Neighbours that are put in order at first; more follow where they do not fill a window.
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 #: Words, numbers, runs of other characters and white space, as byte-level vocabularies split them.
@@ -84,7 +88,7 @@ def _cut(path: str, window: int, end_id: int):
                 ids = np.append(token_ids(text or "", own), np.uint32(end_id)).astype("<u4")
                 whole = len(ids) // window * window
                 for at in range(0, whole, window):
-                    rows.append((0, doc, at, window, len(ids), first + made, window, ids[at : at + window].astype("<u2").tobytes()))
+                    rows.append((0, doc, at, window, len(ids), first + made, window, ids[at : at + window].tobytes()))
                     made += 1
                 if whole < len(ids):
                     rest = ids[whole:]
@@ -92,7 +96,7 @@ def _cut(path: str, window: int, end_id: int):
                     if seen[-1] >= len(frequency):
                         frequency = np.append(frequency, np.zeros(int(seen[-1]) + 1 - len(frequency), np.int64))
                     frequency[seen] += 1
-                    rows.append((1, doc, whole, len(rest), len(ids), None, len(rest), rest.astype("<u2").tobytes()))
+                    rows.append((1, doc, whole, len(rest), len(ids), None, len(rest), rest.tobytes()))
                 size += len(ids)
                 if size > 4_000_000:
                     yield _batch(rows)
@@ -104,22 +108,21 @@ def _cut(path: str, window: int, end_id: int):
     return run
 
 
-class _Index:
+class Index:
     """Postings of one shard: per term, the texts that hold it and its BM25 impact there."""
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         terms, owners, impacts, self.bounds = [], [], [], [0]
         for i, ids in enumerate(texts):
             term, tf = np.unique(ids, return_counts=True)
-            terms.append(term.astype(np.uint16))
+            terms.append(term.astype(np.int64))
             owners.append(np.full(len(term), i, dtype=np.int32))
             impacts.append((idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32))
             self.bounds.append(self.bounds[-1] + len(term))
-        self.terms = np.concatenate(terms)
-        owners, impacts = np.concatenate(owners), np.concatenate(impacts)
+        listed, self.terms = np.unique(np.concatenate(terms), return_inverse=True)  # the shard's own numbers of its terms
         order = np.argsort(self.terms, kind="stable")
-        self.owners, self.impacts = owners[order], impacts[order]
-        self.places = np.concatenate(([0], np.cumsum(np.bincount(self.terms, minlength=len(idf)))))
+        self.owners, self.impacts = np.concatenate(owners)[order], np.concatenate(impacts)[order]
+        self.places = np.concatenate(([0], np.cumsum(np.bincount(self.terms, minlength=len(listed)))))
         self.size = self.listed = len(texts)
 
     def _let_go(self, used: np.ndarray) -> None:
@@ -131,141 +134,132 @@ class _Index:
         self.places = np.concatenate(([0], np.cumsum(kept)))[self.places]
         self.owners, self.impacts, self.listed = self.owners[kept], self.impacts[kept], left
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused texts that share a term with the seed, best first, by all of its terms."""
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """Unused texts that share a term with the seed, best first, by all of its terms; ties by place."""
         self._let_go(used)
-        terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]].astype(np.int64)
-        terms = terms[self.places[terms + 1] > self.places[terms]]
-        if not len(terms):
-            return terms
-        at = [slice(self.places[t], self.places[t + 1]) for t in terms]
+        terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
+        at = [slice(a, b) for a, b in zip(self.places[terms].tolist(), self.places[terms + 1].tolist(), strict=True) if b > a]
+        if not at:
+            return
         scores = np.bincount(np.concatenate([self.owners[s] for s in at]), weights=np.concatenate([self.impacts[s] for s in at]), minlength=self.size)
         scores[used] = 0
-        if np.count_nonzero(scores) > NEIGHBOURS:
-            best = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS]
-        else:
-            best = np.flatnonzero(scores)
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))]
+        given, n, total = 0, NEIGHBOURS, int(np.count_nonzero(scores))
+        while given < total:
+            least = -np.partition(-scores, n - 1)[n - 1] if n < total else 0.0
+            best = np.flatnonzero(scores >= least) if least > 0 else np.flatnonzero(scores)  # all that tie with the last one
+            best = best[np.lexsort((best, -scores[best]))][given:]
+            yield from best.tolist()
+            given, n = given + len(best), 4 * n
 
 
-def _fill(texts: list[np.ndarray], index: _Index, window: int) -> Iterator[list[tuple[int, int, int]]]:
+def fill(texts: list[np.ndarray], index: Index, window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Windows of pieces (text, from, to); every window but the last is full."""
     used = np.zeros(len(texts), dtype=bool)
     rest: tuple[int, int] | None = None  # a text that was cut, and where
     turn = 0
     while True:
-        if rest is None:
-            while turn < len(texts) and used[turn]:
-                turn += 1
-            if turn == len(texts):
-                return
-            rest = (turn, 0)
-            used[turn] = True
-        seed, begin = rest
-        pieces, room, rest = [(seed, begin, len(texts[seed]))], window - (len(texts[seed]) - begin), None
+        pieces, room = [], window
         while room > 0:
-            near = index.neighbours(seed, used)
-            if not len(near):  # nothing shares a term: go on with the next unused text
+            if rest is None:
                 while turn < len(texts) and used[turn]:
                     turn += 1
                 if turn == len(texts):
                     break
-                near = np.asarray([turn])
-            for other in near.tolist():
+                rest = (turn, 0)
+                used[turn] = True
+            seed, begin = rest
+            end = min(len(texts[seed]), begin + room)
+            pieces.append((seed, begin, end))
+            room -= end - begin
+            rest = (seed, end) if end < len(texts[seed]) else None
+            if room == 0:
+                break
+            for other in index.neighbours(seed, used):
                 used[other] = True
                 take = min(room, len(texts[other]))
                 pieces.append((other, 0, take))
                 room -= take
-                if take < len(texts[other]):
-                    rest = (other, take)
                 if room == 0:
+                    rest = (other, take) if take < len(texts[other]) else None
                     break
-            seed = pieces[-1][0]
+        if not pieces:
+            return
         yield pieces
 
 
-def _strongest(idf: np.ndarray, df: np.ndarray, mean: float):
-    """The term of the largest impact that another remainder holds too, the smaller on a tie; -1 where there is none."""
+def _signature(idf: np.ndarray, df: np.ndarray, mean: float):
+    """The terms of the largest impact that another remainder holds too, the smaller first on a tie; -1 where there are fewer."""
 
-    @F.arrow_udf("int")
+    @F.arrow_udf("array<int>")
     def strongest(ids: pa.Array) -> pa.Array:
-        out = []
-        for x in ids.to_pylist():
-            own = np.frombuffer(x, dtype="<u2")
+        out = np.full((len(ids), SIGNATURE), -1, dtype=np.int32)
+        for row, x in zip(out, ids.to_pylist(), strict=True):
+            own = np.frombuffer(x, dtype="<u4")
             term, tf = np.unique(own, return_counts=True)
             impact = np.where(df[term] > 1, idf[term] * tf / (tf + K1 * (1 - B + B * len(own) / mean)), 0)
-            at = int(np.argmax(impact))
-            out.append(int(term[at]) if impact[at] > 0 else -1)
-        return pa.array(out, pa.int32())
+            best = np.argsort(-impact, kind="stable")[:SIGNATURE]
+            best = best[impact[best] > 0]
+            row[: len(best)] = term[best]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * SIGNATURE), pa.array(out.ravel()))
 
     return strongest(F.col("ids"))
 
 
-def _placed(counts: dict[int, int], shard_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """By term (-1 last), its first shard and over how many it is split."""
-    base, parts = np.zeros((1 << 16) + 1, np.int64), np.ones((1 << 16) + 1, np.int64)
-    shard, filled = 0, 0
-    for term, n in sorted(counts.items()):
-        if n > shard_texts or filled + n > shard_texts:
-            shard, filled = shard + (filled > 0), 0
-        base[term] = shard
-        if n > shard_texts:
-            parts[term] = -(-n // shard_texts)
-            shard += int(parts[term])
-        else:
-            filled += n
-    return base, parts
-
-
-def _sharded(base: np.ndarray, parts: np.ndarray):
-    @F.arrow_udf("long")
-    def shard(term: pa.Array, spread: pa.Array) -> pa.Array:
-        at = term.to_numpy(zero_copy_only=False)
-        return pa.array(base[at] + spread.to_numpy(zero_copy_only=False) % parts[at], pa.int64())
-
-    return shard(F.col("term"), F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(1 << 30)))
-
-
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _pack(idf: np.ndarray, mean: float, window: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("start").to_numpy(), table.column("doc_id").fill_null(-(1 << 62)).to_numpy()))
-        table = table.take(pa.array(order))
-        texts = [np.frombuffer(x, dtype="<u2") for x in table.column("ids").to_pylist()]
-        docs, starts, whole = (table.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens"))
-        rows = []
-        for number, pieces in enumerate(_fill(texts, _Index(texts, idf, mean), window)):
+def _pack(idf: np.ndarray, mean: float, window: int, shard_texts: int):
+    """Read a partition, which is in order, as a row of shards and pack each."""
+    names = [c.split()[0] for c in _PACKED.split(", ")]
+
+    def packed(rows: list[tuple], first: int) -> tuple[pa.RecordBatch, int]:
+        texts = [np.frombuffer(r[3], dtype="<u4") for r in rows]
+        out, number = [], first
+        for pieces in fill(texts, Index(texts, idf, mean), window):
             offset = 0
             for i, a, b in pieces:
-                ids = texts[i][a:b]
-                rows.append((docs[i], starts[i] + a, b - a, zlib.crc32(ids.astype("<u4").tobytes()), whole[i], (key[0].as_py() << 32) + number, offset, ids.tobytes()))
+                ids = texts[i][a:b].tobytes()
+                out.append((rows[i][0], rows[i][1] + a, b - a, zlib.crc32(ids), rows[i][2], number, offset, ids))
                 offset += b - a
+            number += 1
         kinds = (pa.int64(),) * 7 + (pa.binary(),)
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _PACKED.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names), number
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, number = [], TaskContext.get().partitionId() << 32
+        for batch in shared.table_of(batches):
+            rows += zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            while len(rows) >= shard_texts:
+                done, number = packed(rows[:shard_texts], number)
+                yield done
+                rows = rows[shard_texts:]
+        if rows:
+            yield packed(rows, number)[0]
 
     return run
 
 
-def pack(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, shard_texts: int = SHARD_TEXTS) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids`` (two bytes an id)."""
-    spark = documents.sparkSession
-    shared.small_batches(spark)
-    pieces = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, window, end_id), _PIECE)
-    pieces = shared.written(pieces, "pieces")
+def statistics(pieces: DataFrame, vocabulary: int) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """Over all remainders: their number, average length, document frequency by id and what BM25 makes of it."""
     counts = pieces.where("kind = 2").select("ids").mapInArrow(_sum_frequencies, "term int, n long")
     frequency = {r["term"]: r["n"] for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row an id of the vocabulary
     total = pieces.where("kind = 1").agg(F.count("*").alias("n"), F.avg("n_ids").alias("mean")).first()
-    n, mean = total["n"], total["mean"] or 1.0
-    df = np.zeros(1 << 16)
+    df = np.zeros(max(vocabulary, *frequency, 0) + 1)
     df[list(frequency)] = list(frequency.values())
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    rests = pieces.where("kind = 1").select("doc_id", "start", "doc_tokens", "ids", _strongest(idf, df, mean).alias("term"))
-    held = {r["term"]: r["n"] for r in rests.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row an id of the vocabulary
-    rests = rests.select(_sharded(*_placed(held, shard_texts)).alias("shard"), "doc_id", "start", "doc_tokens", "ids")
-    packed = rests.groupBy("shard").applyInArrow(_pack(idf, mean, window), _PACKED)
+    return total["n"], total["mean"] or 1.0, df, np.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
+
+
+def pack(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, shard_texts: int = SHARD_TEXTS) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids`` (four bytes an id)."""
+    shared.small_batches(documents.sparkSession)
+    pieces = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, window, end_id), _PIECE)
+    pieces = shared.written(pieces, "pieces")
+    n, mean, df, idf = statistics(pieces, max(encoding(path).n_vocab, end_id))
+    rests = pieces.where("kind = 1").select("doc_id", "start", "doc_tokens", "ids", _signature(idf, df, mean).alias("signature"))
+    order = [F.col("signature"), F.xxhash64("ids"), F.col("doc_id"), F.col("start"), F.col("doc_tokens")]
+    partitions = max(1, -(-n // (PARTITION_SHARDS * shard_texts)))
+    rests = rests.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    packed = rests.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack(idf, mean, window, shard_texts), _PACKED)
     full = pieces.where("kind = 0").select("doc_id", "start", "length", _crc("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), "ids")
     return full.unionByName(packed)
 
@@ -273,16 +267,18 @@ def pack(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
 def _crc(column: str):
     @F.arrow_udf("long")
     def crc(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(np.frombuffer(x, dtype="<u2").astype("<u4").tobytes()) for x in ids.to_pylist()], pa.int64())
+        return pa.array([zlib.crc32(np.frombuffer(x, dtype="<u4").tobytes()) for x in ids.to_pylist()], pa.int64())
 
     return crc(F.col(column))
 
 
 def _sum_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, dtype=np.int64)
+    total = np.zeros(1, dtype=np.int64)
     for batch in shared.table_of(batches):
         for x in batch.column(0).to_pylist():
             own = np.frombuffer(x, dtype="<i8")
+            if len(own) > len(total):
+                total = np.append(total, np.zeros(len(own) - len(total), np.int64))
             total[: len(own)] += own
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["term", "n"])
