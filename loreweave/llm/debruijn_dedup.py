@@ -5,14 +5,16 @@
 1. Anchors. Every window of k words is represented by the least hash of its k - a + 1 runs of a words, so equal
    windows have equal anchors. Anchors that start in one document only cannot belong to a repeated window;
    the others are found by one aggregation over about a quarter of the positions.
-2. Edges. Windows with a shared anchor give an edge each: a 128-bit identity, its coordinates (document, position),
+2. Edges. Windows with a shared anchor give an edge each: a 96-bit identity, its coordinates (document, position),
    and the edges before and after it. An edge is repeated where it has two documents; the smallest is its source,
-   and an edge that has one neighbour only on either side in all documents does not branch there.
+   one of its places there is kept, and an edge that has one neighbour only on either side in all documents does
+   not branch there.
 3. Compaction. The repeated edges are joined with their coordinates. Where a document steps from one to the next
    position, both have the same source, and neither branches between them, the steps are one path (gaps and
    islands over the document's coordinates).
-4. Verification and removal. Each document is read again; a path counts where the words at its coordinates have
-   the identity of its first edge, and its words are removed.
+4. Verification and removal. The words of every path are read at its source's coordinates, once for all documents
+   that run along it, and joined with these documents. Where the words at a document's own coordinates are the
+   same, word by word, they are removed; where they are not, the path does not count.
 
 All decisions are made on the documents as given, not on what is left of them.
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,18 +106,25 @@ def _anchor_rows(k: int, a: int):
     return run
 
 
-_EDGE = "hi long, lo long, loreweave_doc long, loreweave_digest long, pos int, prev int, next int"
+_EDGE = "hi long, lo int, doc long, slot long, prev int, next int"
+
+
+def _row_key() -> Column:
+    """32 bits that tell the rows of one id apart."""
+    return F.shiftright(shared.text_digest(), 32).cast("int")
 
 
 def _edge_rows(k: int, a: int):
-    """Windows whose anchor is shared, with 32 bits of the identity of the window before and after (0: none such)."""
+    """Windows whose anchor is shared, by place, with the low half of the window before and after (0: none such).
+
+    A slot is the key of a row and the position in its text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in shared.table_of(batches):
-            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
-            docs, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, digest, text, anchors in zip(docs, digests, shared.as_bytes(batch.column(2)), batch.column(3), strict=True):
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for doc, key, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shared.as_bytes(batch.column(2)), batch.column(3), strict=True):
                 words = _hashed(text.split(), known)
                 if len(words) < k:
                     continue
@@ -125,78 +134,105 @@ def _edge_rows(k: int, a: int):
                 keep = wanted[at] == own
                 if not keep.any():
                     continue
-                hi, lo = _runs(words, k, _M1), _runs(words, k, _M2)
-                linked = np.where(keep, lo, np.uint64(0)).astype(np.uint32).view(np.int32)
+                hi, lo = _runs(words, k, _M1), _runs(words, k, _M2).astype(np.uint32).view(np.int32)
+                linked = np.where(keep, lo, np.int32(0))
                 pos = np.flatnonzero(keep)
                 prev = np.concatenate((np.zeros(1, np.int32), linked[:-1]))[pos]
                 after = np.concatenate((linked[1:], np.zeros(1, np.int32)))[pos]
-                for column, x in zip(columns, (hi[pos], lo[pos], np.full(len(pos), doc, np.int64), np.full(len(pos), digest, np.int64), pos.astype(np.int32), prev, after), strict=True):
+                for column, x in zip(columns, (hi[pos], lo[pos], np.full(len(pos), doc, np.int64), (key << 32) + pos, prev, after), strict=True):
                     column.append(x)
             if columns[0]:
                 whole = [np.concatenate(c) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(x) if x.dtype != np.uint64 else _longs(x) for x in whole], ["hi", "lo", "loreweave_doc", "loreweave_digest", "pos", "prev", "next"])
+                yield pa.RecordBatch.from_arrays([_longs(whole[0]), *map(pa.array, whole[1:])], [c.split()[0] for c in _EDGE.split(", ")])
 
     return run
 
 
-def _low(column: str):
-    """The low 32 bits of a long, as a signed integer."""
-    return F.shiftright(F.shiftleft(column, 32), 32).cast("int")
-
-
 def repeated_spans(documents: DataFrame, k: int = WINDOW_WORDS, a: int = ANCHOR_WORDS) -> DataFrame:
-    """``doc, digest, start, windows, source_doc, hi, lo``: where a document runs along a path that has a smaller source.
+    """``doc, slot, windows, source_doc, source_slot``: where a document runs along a path that has a smaller source.
 
-    A row says that ``windows`` windows in a row of the document, from word ``start``, are one compacted path; ``hi, lo``
-    identify its first edge.
+    A row says that ``windows`` windows in a row of the document, from its slot on, are one compacted path, which
+    begins at ``source_slot`` of its source.
     """
     shared.small_batches(documents.sparkSession)
     keyed = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_digest().alias("digest"), "text")
     anchors = shared.written(keyed.select("digest", "text").mapInArrow(_anchor_rows(k, a), "anchor long, digest long"), "anchors")
     common = anchors.groupBy("anchor").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("anchor")
+    common = shared.written(common, "common-anchors")  # a table, so that the join can be split where one anchor is very common
     wanted = anchors.join(common, "anchor").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))  # an array no longer than its text
-    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("loreweave_doc"))
-    wanted = shared.written(wanted.join(first, "digest").select(F.col("digest").alias("loreweave_digest"), "loreweave_doc", "anchors"), "shared-anchors")
+    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc"))
+    wanted = shared.written(wanted.join(first, "digest").select(F.col("digest").alias("loreweave_digest"), "doc", "anchors"), "shared-anchors")
     shared.discard(anchors)
 
-    mine = (F.col("doc_id") == F.col("loreweave_doc")) & (F.col("digest") == F.col("loreweave_digest"))
-    members = keyed.join(wanted, mine).select("doc_id", "digest", "text", "anchors")
+    mine = (F.col("doc_id") == F.col("doc")) & (F.col("digest") == F.col("loreweave_digest"))
+    members = keyed.join(wanted, mine).select("doc_id", _row_key().cast("long"), "text", "anchors")
     edges = shared.written(members.mapInArrow(_edge_rows(k, a), _EDGE), "edges")
     nodes = edges.groupBy("hi", "lo").agg(
-        F.min("loreweave_doc").alias("source_doc"),
-        F.max("loreweave_doc").alias("most"),
+        F.min("doc").alias("source_doc"),
+        F.max("doc").alias("most"),
+        F.min_by("slot", "doc").alias("source_slot"),  # one of the source's places where it has several
         *[f(c).alias(f"{c}_{n}") for c in ("prev", "next") for n, f in (("min", F.min), ("max", F.max))],
     )
     only = lambda c: F.when(F.col(f"{c}_min") == F.col(f"{c}_max"), F.col(f"{c}_min")).alias(f"only_{c}")
-    nodes = nodes.where("source_doc <> most").select("hi", "lo", "source_doc", only("prev"), only("next"))
+    nodes = nodes.where("source_doc <> most").select("hi", "lo", "source_doc", "source_slot", only("prev"), only("next"))
     nodes = shared.written(nodes, "repeated-edges")
 
-    places = edges.select("hi", "lo", F.col("loreweave_doc").alias("doc"), F.col("loreweave_digest").alias("digest"), "pos").join(nodes, ["hi", "lo"]).where("source_doc < doc")
-    along = Window.partitionBy("doc", "digest").orderBy("pos")  # the positions of one document
+    places = edges.select("hi", "lo", "doc", "slot").join(nodes, ["hi", "lo"]).where("source_doc < doc").drop("hi")
+    along = Window.partitionBy("doc", F.shiftright("slot", 32)).orderBy("slot")  # the positions of one document
     before = lambda c: F.lag(c).over(along)
-    step = (before("pos") == F.col("pos") - 1) & (before("source_doc") == F.col("source_doc"))
-    step = step & (before("only_next") == _low("lo")) & (F.col("only_prev") == before(_low("lo")))
-    paths = places.withColumn("start", F.when(~F.coalesce(step, F.lit(False)), F.col("pos")))
-    paths = paths.withColumn("start", F.max("start").over(along))
-    spans = paths.groupBy("doc", "digest", "start").agg(F.count("*").alias("windows"), F.min(F.struct("pos", "source_doc", "hi", "lo")).alias("at"))
-    return spans.select("doc", "digest", "start", "windows", "at.source_doc", "at.hi", "at.lo")
+    step = (before("slot") == F.col("slot") - 1) & (before("source_doc") == F.col("source_doc"))
+    step = step & (before("only_next") == F.col("lo")) & (F.col("only_prev") == before("lo"))
+    paths = places.withColumn("start", F.when(~F.coalesce(step, F.lit(False)), F.col("slot")))
+    paths = paths.withColumn("start", F.max("start").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    first_step = F.col("slot") == F.col("start")
+    spans = paths.groupBy("doc", "start").agg(F.count("*").cast("int").alias("windows"), *[F.max(F.when(first_step, F.col(c))).alias(c) for c in ("source_doc", "source_slot")])
+    spans = shared.written(spans.withColumnRenamed("start", "slot"), "paths")
+    for table in (edges, nodes, wanted, common):
+        shared.discard(table)
+    return spans
+
+
+def _position(slot: str) -> Column:
+    return F.shiftright(F.shiftleft(slot, 32), 32).cast("int")
+
+
+def with_source_words(spans: DataFrame, documents: DataFrame, k: int = WINDOW_WORDS) -> DataFrame:
+    """``doc, key, spans``: per row of a document, ``(start, windows, words)`` with the words that its source has there."""
+    slices = spans.select("source_doc", "source_slot", "windows").distinct()
+    wanted = slices.groupBy("source_doc", F.shiftright("source_slot", 32).cast("int").alias("source_key")).agg(
+        F.collect_list(F.struct("source_slot", _position("source_slot").alias("start"), "windows")).alias("slices")
+    )  # no more than the source has words
+    rows = documents.select(F.col("doc_id").cast("long").alias("source_doc"), _row_key().alias("source_key"), "text")
+
+    @F.arrow_udf("array<string>")
+    def words_at(text: pa.Array, slices: pa.Array) -> pa.Array:
+        out = []
+        for data, own in zip(shared.as_bytes(text), slices.to_pylist(), strict=True):
+            words = data.split()
+            out.append([b" ".join(words[s["start"] : s["start"] + s["windows"] + k - 1]) for s in own])
+        return pa.array(out, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+
+    read = wanted.join(rows, ["source_doc", "source_key"]).select("source_doc", F.explode(F.arrays_zip("slices", words_at("text", "slices").alias("words"))).alias("s"))
+    read = read.select("source_doc", "s.slices.source_slot", "s.slices.windows", "s.words").dropDuplicates(["source_doc", "source_slot", "windows"])  # of repeated rows
+    read = shared.written(read, "source-words")
+    joined = spans.join(read, ["source_doc", "source_slot", "windows"])
+    return joined.groupBy("doc", F.shiftright("slot", 32).cast("int").alias("key")).agg(F.collect_list(F.struct(_position("slot").alias("start"), "windows", "words")).alias("spans"))
 
 
 def exact_copies(documents: DataFrame) -> DataFrame:
-    """``doc, digest`` of the rows whose whole text also is that of a smaller id."""
-    rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), shared.text_digest().alias("digest"), F.md5(F.coalesce("text", F.lit(""))).alias("identity"))
-    first = rows.groupBy("digest", "identity").agg(F.min("doc").alias("first"))
-    return rows.join(first, ["digest", "identity"]).where("doc <> first").select("doc", "digest").distinct()
+    """``doc, key`` of the rows whose whole text also is that of a smaller id."""
+    rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), _row_key().alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("identity"))
+    first = rows.groupBy("identity").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").drop("last")
+    first = shared.written(first, "first-copies")  # a table, so that the join can be split where one text has very many copies
+    return rows.join(first, "identity").where("doc <> first").select("doc", "key").distinct()
 
 
-def _covered(words: list[bytes], spans: list[dict], k: int, known: _WordHashes) -> np.ndarray:
-    """A mask of the words to remove. A span counts where its first window is the one that was joined."""
+def _covered(words: list[bytes], spans: list[dict], k: int) -> np.ndarray:
+    """A mask of the words to remove: those of the spans whose words are the source's."""
     steps = np.zeros(len(words) + 1, dtype=np.int64)
-    hashes = _hashed(words, known)
-    hi, lo = (_runs(hashes, k, m).view(np.int64) for m in (_M1, _M2))
     for s in spans:
         at, end = s["start"], s["start"] + s["windows"] + k - 1
-        if end <= len(words) and hi[at] == s["hi"] and lo[at] == s["lo"]:
+        if words[at:end] == s["words"].encode().split(b" "):
             steps[at] += 1
             steps[end] -= 1
     return np.cumsum(steps[:-1]) > 0
@@ -209,14 +245,14 @@ def remove_repeats(documents: DataFrame, k: int = WINDOW_WORDS, a: int = ANCHOR_
     """Every column of ``documents``, and ``loreweave_kept`` (kept words joined by one blank; null where nothing was
     removed), ``loreweave_words``, ``loreweave_removed`` and ``loreweave_sha256`` (of the kept words so joined)."""
     spans = repeated_spans(documents, k, a)
-    found = spans.groupBy("doc", "digest").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("windows").cast("int").alias("windows"), "hi", "lo")).alias("loreweave_spans"))  # no more than its document has words
-    found = found.unionByName(exact_copies(documents).withColumn("loreweave_spans", F.lit(None)), allowMissingColumns=True).withColumn("loreweave_hit", F.lit(True))
-    found = shared.written(found.select(F.col("doc").alias("loreweave_doc"), F.col("digest").alias("loreweave_digest"), "loreweave_hit", "loreweave_spans"), "spans")
-    known = documents.join(found, (documents["doc_id"] == found["loreweave_doc"]) & (shared.text_digest() == found["loreweave_digest"]), "left")
+    found = with_source_words(spans, documents, k)
+    found = found.unionByName(exact_copies(documents), allowMissingColumns=True).withColumn("loreweave_hit", F.lit(True))
+    found = shared.written(found.select(F.col("doc").alias("loreweave_doc"), F.col("key").alias("loreweave_key"), "loreweave_hit", F.col("spans").alias("loreweave_spans")), "spans")
+    known = documents.join(found, (documents["doc_id"] == found["loreweave_doc"]) & (_row_key() == found["loreweave_key"]), "left")
 
     @F.arrow_udf(_KEPT)
     def clean(text: pa.Array, hit: pa.Array, spans: pa.Array) -> pa.Array:
-        words_known, kept, counts, removed, digests = _WordHashes(), [], [], [], []
+        kept, counts, removed, digests = [], [], [], []
         for data, touched, own in zip(shared.as_bytes(text), hit.to_pylist(), spans.to_pylist(), strict=True):
             words = data.split()
             counts.append(len(words))
@@ -224,7 +260,7 @@ def remove_repeats(documents: DataFrame, k: int = WINDOW_WORDS, a: int = ANCHOR_
             if touched and own is None and len(words) >= k:  # a copy of a whole text
                 left = []
             elif own:
-                gone = _covered(words, own, k, words_known).tolist()
+                gone = _covered(words, own, k).tolist()
                 left = [w for w, x in zip(words, gone, strict=True) if not x]
             joined = b" ".join(left)
             removed.append(len(words) - len(left))

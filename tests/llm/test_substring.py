@@ -54,3 +54,18 @@ def test_columns_and_empty_table(spark):
     docs = frame(spark, passages())
     assert D.remove_repeats(docs).columns[: len(docs.columns)] == docs.columns
     assert D.remove_repeats(empty(spark)).count() == 0
+
+
+def test_spans_are_compared_with_the_words_of_their_source(spark):
+    """Paths come with the words at their source's coordinates; one whose words differ there removes nothing."""
+    docs = frame(spark, [(5, "x " + " ".join(f"w{i}" for i in range(30))), (8, " ".join(f"w{i}" for i in range(30)) + " y"), (5, "another row of that id")])
+    spans = D.repeated_spans(docs)
+    (row,) = D.with_source_words(spans, docs).collect()
+    (span,) = row["spans"]
+    assert (row["doc"], span["start"], span["windows"], span["words"]) == (8, 0, 18, " ".join(f"w{i}" for i in range(30)))
+    words = docs.where("doc_id = 8").first()["text"].encode().split()
+    assert D._covered(words, [span], 13).tolist() == [True] * 30 + [False]
+    assert not D._covered(words, [{**span.asDict(), "words": span["words"].replace("w7", "w77")}], 13).any()
+    moved = spans.withColumn("source_slot", spans["source_slot"] - 1)  # wrong coordinates: the words there are others
+    (wrong,) = D.with_source_words(moved, docs).collect()
+    assert not D._covered(words, wrong["spans"], 13).any()
