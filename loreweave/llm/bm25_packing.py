@@ -1,10 +1,10 @@
 """Packing token sequences by lexical retrieval: each window is filled with its seed's nearest unused texts.
 
 Texts are tokenized whole; an end id closes each document. Full windows are cut from the front of a long
-document. What is left of every document is put in order by its lexical signature: the terms of the largest BM25
-impact that other remainders hold too, strongest first. Spark deals that order out by range, so remainders that
-share their strongest terms lie side by side, and one term, or one text, that very many have is split like any
-other run. Each partition is read as a row of shards of ``shard_texts`` remainders. A shard is an inverted index of
+document. What is left of every document is put in order by its lexical signature: its rarest terms in the order of
+the vocabulary, whose ids follow the frequency of the merges that made them. Spark deals that order out by range,
+so remainders that share their rarest terms lie side by side, and one term, or one text, that very many have is
+split like any other run. Each partition is read as a row of shards of ``shard_texts`` remainders. A shard is an inverted index of
 BM25 impacts; the document frequencies and the average length behind them are counted over all remainders, and the
 vocabulary bounds them. A window's seed is looked up once, by all of its terms; its unused neighbours fill the
 window, best first, and the one that does not fit is cut: its rest is the next seed. Where the seed has no
@@ -36,7 +36,7 @@ WINDOW = 2048
 END_ID = 1
 #: Remainders in a shard, and shards in a partition.
 SHARD_TEXTS, PARTITION_SHARDS = 1024, 8
-#: Terms of a signature.
+#: Terms of a signature: the largest ids.
 SIGNATURE = 3
 DENSE = 16
 #: Neighbours that are put in order at first; more follow where they do not fill a window.
@@ -68,13 +68,13 @@ def token_ids(text: str, own: tiktoken.Encoding) -> np.ndarray:
     return own.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
 
 
-_PIECE = "kind int, doc_id long, start long, length long, doc_tokens long, sequence_id long, n_ids long, ids binary"
+_PIECE = "kind int, doc_id long, start long, length long, doc_tokens long, sequence_id long, n_ids long, ids binary, signature array<int>"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    columns = zip(*rows, strict=True) if rows else [()] * 8
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "doc_id", "start", "length", "doc_tokens", "sequence_id", "n_ids", "ids"])
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
+    columns = zip(*rows, strict=True) if rows else [()] * 9
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "doc_id", "start", "length", "doc_tokens", "sequence_id", "n_ids", "ids", "signature"])
 
 
 def _cut(path: str, window: int, end_id: int):
@@ -89,7 +89,7 @@ def _cut(path: str, window: int, end_id: int):
                 ids = np.append(token_ids(text or "", own), np.uint32(end_id)).astype("<u4")
                 whole = len(ids) // window * window
                 for at in range(0, whole, window):
-                    rows.append((0, doc, at, window, len(ids), first + made, window, ids[at : at + window].tobytes()))
+                    rows.append((0, doc, at, window, len(ids), first + made, window, ids[at : at + window].tobytes(), None))
                     made += 1
                 if whole < len(ids):
                     rest = ids[whole:]
@@ -97,14 +97,14 @@ def _cut(path: str, window: int, end_id: int):
                     if seen[-1] >= len(frequency):
                         frequency = np.append(frequency, np.zeros(int(seen[-1]) + 1 - len(frequency), np.int64))
                     frequency[seen] += 1
-                    rows.append((1, doc, whole, len(rest), len(ids), None, len(rest), rest.tobytes()))
+                    rows.append((1, doc, whole, len(rest), len(ids), None, len(rest), rest.tobytes(), seen[: -SIGNATURE - 1 : -1].tolist()))
                 size += len(ids)
                 if size > 4_000_000:
                     yield _batch(rows)
                     rows, size = [], 0
             yield _batch(rows)
         if frequency.any():
-            yield _batch([(2, None, None, None, None, None, None, frequency.astype("<i8").tobytes())])
+            yield _batch([(2, None, None, None, None, None, None, frequency.astype("<i8").tobytes(), None)])
 
     return run
 
@@ -188,24 +188,6 @@ def fill(texts: list[np.ndarray], index: Index, window: int) -> Iterator[list[tu
         yield pieces
 
 
-def _signature(idf: np.ndarray, df: np.ndarray, mean: float):
-    """The terms of the largest impact that another remainder holds too, the smaller first on a tie; -1 where there are fewer."""
-
-    @F.arrow_udf("array<int>")
-    def strongest(ids: pa.Array) -> pa.Array:
-        out = np.full((len(ids), SIGNATURE), -1, dtype=np.int32)
-        for row, x in zip(out, ids.to_pylist(), strict=True):
-            own = np.frombuffer(x, dtype="<u4")
-            term, tf = np.unique(own, return_counts=True)
-            impact = np.where(df[term] > 1, idf[term] * tf / (tf + K1 * (1 - B + B * len(own) / mean)), 0)
-            best = np.argsort(-impact, kind="stable")[:SIGNATURE]
-            best = best[impact[best] > 0]
-            row[: len(best)] = term[best]
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * SIGNATURE), pa.array(out.ravel()))
-
-    return strongest(F.col("ids"))
-
-
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -240,14 +222,14 @@ def _pack(idf: np.ndarray, mean: float, window: int, shard_texts: int):
     return run
 
 
-def statistics(pieces: DataFrame, vocabulary: int) -> tuple[int, float, np.ndarray, np.ndarray]:
-    """Over all remainders: their number, average length, document frequency by id and what BM25 makes of it."""
+def statistics(pieces: DataFrame, vocabulary: int) -> tuple[int, float, np.ndarray]:
+    """Over all remainders: their number, average length, and what BM25 makes of the document frequency of each id."""
     counts = pieces.where("kind = 2").select("ids").mapInArrow(_sum_frequencies, "term int, n long")
     frequency = {r["term"]: r["n"] for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row an id of the vocabulary
     total = pieces.where("kind = 1").agg(F.count("*").alias("n"), F.avg("n_ids").alias("mean")).first()
     df = np.zeros(max(vocabulary, *frequency, 0) + 1)
     df[list(frequency)] = list(frequency.values())
-    return total["n"], total["mean"] or 1.0, df, np.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
+    return total["n"], total["mean"] or 1.0, np.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
 
 
 def pack(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, shard_texts: int = SHARD_TEXTS) -> DataFrame:
@@ -255,9 +237,9 @@ def pack(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
     shared.small_batches(documents.sparkSession)
     pieces = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, window, end_id), _PIECE)
     pieces = shared.written(pieces, "pieces")
-    n, mean, df, idf = statistics(pieces, max(encoding(path).n_vocab, end_id))
-    rests = pieces.where("kind = 1").select("doc_id", "start", "doc_tokens", "ids", _signature(idf, df, mean).alias("signature"))
-    order = [F.col("signature"), F.xxhash64("ids"), F.col("doc_id"), F.col("start"), F.col("doc_tokens")]
+    n, mean, idf = statistics(pieces, max(encoding(path).n_vocab, end_id))
+    rests = pieces.where("kind = 1").select("doc_id", "start", "doc_tokens", "ids", "signature")
+    order = ["signature", "doc_id", "start", "doc_tokens"]
     partitions = max(1, -(-n // (PARTITION_SHARDS * shard_texts)))
     rests = rests.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     packed = rests.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_pack(idf, mean, window, shard_texts), _PACKED)
