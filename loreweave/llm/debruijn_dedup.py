@@ -165,7 +165,7 @@ def repeated_spans(documents: DataFrame, k: int = WINDOW_WORDS, a: int = ANCHOR_
     shared.discard(anchors)
 
     mine = (F.col("doc_id") == F.col("doc")) & (F.col("digest") == F.col("loreweave_digest"))
-    members = keyed.join(wanted, mine).select("doc_id", _row_key().cast("long"), "text", "anchors")
+    members = keyed.join(wanted.hint("shuffle_hash"), mine).select("doc_id", _row_key().cast("long"), "text", "anchors")
     edges = shared.written(members.mapInArrow(_edge_rows(k, a), _EDGE), "edges")
     nodes = edges.groupBy("hi", "lo").agg(
         F.min("doc").alias("source_doc"),
@@ -212,9 +212,10 @@ def with_source_words(spans: DataFrame, documents: DataFrame, k: int = WINDOW_WO
             out.append([b" ".join(words[s["start"] : s["start"] + s["windows"] + k - 1]) for s in own])
         return pa.array(out, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
 
-    read = wanted.join(rows, ["source_doc", "source_key"]).select("source_doc", F.explode(F.arrays_zip("slices", words_at("text", "slices").alias("words"))).alias("s"))
-    read = read.select("source_doc", "s.slices.source_slot", "s.slices.windows", "s.words").dropDuplicates(["source_doc", "source_slot", "windows"])  # of repeated rows
-    read = shared.written(read, "source-words")
+    read = rows.join(wanted.hint("shuffle_hash"), ["source_doc", "source_key"])
+    read = read.select("source_doc", "source_key", F.arrays_zip("slices", words_at("text", "slices").alias("words")).alias("s"))
+    read = read.dropDuplicates(["source_doc", "source_key"]).select("source_doc", F.explode("s").alias("s"))  # repeated rows are read once
+    read = shared.written(read.select("source_doc", "s.slices.source_slot", "s.slices.windows", "s.words"), "source-words")
     joined = spans.join(read, ["source_doc", "source_slot", "windows"])
     return joined.groupBy("doc", F.shiftright("slot", 32).cast("int").alias("key")).agg(F.collect_list(F.struct(_position("slot").alias("start"), "windows", "words")).alias("spans"))
 
@@ -248,7 +249,7 @@ def remove_repeats(documents: DataFrame, k: int = WINDOW_WORDS, a: int = ANCHOR_
     found = with_source_words(spans, documents, k)
     found = found.unionByName(exact_copies(documents), allowMissingColumns=True).withColumn("loreweave_hit", F.lit(True))
     found = shared.written(found.select(F.col("doc").alias("loreweave_doc"), F.col("key").alias("loreweave_key"), "loreweave_hit", F.col("spans").alias("loreweave_spans")), "spans")
-    known = documents.join(found, (documents["doc_id"] == found["loreweave_doc"]) & (_row_key() == found["loreweave_key"]), "left")
+    known = documents.join(found.hint("shuffle_hash"), (documents["doc_id"] == found["loreweave_doc"]) & (_row_key() == found["loreweave_key"]), "left")
 
     @F.arrow_udf(_KEPT)
     def clean(text: pa.Array, hit: pa.Array, spans: pa.Array) -> pa.Array:
