@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
+from loreweave.sources.tables import stored
 
 # Which relations may lead to evidence.
 ADMITTED_RELATIONS = ("CONTAINS", "LINKS_TO", "TAGGED_WITH", "DERIVED_FROM")
@@ -89,86 +92,93 @@ class Traversal:
     limits: set[str] = field(default_factory=set)
 
 
+def _frontier_edges(edges_: DataFrame, frontier: pd.DataFrame, relation_types: tuple[str, ...], per_node: int) -> pd.DataFrame:
+    """The outgoing edges of the frontier in the order of visits, ``per_node + 1`` a node at most: by the place of the
+    node in the frontier, then by type, target and id."""
+    nodes = edges_.sparkSession.createDataFrame(frontier[["place", "source_id"]])
+    turn = F.row_number().over(Window.partitionBy("place").orderBy("relation_type", "target_id", "relation_id"))
+    own = edges_.where(F.col("relation_type").isin(*relation_types) & F.col("source_id").isin(*frontier["source_id"]))  # reaches the scan of stored edges
+    own = own.join(F.broadcast(nodes), "source_id")  # at most ``Bounds.nodes`` rows
+    return own.withColumn("turn", turn).where(F.col("turn") <= per_node + 1).select("place", "turn", "relation_id", "target_id").orderBy("place", "turn").toPandas()
+
+
 def traverse(edges_: DataFrame, seeds_: list[str], relation_types: tuple[str, ...] = ADMITTED_RELATIONS, bounds: Bounds = Bounds()) -> Traversal:
     """Breadth-first over outgoing edges within budgets that depend on the order of visits.
 
-    Per hop, the edges of the frontier (at most ``nodes`` entities, ``per_node + 1`` edges each) are read from the
-    distributed edge table; the budgets are then spent edge by edge. At most ``depth`` small reads.
+    One window a hop puts the frontier's edges in order; each budget is then a position in that order, and the hop
+    ends at the smallest: where the hop's or the traversal's edges run out, or at the first new node for which
+    there is no room. At most ``depth`` small reads, of at most ``nodes * (per_node + 1)`` rows.
     """
     if len(set(seeds_)) != len(seeds_):
         raise ValueError("repeated seed")
-    out, visited = Traversal(), dict.fromkeys(seeds_)
-    frontier: list[tuple[str, str, list[str]]] = [(s, s, []) for s in sorted(seeds_)]
-    spark = edges_.sparkSession
-    stopped = False
+    out, visited = Traversal(), set(seeds_)
+    frontier = pd.DataFrame({"source_id": sorted(seeds_), "seed": sorted(seeds_), "path": [[] for _ in seeds_]})
     for depth in range(1, bounds.depth + 1):
-        if not frontier or stopped:
+        edges_left = bounds.edges - out.visited_edges
+        if frontier.empty or not edges_left:
+            out.limits |= {"VISITED_EDGES"} if len(frontier) else set()
             break
-        from pyspark.sql import Window
-
-        ids = F.broadcast(spark.createDataFrame([(e,) for e in {e for _, e, _ in frontier}], "source_id string"))  # at most ``nodes`` ids
-        own = edges_.where(F.col("relation_type").isin(*relation_types)).join(ids, "source_id")
-        turn = F.row_number().over(Window.partitionBy("source_id").orderBy("relation_type", "target_id", "relation_id"))
-        rows = own.withColumn("turn", turn).where(F.col("turn") <= bounds.per_node + 1).orderBy("source_id", "turn").collect()
-        outgoing: dict[str, list] = {}
-        for r in rows:
-            outgoing.setdefault(r["source_id"], []).append(r)
-        following, hop = [], 0
-        for at, (seed, entity, path) in enumerate(frontier):
-            hop_left, edge_left = bounds.per_hop - hop, bounds.edges - out.visited_edges
-            if hop_left == 0:
-                out.limits.add("PER_HOP_FAN_OUT")
-                break
-            if edge_left == 0:
-                out.limits.add("VISITED_EDGES")
-                stopped = True
-                break
-            room = min(bounds.per_node, hop_left, edge_left)
-            own_edges = outgoing.get(entity, [])
-            more = len(own_edges) > room
-            if more:
-                out.limits |= {name for name, size in (("PER_NODE_FAN_OUT", bounds.per_node), ("PER_HOP_FAN_OUT", hop_left), ("VISITED_EDGES", edge_left)) if size == room}
-            for r in own_edges[:room]:
-                out.visited_edges += 1
-                hop += 1
-                if r["target_id"] in visited:
-                    continue
-                full = "VISITED_NODES" if len(visited) == bounds.nodes else "CANDIDATES" if len(out.candidates) == bounds.candidates else None
-                if full:
-                    out.limits.add(full)
-                    stopped = True
-                    break
-                visited[r["target_id"]] = None
-                way = [*path, r["relation_id"]]
-                out.candidates.append((seed, r["target_id"], depth, way))
-                following.append((seed, r["target_id"], way))
-            if stopped:
-                break
-            unread = more or at + 1 < len(frontier)
-            if hop == bounds.per_hop and unread:
-                out.limits.add("PER_HOP_FAN_OUT")
-                break
-            if out.visited_edges == bounds.edges and unread:
-                out.limits.add("VISITED_EDGES")
-                stopped = True
-                break
-        if depth == bounds.depth and following:
+        frontier = frontier.reset_index(drop=True).rename_axis("place").reset_index()
+        rows = _frontier_edges(edges_, frontier, relation_types, bounds.per_node)
+        rows["position"] = (rows["turn"] <= bounds.per_node).cumsum()  # from 1; an edge too many of a node has that of the edge before
+        taken = rows[rows["turn"] <= bounds.per_node]
+        read = min(bounds.per_hop, edges_left)  # where the edge budgets end
+
+        fresh = taken[~taken["target_id"].isin(visited)].drop_duplicates("target_id")
+        room = {"VISITED_NODES": bounds.nodes - len(visited), "CANDIDATES": bounds.candidates - len(out.candidates)}
+        tightest = min(room, key=room.get)
+        refused = fresh["position"].iloc[room[tightest]] if len(fresh) > room[tightest] else read + 1
+        full = refused <= read
+        out.limits |= {tightest} if full else set()
+        out.visited_edges += int(min(refused, read, len(taken)))
+
+        begins = taken.groupby("place")["position"].min()
+        begun = set(begins.index[begins <= min(refused, read)])
+        over = rows[(rows["turn"] > bounds.per_node) & rows["place"].isin(begun)]
+        out.limits |= {"PER_NODE_FAN_OUT"} if (over["position"] <= read).any() else set()
+        out.limits |= _edge_limits(rows, frontier, read, bounds.per_hop, edges_left, begun, full)
+
+        found = fresh[fresh["position"] < min(refused, read + 1)].merge(frontier, on="place")
+        found["path"] = [[*p, r] for p, r in zip(found["path"], found["relation_id"], strict=True)]
+        visited |= set(found["target_id"])
+        out.candidates += [(r.seed, r.target_id, depth, r.path) for r in found.itertuples()]
+        if depth == bounds.depth and len(found):
             out.limits.add("DEPTH")
-        frontier = following
+        if full or "VISITED_EDGES" in out.limits:
+            break
+        frontier = found[["target_id", "seed", "path"]].rename(columns={"target_id": "source_id"})
     out.visited_nodes = len(visited)
     out.candidates.sort(key=lambda c: (c[2], c[0], c[1], c[3]))
     return out
 
 
+def _edge_limits(rows: pd.DataFrame, frontier: pd.DataFrame, read: int, per_hop: int, edges_left: int, begun: set[int], full: bool) -> set[str]:
+    """Which edge budget left something of the frontier unread. Where both end at one place and the node there is
+    read to its end, the hop's is named, and the traversal's by the next hop."""
+    last = rows[(rows["position"] == read) & rows["place"].isin(begun)]
+    if last.empty:
+        return set()
+    place = last["place"].iloc[0]
+    more_of_node = int((rows["place"] == place).sum()) > int(((rows["place"] == place) & (rows["position"] <= read)).sum()) or len(last) > 1
+    if not more_of_node and (full or place == len(frontier) - 1):
+        return set()
+    return {name for name, ends in (("PER_HOP_FAN_OUT", per_hop == read), ("VISITED_EDGES", edges_left == read and (more_of_node or per_hop != read))) if ends}
+
+
 def reachable(edges_: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """``entity_id, depth``: what is reached without budgets; one join with the edges a hop, nodes seen once."""
-    seen = starts.select("entity_id").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    """``entity_id, depth``: what is reached without budgets; nodes are seen once.
+
+    Each hop is one join of the frontier with the edges, and is stored, so that no hop computes an earlier one again.
+    Give stored edges.
+    """
+    links = edges_.select(F.col("source_id").alias("entity_id"), "target_id")
+    hops = [stored(starts.select("entity_id").distinct().withColumn("depth", F.lit(0)), "hop")]
     for hop in range(1, depth + 1):
-        found = frontier.join(edges_, frontier["entity_id"] == edges_["source_id"]).select(F.col("target_id").alias("entity_id")).distinct()
-        frontier = found.join(seen, "entity_id", "left_anti").withColumn("depth", F.lit(hop))
-        seen = seen.unionByName(frontier)
-    return seen
+        found = hops[-1].join(links, "entity_id").select(F.col("target_id").alias("entity_id")).distinct()
+        for earlier in hops:
+            found = found.join(earlier.select("entity_id"), "entity_id", "left_anti")
+        hops.append(stored(found.withColumn("depth", F.lit(hop)), "hop"))
+    return reduce(DataFrame.unionByName, hops)
 
 
 def admitted(candidates: DataFrame, vertices_: DataFrame) -> DataFrame:
