@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The classes of searchable characters, and the patterns of technical words.
+# The classes of searchable characters, the patterns of technical words, and the folder of each page type.
 HAN = r"[\p{IsHan}&&[\p{L}\p{Nd}\p{M}]]+"
 WORD = r"[\p{L}\p{Nd}\p{M}&&[^\p{IsHan}]]+"
 FALLBACK_ANCHOR = r"(?iu)(?:[A-Z]{2,}-\d{3,}|[A-Z][A-Za-z0-9_$]*(?:Error|Exception)|[a-z][a-z0-9_]*_[a-z0-9_]+|[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*)+)"
@@ -32,15 +34,34 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@lru_cache(maxsize=1)
+def _uncomposed() -> str:
+    """A class of the characters that canonical composition can change: marks, vowel and final jamo, and those whose
+    own composed form is another."""
+    alone = [i for i in range(0x80, 0x30000) if not 0xD800 <= i < 0xE000 and unicodedata.normalize("NFC", chr(i)) != chr(i)]
+    runs: list[list[int]] = []
+    for i in alone:
+        if runs and i == runs[-1][1] + 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return r"[\p{M}\x{1160}-\x{11FF}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]"
+
+
 def nfc(c: Column | str) -> Column:
-    """Canonical composition. Spark has no such function; plain ASCII rows reach Python as null and come back as they were."""
+    """Canonical composition. Spark has no such function; rows that it cannot change reach Python as null and come back as they were."""
 
     @F.arrow_udf(T.StringType())
     def compose(text: pa.Array) -> pa.Array:
         return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
     c = _col(c)
-    return F.coalesce(compose(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    return F.coalesce(compose(F.when(c.rlike(_uncomposed()), c)), c)
+
+
+def is_blank(c: Column | str) -> Column:
+    """Null, empty or white space alone."""
+    return ~F.coalesce(_col(c), F.lit("")).rlike(r"\S")
 
 
 def _accents() -> tuple[str, str]:
@@ -106,12 +127,46 @@ def collapse_lines(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"\n{3,}", "\n\n")
 
 
-def normalized(c: Column | str, compose: bool = True, selected_format_strip: bool = True) -> Column:
-    """The canonical text in its fixed order of steps; repeated page edges are ``chunks.without_edges``."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def without_edges(c: Column | str, minimum: int = 2) -> Column:
+    """Pages (parted by form feeds) without a first or last shown line that ``minimum`` pages have in that place.
+
+    Texts of fewer pages stay as they are. First lines and last lines are counted apart, and a page of one shown line
+    has it as both.
+    """
+    c = _col(c)
+
+    def edges(page: Column) -> Column:
+        shown = F.filter(F.sequence(F.lit(0), F.size(page) - 1), lambda i: F.element_at(page, i + 1).rlike(r"\S"))
+        at = lambda k: F.try_element_at(shown, F.lit(k))
+        line = lambda k: F.when(F.size(shown) > 0, F.element_at(page, at(k) + 1))
+        return F.struct(page.alias("lines"), at(1).alias("first"), at(-1).alias("last"), line(1).alias("header"), line(-1).alias("footer"))
+
+    def often(pages: Column, name: str) -> Column:
+        lines = F.array_sort(F.filter(F.transform(pages, lambda p: p[name]), lambda x: x.isNotNull()))
+        # of equal lines in order, the one that is ``minimum`` - 1 places after an equal one
+        return F.array_distinct(F.filter(lines, lambda x, i: (i >= minimum - 1) & (F.try_element_at(lines, F.greatest(i - minimum + 2, F.lit(1))) == x)))
+
+    def kept(page: Column, headers: Column, footers: Column) -> Column:
+        gone = lambda i, place, line, known: F.coalesce((i == page[place]) & F.array_contains(known, page[line]), F.lit(False))
+        return F.array_join(F.filter(page["lines"], lambda _, i: ~gone(i, "first", "header", headers) & ~gone(i, "last", "footer", footers)), "\n")
+
+    pages = F.transform(F.transform(F.split(c, "\f"), lambda p: F.split(p, "\n")), edges)
+    cut = _let(pages, lambda own: _let(F.struct(often(own, "header").alias("h"), often(own, "footer").alias("f")), lambda k: F.array_join(F.transform(own, lambda p: kept(p, k["h"], k["f"])), "\f")))
+    return F.when(F.size(F.split(c, "\f")) < minimum, c).otherwise(cut)
+
+
+def normalized(c: Column | str, compose: bool = True, selected_format_strip: bool = True, edges: bool = False) -> Column:
+    """The canonical text in its fixed order of steps; ``edges``: without repeated page edges, as the last but one."""
     out = line_ends(c)
     out = nfc(out) if compose else out
     out = strip_format_characters(out) if selected_format_strip else out
-    return collapse_lines(strip_line_tails(strip_controls(out)))
+    out = strip_line_tails(strip_controls(out))
+    return collapse_lines(without_edges(out) if edges else out)
 
 
 def sha256(c: Column | str) -> Column:
@@ -135,13 +190,17 @@ def token_estimate(characters: Column) -> Column:
 
 
 def title_key(c: Column | str) -> Column:
-    """A title as links compare it."""
-    return F.lower(F.trim(F.regexp_replace(_col(c), r"\s+", " ")))
+    """A title as links compare it, composed."""
+    return _title_key(nfc(c))
+
+
+def _title_key(c: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
 def slug(c: Column | str, limit: int = 200) -> Column:
     """A file name stem; null where nothing usable is left."""
-    s = F.lower(F.regexp_replace(_col(c), r"^\s+|\s+$", ""))
+    s = F.lower(F.regexp_replace(nfc(c), r"^\s+|\s+$", ""))
     for pattern, by in ((r"\s+", "-"), (r"[^\p{L}\p{N}\-_]", ""), (r"-{2,}", "-"), (r"^-+|-+$", "")):
         s = F.regexp_replace(s, pattern, by)
     s = F.regexp_replace(F.substring(s, 1, limit), r"-+$", "")
@@ -156,15 +215,16 @@ def wiki_path(page_type: Column, title: Column | str) -> Column:
 
 def tags(c: Column | str, count: int = 50, size: int = 80) -> Column:
     """Tags in normal form, distinct and sorted, of at most ``size`` characters; at most ``count``."""
-    own = F.transform(_col(c), lambda t: F.lower(F.trim(F.regexp_replace(t, r"\s+", " "))))
+    joined = nfc(F.array_join(F.transform(_col(c), lambda t: F.regexp_replace(t, r"[\s\x00]+", " ")), "\x00"))  # one text a row to compose
+    own = F.transform(F.split(joined, "\x00"), _title_key)
     own = F.filter(own, lambda t: t.isNotNull() & (t != "") & (F.length(t) <= size))
     return F.slice(F.array_sort(F.array_distinct(own)), 1, count)
 
 
 def wikilinks(c: Column | str) -> Column:
     """Normalised targets of ``[[target|label]]`` links, first seen first."""
-    found = F.regexp_extract_all(_col(c), F.lit(WIKILINK), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, lambda t: title_key(F.substring_index(t, "|", 1))), lambda t: t != ""))
+    found = F.regexp_extract_all(nfc(c), F.lit(WIKILINK), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: _title_key(F.substring_index(t, "|", 1))), lambda t: t != ""))
 
 
 def anchors(c: Column | str, pattern: str = FALLBACK_ANCHOR, limit: int = 4) -> Column:
@@ -208,7 +268,7 @@ _UNSAFE = (
 )
 
 
-def redacted(c: Column | str, fallback: str, limit: int = 500) -> Column:
+def redacted(c: Column | str, fallback: str, limit: int = 256) -> Column:
     """A message without secrets, paths and internals; the fallback where it is blank or anything unsafe is left."""
     s = F.trim(F.regexp_replace(_col(c), r"[\r\n\t]+", " "))
     for pattern, by in _REDACTIONS:

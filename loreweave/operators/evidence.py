@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loreweave.functions import text as X
+
 
 def revalidated(candidates: DataFrame, authority: DataFrame, workspace: int) -> DataFrame:
     """Every candidate with ``rejection``: null if canonical rows still back it, else the first test that failed.
@@ -20,7 +22,7 @@ def revalidated(candidates: DataFrame, authority: DataFrame, workspace: int) ->
     rows = candidates.join(canonical, "stable_id", "left")
     reason = (
         F.when(F.col("workspace_id") != workspace, "WORKSPACE_MISMATCH")
-        .when(F.col("stable_id").isNull() | (F.trim(F.col("stable_id").cast("string")) == ""), "IDENTITY_MISMATCH")
+        .when(F.col("stable_id").isNull() | X.is_blank(F.col("stable_id").cast("string")), "IDENTITY_MISMATCH")
         .when(F.col("canonical_hash").isNull(), "AUTHORITY_MISSING")
         .when(~F.coalesce("eligible", F.lit(False)), "INELIGIBLE")
         .when(~F.col("content_hash").eqNullSafe(F.col("canonical_hash")) | ~F.col("revision").eqNullSafe(F.col("canonical_revision")), "STALE_REVISION")
@@ -46,7 +48,7 @@ def budgeted(items: DataFrame, max_items: int = 8, max_characters: int = 12000,
     room = F.lit(max_characters) - F.col("used")
     cut = F.substring(F.col(content), F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
     rows = rows.withColumn("evidence", cut).withColumn("truncated", F.length(content) > room)
-    blank = F.max((F.trim("evidence") == "").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    blank = F.max(X.is_blank("evidence").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return rows.where((F.col("used") < max_characters) & (F.col("ordinal") <= max_items)).withColumn("ended", blank).where("ended = 0").drop("ended")
 
 
@@ -60,7 +62,7 @@ def packed(items: DataFrame, max_items: int = 32, per_item: int = 4000, total: i
     limit = F.least(F.lit(per_item), F.lit(total) - F.col("used"))
     rows = rows.where((F.col("used") < total) & (F.col("ordinal") <= max_items))
     rows = rows.withColumn("block", F.substring(F.col(content), F.lit(1), limit.cast("int"))).withColumn("truncated", F.length(content) > limit)
-    blank = F.max((F.trim("block") == "").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    blank = F.max(X.is_blank("block").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("ended", blank).where("ended = 0").drop("ended")
     return rows.withColumn("citation_id", F.concat(F.lit("E"), F.col("ordinal").cast("string")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreweave.functions import text as X
+
 # Statuses, and the file kinds that have a parser.
 DEAD = ("DELETED", "SUPERSEDED", "DUPLICATE")
 SUPPORTED = ("pdf", "doc", "docx", "html", "htm", "md", "markdown", "txt")
@@ -73,7 +75,7 @@ def eligible(documents: DataFrame) -> DataFrame:
 def chunk_eligible() -> Column:
     """A chunk that may be evidence: valid numbers, content that is not blank and has the digest it claims."""
     fine = (F.col("chunk_id") > 0) & (F.col("chunk_no") > 0) & (F.col("page_no").isNull() | (F.col("page_no") > 0))
-    return fine & (F.trim("normalized_content") != "") & (F.sha2("normalized_content", 256) == F.col("content_hash"))
+    return fine & ~X.is_blank("normalized_content") & (F.sha2("normalized_content", 256) == F.col("content_hash"))
 
 
 def extraction_state(text: Column, name: Column, pages: Column, failed: Column) -> Column:
@@ -88,7 +90,7 @@ def usability() -> Column:
     return (
         F.when(F.col("status") == "DUPLICATE", "DUPLICATE")
         .when(F.col("active_ingest"), "PROCESSING")
-        .when(parse.isNull() | (F.trim(parse) == ""), F.when(F.col("latest_ingest") == "FAILED", "FAILED").otherwise("NOT_PROCESSED"))
+        .when(X.is_blank(parse), F.when(F.col("latest_ingest") == "FAILED", "FAILED").otherwise("NOT_PROCESSED"))
         .when(parse.isin("NEED_OCR", "UNSUPPORTED"), parse)
         .when(parse != "PROCESSED", "FAILED")
         .when(F.col("sync_status").isNull() | (F.col("sync_status") == "INDEX_PENDING"), "INDEX_PENDING")

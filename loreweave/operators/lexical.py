@@ -3,41 +3,44 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
+import uuid
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreweave.functions import text as X
+from loreweave.sources.tables import scratch_folder
 
 MAX_QUERY_CHARACTERS, MAX_QUERY_TERMS = 256, 64
 RRF_K = 60
 
 
+# The index's classes of characters (``text.HAN``, ``text.WORD``), for queries and snippets on the driver and in tasks.
+_SEARCHABLE = r"[\p{L}\p{Nd}\p{M}]"
+_SEGMENT = regex.compile(rf"[\p{{Han}}&&{_SEARCHABLE}]+|[{_SEARCHABLE}--\p{{Han}}]+", regex.V1)
+_WORD, _HAN = regex.compile(_SEARCHABLE, regex.V1), regex.compile(r"\p{Han}")
+
+
 def _is_word(ch: str) -> bool:
-    return unicodedata.category(ch)[0] in "LM" or unicodedata.category(ch) == "Nd"
+    return _WORD.match(ch) is not None
 
 
 def _is_han(ch: str) -> bool:
-    return unicodedata.name(ch, "").startswith(("CJK UNIFIED IDEOGRAPH", "CJK COMPATIBILITY IDEOGRAPH"))
+    return _HAN.match(ch) is not None
 
 
 def query_segments(query: str) -> list[str]:
     """Runs of searchable characters of a query, Han apart; the driver's twin of ``text.segments``."""
-    out: list[str] = []
-    kind = None
-    for ch in unicodedata.normalize("NFC", query):
-        now = None if not _is_word(ch) else "han" if _is_han(ch) else "word"
-        if now and now == kind:
-            out[-1] += ch
-        elif now:
-            out.append(ch)
-        kind = now
-    return out
+    return _SEGMENT.findall(unicodedata.normalize("NFC", query))
 
 
 def query_tokens(query: str) -> list[str]:
@@ -78,42 +81,120 @@ class Bm25:
     least_idf: float = 1e-6
 
 
-def postings(docs: DataFrame, doc_id: str, column: str) -> DataFrame:
-    """``doc_id, term, tf, doc_len``: the inverted index of a column, for tables that are searched often."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), X.index_tokens(column).alias("tokens"))
-    rows = rows.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+def term_counts(docs: DataFrame, column: str) -> DataFrame:
+    """``term, documents, occurrences``: of every term, in one shuffle of partial counts."""
+    own = docs.select(X.index_tokens(column).alias("tokens"))
+    marked = F.concat(F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))), F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))))
+    rows = own.select(F.explode(marked).alias("t")).select("t.*")
+    return rows.groupBy("term").agg(F.sum(F.col("first").cast("long")).alias("documents"), F.sum(1 - F.col("first").cast("long")).alias("occurrences"))
 
 
-def _count(tokens: str, term: str) -> Column:
-    return F.size(tokens) - F.size(F.array_remove(tokens, term))
+def bm25(docs: DataFrame, doc_id: str, columns: dict[str, float], query: str, params: Bm25 = Bm25()) -> DataFrame:
+    """``doc_id, bm25`` over a table that is searched once, through an index that is stored for it; see ``FtsIndex``."""
+    return FtsIndex.over(docs, doc_id, list(columns)).search(query, list(columns.values()), params)
 
 
-def bm25(docs: DataFrame, doc_id: str, columns: dict[str, float], query: str, params: Bm25 = Bm25()) -> DataFrame:
-    """``doc_id, bm25``: rows that hold every term, the more negative the better.
+class FtsIndex:
+    """A stored full-text index: postings by bucket of their term, document lengths, and generations of both.
 
-    Statistics are over the whole table. They and the scores each take one scan of it; nothing but two sums and
-    one count a term is shuffled.
+    A generation holds the rows of one write. The latest generation of a document counts, so that a write replaces
+    its documents whole and a deletion is a generation without postings. A search reads the buckets of its terms, of
+    every generation, and the lengths; a rebuild writes one generation and drops those before it.
     """
-    terms = [folded(t) for t in query_terms(query)]
-    distinct = list(dict.fromkeys(terms))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *[X.index_tokens(c).alias(f"t_{c}") for c in columns])
-    length = sum((F.size(f"t_{c}") for c in columns), F.lit(0))
-    plain = [sum((_count(f"t_{c}", t) for c in columns), F.lit(0)) for t in distinct]
-    weighted = [sum((_count(f"t_{c}", t) * w for c, w in columns.items()), F.lit(0.0)) for t in distinct]
-    # the row number keeps the optimiser from testing the hits, and so from cutting every text, a second time
-    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), length.alias("len"), *[p.alias(f"n{i}") for i, p in enumerate(plain)], *[w.alias(f"f{i}") for i, w in enumerate(weighted)])
-    stats = rows.agg(F.count("*").alias("rows"), F.avg("len").alias("avg_len"), *[F.sum((F.col(f"n{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(distinct))]).first()
-    hits = rows.where(" AND ".join(["row >= 0", *(f"n{i} > 0" for i in range(len(distinct)))]))
-    score = F.lit(0.0)
-    for t in terms:
-        i = distinct.index(t)
-        df, n = stats[f"df{i}"] or 0, stats["rows"]
-        idf = F.log(F.lit((n - df + 0.5) / (df + 0.5)))
-        idf = F.when(idf <= 0, F.lit(params.least_idf)).otherwise(idf)
-        f = F.col(f"f{i}")
-        score = score + idf * (f * (params.k1 + 1)) / (f + params.k1 * (1 - params.b + params.b * F.col("len") / F.lit(stats["avg_len"] or 1.0)))
-    return hits.select("doc_id", (-score).alias("bm25"))
+
+    def __init__(self, spark: SparkSession, path: str, columns: list[str], buckets: int = 16) -> None:
+        self.spark, self.path, self.columns, self.buckets = spark, path.rstrip("/"), columns, buckets
+
+    @classmethod
+    def over(cls, docs: DataFrame, doc_id: str, columns: list[str], buckets: int = 16) -> FtsIndex:
+        index = cls(docs.sparkSession, f"{scratch_folder(docs.sparkSession)}/loreweave-fts-{uuid.uuid4().hex}", columns, buckets)
+        index.upsert(docs, doc_id)
+        return index
+
+    def _folder(self) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def generations(self) -> list[int]:
+        """Those whose lengths are written, which happens last."""
+        files, path = self._folder()
+        if not files.exists(path):
+            return []
+        names = [s.getPath() for s in files.listStatus(path)]
+        return sorted(int(p.getName().split("=")[1]) for p in names if files.exists(p.suffix("/lengths/_SUCCESS")))
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def upsert(self, docs: DataFrame, doc_id: str) -> int:
+        """Index the documents of a table, in place of what the index has of them; returns the generation."""
+        generation = max(self.generations(), default=0) + 1
+        rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), *[X.index_tokens(c).alias(f"t{i}") for i, c in enumerate(self.columns)])
+        rows = rows.select("doc_id", sum((F.size(f"t{i}") for i in range(len(self.columns))), F.lit(0)).alias("len"), *[f"t{i}" for i in range(len(self.columns))])
+        of = lambda column: lambda t: F.struct(t.alias("term"), F.lit(column).alias("column"))
+        marked = F.concat(*[F.transform(f"t{i}", of(i)) for i in range(len(self.columns))])
+        terms = rows.select("doc_id", "len", F.explode(marked).alias("t")).groupBy("doc_id", "len", F.col("t.term").alias("term"))
+        postings = terms.agg(*[F.count(F.when(F.col("t.column") == i, 1)).cast("int").alias(f"tf{i}") for i in range(len(self.columns))]).withColumn("bucket", self._bucket(F.col("term")))
+        folder = f"{self.path}/generation={generation}"
+        # a term's rows lie together in a bucket's files; a term of very many documents is spread over eight of them
+        postings = postings.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+        postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        rows.select("doc_id", F.col("len").alias("len")).write.mode("overwrite").parquet(f"{folder}/lengths")
+        return generation
+
+    def delete(self, ids: DataFrame, doc_id: str) -> int:
+        """Take the documents with these ids out of the index."""
+        generation = max(self.generations(), default=0) + 1
+        ids.select(F.col(doc_id).alias("doc_id"), F.lit(None).cast("int").alias("len")).write.mode("overwrite").parquet(f"{self.path}/generation={generation}/lengths")
+        return generation
+
+    def rebuild(self, docs: DataFrame, doc_id: str) -> int:
+        """Index a whole table anew; what was there is dropped once the new generation is written."""
+        before, generation = self.generations(), self.upsert(docs, doc_id)
+        files, path = self._folder()
+        for old in before:
+            files.delete(path.suffix(f"/generation={old}"), True)
+        return generation
+
+    def lengths(self) -> DataFrame:
+        """``doc_id, len, generation`` of the documents that count."""
+        found = self.generations()
+        parts = [self.spark.read.parquet(f"{self.path}/generation={g}/lengths").withColumn("generation", F.lit(g)) for g in found]
+        if len(parts) == 1:
+            return parts[0].where("len is not null")
+        rows = reduce(DataFrame.unionByName, parts)
+        latest = rows.groupBy("doc_id").agg(F.max("generation").alias("generation"), F.max_by("len", "generation").alias("len"))
+        return latest.where("len is not null").select("doc_id", "len", "generation")
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        """The rows of these terms, from their buckets alone, of the documents that count."""
+        files, path = self._folder()
+        found = [g for g in self.generations() if files.exists(path.suffix(f"/generation={g}/postings"))]
+        asked = [r["b"] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket(F.col("term")).alias("b")).distinct().collect()]  # the query's terms
+        key = self.spark.read.parquet(f"{self.path}/generation={self.generations()[0]}/lengths").schema["doc_id"].dataType.simpleString()
+        schema = f"doc_id {key}, len int, term string, " + "".join(f"tf{i} int, " for i in range(len(self.columns))) + "bucket int"
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/generation={g}/postings").withColumn("generation", F.lit(g)) for g in found]
+        rows = reduce(DataFrame.unionByName, parts).where(F.col("bucket").isin(asked) & F.col("term").isin(terms))
+        return rows if len(self.generations()) == 1 else rows.join(self.lengths().select("doc_id", "generation"), ["doc_id", "generation"])
+
+    def search(self, query: str, weights: list[float] | None = None, params: Bm25 = Bm25()) -> DataFrame:
+        """``doc_id, bm25``: documents that hold every term of the query, the more negative the better."""
+        asked = [folded(t) for t in query_terms(query)]
+        distinct, weights = list(dict.fromkeys(asked)), weights or [1.0] * len(self.columns)
+        totals = self.lengths().agg(F.count("*").alias("rows"), F.avg("len").alias("avg_len")).first()
+        own = self.postings(distinct)
+        df = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row a term of the query
+        if len(df) < len(distinct):
+            return own.where("false").select("doc_id", F.lit(0.0).alias("bm25"))
+        f = sum((F.col(f"tf{i}") * w for i, w in enumerate(weights)), F.lit(0.0))
+        by_term = own.groupBy("doc_id", "len").agg(*[F.max(F.when(F.col("term") == t, f)).alias(f"f{i}") for i, t in enumerate(distinct)])
+        hits = by_term.where(" AND ".join(f"f{i} is not null" for i in range(len(distinct))))
+        score = F.lit(0.0)
+        for t in asked:
+            i, n = distinct.index(t), totals["rows"]
+            idf = max(math.log((n - df[t] + 0.5) / (df[t] + 0.5)), 0.0) or params.least_idf
+            score = score + F.lit(idf) * (F.col(f"f{i}") * (params.k1 + 1)) / (F.col(f"f{i}") + params.k1 * (1 - params.b + params.b * F.col("len") / F.lit(totals["avg_len"] or 1.0)))
+        return hits.select("doc_id", (-score).alias("bm25"))
 
 
 def ranked(hits: DataFrame, limit: int, digits: int = 6) -> DataFrame:
@@ -130,54 +211,41 @@ def vocabulary(docs: DataFrame, doc_id: str, column: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.array_sort(F.array_distinct(X.tokens(column))).alias("terms"))
 
 
+def _reduces(query: str, candidate: str) -> bool:
+    """Whether the terms of a candidate are some, but not all, of the query's, repeats counted."""
+    own = Counter(query_tokens(candidate))
+    return bool(own) and candidate != query and own < Counter(query_tokens(query))
+
+
 def fallback_query(query: str, terms: set[str]) -> str | None:
     """A shorter query for one document that the whole query missed; None where there is none.
 
-    Technical words come first, at most four; else the query's terms that the document holds, if they are fewer
-    than all, and two at least or one distinctive one.
+    The first that reduces the query: its technical words, four at most; else its terms that the document holds,
+    if they are two or more, or a single distinctive one.
     """
-    if not query or not query.strip():
-        return None
-    query = unicodedata.normalize("NFC", query.strip())
-    original = query_tokens(query)
-    if len(original) < 2:
-        return None
-    found: dict[str, str] = {}
-    for m in re.finditer(X.FALLBACK_ANCHOR.replace("(?iu)", ""), query, re.I):
-        if len(found) == 4:
-            break
-        found.setdefault(m.group().lower(), m.group())
-    anchors = " ".join(found.values())
-    if anchors and _reduces(query, original, anchors):
-        return anchors
-    kept = [t for t in dict.fromkeys(original) if t in terms]
-    distinctive = len(kept) == 1 and len(kept[0]) >= 4 and re.search(r"[A-Za-z0-9]", kept[0])
-    if len(kept) >= len(original) or len(kept) < 2 and not distinctive or not any(len(t) >= 2 for t in kept):
-        return None
-    candidate = " ".join(kept)
-    return candidate if _reduces(query, original, candidate) else None
-
-
-def _reduces(query: str, original: list[str], candidate: str) -> bool:
-    own = query_tokens(candidate)
-    if candidate == query or not own or len(own) >= len(original):
-        return False
-    left = list(original)
-    for t in own:
-        if t not in left:
-            return False
-        left.remove(t)
-    return True
+    query = unicodedata.normalize("NFC", (query or "").strip())
+    technical = list({w.lower(): w for w in reversed(re.findall(X.FALLBACK_ANCHOR.replace("(?iu)", "(?i)"), query))}.values())[:-5:-1]
+    kept = [t for t in dict.fromkeys(query_tokens(query)) if t in terms]
+    worth = max(map(len, kept), default=0) >= 2 if len(kept) > 1 else any(len(t) >= 4 and re.search("[A-Za-z0-9]", t) for t in kept)
+    return next((c for c in (" ".join(technical), " ".join(kept) if worth else "") if _reduces(query, c)), None)
 
 
 def fallback(rows: DataFrame, query: str, terms: str, alias: str = "fallback") -> DataFrame:
-    """``fallback_query`` of a query column within a terms column."""
-
-    @F.arrow_udf(T.StringType())
-    def reduce(q: pa.Array, t: pa.Array) -> pa.Array:
-        return pa.array([fallback_query(a or "", set(b or ())) for a, b in zip(q.to_pylist(), t.to_pylist(), strict=True)], pa.string())
-
-    return rows.withColumn(alias, reduce(F.col(query), F.col(terms)))
+    """``fallback_query`` of a query column within a column of the document's terms, as column functions."""
+    occurs = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
+
+    def reduces(candidate: Column, asked: Column, whole: Column) -> Column:
+        own = X.tokens(candidate)
+        return (F.size(own) > 0) & (candidate != whole) & (F.size(own) < F.size(asked)) & F.forall(own, lambda t: occurs(own, t) <= occurs(asked, t))
+
+    own = rows.withColumn("loreweave_query", X.nfc(F.regexp_replace(F.coalesce(F.col(query), F.lit("")), r"^\s+|\s+$", "")))
+    own = own.withColumn("loreweave_asked", X.tokens("loreweave_query")).withColumn("loreweave_technical", F.array_join(X.anchors("loreweave_query"), " "))
+    own = own.withColumn("loreweave_kept", F.array_intersect("loreweave_asked", F.coalesce(F.col(terms), F.array().cast("array<string>"))))
+    kept = F.col("loreweave_kept")
+    worth = F.when(F.size(kept) > 1, F.exists(kept, lambda t: F.length(t) >= 2)).otherwise(F.exists(kept, lambda t: (F.length(t) >= 4) & t.rlike("[A-Za-z0-9]")))
+    whole, asked, technical, left = F.col("loreweave_query"), F.col("loreweave_asked"), F.col("loreweave_technical"), F.array_join(kept, " ")
+    shorter = F.when(reduces(technical, asked, whole), technical).when(worth & reduces(left, asked, whole), left)
+    return own.withColumn(alias, shorter).drop("loreweave_query", "loreweave_asked", "loreweave_technical", "loreweave_kept")
 
 
 def snippet_text(text: str, query: str, width: int = 280) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loreweave.functions import text as X
 from loreweave.operators import chunks, fusion, graph, ingest, lifecycle, wiki
 from loreweave.plans.search_queries import _CHANNELS, _channels, table
+from loreweave.sources.tables import stored
 
 
 def _inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +110,35 @@ t AS (SELECT doc_id, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS text FROM
 b AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS block_no, text FROM t WHERE text <> '')"""
 
 
+def _paged() -> Column:
+    """Every fourth line ends a page; pages of a document share a header, and those of even ids a footer."""
+    lines = F.split("text", "\n")
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 4).cast("int")), lambda i: F.array_join(F.slice(lines, i * 4 + 1, 4), "\n"))
+    marked = F.transform(pages, lambda p, i: F.concat(F.lit(" \nReport\n"), p, F.when(F.col("doc_id") % 2 == 0, F.lit("\nconfidential\n\t")).otherwise(F.concat(F.lit("\np. "), i.cast("string")))))
+    return F.array_join(marked, "\f")
+
+
+def page_edges_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", _paged().alias("paged"))
+    clean = X.normalized("paged", compose=False, edges=True)
+    return rows.select("doc_id", X.sha256(clean).alias("hash"), F.length(clean).alias("length"))
+
+
+_EDGES_REMOVED = r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
+p AS (SELECT doc_id, n, CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'confidential' || chr(10) || chr(9) ELSE chr(10) || 'p. ' || n END AS tail, ' ' || chr(10) || 'Report' || chr(10) || array_to_string(x[n * 4 + 1 : n * 4 + 4], chr(10)) || tail AS page
+  FROM (SELECT doc_id, x, unnest(range((len(x) - 1) // 4 + 1)) AS n FROM l)),
+c AS (SELECT doc_id, n, regexp_replace(regexp_replace(page, '[\x00-\x08\x0B\x0D-\x1F\x7F-\x{9F}' || chr(173) || chr(8203) || chr(8288) || ']', '', 'g'), '[\t ]+(\n|$)', '\1', 'g') AS page FROM p),
+s AS (SELECT doc_id, n, unnest(string_split(page, chr(10))) AS line, unnest(range(len(string_split(page, chr(10))))) AS i FROM c),
+e AS (SELECT doc_id, n, min(i) AS a, max(i) AS b FROM s WHERE regexp_matches(line, '\S') GROUP BY ALL),
+h AS (SELECT s.doc_id, line FROM s JOIN e ON s.doc_id = e.doc_id AND s.n = e.n AND i = a GROUP BY ALL HAVING count(*) >= 2),
+f AS (SELECT s.doc_id, line FROM s JOIN e ON s.doc_id = e.doc_id AND s.n = e.n AND i = b GROUP BY ALL HAVING count(*) >= 2),
+k AS (SELECT s.* FROM s LEFT JOIN e ON s.doc_id = e.doc_id AND s.n = e.n LEFT JOIN h ON s.doc_id = h.doc_id AND s.line = h.line LEFT JOIN f ON s.doc_id = f.doc_id AND s.line = f.line
+  WHERE NOT (coalesce(i = a, false) AND h.line IS NOT NULL) AND NOT (coalesce(i = b, false) AND f.line IS NOT NULL)),
+g AS (SELECT doc_id, n, string_agg(line, chr(10) ORDER BY i) AS page FROM k GROUP BY ALL),
+w AS (SELECT doc_id, regexp_replace(string_agg(page, chr(12) ORDER BY n), '\n{3,}', chr(10) || chr(10), 'g') AS x FROM g GROUP BY doc_id)
+SELECT doc_id, sha256(x) AS hash, CAST(length(x) AS INTEGER) AS length FROM w"""
+
+
 def repeated_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.replace(F.col("text"), F.lit("\n"), F.lit("\f"))
     return chunks.edge_lines(table(spark, sf_dir, "documents").select("doc_id", content.alias("content")), "doc_id", "content")
@@ -216,7 +246,7 @@ def _region_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reachable(_graph_edges(spark, sf_dir), _region_ids(spark, sf_dir), 3)
+    return graph.reachable(stored(_graph_edges(spark, sf_dir).select("source_id", "target_id"), "edges"), _region_ids(spark, sf_dir), 3)
 
 
 _REACHABLE = f"""WITH RECURSIVE e AS ({_EDGES_SQL}), r AS (SELECT DISTINCT {_entity_sql("WORKSPACE", "r_regionkey")} AS entity_id, 0 AS depth FROM region WHERE r_regionkey IN (0, 3)
@@ -226,7 +256,7 @@ SELECT entity_id, min(depth) AS depth FROM r GROUP BY entity_id"""
 
 def graph_bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = [r["entity_id"] for r in _region_ids(spark, sf_dir).collect()]  # two seeds
-    found = graph.traverse(_graph_edges(spark, sf_dir), starts)
+    found = graph.traverse(stored(_graph_edges(spark, sf_dir), "edges"), starts)
     rows = spark.createDataFrame(found.candidates, "seed_id string, entity_id string, depth int, path array<string>")
     return graph.admitted(rows, graph.vertices(1, **_entities(spark, sf_dir))).select("seed_id", "entity_id", "depth", F.size("path").alias("steps"), "entity_type", "rejection")
 
@@ -385,7 +415,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inbox_registration_status, duplicate_clusters, document_versions, missing_files, eligible_documents, usability_state, inbox_listing_page, normalized_text_hash,
-        text_measures, preview_slices, paragraph_blocks, repeated_edge_lines, chunk_policy_v1, chunk_policy_v2, document_fingerprint, stale_policy_documents,
+        text_measures, preview_slices, paragraph_blocks, repeated_edge_lines, page_edges_removed, chunk_policy_v1, chunk_policy_v2, document_fingerprint, stale_policy_documents,
         graph_vertices, graph_edges, graph_defects, graph_seeds, graph_reachability, graph_bounded_bfs, graph_fingerprint, title_slug_path, wikilink_targets,
         tag_normalization, vault_lint, page_links, wiki_target_resolution, tag_suggestions, latest_proposal_per_candidate, reviewable_proposals, job_progress,
         index_health, dangling_identities, diagnostic_redaction,
@@ -394,6 +424,7 @@ QUERIES = {
 
 _PATH = "'inbox/' || source || '/' || (doc_id % 997) || '.txt'"
 ORACLE = {
+    "page_edges_removed": _EDGES_REMOVED,
     "inbox_registration_status": f"SELECT document_id, CASE WHEN first_id < document_id THEN 'DUPLICATE' ELSE 'PENDING' END AS status, CASE WHEN first_id < document_id THEN first_id END AS duplicate_of FROM ({_REGISTERED})",
     "duplicate_clusters": f"SELECT first_id AS canonical_id, CAST(count(*) AS BIGINT) AS copies, min(document_id) AS promoted_id FROM ({_REGISTERED}) WHERE first_id < document_id GROUP BY 1",
     "document_versions": f"SELECT doc_id AS document_id, {_PATH} AS source_path, lag(doc_id) OVER w AS parent_version, lead(doc_id) OVER w IS NOT NULL AS superseded FROM documents WINDOW w AS (PARTITION BY {_PATH} ORDER BY doc_id)",

@@ -56,22 +56,47 @@ def titled(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", title.alias("title"), F.substring(F.col("text"), F.length(title) + 2, F.length("text")).alias("body"))
 
 
+_INDEXES: dict[tuple[str, ...], lexical.FtsIndex] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, corpus: str) -> lexical.FtsIndex:
+    """The stored index of a corpus of these tables; the first query of a session that needs it writes it."""
+    key = (spark.sparkContext.applicationId, sf_dir, corpus)
+    if key not in _INDEXES:
+        documents = table(spark, sf_dir, "conversations" if corpus == "turns" else "documents")
+        if corpus == "turns":
+            documents = documents.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+        _INDEXES[key] = lexical.FtsIndex.over(titled(documents), "doc_id", ["title", "body"]) if corpus == "pages" else lexical.FtsIndex.over(documents, "doc_id", ["text"])
+    return _INDEXES[key]
+
+
+def hits(spark: SparkSession, sf_dir: str, corpus: str = "documents", query: str = QUERY) -> DataFrame:
+    return index(spark, sf_dir, corpus).search(query, [8.0, 1.0] if corpus == "pages" else None)
+
+
 def token_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexical.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return found.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+    return lexical.term_counts(table(spark, sf_dir, "documents"), "text")
 
 
 def bm25_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, QUERY).withColumn("bm25", F.round("bm25", 6))
+    return hits(spark, sf_dir).withColumn("bm25", F.round("bm25", 6))
 
 
 def bm25_wiki_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = titled(table(spark, sf_dir, "documents"))
-    return lexical.bm25(pages, "doc_id", {"title": 8.0, "body": 1.0}, QUERY).withColumn("bm25", F.round("bm25", 6))
+    return hits(spark, sf_dir, "pages").withColumn("bm25", F.round("bm25", 6))
+
+
+def fts_replace_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index after writes: documents of one source are replaced by their first lines, those of another deleted."""
+    documents = table(spark, sf_dir, "documents")
+    own = lexical.FtsIndex.over(documents, "doc_id", ["text"])
+    own.upsert(titled(documents.where("source = 'src1'")).select("doc_id", F.col("title").alias("text")), "doc_id")
+    own.delete(documents.where("source = 'src2'"), "doc_id")
+    return own.search(QUERY).withColumn("bm25", F.round("bm25", 6))
 
 
 def search_source_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.ranked(lexical.bm25(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, QUERY), 20)
+    return lexical.ranked(hits(spark, sf_dir), 20)
 
 
 _SOURCE_PAGE = f"""WITH {_bm25_sql(_DOCS, {"text": 1.0}, QUERY)},
@@ -81,9 +106,8 @@ SELECT doc_id, bm25, rank, round(1.0::DOUBLE / (60 + rank), 9) AS score FROM r W
 
 def search_all_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both corpora: conversation turns as wiki pages, documents as sources; equal ranks interleave by kind."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    wiki = lexical.ranked(lexical.bm25(turns, "doc_id", {"text": 1.0}, WIKI_QUERY), 20).withColumn("kind", F.lit("WIKI"))
-    source = lexical.ranked(lexical.bm25(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, WIKI_QUERY), 20).withColumn("kind", F.lit("SOURCE_CHUNK"))
+    wiki = lexical.ranked(hits(spark, sf_dir, "turns", WIKI_QUERY), 20).withColumn("kind", F.lit("WIKI"))
+    source = lexical.ranked(hits(spark, sf_dir, query=WIKI_QUERY), 20).withColumn("kind", F.lit("SOURCE_CHUNK"))
     both = wiki.unionByName(source).select("kind", "doc_id", "rank", "score")
     return both.orderBy(F.desc("score"), "kind", F.col("doc_id").cast("string")).limit(20)
 
@@ -110,6 +134,20 @@ def scoped_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.fallback(asked.join(own, "doc_id"), "query", "terms").select("doc_id", "query", "fallback")
 
 
+_FALLBACK = r"""WITH a AS (SELECT item_id AS doc_id, substr(split_part(text, chr(10), 1), 1, 200) AS query FROM benchmark),
+t AS (SELECT doc_id, query, nfc_normalize(regexp_replace(query, '^\s+|\s+$', '', 'g')) AS q FROM a),
+w AS (SELECT t.*, list_transform(regexp_extract_all(q, '[\p{L}\p{Nd}\p{M}]+'), lambda x: lower(x)) AS asked,
+  regexp_extract_all(q, '(?i)(?:[A-Z]{2,}-\d{3,}|[A-Z][A-Za-z0-9_$]*(?:Error|Exception)|[a-z][a-z0-9_]*_[a-z0-9_]+|[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*)+)') AS found,
+  list_transform(regexp_extract_all(d.text, '[\p{L}\p{Nd}\p{M}]+'), lambda x: lower(x)) AS held FROM t JOIN documents d USING (doc_id)),
+k AS (SELECT *, list_filter(asked, lambda x, i: list_position(asked, x) = i AND list_contains(held, x)) AS kept,
+  array_to_string(list_filter(found, lambda x, i: list_position(list_transform(found, lambda y: lower(y)), lower(x)) = i)[1:4], ' ') AS technical FROM w),
+c AS (SELECT *, CASE WHEN len(kept) > 1 AND len(list_filter(kept, lambda x: length(x) >= 2)) > 0 OR len(kept) = 1 AND length(kept[1]) >= 4 AND regexp_matches(kept[1], '[A-Za-z0-9]') THEN array_to_string(kept, ' ') ELSE '' END AS shorter FROM k),
+o AS (SELECT *, list_transform(regexp_extract_all(technical, '[\p{L}\p{Nd}\p{M}]+'), lambda x: lower(x)) AS own1, list_transform(regexp_extract_all(shorter, '[\p{L}\p{Nd}\p{M}]+'), lambda x: lower(x)) AS own2 FROM c),
+r AS (SELECT *, len(own1) > 0 AND technical <> q AND len(own1) < len(asked) AND len(list_filter(own1, lambda x: len(list_filter(own1, lambda y: y = x)) > len(list_filter(asked, lambda y: y = x)))) = 0 AS ok1,
+  len(own2) > 0 AND shorter <> q AND len(own2) < len(asked) AND len(list_filter(own2, lambda x: len(list_filter(own2, lambda y: y = x)) > len(list_filter(asked, lambda y: y = x)))) = 0 AS ok2 FROM o)
+SELECT doc_id, query, CASE WHEN ok1 THEN technical WHEN ok2 THEN shorter END AS fallback FROM r"""
+
+
 def snippet_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", lexical.snippet("text", QUERY).alias("snippet"))
 
@@ -152,12 +190,12 @@ _SCOPE = "stable_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 's
 
 def _channels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     documents = table(spark, sf_dir, "documents")
-    hits = lexical.ranked(lexical.bm25(documents, "doc_id", {"text": 1.0}, QUERY), 50)
+    found = lexical.ranked(hits(spark, sf_dir), 50)
     near = vector.nearest(_projections(spark, sf_dir).withColumn("kind", F.lit("SOURCE_CHUNK")), _query_vector(spark, sf_dir), 50)
     best = documents.where("source = 'src1'").orderBy(F.desc("n_chars"), "doc_id").limit(16)
     kind = F.lit("SOURCE_CHUNK").alias("kind")
     return {
-        "LEXICAL": fusion.channel(hits.select(kind, F.col("doc_id").alias("stable_id"), "score"), "LEXICAL"),
+        "LEXICAL": fusion.channel(found.select(kind, F.col("doc_id").alias("stable_id"), "score"), "LEXICAL"),
         "VECTOR": fusion.channel(near.select(kind, "stable_id", "score"), "VECTOR"),
         "GRAPH": fusion.listed(best.select(kind, F.col("doc_id").alias("stable_id"), (-F.col("n_chars") * 1000000 + F.col("doc_id")).alias("ord")), "GRAPH"),
     }
@@ -190,8 +228,8 @@ FROM ch WHERE {where} GROUP BY doc_id ORDER BY score DESC, kind, stable_id LIMIT
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 200 hits as evidence items."""
     documents = table(spark, sf_dir, "documents")
-    hits = lexical.ranked(lexical.bm25(documents, "doc_id", {"text": 1.0}, QUERY), 200)
-    own = titled(documents).join(F.broadcast(hits), "doc_id")  # at most 200 rows
+    found = lexical.ranked(hits(spark, sf_dir), 200)
+    own = titled(documents).join(F.broadcast(found), "doc_id")  # at most 200 rows
     return own.select(F.col("doc_id").alias("stable_id"), "rank", "title", F.col("body").alias("content"))
 
 
@@ -261,11 +299,11 @@ FROM a LEFT JOIN known USING (conv_id)"""
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical hits per language against the documents that are labelled good."""
     documents = table(spark, sf_dir, "documents")
-    hits = lexical.bm25(documents, "doc_id", {"text": 1.0}, QUERY).withColumn("bm25", F.round("bm25", 6))
+    found = hits(spark, sf_dir).withColumn("bm25", F.round("bm25", 6))
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("bm25", F.col("doc_id").cast("string")))
-    ranked = hits.join(documents.select("doc_id", F.col("source").alias("query_id")), "doc_id").select("query_id", F.col("doc_id").alias("stable_id"), rank.alias("rank"))
+    ranked = found.join(documents.select("doc_id", F.col("source").alias("query_id")), "doc_id").select("query_id", F.col("doc_id").alias("stable_id"), rank.alias("rank"))
     good = table(spark, sf_dir, "labels").where("quality = 1").join(documents.select("doc_id", "source"), "doc_id").select(F.col("source").alias("query_id"), F.col("doc_id").alias("stable_id"))
     out = fusion.quality(ranked, good, 10)
     return out.select("query_id", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "mrr")])
@@ -282,7 +320,7 @@ SELECT query_id, round(coalesce(hits, 0)::DOUBLE / relevant, 9) AS recall, round
 QUERIES = {
     f.__name__: f
     for f in (
-        token_postings, bm25_source, bm25_wiki_weighted, search_source_page, search_all_interleaved, scoped_vocabulary, scoped_fallback, snippet_highlight,
+        token_postings, bm25_source, bm25_wiki_weighted, fts_replace_delete, search_source_page, search_all_interleaved, scoped_vocabulary, scoped_fallback, snippet_highlight,
         knn_exact, knn_filtered_kind, knn_document_scope, rrf_two_channel, rrf_weighted_three_channel, rerank_exact_anchor, budgeted_evidence, context_packing,
         citation_validation, retrieval_metrics,
     )
@@ -293,7 +331,9 @@ ORACLE = {
 SELECT term, CAST(count(*) AS BIGINT) AS documents, CAST(sum(tf) AS BIGINT) AS occurrences FROM c GROUP BY term""",
     "bm25_source": f"WITH {_bm25_sql(_DOCS, {'text': 1.0}, QUERY)} SELECT doc_id, bm25 FROM hits",
     "bm25_wiki_weighted": f"WITH {_bm25_sql(_TITLED_SQL, {'title': 8.0, 'body': 1.0}, QUERY)} SELECT doc_id, bm25 FROM hits",
+    "fts_replace_delete": f"""WITH {_bm25_sql("SELECT doc_id, CASE WHEN source = 'src1' THEN split_part(text, chr(10), 1) ELSE text END AS text FROM documents WHERE source <> 'src2'", {"text": 1.0}, QUERY)} SELECT doc_id, bm25 FROM hits""",
     "search_source_page": _SOURCE_PAGE,
+    "scoped_fallback": _FALLBACK,
     "search_all_interleaved": _ALL,
     "scoped_vocabulary": r"WITH t AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}\p{M}]+'), lambda t: lower(t)))) AS terms FROM documents) SELECT doc_id, CAST(len(terms) AS INTEGER) AS n_terms, terms[1] AS first_term FROM t",
     "knn_exact": _knn_sql(),
