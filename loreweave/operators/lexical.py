@@ -81,6 +81,13 @@ class Bm25:
     least_idf: float = 1e-6
 
 
+def postings(docs: DataFrame, doc_id: str, column: str) -> DataFrame:
+    """``doc_id, term, tf, doc_len``: the inverted index of a column as a plain table."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), X.index_tokens(column).alias("tokens"))
+    rows = rows.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+    return rows.groupBy("doc_id", "term", "doc_len").agg(F.count("*").alias("tf"))
+
+
 def term_counts(docs: DataFrame, column: str) -> DataFrame:
     """``term, documents, occurrences``: of every term, in one shuffle of partial counts."""
     own = docs.select(X.index_tokens(column).alias("tokens"))

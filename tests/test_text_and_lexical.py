@@ -115,3 +115,56 @@ def test_cosine(spark):
     assert one(spark, V.cosine(a, F.array(F.lit(2.0), F.lit(0.0)))) == 1.0
     assert one(spark, V.cosine(a, F.array(F.lit(0.0), F.lit(0.0)))) is None
     assert one(spark, V.similarity(F.lit(3.0))) == 0.0
+
+
+def test_a_stored_index_is_replaced_by_document(spark, tmp_path):
+    """Writes, deletions and a rebuild leave what an index of the documents that are left would find."""
+    docs = [(1, "by from by"), (2, "by the from"), (3, "none"), (4, "by"), (5, None)]
+    index = lexical.FtsIndex(spark, str(tmp_path / "fts"), ["body"])
+    index.upsert(spark.createDataFrame(docs, "id long, body string"), "id")
+    index.upsert(spark.createDataFrame([(2, "nothing here"), (6, "from by")], "id long, body string"), "id")
+    index.delete(spark.createDataFrame([(1,), (99,)], "id long"), "id")
+    left = spark.createDataFrame([(2, "nothing here"), (3, "none"), (4, "by"), (5, None), (6, "from by")], "id long, body string")
+    want = sorted(map(tuple, lexical.bm25(left, "id", {"body": 1.0}, "by from").collect()))
+    assert [d for d, _ in want] == [6] and sorted(map(tuple, index.search("by from").collect())) == want
+    assert index.generations() == [1, 2, 3]
+    index.rebuild(left, "id")
+    assert index.generations() == [4] and sorted(map(tuple, index.search("by from").collect())) == want
+    assert index.search("absent by").count() == 0
+
+
+def test_query_and_index_agree_on_han(spark):
+    """Iteration marks, the zero and radicals are Han to both."""
+    texts = ["人々の話", "二〇二四年", "⼀⼆", "全文搜尋 spring", "Cafe\u0301 ﬁx"]
+    for text in texts:
+        assert one(spark, X.tokens(X.nfc(F.lit(text)))) == lexical.query_tokens(text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    assert [r["doc_id"] for r in lexical.bm25(docs, "id", {"body": 1.0}, "人々").collect()] == [0]
+    assert [r["doc_id"] for r in lexical.bm25(docs, "id", {"body": 1.0}, "café").collect()] == [4]
+
+
+def test_fallback_columns_equal_the_function(spark):
+    terms = ["alpha", "gamma", "abc", "busy", "timeout", "x", "y"]
+    asked = ["alpha beta gamma", "alpha beta", "abc beta", "alpha gamma", "x y z", "alpha alpha", "busy_timeout how", "pkg.name busy_timeout how ERR-1234", "", "  ", "one", "alpha Alpha beta", "KEY-123 key-123 b"]
+    rows = spark.createDataFrame([(q, terms) for q in asked] + [(None, terms), ("alpha beta", None)], "q string, t array<string>")
+    got = [(r["q"], r["t"], r["fallback"]) for r in lexical.fallback(rows, "q", "t").collect()]
+    assert len({f for _, _, f in got}) > 4
+    assert all(f == lexical.fallback_query(q, set(t or ())) for q, t, f in got)
+
+
+def test_composed_titles(spark):
+    assert one(spark, X.title_key(F.lit("Cafe\u0301  Bar"))) == "café bar"
+    assert one(spark, X.slug(F.lit("Cafe\u0301 Bar"))) == "café-bar"
+    assert one(spark, X.tags(F.array(F.lit("Cafe\u0301"), F.lit("café"), F.lit(None)))) == ["café"]
+    assert one(spark, X.wikilinks(F.lit("[[Cafe\u0301]] [[café]] [[\u212b]]"))) == ["café", "å"]
+
+
+def test_repeated_page_edges(spark):
+    clean = lambda s, n=2: one(spark, X.normalized(F.lit(s), edges=True) if n == 2 else X.without_edges(F.lit(s), n))
+    two = "Head\nFirst page\nFoot\fHead\nSecond page\nFoot"
+    assert clean(two) == "First page\fSecond page"
+    assert clean(two, 3) == two
+    assert clean("only\nHead") == "only\nHead"
+    assert clean("Head\f\n\fHead\nx") == "\f\n\fx"
+    assert clean("a\nb\fb\na") == "a\nb\fb\na"
+    assert one(spark, X.without_edges(F.lit(None).cast("string"))) is None
