@@ -10,9 +10,9 @@ turn may hang on what follows that, by ever earlier merges.
 
 Decoding feeds one id at a time. Tokenizers with a byte-level decoder map token characters to bytes and pass
 through an incremental UTF-8 decoder whose state is at most three pending bytes; those without a decoder have
-their tokens joined by a blank.
+their tokens joined by a blank. Encoding a word feeds its decoder token by token.
 
-The words of a text come from the vocabulary file's own pattern, after its normalisation (NFC, white space,
+A text is read slice by slice; its ids and its decoded text are hashed as they come. The words of a text come from the vocabulary file's own pattern, after its normalisation (NFC, white space,
 lower case) and after special tokens were cut out of the raw text. Each worker keeps the output of words it
 met, within a bound. Defined results: a null or empty text has no tokens; a null id stays null; repeated rows
 are returned as often as they occur; an empty table gives an empty result.
@@ -38,6 +38,9 @@ from pyspark.sql import types as T
 from loreweave.llm import shared
 
 _KNOWN_WORDS = 200_000
+#: Characters of a text that are encoded, decoded and hashed at a time.
+SLICE = 1 << 16
+_CUT = re.compile(r"[ \n](?=[!-~])")
 _KNOWN_PAIRS = 300_000
 _PLAIN = regex.compile("[!-~]*")
 _SEPARATORS = regex.compile("[\\x1c-\\x1f]")
@@ -67,7 +70,7 @@ class MergeList:
         self.longest = max(map(len, self.tokens), default=1)
         self.parts = {a + b: (i, a, b) for i, (a, b) in reversed(list(enumerate(merges)))}
         self._spines: dict[tuple[str, int], list[tuple[str, float, float]]] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     def _spine(self, token: str, side: int) -> list[tuple[str, float, float]]:
         """The token, its part on that side (1: left, 2: right), that one's part and so on, each with the ranks of the
@@ -85,10 +88,10 @@ class MergeList:
 
     def compatible(self, left: str, right: str) -> bool:
         """No merge across the boundary comes before both of its sides are used up; of equal ranks the left one goes first."""
-        known = self._pairs.get((left, right))
+        known = self.pairs.get((left, right))
         if known is None:
-            if len(self._pairs) >= _KNOWN_PAIRS:
-                self._pairs.clear()
+            if len(self.pairs) >= _KNOWN_PAIRS:
+                self.pairs.clear()
                 self._spines.clear()
             known, rank = True, self.rank
             for x, x_made, x_used in self._spine(left, 2):
@@ -96,60 +99,9 @@ class MergeList:
                     across = rank.get((x, y))
                     if across is not None and across < x_used and across <= y_used and x_made < y_used and y_made < x_used:
                         known = False
-            self._pairs[(left, right)] = known
+            self.pairs[(left, right)] = known
         return known
 
-    def whole(self, word: str) -> list[str]:
-        """The tokens of a short word: ``last_token`` for every prefix, then back from the end."""
-        tokens, pairs, longest, size = self.tokens, self._pairs, self.longest, len(word)
-        last: list[str | None] = [None] * (size + 1)
-        last[0] = ""
-        inside = size - 1 if word[-1:] == _END else 0  # no prefix ends before the end mark
-        for end in range(1, size + 1):
-            if end == inside:
-                continue
-            for begin in range(end - longest if end > longest else 0, end):
-                token = word[begin:end]
-                if token in tokens:
-                    before = last[begin]
-                    if before is None:
-                        continue
-                    if before:
-                        fits = pairs.get((before, token))
-                        if fits is None:
-                            fits = self.compatible(before, token)
-                        if not fits:
-                            continue
-                    last[end] = token
-                    break
-        at, out = size, []
-        while at > 0:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
-
-    def last_token(self, text: str, last: list[str | None], end: int) -> str | None:
-        """The last token of the prefix of ``text`` that ends at ``end``, from those of shorter prefixes."""
-        tokens, pairs = self.tokens, self._pairs
-        for begin in range(max(0, end - self.longest), end):
-            before = last[begin]
-            if before is not None:
-                token = text[begin:end]
-                if token in tokens:
-                    fits = True if before == "" else pairs.get((before, token))
-                    if fits is None:
-                        fits = self.compatible(before, token)
-                    if fits:
-                        return token
-        return None
-
-
-def symbols_of(word: str) -> list[str]:
-    """One symbol a character; the last carries the word end, if there is one."""
-    if word.endswith(_END):
-        return [*word[:-2], word[-2:]]
-    return list(word)
-
 
 def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
     """Symbols to the right of a token that can matter for whether it stays.
@@ -168,11 +120,11 @@ def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
 
 
 class WordEncoder:
-    """The transducer over one word's symbols; ``push`` and ``finish`` return the tokens that became stable.
+    """The transducer over one word's symbols; ``feed`` and ``finish`` return the tokens that became stable.
 
     ``last[i]`` is the last token of the prefix that ends at place i of the kept text: "" where the kept text
     begins, None where no prefix ends (inside a symbol). Of what was emitted, the token before the kept text is
-    still needed, to judge what may follow it.
+    still needed, to judge what may follow it. No more is kept than ``limit`` places and what one call brings.
     """
 
     def __init__(self, merges: MergeList, lookahead: int) -> None:
@@ -180,18 +132,39 @@ class WordEncoder:
         self.text, self.last, self.begin = "", [""], 0
         self.limit = 2 * lookahead + 2 * merges.longest
 
-    def push(self, symbol: str) -> list[str]:
-        self.text += symbol
-        end = len(self.text)
-        self.last += [None] * (len(symbol) - 1)
-        self.last.append(self.merges.last_token(self.text, self.last, end))
-        return self._emit(end - self.lookahead) if end > self.limit else []
+    def feed(self, symbols: str) -> list[str]:
+        """Read symbols; a word's end mark comes together with the symbol before it."""
+        tokens, pairs, longest, fits_side_by_side = self.merges.tokens, self.merges.pairs, self.merges.longest, self.merges.compatible
+        read, last = len(self.text), self.last
+        self.text = text = self.text + symbols
+        size = len(text)
+        inside = size - 1 if symbols[-1:] == _END else 0  # no prefix ends before the end mark
+        for end in range(read + 1, size + 1):
+            found = None
+            if end != inside:
+                for begin in range(end - longest if end > longest else 0, end):
+                    token = text[begin:end]
+                    if token in tokens:
+                        before = last[begin]
+                        if before is None:
+                            continue
+                        if before:
+                            fits = pairs.get((before, token))
+                            if fits is None:
+                                fits = fits_side_by_side(before, token)
+                            if not fits:
+                                continue
+                        found = token
+                        break
+            last.append(found)
+        return self._emit(size - self.lookahead) if size > self.limit else []
 
     def _emit(self, until: int) -> list[str]:
-        at, found = len(self.text), []
+        """Let the tokens go that end at ``until`` or before: going back from the end, each prefix's last token."""
+        at, found, last = len(self.text), [], self.last
         while at > self.begin:
-            found.append((at, self.last[at]))
-            at -= len(self.last[at])
+            found.append((at, last[at]))
+            at -= len(last[at])
         stable = [(end, token) for end, token in reversed(found) if end <= until]
         if stable:
             keep = stable[-1][0] - len(stable[-1][1])
@@ -201,17 +174,23 @@ class WordEncoder:
         return [token for _, token in stable]
 
     def finish(self) -> list[str]:
-        return self._emit(len(self.text))
+        """What is left, once the word is read."""
+        at, found, last = len(self.text), [], self.last
+        while at > self.begin:
+            found.append(last[at])
+            at -= len(last[at])
+        return found[::-1]
 
 
-def encode_word(word: str, merges: MergeList, lookahead: int) -> list[str]:
-    """The tokens of a whole word (with its end mark, if the vocabulary has one)."""
-    if len(word) <= 2 * lookahead:  # nothing would be emitted before the end
-        return merges.whole(word)
-    encoder, out = WordEncoder(merges, lookahead), []
-    for symbol in symbols_of(word):
-        out.extend(encoder.push(symbol))
-    return out + encoder.finish()
+def encode_word(word: str, merges: MergeList, lookahead: int) -> Iterator[str]:
+    """The tokens of a word (with its end mark, if the vocabulary has one), as they become stable."""
+    encoder, at = WordEncoder(merges, lookahead), 0
+    while at < len(word):
+        end = at + encoder.limit
+        end += word[end : end + 1] == _END
+        yield from encoder.feed(word[at:end])
+        at = end
+    yield from encoder.finish()
 
 
 class Vocabulary:
@@ -247,7 +226,7 @@ class Vocabulary:
         plain = text.isascii() or not _LATER.search(text)
         return (self.pattern if plain else self.strict_pattern).findall(text)
 
-    def tokens(self, word: str) -> list[str]:
+    def tokens(self, word: str) -> Iterator[str]:
         raw = word if _PLAIN.fullmatch(word) else "".join(map(self.characters.__getitem__, word.encode()))
         raw += _END if self.suffix else ""
         return encode_word(raw, self.merges, self.lookahead)
@@ -297,8 +276,11 @@ class TextCodec(dict):
             v = self.vocabulary
             words = v.words(run)
             if words == [run]:
-                ids, decoder = [v.ids[t] for t in v.tokens(run)], Decoder(v)
-                value = (" ".join(map(str, ids)), "".join(map(decoder.push, ids)) + decoder.finish())
+                ids, text, decoder = [], [], Decoder(v)
+                for token in v.tokens(run):
+                    ids.append(v.ids[token])
+                    text.append(decoder.push(ids[-1]))
+                value = (" ".join(map(str, ids)), "".join(text) + decoder.finish())
             else:
                 known = [self[word] for word in words]
                 value = (" ".join([k[0] for k in known]), " ".join([k[1] for k in known]))
@@ -313,16 +295,29 @@ class TextCodec(dict):
         # split() also splits at four control characters that are no white space to the vocabulary's pattern
         return self.vocabulary.words(normal) if _SEPARATORS.search(normal) else normal.split()
 
-    def encoded(self, text: str) -> Iterator[tuple[str, str]]:
+    def _encoded(self, text: str) -> Iterator[tuple[str, str]]:
         v = self.vocabulary
         if v.cut is None or "<" not in text or not v.cut.search(text):
             return map(self.__getitem__, self._runs(text))
         parts = [[(str(v.special[p]), p)] if p in v.special else map(self.__getitem__, self._runs(p)) for p in v.cut.split(text)]
         return chain.from_iterable(parts)
 
-    def ids_and_text(self, text: str) -> tuple[str, str]:
-        words = [w for w in self.encoded(text) if w[0]]
-        return " ".join([w[0] for w in words]), " ".join([w[1] for w in words])
+    def stream(self, text: str) -> Iterator[tuple[str, str]]:
+        """The decimal ids and the decoded text of one slice of the text after another, both joined by blanks."""
+        for part in _slices(text):
+            words = [w for w in self._encoded(part) if w[0]]
+            if words:
+                yield " ".join([w[0] for w in words]), " ".join([w[1] for w in words])
+
+
+def _slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """A text cut before plain words, where neither normalisation nor tokens reach across."""
+    at = 0
+    for m in _CUT.finditer(text, size) if len(text) > size else ():
+        if m.start() - at >= size:
+            yield text[at : m.start()]
+            at = m.start()
+    yield text[at:]
 
 
 @lru_cache(maxsize=2)
@@ -335,17 +330,17 @@ _ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.S
 
 
 def encode(documents: DataFrame, path: str) -> DataFrame:
-    """Every column of ``documents``, and ``ids`` and ``decoded`` in a struct ``bpe``. The file must be readable on every executor."""
+    """Every column of ``documents``, and ``ids`` and ``decoded`` in a struct ``loreweave_bpe``. The file must be readable on every executor."""
     shared.small_batches(documents.sparkSession)
 
     @F.arrow_udf(_ENCODED)
     def bpe(text: pa.Array) -> pa.Array:
         own = codec(path)
-        pairs = [own.ids_and_text(t or "") for t in text.to_pylist()]
-        ids = pa.array([[int(x) for x in a.split()] for a, _ in pairs], pa.list_(pa.int32()))
-        return pa.StructArray.from_arrays([ids, pa.array([b for _, b in pairs], pa.string())], ["ids", "decoded"])
+        pairs = [list(own.stream(t or "")) for t in text.to_pylist()]
+        ids = pa.array([[int(x) for a, _ in p for x in a.split()] for p in pairs], pa.list_(pa.int32()))
+        return pa.StructArray.from_arrays([ids, pa.array([" ".join(b for _, b in p) for p in pairs], pa.string())], ["ids", "decoded"])
 
-    return documents.withColumn("bpe", bpe(F.col("text")))
+    return documents.withColumn("loreweave_bpe", bpe(F.col("text")))
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
@@ -356,10 +351,15 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
     def coded(text: pa.Array) -> pa.Array:
         own, counts, ids_hash, text_hash = codec(path), [], [], []
         for t in text.to_pylist():
-            ids, decoded = own.ids_and_text(t or "")
-            counts.append(ids.count(" ") + 1 if ids else 0)
-            ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-            text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
+            count, ids_digest, text_digest, lead = 0, hashlib.sha256(), hashlib.sha256(), ""
+            for ids, decoded in own.stream(t or ""):
+                count += ids.count(" ") + 1
+                ids_digest.update((lead + ids).encode())
+                text_digest.update((lead + decoded).encode())
+                lead = " "
+            counts.append(count)
+            ids_hash.append(ids_digest.hexdigest())
+            text_hash.append(text_digest.hexdigest())
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select("doc_id", coded(F.col("text")).alias("coded")).select("doc_id", "coded.*")

@@ -23,7 +23,7 @@ def both(request):
 def agree(both, text):
     library, own, _ = both
     ids = library.encode(text, add_special_tokens=False).ids
-    got, decoded = own.ids_and_text(text)
+    got, decoded = (" ".join(x) for x in zip(*own.stream(text))) if ids else ("", "")
     assert [int(x) for x in got.split()] == ids, text
     assert decoded == library.decode(ids, skip_special_tokens=False), text
 
@@ -48,17 +48,37 @@ def test_any_text_equals_the_library(text):
     agree((library, B.codec(PATHS[0]), PATHS[0]), text)
 
 
-def test_the_state_of_a_word_is_bounded(both):
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_the_state_of_a_word_is_bounded(both, chunk):
+    """Tokens leave while the word is read, whatever it is fed by; what is kept does not grow."""
     _, own, _ = both
     v = own.vocabulary
-    encoder, out, widest = B.WordEncoder(v.merges, v.lookahead), [], 0
-    symbols = B.symbols_of("abracadabra" * 2000)
-    for symbol in symbols:
-        out += encoder.push(symbol)
+    encoder, out, widest, word = B.WordEncoder(v.merges, v.lookahead), [], 0, "abracadabra" * 2000
+    for at in range(0, len(word), chunk):
+        out += encoder.feed(word[at : at + chunk])
         widest = max(widest, len(encoder.text))
+        assert at < 3000 or sum(map(len, out)) > at - encoder.limit - chunk
     out += encoder.finish()
-    assert "".join(out) == "".join(symbols)
-    assert widest <= encoder.limit + v.merges.longest + 2
+    assert "".join(out) == word and out == list(B.encode_word(word, v.merges, v.lookahead))
+    assert widest <= encoder.limit + v.merges.longest + chunk
+
+
+def test_every_word_goes_through_the_encoder(both, monkeypatch):
+    """Without the transducer there is no token at all."""
+    _, own, path = both
+    fed = []
+    monkeypatch.setattr(B.WordEncoder, "feed", lambda self, symbols, feed=B.WordEncoder.feed: fed.append(symbols) or feed(self, symbols))
+    fresh = B.TextCodec(own.vocabulary)
+    list(fresh.stream("some short words here"))
+    assert len(fed) == 4
+
+
+def test_slices_equal_the_whole(both, monkeypatch):
+    library, _, _ = both
+    monkeypatch.setattr(B, "_slices", lambda text, cut=B._slices: cut(text, 40))
+    for text in ("word é " * 100, "a <|endoftext|> b " * 30, "x" * 100 + " y", "tabs\tand\nlines \u0301 marks " * 20):
+        agree(both, text)
+    assert len(list(B._slices("word é " * 100))) > 5
 
 
 def test_digests_and_edges(spark, both):
@@ -77,7 +97,7 @@ def test_digests_and_edges(spark, both):
 def test_encode_keeps_columns(spark, both):
     library, _, path = both
     docs = frame(spark, [(1, "Hello there"), (2, None)])
-    rows = {r["doc_id"]: r["bpe"] for r in B.encode(docs, path).collect()}
+    rows = {r["doc_id"]: r["loreweave_bpe"] for r in B.encode(docs, path).collect()}
     assert rows[1]["ids"] == library.encode("Hello there", add_special_tokens=False).ids and rows[2]["ids"] == []
 
 
