@@ -6,10 +6,12 @@ heap over centroid pairs, until they hold the wanted share of all vectors; the e
 ranked exactly on the original vectors.
 
 The centroids are fitted, and the share that reaches the wanted recall is measured by brute force, on a bounded
-sample (``IndexLimits``); every vector is indexed. Equal vectors are one entry with its smallest ids, more than a
-query can return, so that a vector with any number of copies is searched once. Entries are grouped by their
-first centroid, a large group in blocks, and queries go to the groups they want, in blocks too: no task holds
-more than one block of either.
+sample (``IndexLimits``); every vector is indexed. There are as many centroids a half as the square root of the
+vectors, within bounds, so that cells stay small as the table grows. Equal vectors are one entry with its smallest
+ids, more than a query can return, so that a vector with any number of copies is searched once. Entries are grouped
+by their first centroid, a large group in blocks. A query goes to the groups it wants; a task holds the entries of one
+block, and the queries of that block stream past it. Entries within rounding of the last place all stay until they are
+ranked exactly.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component, those of another length
 than most, and rows without an id take no part; of rows that share an id the smallest vector counts; ties go to
@@ -37,11 +39,14 @@ class IndexLimits:
 
     sample_rows: int = 20000
     sample_queries: int = 200
-    centroids: int = 32
-    rounds: int = 12
-    recall: float = 0.95
-    block_rows: int = 8192
-    query_rows: int = 4096
+    least_centroids: int = 16
+    most_centroids: int = 192
+    rounds: int = 8
+    recall: float = 0.94
+    block_rows: int = 32768
+
+    def centroids(self, vectors: int) -> int:
+        return max(self.least_centroids, min(self.most_centroids, round(vectors**0.5)))
 
 
 @dataclass
@@ -81,10 +86,10 @@ def _nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmin((centroids**2).sum(axis=1) - 2 * points @ centroids.T, axis=1)
 
 
-def _centroids(points: np.ndarray, limits: IndexLimits) -> np.ndarray:
+def _centroids(points: np.ndarray, wanted: int, limits: IndexLimits) -> np.ndarray:
     """k-means with a fixed seed."""
     distinct = np.unique(points, axis=0)
-    k = min(limits.centroids, len(distinct))
+    k = min(wanted, len(distinct))
     c = distinct[np.random.default_rng(0).choice(len(distinct), k, replace=False)]
     for _ in range(limits.rounds):
         own = _nearest(points, c)
@@ -131,32 +136,58 @@ def _product(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _search(index: MultiIndex, width: int, keep: int):
-    """Per block: the best entries of each query among the cells it wants."""
-    k = len(index.second)
-
-    def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if entries.num_rows and queries.num_rows:
-            points, keys = _matrix(entries.column("embedding"), width), entries.column("entry").to_numpy()
-            second = entries.column("cell").to_numpy() % k
-            asked, names = _matrix(queries.column("embedding"), width), queries.column("query").to_numpy()
-            wants = np.zeros((len(names), k), dtype=bool)
-            lists = queries.column("seconds").combine_chunks()
-            wants[np.repeat(np.arange(len(names)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
-            scores = np.full((len(names), len(keys)), -np.inf)
-            for j in np.unique(second):
-                who, what = np.flatnonzero(wants[:, j]), np.flatnonzero(second == j)
-                if len(who):
-                    scores[np.ix_(who, what)] = asked[who] @ points[what].T
-            n = min(keep, len(keys))
-            best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-            row = np.repeat(np.arange(len(names)), n)
-            value = scores[row, best.ravel()]
-            real = np.isfinite(value)
-            found.append((names[row[real]], keys[best.ravel()[real]], value[real]))
-        a, b, c = (np.concatenate(x) if x else np.zeros(0) for x in (zip(*found, strict=True) if found else ((), (), ())))
-        return pa.table({"query": pa.array(a, pa.int64()), "entry": pa.array(b, pa.int64()), "near": pa.array(c, pa.float64())})
+def _best(points: np.ndarray, keys: np.ndarray, cells: dict[int, np.ndarray], asked: np.ndarray, wants: list[list[int]], keep: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+    """Per query (its row): the best entries among the cells it wants, their scores, and how far rounding may be off.
+
+    Queries that want the same cell are multiplied with it together; a query's scores are put side by side afterwards.
+    """
+    by_cell: dict[int, list[int]] = {}
+    for q, own in enumerate(wants):
+        for cell in own:
+            if cell in cells:
+                by_cell.setdefault(cell, []).append(q)
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in wants]
+    for cell, who in by_cell.items():
+        scores = asked[who] @ points[cells[cell]].T
+        for q, row in zip(who, scores, strict=True):
+            found[q].append((keys[cells[cell]], row))
+    reach = float(np.sqrt((points**2).sum(axis=1).max())) * points.shape[1] * 1e-14
+    for q, parts in enumerate(found):
+        if parts:
+            names, values = np.concatenate([n for n, _ in parts]), np.concatenate([v for _, v in parts])
+            slack = reach * float(np.linalg.norm(asked[q]))
+            if len(values) > keep:
+                at = np.flatnonzero(values >= np.partition(values, -keep)[-keep] - slack)
+                names, values = names[at], values[at]
+            yield q, names, values, slack
+
+
+def _search(width: int, columns: int, keep: int):
+    """Rows (first, block, kind, name, cell, seconds, embedding) in order: the entries of a block, then its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts, held = None, [], None
+        for batch in shared.table_of(batches):
+            first, block, kind, name, cell = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            cuts = np.flatnonzero((np.diff(first) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(first)], strict=True):
+                if (first[a], block[a]) != group:
+                    group, parts, held = (first[a], block[a]), [], None
+                vectors = _matrix(batch.column(6).slice(a, b - a), width)
+                if kind[a] == 0:
+                    parts.append((vectors, name[a:b], cell[a:b] % columns))
+                    continue
+                if held is None and parts:
+                    points, keys, second = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    order = np.argsort(second, kind="stable")
+                    ends = np.flatnonzero(np.diff(second[order])) + 1
+                    held, parts = (points, keys, {int(second[o[0]]): o for o in np.split(order, ends)}), []
+                if held is not None:
+                    rows = [(name[a + q], n, v, slack) for q, n, v, slack in _best(*held, vectors, batch.column(5).slice(a, b - a).to_pylist(), keep)]
+                    if rows:
+                        counts = [len(n) for _, n, _, _ in rows]
+                        columns_ = [np.repeat([r[0] for r in rows], counts), np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]), np.repeat([r[3] for r in rows], counts)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns_], ["query", "entry", "near", "slack"])
 
     return run
 
@@ -178,7 +209,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, limits: IndexLimit
     width = len(sample.column(0)[0].as_py())
     points = _matrix(sample.column("embedding"), width)
     half = max(1, width // 2)
-    index = MultiIndex(_centroids(points[:, :half], limits), _centroids(points[:, half:], limits) if width > half else np.zeros((1, 0)), 1.0)
+    n = limits.centroids(entries.count())
+    index = MultiIndex(_centroids(points[:, :half], n, limits), _centroids(points[:, half:], n, limits) if width > half else np.zeros((1, 0)), 1.0)
     index.share = _share(index, points, k, limits)
 
     @F.arrow_udf("int")
@@ -196,8 +228,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, limits: IndexLimit
     asked = rows.where(is_query).join(entries.select("entry", "embedding"), "embedding").select("vec_id", "entry")
     asked = shared.written(asked, "asked")
     distinct = asked.select("entry").distinct().join(entries.select("entry", "embedding"), "entry")
-    queries_total = asked.select("entry").distinct().count()
-    query_blocks = max(1, -(-queries_total // limits.query_rows))
 
     @F.arrow_udf("array<struct<first: int, seconds: array<int>>>")
     def wanted(embedding: pa.Array) -> pa.Array:
@@ -210,15 +240,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, limits: IndexLimit
         return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("seconds", pa.list_(pa.int32()))])))
 
     block_count = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("first") + 1)
-    left = placed.withColumn("first", (F.col("cell") / columns).cast("int"))
-    left = left.withColumn("block", F.pmod(F.xxhash64("entry"), block_count).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    left = placed.withColumn("first", (F.col("cell") / columns).cast("int")).withColumn("block", F.pmod(F.xxhash64("entry"), block_count).cast("int"))
+    left = left.select("first", "block", F.lit(0).alias("kind"), F.col("entry").alias("name"), "cell", F.lit(None).cast("array<int>").alias("seconds"), "embedding")
     right = distinct.select(F.col("entry").alias("query"), "embedding", F.explode(wanted(F.col("embedding"))).alias("want")).select("query", "embedding", "want.*")
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), block_count - 1))).withColumn("part", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int"))
-    keys = ["first", "block", "part"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(index, width, k + 4), "query long, entry long, near double")
-
-    best = Window.partitionBy("query").orderBy(F.desc("near"), "entry")
-    near = near.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= k + 4).select("query", "entry")
+    right = right.select("first", F.explode(F.sequence(F.lit(0), block_count - 1)).alias("block"), F.lit(1).alias("kind"), F.col("query").alias("name"), F.lit(0).alias("cell"), "seconds", "embedding")
+    both = left.unionByName(right).repartition("first", "block").sortWithinPartitions("first", "block", "kind", "name")
+    near = shared.written(both.mapInArrow(_search(width, columns, k + 1), "query long, entry long, near double, slack double"), "near")
+
+    best = Window.partitionBy("query")
+    near = near.withColumn("turn", F.row_number().over(best.orderBy(F.desc("near"), "entry")))
+    near = near.withColumn("least", F.min(F.when(F.col("turn") <= k + 1, F.col("near"))).over(best) - F.max("slack").over(best))
+    near = near.where("near >= least").select("query", "entry")
     vector = entries.select(F.col("entry").alias("query"), F.col("embedding").alias("query_vector"))
     scored = near.join(entries, "entry").join(vector, "query").select("query", "ids", _product("query_vector", "embedding").alias("score"))
     scored = scored.select("query", "score", F.explode("ids").alias("vec_id"))

@@ -42,7 +42,7 @@ def frame(spark, rows):
 
 def test_recall_and_scores(spark):
     rows = clusters(1500)
-    limits = A.IndexLimits(sample_rows=600, sample_queries=60, centroids=8, block_rows=128, query_rows=32)
+    limits = A.IndexLimits(sample_rows=600, sample_queries=60, most_centroids=8, least_centroids=8, block_rows=128)
     got = {}
     for r in A.search(frame(spark, rows), F.col("vec_id") % 20 == 0, limits=limits).collect():
         got.setdefault(r["query_id"], []).append(r)
@@ -77,3 +77,14 @@ def test_few_rows(spark, rows):
     for r in A.search(frame(spark, rows), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert got == {q: v for q, v in brute(rows, lambda i: i % 20 == 0).items() if v}
+
+
+def test_recall_on_test_data(spark):
+    """The table of the query at a scale that fits brute force, with the production parameters."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    want = brute(rows, lambda i: i % 20 == 0)
+    got = {}
+    for r in A.search(frame(spark, rows), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(got[q] & {i for i, _ in v}) for q, v in want.items()]
+    assert all(len(v) == 20 for v in got.values()) and sum(hits) / (20 * len(want)) >= 0.9
