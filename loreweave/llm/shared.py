@@ -18,9 +18,12 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder of the session's ``spark.checkpoint.dir``; a folder of our own only where that is unset and
+    all of Spark runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loreweave-scratch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -65,6 +68,11 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def as_texts(column: pa.Array) -> list[str]:
+    """Each text; a null text is empty."""
+    return ["" if x is None else x for x in column.to_pylist()]
+
+
 def table_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows."""
     return (b for b in batches if b.num_rows)

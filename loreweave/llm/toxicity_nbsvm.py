@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loreweave.llm import shared
 
-#: Lengths in bytes of the n-grams; texts are lower-cased (A-Z) first.
+#: Lengths in characters of the n-grams; texts are lower-cased first.
 SIZES = (4, 5, 6, 7)
 #: n-grams are hashed to this many buckets, a power of two.
 BUCKETS = 1 << 20
@@ -52,7 +52,7 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 
 def _hashes(data: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of the n-gram that starts at each byte."""
+    """The bucket of the n-gram that starts at each character."""
     h = np.zeros(len(data) - n + 1, dtype=np.uint32)
     for i in range(n):
         h *= np.uint32(0x01000193)
@@ -63,23 +63,22 @@ def _hashes(data: np.ndarray, n: int) -> np.ndarray:
     return h & np.uint32(BUCKETS - 1)
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one buffer, each after a blank and with one at its end, and where each begins."""
-    parts = [b" " + t.lower() + b" " for t in texts]
-    return np.frombuffer(b"".join(parts), dtype=np.uint8), shared.offsets_of([len(p) for p in parts])
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts in one buffer, each after a blank and with one at its end, and where each begins."""
+    parts = [f" {t.lower()} " for t in texts]
+    return np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32), shared.offsets_of([len(p) for p in parts])
 
 
 def _grams(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per n: the buckets, and a mask of those that do not cross from one text to the next."""
-    wide = data.astype(np.uint32)
     for n in SIZES:
-        if len(wide) < n:
+        if len(data) < n:
             continue
-        inside = np.ones(len(wide) - n + 1, dtype=bool)
+        inside = np.ones(len(data) - n + 1, dtype=bool)
         for back in range(1, n):
             ends = starts[1:-1] - back
             inside[ends[(ends >= 0) & (ends < len(inside))]] = False
-        yield _hashes(wide, n), inside
+        yield _hashes(data, n), inside
 
 
 @dataclass
@@ -90,7 +89,7 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
         if len(self.weights) <= 1:
@@ -119,7 +118,7 @@ def _sample(labels: DataFrame, limits: FitLimits) -> DataFrame:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, BUCKETS), dtype=np.int64)
     for batch in shared.table_of(batches):
-        texts, toxic = shared.as_bytes(batch.column(0)), batch.column(1).to_pylist()
+        texts, toxic = shared.as_texts(batch.column(0)), batch.column(1).to_pylist()
         for label in (0, 1):
             own = [t for t, y in zip(texts, toxic, strict=True) if y == label]
             if own:
@@ -183,7 +182,7 @@ def fit(documents: DataFrame, labels: DataFrame, limits: FitLimits = FitLimits()
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.table_of(batches):
-            data, starts = _joined(shared.as_bytes(batch.column(0)))
+            data, starts = _joined(shared.as_texts(batch.column(0)))
             bits = np.zeros((batch.num_rows, width), dtype=bool)
             for buckets, inside in _grams(data, starts):
                 slot = slots[buckets]
@@ -207,7 +206,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     @F.arrow_udf("double")
     def toxicity(text: pa.Array) -> pa.Array:
-        return pa.array(carried.value.scores(shared.as_bytes(text)), pa.float64())
+        return pa.array(carried.value.scores(shared.as_texts(text)), pa.float64())
 
     scored = documents.withColumn("loreweave_toxicity", toxicity(F.col("text")))
     return scored.withColumn("loreweave_toxic", (F.col("loreweave_toxicity") >= threshold).cast("int"))

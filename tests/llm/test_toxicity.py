@@ -46,7 +46,7 @@ def test_held_out_labels_are_never_read(spark):
 def test_the_ratio_of_an_ngram_orders_scores(spark):
     docs, labels = frame(spark, corpus()), spark.createDataFrame([(i, 1, i % 2, None) for i in range(200)], LABELS)
     model = X.fit(docs, labels)
-    low, mid, high = model.scores([b"a calm and pleasant evening", b"zzz", b"you vile stupid idiot"])
+    low, mid, high = model.scores(["a calm and pleasant evening", "zzz", "you vile stupid idiot"])
     assert low < mid < high
 
 
