@@ -56,3 +56,26 @@ def test_features_of_documents(spark):
     same = [r for rows in got.values() for r in rows if r["doc_id"] in (10, 11, 12)]
     assert len({(r["media_sha256"], r["feature"]) for r in same}) == 1
     assert M.features(M.store(empty(spark))).count() == 0
+
+
+def test_points_of_a_long_text_are_stored(spark):
+    """Every PES packet's timestamp, payload offset and random access, by which the payload can be cut again."""
+    text = "é" * 40_000
+    (row,) = M.features(M.store(frame(spark, [(1, text)]))).collect()
+    want = [(i * M.PES_BYTES * 90000 // M.BYTES_PER_SECOND, i * M.PES_BYTES, True) for i in range(5)]
+    assert [tuple(p) for p in row["points"]] == want and ";pes=5;" in row["feature"] and ";pcr=5;" in row["feature"]
+
+
+def test_a_table_over_several_packets_is_put_together():
+    """A program map with long descriptors, in three packets, with the elementary stream at its end."""
+    data = M.multiplex(payload(1000))
+    filler = b"\x05" + (0xE000 | 0x200).to_bytes(2, "big") + (0xF000 | 200).to_bytes(2, "big") + bytes(200)
+    body = (0xE000 | 0x100).to_bytes(2, "big") + b"\xf0\x00" + filler * 2 + bytes((6,)) + (0xE000 | 0x100).to_bytes(2, "big") + b"\xf0\x00"
+    length = 5 + len(body) + 4
+    section = bytes((2, 0xB0 | length >> 8, length & 0xFF)) + (1).to_bytes(2, "big") + bytes((0xC1, 0, 0)) + body
+    section = b"\x00" + section + M.section_crc(section).to_bytes(4, "big")
+    packets = b"".join(bytes((0x47, (0x40 if i == 0 else 0) | 0x10, 0, 0x10 | i)) + section[184 * i : 184 * (i + 1)].ljust(184, b"\xff") for i in range(3))
+    stream = M.demultiplex(data[:188] + packets + data[376:])
+    assert stream.bad_tables == 0 and stream.pid == 0x200  # the first elementary stream of the map
+    cut = M.demultiplex(data[:188] + packets[:188] + data[376:])
+    assert cut.bad_tables == 1 and cut.payload == b""
