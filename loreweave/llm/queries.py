@@ -29,14 +29,17 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches over all documents: words and pieces are inserted; words are counted anew, without
-    those that hold no letter or digit; copies of a text of a smaller id are deleted. Two batches come twice."""
+    those that hold no letter or digit; copies of a text of a smaller id are deleted. Two batches come twice. A null
+    text counts no tokens and is no copy; a row without an id is no copy either; repeated rows count as often as they
+    occur; an empty table has no totals. Extra columns are ignored."""
     documents = _table(spark, sf_dir, "documents")
     counts = documents.select(
         "doc_id", "source", "lang", F.md5("text").alias("digest"),
         token_rollup.word_count().alias("words"), token_rollup.spelled_count().alias("spelled"), token_rollup.piece_count().alias("pieces"),
     )
     counts = shared.written(counts, "token-counts")
-    first = counts.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    first = counts.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id <> last_id")
+    first = shared.written(first, "first-copies")  # a table, so that the join can be split where one text has very many copies
     copies = shared.written(counts.join(first, "digest").where("doc_id > first_id"), "copies")
     rollup = token_rollup.Rollup(spark, f"{shared.scratch_dir(spark)}/loreweave-rollup-{uuid.uuid4().hex}")
     words, pieces = token_rollup.inserted(counts, F.col("words"), "words"), token_rollup.inserted(counts, F.col("pieces"), "pieces")

@@ -1,10 +1,12 @@
 """Token counts kept up to date by signed changes: additive totals by source, language and tokenizer version.
 
 A change inserts a document's count, deletes it, or revises it. A batch of changes is summed by key into signed
-deltas before anything is written, and is committed under its name by one rename of a folder: a batch whose name
-is there already changes nothing, and a writer that dies leaves only a folder nobody reads. Totals are the sum
-of the committed deltas, so batches may arrive in any order. ``compact`` folds them into one delta and keeps the
-names of what it folded.
+deltas before anything is written. The deltas go to a folder of their own; the batch counts once its entry in the log
+is there, a file that is created under the next number and only if no other writer has created it: then the log is
+read again, and the entry takes the number after, unless the batch's name is in it by now. A batch whose name is there
+already changes nothing, and a writer that dies leaves only a folder nobody reads. Totals are the sum of the deltas
+that count, so batches may arrive in any order. ``compact`` writes their sum as an entry that stands for all before it;
+names are looked up in the log as a table.
 
 Defined results: null sources, languages and tokenizers are keys of their own; a null text counts no tokens;
 repeated changes in one batch count as often as they occur; keys whose document and token totals are both zero
@@ -13,8 +15,10 @@ are left out; an empty batch commits and adds nothing. Extra columns are ignored
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +58,9 @@ def _signed(rows: DataFrame, documents: Column, tokens: Column, tokenizer: str)
     return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), documents.cast("long").alias("documents"), tokens.cast("long").alias("tokens"))
 
 
+_ENTRY = "number long, batch string, folder string, folds boolean"
+
+
 class Rollup:
     """A rollup in a folder that all executors share."""
 
@@ -62,64 +69,71 @@ class Rollup:
         self._paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._files = self._paths(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _log(self) -> DataFrame:
+        """``number, batch, folder, folds``: one row an entry."""
+        if not self._files.exists(self._paths(f"{self.path}/log")):
+            return self.spark.createDataFrame([], _ENTRY)
+        return self.spark.read.schema(_ENTRY).json(f"{self.path}/log")
+
     def committed(self) -> list[str]:
-        """Names of the batches whose deltas count."""
-        root = self._paths(f"{self.path}/committed")
-        if not self._files.exists(root):
-            return []
-        return sorted(s.getPath().getName() for s in self._files.listStatus(root))
+        """Names of the entries that count: the last fold and the batches since."""
+        return sorted(r["batch"] for r in self._live().collect())
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add a batch; False, and no change, where its name is committed or was folded."""
-        if batch in self.committed() or batch in self._folded():
+        """Add a batch; False, and no change, where its name is in the log."""
+        if self._known(batch):
             return False
-        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
-        self._deltas(changes).write.parquet(staged)
-        self._files.mkdirs(self._paths(f"{self.path}/committed"))
-        return self._rename(staged, batch)
-
-    def _rename(self, staged: str, batch: str) -> bool:
-        target = self._paths(f"{self.path}/committed/{batch}")
-        done = not self._files.exists(target) and self._files.rename(self._paths(staged), target)
-        if not done:
-            self._files.delete(self._paths(staged), True)
-        return bool(done)
+        folder = self._written(changes)
+        while not self._known(batch):
+            if self._entered(batch, folder, False):
+                return True
+        self._files.delete(self._paths(f"{self.path}/{folder}"), True)
+        return False
+
+    def _known(self, batch: str) -> bool:
+        return not self._log().where(F.col("batch") == batch).isEmpty()
+
+    def _written(self, changes: DataFrame) -> str:
+        folder = f"deltas-{uuid.uuid4().hex}"
+        self._deltas(changes).write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _entered(self, batch: str, folder: str, folds: bool, after: int | None = None) -> bool:
+        """Create the next entry of the log, or the one after ``after``; False where another writer was first."""
+        last = self._log().agg(F.max("number")).first()[0] if after is None else after
+        number = 0 if last is None else last + 1
+        target = self._paths(f"{self.path}/log/{number:012d}.json")
+        try:
+            out = self._files.create(target, False)  # exclusive: fails where the file is there
+        except Py4JJavaError:
+            if self._files.exists(target):
+                return False
+            raise
+        out.write(bytearray((json.dumps({"number": number, "batch": batch, "folder": folder, "folds": folds}) + "\n").encode()))
+        out.close()
+        return True
 
     @staticmethod
     def _deltas(changes: DataFrame) -> DataFrame:
         return changes.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
 
-    def _folded(self) -> set[str]:
-        return {name for batch in self.committed() if batch.startswith("fold-") for name in self._names(batch)}
-
-    def _names(self, batch: str) -> list[str]:
-        """The batches that a fold stands for; their names are few and kept beside its deltas."""
-        table = self.spark.read.parquet(f"{self.path}/folds/{batch}")
-        return [r["name"] for r in table.collect()]
+    def _live(self) -> DataFrame:
+        """The last fold and the entries after it."""
+        log = self._log()
+        fold = log.where("folds").agg(F.max("number")).first()[0]
+        return log if fold is None else log.where(F.col("number") >= fold)
 
     def compact(self) -> None:
-        """Fold all counted batches into one; the fold's list of names is written before it counts."""
-        names = self._live()
-        if len(names) < 2:
-            return
-        fold = f"fold-{uuid.uuid4().hex}"
-        covered = sorted(set(names) | {n for b in names if b.startswith("fold-") for n in self._names(b)})
-        self.spark.createDataFrame([(n,) for n in covered], "name string").write.parquet(f"{self.path}/folds/{fold}")
-        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
-        self._deltas(self._read(names)).write.parquet(staged)
-        if self._rename(staged, fold):
-            for name in names:
-                self._files.delete(self._paths(f"{self.path}/committed/{name}"), True)
-
-    def _live(self) -> list[str]:
-        folded = self._folded()
-        return [b for b in self.committed() if b not in folded]
-
-    def _read(self, names: list[str]) -> DataFrame:
-        return self.spark.read.schema(_DELTA).parquet(*[f"{self.path}/committed/{n}" for n in names])
+        """Write the sum of what counts as one entry, if no batch comes in between; its folders stay for readers."""
+        entries = self._live().select("number", "folder").collect()  # those since the last fold
+        if len(entries) > 1:
+            self._entered(f"fold-{uuid.uuid4().hex}", self._written(self._read([e["folder"] for e in entries])), True, max(e["number"] for e in entries))
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(_DELTA).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, documents, tokens`` over the batches that count."""
-        names = self._live()
-        rows = self._read(names) if names else self.spark.createDataFrame([], _DELTA)
+        folders = [e["folder"] for e in self._live().select("folder").collect()]  # those since the last fold
+        rows = self._read(folders) if folders else self.spark.createDataFrame([], _DELTA)
         return self._deltas(rows).where("documents <> 0 or tokens <> 0")

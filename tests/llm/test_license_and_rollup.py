@@ -121,3 +121,35 @@ def test_a_writer_that_dies_leaves_nothing(spark, tmp_path):
     rollup = token_rollup.Rollup(spark, f"{tmp_path}/rollup")
     token_rollup.Rollup._deltas(token_rollup.inserted(rows, rows.n, "v1")).write.parquet(f"{tmp_path}/rollup/staged-dead")
     assert totals(rollup) == {} and rollup.commit("one", token_rollup.inserted(rows, rows.n, "v1")) and totals(rollup) == {("a", "en", "v1"): (1, 5)}
+
+
+def test_of_two_writers_one_takes_the_next_entry(spark, tmp_path):
+    """A writer that reads the log before another's entry finds its number taken, and its batch known or not."""
+    rows = spark.createDataFrame([("a", "en", 5, 4, "x")], CHANGES)
+    slow, fast = (token_rollup.Rollup(spark, f"{tmp_path}/rollup") for _ in range(2))
+    folder = slow._written(token_rollup.inserted(rows, rows.n, "v1"))
+    assert fast.commit("same", token_rollup.inserted(rows, rows.n, "v1"))
+    assert not slow._entered("same", folder, False, after=-1) and slow._known("same")
+    assert totals(slow) == {("a", "en", "v1"): (1, 5)}
+    assert slow._entered("other", folder, False) and totals(fast) == {("a", "en", "v1"): (2, 10)}
+
+
+def test_rollup_query_on_edges(spark, tmp_path):
+    """Nulls, very long texts, repeated rows, clashing columns and an empty table."""
+    from helpers import EDGES, empty, frame
+
+    from loreweave.llm import queries
+
+    for name, rows in (("full", frame(spark, EDGES)), ("none", empty(spark))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = totals_of(queries.op4_token_rollup(spark, f"{tmp_path}/full"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/full/documents.parquet/*.parquet'")
+    want = {tuple(r)[:3]: tuple(r)[3:] for r in con.execute(queries._TOKEN_ROLLUP).fetchall()}
+    assert {k: v for k, v in got.items() if k[2] == "pieces"} and set(got) == {k for k, v in want.items() if any(v)}
+    assert sum(v[0] for v in got.values()) == sum(v[0] for v in want.values())
+    assert queries.op4_token_rollup(spark, f"{tmp_path}/none").count() == 0
+
+
+def totals_of(df):
+    return {tuple(r)[:3]: tuple(r)[3:] for r in df.collect()}
