@@ -56,7 +56,8 @@ def nfc(c: Column | str) -> Column:
         return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
     c = _col(c)
-    return F.coalesce(compose(F.when(c.rlike(_uncomposed()), c)), c)
+    beyond = c.rlike(r"[^\x{0}-\x{2FF}]")  # nothing before the first combining mark is changed; a cheap test that most texts end with
+    return F.coalesce(compose(F.when(beyond & c.rlike(_uncomposed()), c)), c)
 
 
 def is_blank(c: Column | str) -> Column:
