@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import bm25_packing, bpe_transducer, debruijn_dedup, html_wrapper, license_rules, mpeg_ts, multi_index_ann, shared, simhash_bktree, token_rollup, toxicity_nbsvm
+from loreweave.llm import bm25_packing, bpe_transducer, conversation_repair, debruijn_dedup, html_wrapper, license_rules, mpeg_ts, multi_index_ann, shared, simhash_bktree, spelling_variants, token_rollup, toxicity_nbsvm, url_trust
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,51 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.vocabulary(_table(spark, sf_dir, "documents"), drop_every=31)
+    return spelling_variants.variants(words)
+
+
+URL_RULES = [
+    url_trust.Rule("allow", "org", "/"),
+    url_trust.Rule("block", "example.org", "/es/"),
+    url_trust.Rule("block", "example.org", "/en/1"),
+    url_trust.Rule("allow", "com", "/fr/"),
+    url_trust.Rule("block", "com", "/de/"),
+]
+
+
+def op12_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with planted faults by the CRC-32 of ``conv_id:turn``, nulls being a space: of 20 rows one is dropped,
+    one emptied, one loses its sentence ends, one is repeated and one becomes the user's."""
+    spaced = {name: F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn", "role", "text")}
+    rows = conversations.select(
+        "conv_id", "turn", spaced["role"].alias("role"), spaced["text"].alias("text"),
+        (F.crc32(F.concat_ws(":", spaced["conv_id"], spaced["turn"])) % 20).alias("fault"),
+    )
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("fault") == 3, 2).otherwise(1)
+    rows = rows.where("fault <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), times)).alias("copy"))
+    return rows.drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    rows = conversation_repair.ordered(damaged(conversations))
+    audits = shared.written(conversation_repair.audits(rows), "audits")
+    digests = conversation_repair.digests(conversation_repair.repaired(rows, audits)).withColumnRenamed("conv_id", "hashed")
+    found = audits.drop("roles", "signature").withColumnRenamed("conv_id", "own")
+    everyone = conversations.select("conv_id").distinct()
+    out = everyone.join(found, F.col("conv_id").eqNullSafe(F.col("own")), "left").join(digests, F.col("conv_id").cast("string").eqNullSafe(F.col("hashed")), "left")
+    counts = [F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,6 +143,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_bpe_codec": op10_bpe_codec,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_url_trust": op12_url_trust,
+        "op13_conversation_repair": op13_conversation_repair,
         "pipeline": pipeline,
     }
 
@@ -121,4 +169,5 @@ def oracle_sql() -> dict:
     return {
         "op2_license_rules": license_rules.oracle(),
         "op4_token_rollup": _TOKEN_ROLLUP,
+        "op12_url_trust": url_trust.oracle(URL_RULES),
     }

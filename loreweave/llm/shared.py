@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; long texts make it shorter.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_LOOK_SECONDS, _last_look = 5.0, [0.0]
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -41,11 +42,20 @@ def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     df.write.option("compression", compression).parquet(path)
     schema = df.schema
     del df
+    _let_go(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Have the JVM look for shuffles that nothing holds any more, once in a while; small tables follow each other
+    faster than that."""
+    if time.monotonic() - _last_look[0] < _LOOK_SECONDS:
+        return
     for _ in range(2):  # the first finds plans still held by listeners that were told of their end
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
+    _last_look[0] = time.monotonic()
 
 
 def discard(table: DataFrame) -> None:
