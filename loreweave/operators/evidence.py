@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreweave.functions import text as X
+from loreweave.operators.fusion import FusionPolicy
+
+CHANNELS = ("LEXICAL", "VECTOR", "GRAPH")
 
 
 def revalidated(candidates: DataFrame, authority: DataFrame, workspace: int) -> DataFrame:
@@ -110,3 +113,96 @@ def interleaved(original: DataFrame, rewritten: DataFrame, limit: int) -> DataFr
     once = Window.partitionBy("stable_id").orderBy("rank", "side")
     rows = rows.withColumn("fold", F.row_number().over(once)).where("fold = 1").drop("fold")
     return rows.orderBy("rank", "side").limit(limit)
+
+
+def _rejection(prefix: str) -> Column:
+    """Why canonical rows, joined as ``prefix...`` columns, do not back a candidate."""
+    return (
+        F.when(F.col("workspace_id") != F.coalesce(F.col(f"{prefix}workspace"), F.col("workspace_id")), "WORKSPACE_MISMATCH")
+        .when(F.col(f"{prefix}hash").isNull(), "AUTHORITY_MISSING")
+        .when(~F.coalesce(F.col(f"{prefix}eligible"), F.lit(False)), "INELIGIBLE")
+        .when(~F.col("content_hash").eqNullSafe(F.col(f"{prefix}hash")), "STALE_REVISION")
+    )
+
+
+def _authority(rows: DataFrame, prefix: str, *more: str) -> DataFrame:
+    return rows.select("kind", "stable_id", F.col("workspace_id").alias(f"{prefix}workspace"), F.col("content_hash").alias(f"{prefix}hash"), F.col("eligible").alias(f"{prefix}eligible"), *more)
+
+
+def fused_trace(candidates: DataFrame, authority: DataFrame, now: DataFrame, policy: FusionPolicy, max_items: int = 8, max_characters: int = 12000, group: tuple[str, ...] = (), graph_current: bool = True) -> DataFrame:
+    """Every candidate of the channels LEXICAL, VECTOR and GRAPH with what became of it: a row per identity.
+
+    candidates: ``channel, kind, stable_id, ordinal, workspace_id, content_hash``, in the order of their channel;
+    authority: ``kind, stable_id, workspace_id, content_hash, eligible, content`` as the channels are read; now: the same
+    without content, as the answer is given. ``group`` keeps the candidates of many queries apart.
+
+    The columns: the places in the channels (``lexical``, ``vector``, ``graph``; rejected candidates have theirs), the
+    ``rejections`` as CHANNEL:REASON, ``score`` and ``fused_rank`` of those that a channel kept, by weighted reciprocal
+    ranks among the kept, ``modalities``, ``disposition`` (REJECTED, SELECTED, BUDGET_EXCLUDED, NOT_REACHED), the
+    ``reason`` of a rejection and the ``evidence`` of what is selected. Selection goes down the fused order until the
+    items or characters are used up; what is blank is excluded, the item that is cut ends it. Selected items that are
+    no longer current at the end, or that only a graph that has moved on speaks for, are rejected and not replaced.
+    """
+    key = [*group, "kind", "stable_id"]
+    own = candidates.groupBy(*group, "channel", "kind", F.col("stable_id").cast("string").alias("stable_id")).agg(F.min("ordinal").alias("first"), F.min_by(F.struct("workspace_id", "content_hash"), "ordinal").alias("c"))
+    own = own.select(*group, "channel", "kind", "stable_id", "first", "c.*")
+    by_channel = Window.partitionBy(*group, "channel")  # a channel is bounded by its candidate limit
+    own = own.withColumn("ordinal", F.row_number().over(by_channel.orderBy("first")))
+    then = _authority(authority.withColumn("stable_id", F.col("stable_id").cast("string")), "a_", "content")
+    own = own.join(then, ["kind", "stable_id"], "left").withColumn("rejection", _rejection("a_"))
+    own = own.withColumn("rank", F.when(F.col("rejection").isNull(), F.row_number().over(Window.partitionBy(*group, "channel", F.col("rejection").isNull()).orderBy("ordinal"))))
+
+    kept = F.col("rank").isNotNull()
+    part = policy.weight(F.col("channel")) / (F.lit(policy.k) + F.col("rank"))
+    merged = own.groupBy(*key).agg(
+        *[F.max(F.when(F.col("channel") == c, F.col("ordinal"))).alias(c.lower()) for c in CHANNELS],
+        F.array_join(F.array_sort(F.collect_list(F.when(~kept, F.concat("channel", F.lit(":"), "rejection")))), ",").alias("rejections"),
+        F.round(F.sum(part), 12).alias("score"),
+        F.array_sort(F.collect_set(F.when(kept, F.col("channel")))).alias("modalities"),
+        F.max(F.when(kept, F.col("content"))).alias("content"), F.max(F.when(kept, F.col("content_hash"))).alias("content_hash"), F.max("workspace_id").alias("workspace_id"),
+    )
+    alive = F.col("score").isNotNull()
+    place = F.row_number().over(Window.partitionBy(*group, F.col("score").isNotNull()).orderBy(F.desc("score"), "kind", "stable_id"))
+    merged = merged.withColumn("fused_rank", F.when(alive, place))
+
+    # what the budget decides needs the lengths alone, in fused order: a list as long as the channels are
+    lead = F.length(F.regexp_extract("content", r"^\s*", 0))
+    item = F.struct("fused_rank", F.length("content").alias("long"), lead.alias("lead"), "kind", "stable_id")
+    lists = merged.where(alive).groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit(False).alias("ended"), F.array().cast("array<struct<kind:string,stable_id:string,fate:string,room:int>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        room = F.lit(max_characters) - state["used"]
+        full = (state["n"] >= max_items) | (room <= 0)
+        blank = F.least(x["long"], room) <= x["lead"]
+        fate = F.when(state["ended"], "NOT_REACHED").when(full | blank, "BUDGET_EXCLUDED").otherwise("SELECTED")
+        taken = ~state["ended"] & ~full & ~blank
+        return F.struct(
+            F.when(taken, state["n"] + 1).otherwise(state["n"]).alias("n"),
+            F.when(taken, state["used"] + F.least(x["long"], room)).otherwise(state["used"]).alias("used"),
+            (state["ended"] | full | (taken & (x["long"] > room))).alias("ended"),
+            F.concat(state["out"], F.array(F.struct(x["kind"].alias("kind"), x["stable_id"].alias("stable_id"), fate.alias("fate"), F.greatest(room, F.lit(0)).alias("room")))).alias("out"),
+        )
+
+    fates = lists.select(*group, F.explode(F.aggregate("items", begin, step, lambda state: state["out"])).alias("f")).select(*group, "f.*")
+    rows = merged.join(fates, key, "left").join(_authority(now.withColumn("stable_id", F.col("stable_id").cast("string")), "n_"), ["kind", "stable_id"], "left")
+    selected = F.col("fate") == "SELECTED"
+    graph_only = F.lit(not graph_current) & (F.array_join("modalities", ",") == "GRAPH")
+    late = F.when(selected, F.when(graph_only, "PROJECTION_STALE").otherwise(_rejection("n_")))
+    rows = rows.withColumn("reason", F.when(F.col("fate").isNull(), F.split_part(F.split_part("rejections", F.lit(","), F.lit(1)), F.lit(":"), F.lit(2))).otherwise(late))
+    disposition = F.when(F.col("reason").isNotNull(), "REJECTED").otherwise(F.col("fate"))
+    return rows.select(
+        *key, "lexical", "vector", "graph", F.when(F.col("rejections") != "", F.col("rejections")).alias("rejections"), "score", "fused_rank", F.array_join("modalities", ",").alias("modalities"),
+        disposition.alias("disposition"), "reason", F.when(disposition == "SELECTED", F.substring("content", F.lit(1), F.col("room"))).alias("evidence"),
+    )
+
+
+def outcomes(trace: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """Per channel what it gave: candidates, rejected ones, selected items, and CONTRIBUTED, EMPTY or REJECTED."""
+    rows = None
+    for name in CHANNELS:
+        own = trace.where(F.col(name.lower()).isNotNull())
+        refused = F.coalesce(F.col("rejections").contains(f"{name}:"), F.lit(False))
+        agg = own.groupBy(*group, F.lit(name).alias("channel")).agg(F.count("*").alias("candidates"), F.count_if(refused).alias("rejected"), F.count_if((F.col("disposition") == "SELECTED") & ~refused).alias("selected"))
+        rows = agg if rows is None else rows.unionByName(agg)
+    return rows.withColumn("outcome", F.when(F.col("candidates") > F.col("rejected"), "CONTRIBUTED").otherwise("REJECTED"))

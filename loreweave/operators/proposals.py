@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
+from loreweave.operators import digests
 
 # The page types that a candidate's type may name.
 PAGE_TYPES = tuple(X.PAGE_FOLDERS)
@@ -143,9 +144,9 @@ def rebuild_counts(attempted: Column, ineligible: Column) -> tuple[Column, Colum
 
 
 def snapshot_token(rows: DataFrame, *columns: str) -> DataFrame:
-    """One digest of embedding rows in order: fields parted by U+001F, rows by U+001E. Meant for one corpus of pages."""
+    """One digest of embedding rows in order: fields parted by U+001F, rows by U+001E, as a tree over ranges of rows."""
     line = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns])
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\x1e"), 256).alias("token"))
+    return digests.ordered(rows.select(line.alias("key"), line.alias("value"))).select(F.col("digest").alias("token"))
 
 
 def decoded_vector(c: Column | str) -> Column:

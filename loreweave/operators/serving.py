@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
-from loreweave.operators import ingest, lifecycle
+from loreweave.operators import ingest
 
 
-def fresh_documents(documents: DataFrame, chunks: DataFrame, ledger: DataFrame, projection_version: str) -> DataFrame:
-    """``document_id`` of the documents whose index rows may be served.
+def fresh_documents(documents: DataFrame, now: DataFrame, ledger: DataFrame, projection_version: str) -> DataFrame:
+    """``document_id`` of the documents whose index rows may be served, of those that ``now`` names.
 
     A document is fresh where it is eligible and its ledger row is SYNCED under this version, and where the ledger's
-    counts and digests, those of the canonical and those of the indexed chunks, are what the eligible chunks give now.
+    counts and digests, those of the canonical and those of the indexed chunks, are what ``now`` has: ``document_id,
+    chunks, fingerprint`` of the eligible chunks, from their stored digests (``digests.DocumentDigests``). No text is
+    read; give the fingerprints of the documents that hits name.
     """
-    eligible = chunks.where("eligible")
-    now = lifecycle.document_fingerprint(eligible, fields=("chunk_no", "normalized_content", "content_hash"))
     synced = ledger.where((F.col("sync_status") == "SYNCED") & (F.col("projection_version") == projection_version))
     rows = ingest.eligible(documents).select("document_id").join(synced, "document_id").join(now, "document_id")
     same = [F.col(c) == F.col("chunks") for c in ("eligible_count", "indexed_count")] + [F.col(c) == F.col("fingerprint") for c in ("canonical_fingerprint", "indexed_fingerprint")]
@@ -73,14 +73,14 @@ def paged(rows: DataFrame, order: list[Column | str], page: int, size: int) -> t
     return rows.orderBy(*order).offset(page * size).limit(size), total
 
 
-def revalidated_sources(candidates: DataFrame, documents: DataFrame, chunks: DataFrame, workspace: int) -> DataFrame:
+def revalidated_sources(candidates: DataFrame, documents: DataFrame, chunks: DataFrame, now: DataFrame, workspace: int) -> DataFrame:
     """Every source candidate with ``rejection``: null where canonical rows still back it, else the first test that fails.
 
     Candidates: ``workspace_id, stable_id, chunk_id, document_id, content_hash, eligible_count, fingerprint``. The tests,
     in order: workspace, identity, the document and its eligibility, the document's eligible chunks as they were, the
-    chunk, its eligibility and its hash. Two left joins with the bounded candidates.
+    chunk, its eligibility and its hash. ``now`` is as in ``fresh_documents``; left joins with the bounded candidates.
     """
-    now = lifecycle.document_fingerprint(chunks.where("eligible"), fields=("chunk_no", "normalized_content", "content_hash")).select("document_id", F.col("chunks").alias("now_count"), F.col("fingerprint").alias("now_fingerprint"))
+    now = now.select("document_id", F.col("chunks").alias("now_count"), F.col("fingerprint").alias("now_fingerprint"))
     alive = documents.select("document_id", F.lit(True).alias("document_there"), ((F.col("parse_status") == "PROCESSED") & ~F.col("status").isin(*ingest.DEAD)).alias("document_eligible"))
     own = chunks.select("chunk_id", "document_id", F.lit(True).alias("chunk_there"), F.col("eligible").alias("chunk_eligible"), F.col("content_hash").alias("chunk_hash"))
     rows = candidates.join(alive, "document_id", "left").join(now, "document_id", "left").join(own, ["chunk_id", "document_id"], "left")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
-from loreweave.operators import chunks, fusion, graph, ingest, lifecycle, wiki
+from loreweave.operators import chunks, digests, fusion, graph, ingest, lifecycle, wiki
 from loreweave.plans.search_queries import _CHANNELS, _channels, table
-from loreweave.sources.tables import stored
+from loreweave.sources.snapshots import Change, SnapshotStore
+from loreweave.sources.tables import files_of, scratch_folder
 
 
 def _inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,8 +248,21 @@ def _region_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.vertices(1, WORKSPACE=(table(spark, sf_dir, "region").where("r_regionkey in (0, 3)"), "r_regionkey"))
 
 
+_GRAPHS: dict[tuple, SnapshotStore] = {}
+
+
+def graph_store(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    """The stored graph of these tables; the first query of a session that needs it writes it."""
+    key = (spark.sparkContext.applicationId, *(files_of(spark, f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "customer", "orders")))
+    if key not in _GRAPHS:
+        _GRAPHS[key] = graph.store(spark, f"{scratch_folder(spark)}/loreweave-graph-{uuid.uuid4().hex}")
+        _GRAPHS[key].commit({"vertices": Change(graph.vertices(1, **_entities(spark, sf_dir))), "adjacency": Change(_graph_edges(spark, sf_dir))})
+    return _GRAPHS[key]
+
+
 def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reachable(stored(_graph_edges(spark, sf_dir).select("source_id", "target_id"), "edges"), _region_ids(spark, sf_dir), 3)
+    kept = graph_store(spark, sf_dir)
+    return graph.reachable(kept.read(kept.snapshot(), "adjacency"), _region_ids(spark, sf_dir), 3)
 
 
 _REACHABLE = f"""WITH RECURSIVE e AS ({_EDGES_SQL}), r AS (SELECT DISTINCT {_entity_sql("WORKSPACE", "r_regionkey")} AS entity_id, 0 AS depth FROM region WHERE r_regionkey IN (0, 3)
@@ -256,9 +272,15 @@ SELECT entity_id, min(depth) AS depth FROM r GROUP BY entity_id"""
 
 def graph_bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = [r["entity_id"] for r in _region_ids(spark, sf_dir).collect()]  # two seeds
-    found = graph.traverse(stored(_graph_edges(spark, sf_dir), "edges"), starts)
+    kept = graph_store(spark, sf_dir)
+    pinned = kept.snapshot()
+    found = graph.traverse_pinned(kept, pinned, starts)
     rows = spark.createDataFrame(found.candidates, "seed_id string, entity_id string, depth int, path array<string>")
-    return graph.admitted(rows, graph.vertices(1, **_entities(spark, sf_dir))).select("seed_id", "entity_id", "depth", F.size("path").alias("steps"), "entity_type", "rejection")
+    return graph.admitted(rows, kept.read(pinned, "vertices", keys=[c[1] for c in found.candidates])).select("seed_id", "entity_id", "depth", F.size("path").alias("steps"), "entity_type", "rejection")
+
+
+_ROW = _prefixed("relation_id", "relation_type", "source_id", "target_id")
+_GRAPH_DIGEST = f"SELECT digest AS fingerprint FROM ({digests.ordered_sql(f'SELECT relation_id AS key, sha256({_ROW}) AS value FROM ({_EDGES_SQL})')})"
 
 
 def graph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,6 +473,7 @@ SELECT doc_id, e AS edge, line, CAST(pages AS BIGINT) AS pages FROM g, (VALUES (
 SELECT DISTINCT 'ORPHAN_RELATION' AS defect, relation_id AS id FROM e WHERE source_id NOT IN (SELECT entity_id FROM v) OR target_id NOT IN (SELECT entity_id FROM v)""",
     "graph_seeds": _SEEDS,
     "graph_reachability": _REACHABLE,
+    "graph_fingerprint": _GRAPH_DIGEST,
     "title_slug_path": _SLUG,
     "wikilink_targets": r"""WITH b AS (SELECT p_partkey, list_distinct([lower(trim(p_name)), lower(trim(p_brand))]) AS d, lower(trim(p_name)) AS a, lower(trim(p_brand)) AS c FROM part)
 SELECT p_partkey, CAST(i AS INTEGER) AS ord, CASE WHEN i = 0 THEN a ELSE c END AS target FROM (SELECT *, unnest(range(len(d))) AS i FROM b)""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
 from loreweave.operators import evidence, fusion, lexical, vector
+from loreweave.sources.tables import files_of
 
 QUERY, WIKI_QUERY = "by from", "the and"
 QUESTION = "the order of ERR-1234 by from and"
@@ -56,14 +57,15 @@ def titled(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", title.alias("title"), F.substring(F.col("text"), F.length(title) + 2, F.length("text")).alias("body"))
 
 
-_INDEXES: dict[tuple[str, ...], lexical.FtsIndex] = {}
+_INDEXES: dict[tuple, lexical.FtsIndex] = {}
 
 
 def index(spark: SparkSession, sf_dir: str, corpus: str) -> lexical.FtsIndex:
     """The stored index of a corpus of these tables; the first query of a session that needs it writes it."""
-    key = (spark.sparkContext.applicationId, sf_dir, corpus)
+    name = "conversations" if corpus == "turns" else "documents"
+    key = (spark.sparkContext.applicationId, files_of(spark, f"{sf_dir}/{name}.parquet"), corpus)
     if key not in _INDEXES:
-        documents = table(spark, sf_dir, "conversations" if corpus == "turns" else "documents")
+        documents = table(spark, sf_dir, name)
         if corpus == "turns":
             documents = documents.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
         _INDEXES[key] = lexical.FtsIndex.over(titled(documents), "doc_id", ["title", "body"]) if corpus == "pages" else lexical.FtsIndex.over(documents, "doc_id", ["text"])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
-from loreweave.operators import lifecycle, proposals, serving
+from loreweave.operators import digests, proposals, serving
 from loreweave.plans.search_queries import _DOCS, QUERY, _bm25_sql, hits, table
+from loreweave.sources.tables import files_of, scratch_folder
 
 VERSION = "projection-v1"
 
@@ -30,9 +33,21 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("source").alias("document_id"), F.when(n % 6 == 5, "SUPERSEDED").otherwise("PROCESSED").alias("status"), F.when(n % 7 == 6, "FAILED").otherwise("PROCESSED").alias("parse_status"), F.when(n % 8 != 7, F.col("source")).alias("sha256"))
 
 
+_DIGESTS: dict[tuple, digests.DocumentDigests] = {}
+
+
+def _digests(spark: SparkSession, sf_dir: str) -> digests.DocumentDigests:
+    """The digests that the index keeps of the eligible chunks; the first query of a session that needs them writes them."""
+    key = (spark.sparkContext.applicationId, files_of(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _DIGESTS:
+        _DIGESTS[key] = digests.DocumentDigests(spark, f"{scratch_folder(spark)}/loreweave-digests-{uuid.uuid4().hex}")
+        _DIGESTS[key].refresh(_chunks(spark, sf_dir).where("eligible"))
+    return _DIGESTS[key]
+
+
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger as the index left it: some counts, digests, states and versions are behind."""
-    now = lifecycle.document_fingerprint(_chunks(spark, sf_dir).where("eligible"), fields=("chunk_no", "normalized_content", "content_hash"))
+    now = _digests(spark, sf_dir).fingerprints()
     n = _number("document_id")
     return now.select(
         "document_id", F.when(n % 9 == 3, "INDEX_PENDING").otherwise("SYNCED").alias("sync_status"), F.when(n % 11 == 4, "projection-v0").otherwise(VERSION).alias("projection_version"),
@@ -42,7 +57,7 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.fresh_documents(_sources(spark, sf_dir), _chunks(spark, sf_dir), _ledger(spark, sf_dir), VERSION)
+    return serving.fresh_documents(_sources(spark, sf_dir), _digests(spark, sf_dir).fingerprints(), _ledger(spark, sf_dir), VERSION)
 
 
 _N = "CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER)"
@@ -86,7 +101,7 @@ WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <
 
 def source_revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk as a candidate, some of them damaged, against what is there now."""
-    now = lifecycle.document_fingerprint(_chunks(spark, sf_dir).where("eligible"), fields=("chunk_no", "normalized_content", "content_hash"))
+    now = _digests(spark, sf_dir).fingerprints()
     rows = _chunks(spark, sf_dir).join(now, "document_id", "left")
     i = F.col("chunk_id")
     candidates = rows.select(
@@ -94,7 +109,7 @@ def source_revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "document_id", F.when(i % 19 == 0, F.lit("old")).otherwise(F.col("content_hash")).alias("content_hash"), F.when(i % 17 == 0, 0).otherwise(F.col("chunks")).alias("eligible_count"), "fingerprint",
     )
     candidates = candidates.withColumn("stable_id", F.when(F.col("stable_id") != "x", F.col("chunk_id").cast("string")).otherwise(F.col("stable_id")))
-    out = serving.revalidated_sources(candidates, _sources(spark, sf_dir).where("document_id <> 'src3'"), _chunks(spark, sf_dir), 1)
+    out = serving.revalidated_sources(candidates, _sources(spark, sf_dir).where("document_id <> 'src3'"), _chunks(spark, sf_dir), now, 1)
     return out.select("chunk_id", "rejection")
 
 
@@ -277,6 +292,6 @@ ORACLE = {
     "publish_outcomes": _PUBLISH,
     "citation_currentness": _CURRENTNESS,
     "latest_ingest_items": "WITH x AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_id % 100 % 3 <> 2 AND event_id % 100 IN (SELECT event_id FROM events WHERE event_id < 100)) SELECT user_id AS document_id, event_id AS item_id, event_type AS status FROM x WHERE n = 1",
-    "embedding_snapshot": "SELECT sha256(string_agg(x, chr(30) ORDER BY x)) AS token FROM (SELECT vec_id || chr(31) || label AS x FROM embeddings)",
+    "embedding_snapshot": f"SELECT digest AS token FROM ({digests.ordered_sql('SELECT vec_id || chr(31) || label AS key, vec_id || chr(31) || label AS value FROM embeddings')})",
     "target_references": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END AS page_id, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 50 <> 1 THEN regexp_replace(lower(trim(p_name)), '\\s+', ' ', 'g') END AS title, p_partkey % 4 = 1 AS path_valid, 'CONCEPT' AS page_type FROM part",
 }

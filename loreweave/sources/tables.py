@@ -20,6 +20,16 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+def files_of(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Path, length and time of each file of a table: what tells whether it was written anew."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(found):
+        return ()
+    status = files.getFileStatus(found)
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in (files.listStatus(found) if status.isDirectory() else [status])))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet and read back: its lineage ends here, and a lost executor costs nothing of it."""
     path = f"{scratch_folder(df.sparkSession)}/loreweave-{label}-{uuid.uuid4().hex}"

@@ -172,5 +172,5 @@ def test_inbox_scan_and_stream(spark, tmp_path):
     (folder / "c.bin").unlink()
     for _ in range(2):
         inbox.run(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert sorted(rows(spark.read.parquet(str(tmp_path / "out/documents")), "status")) == [("DUPLICATE",), ("PENDING",)]
-    assert spark.read.parquet(str(tmp_path / "out/chunks")).count() == 1
+    assert sorted(rows(inbox.table(spark, str(tmp_path / "out"), "documents"), "status")) == [("DUPLICATE",), ("PENDING",)]
+    assert inbox.table(spark, str(tmp_path / "out"), "chunks").count() == 1
