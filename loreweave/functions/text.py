@@ -34,22 +34,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@lru_cache(maxsize=1)
-def _uncomposed() -> str:
-    """A class of the characters that canonical composition can change: marks, vowel and final jamo, and those whose
-    own composed form is another."""
-    alone = [i for i in range(0x80, 0x30000) if not 0xD800 <= i < 0xE000 and unicodedata.normalize("NFC", chr(i)) != chr(i)]
-    runs: list[list[int]] = []
-    for i in alone:
-        if runs and i == runs[-1][1] + 1:
-            runs[-1][1] = i
-        else:
-            runs.append([i, i])
-    return r"[\p{M}\x{1160}-\x{11FF}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]"
+# Marks and jamo, and the blocks around all other characters that canonical composition changes.
+_COMPOSABLE = (
+    r"[\p{M}\x{1100}-\x{11FF}\x{374}-\x{387}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}-\x{A5E}\x{B5C}-\x{B5D}\x{F43}-\x{F69}\x{1F71}-\x{2001}"
+    r"\x{2126}-\x{212B}\x{2329}-\x{232A}\x{2ADC}\x{F900}-\x{FAD9}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D164}\x{1D1BB}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+)
 
 
 def nfc(c: Column | str) -> Column:
-    """Canonical composition. Spark has no such function; rows that it cannot change reach Python as null and come back as they were."""
+    """Canonical composition. Spark has no such function; rows that it cannot change reach Python as null and come back as
+    they were. Give a plain column: what stands here is worked out several times."""
 
     @F.arrow_udf(T.StringType())
     def compose(text: pa.Array) -> pa.Array:
@@ -57,7 +51,7 @@ def nfc(c: Column | str) -> Column:
 
     c = _col(c)
     beyond = c.rlike(r"[^\x{0}-\x{2FF}]")  # nothing before the first combining mark is changed; a cheap test that most texts end with
-    return F.coalesce(compose(F.when(beyond & c.rlike(_uncomposed()), c)), c)
+    return F.coalesce(compose(F.when(beyond & c.rlike(_COMPOSABLE), c)), c)
 
 
 def is_blank(c: Column | str) -> Column:
@@ -65,17 +59,25 @@ def is_blank(c: Column | str) -> Column:
     return ~F.coalesce(_col(c), F.lit("")).rlike(r"\S")
 
 
+@lru_cache(maxsize=1)
 def _accents() -> tuple[str, str]:
-    """Letters of the Latin, Greek and Cyrillic blocks with a mark, and what is left without it."""
-    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]]
-    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.combining(m) for m in d[1:])]
-    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+    """Composed letters whose base is one of A-Z or a-z, and that base; and final forms of Greek letters."""
+    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs) + "ςſ", "".join(d for _, d in pairs) + "σs"
 
 
 def fold_accents(c: Column | str) -> Column:
-    """Letters without their marks, as the index's tokenizer folds them."""
+    """Composed texts as the index's tokenizer folds them: Latin letters lose their marks, and combining diacritics go.
+    Letters and marks of other scripts stay."""
     marked, plain = _accents()
-    return F.regexp_replace(F.translate(_col(c), marked, plain), r"[̀-ͯ]", "")
+    return F.regexp_replace(F.translate(_col(c), marked, plain), r"[\x{300}-\x{36F}]", "")
+
+
+def folded_term(term: str) -> str:
+    """A term of a query as the index holds it: the driver's twin of ``lower`` and ``fold_accents``."""
+    term = unicodedata.normalize("NFC", term).lower().translate(str.maketrans(*_accents()))
+    return "".join(c for c in term if not "\u0300" <= c <= "\u036f")
 
 
 def segments(c: Column | str) -> Column:
@@ -84,21 +86,30 @@ def segments(c: Column | str) -> Column:
 
 
 def tokens(c: Column | str) -> Column:
-    """Index tokens: overlapping pairs of a Han run (a single one as it is), other runs in lower case."""
+    """Index tokens of the composed text: overlapping pairs of a Han run (a single one as it is), other runs in lower case."""
+    return composed_tokens(nfc(c))
+
 
+def composed_tokens(c: Column) -> Column:
+    """``tokens`` of a text that is composed already; unlike those it may stand in a lambda."""
     def one(s: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
         return F.when(s.rlike(r"^\p{IsHan}"), pairs).otherwise(F.array(F.lower(s)))
 
-    plain = F.transform(F.regexp_extract_all(_col(c), F.lit(r"[\p{L}\p{Nd}\p{M}]+"), F.lit(0)), F.lower)
-    found = F.when(_col(c).rlike(r"\p{IsHan}"), F.flatten(F.transform(segments(c), one))).otherwise(plain)
+    plain = F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{Nd}\p{M}]+"), F.lit(0)), F.lower)
+    found = F.when(c.rlike(r"\p{IsHan}"), F.flatten(F.transform(segments(c), one))).otherwise(plain)
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def index_tokens(c: Column | str) -> Column:
     """Tokens as the index stores them: folded after projection. Texts without Han need one pass of one pattern."""
-    plain = F.regexp_extract_all(F.lower(fold_accents(c)), F.lit(r"[\p{L}\p{Nd}\p{M}]+"), F.lit(0))
-    found = F.when(_col(c).rlike(r"\p{IsHan}"), F.transform(tokens(c), fold_accents)).otherwise(plain)
+    return composed_index_tokens(nfc(c))
+
+
+def composed_index_tokens(c: Column) -> Column:
+    """``index_tokens`` of a text that is composed already, such as a query."""
+    plain = F.regexp_extract_all(fold_accents(F.lower(c)), F.lit(r"[\p{L}\p{Nd}\p{M}]+"), F.lit(0))
+    found = F.when(c.rlike(r"\p{IsHan}"), F.transform(composed_tokens(c), fold_accents)).otherwise(plain)
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
@@ -163,8 +174,7 @@ def without_edges(c: Column | str, minimum: int = 2) -> Column:
 
 def normalized(c: Column | str, compose: bool = True, selected_format_strip: bool = True, edges: bool = False) -> Column:
     """The canonical text in its fixed order of steps; ``edges``: without repeated page edges, as the last but one."""
-    out = line_ends(c)
-    out = nfc(out) if compose else out
+    out = line_ends(nfc(c) if compose else c)  # line ends and composition do not touch each other
     out = strip_format_characters(out) if selected_format_strip else out
     out = strip_line_tails(strip_controls(out))
     return collapse_lines(without_edges(out) if edges else out)

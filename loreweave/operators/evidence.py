@@ -107,14 +107,6 @@ def serialized(blocks: DataFrame, question: str) -> Column:
     return render(F.col("blocks"))
 
 
-def interleaved(original: DataFrame, rewritten: DataFrame, limit: int) -> DataFrame:
-    """Two evidence lists taken in turns, the original first; an identity counts at its first place."""
-    rows = original.withColumn("side", F.lit(0)).unionByName(rewritten.withColumn("side", F.lit(1)), allowMissingColumns=True)
-    once = Window.partitionBy("stable_id").orderBy("rank", "side")
-    rows = rows.withColumn("fold", F.row_number().over(once)).where("fold = 1").drop("fold")
-    return rows.orderBy("rank", "side").limit(limit)
-
-
 def _rejection(prefix: str) -> Column:
     """Why canonical rows, joined as ``prefix...`` columns, do not back a candidate."""
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import math
 import re
 import unicodedata
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreweave.functions import text as X
+from loreweave.sources import snapshots
 from loreweave.sources.tables import scratch_folder
 
 MAX_QUERY_CHARACTERS, MAX_QUERY_TERMS = 256, 64
@@ -68,10 +70,6 @@ def match_expression(query: str) -> str:
     return " AND ".join(f'"{t}"' for t in query_terms(query))
 
 
-def folded(term: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", term) if not unicodedata.combining(c))
-
-
 @dataclass(frozen=True)
 class Bm25:
     """BM25 as the index computes it: k1 1.2, b 0.75; weights scale the term frequency of a column."""
@@ -104,92 +102,146 @@ def bm25(docs: DataFrame, doc_id: str, columns: dict[str, float], query: str, pa
 class FtsIndex:
     """A stored full-text index: postings by bucket of their term, document lengths, and generations of both.
 
-    A generation holds the rows of one write. The latest generation of a document counts, so that a write replaces
-    its documents whole and a deletion is a generation without postings. A search reads the buckets of its terms, of
-    every generation, and the lengths; a rebuild writes one generation and drops those before it.
+    A generation holds the rows of one write; it is there once its manifest is published, whole, under a number that
+    no other writer has. The latest generation of a document counts, so that a write replaces its documents whole and
+    a deletion is a generation without postings. A search reads the buckets of its terms, of every generation; the
+    number and mean length of documents are kept with the generation. A rebuild writes one generation in place of
+    those before it, whose files stay for running readers until ``vacuum``. Buckets are sized by the rows of each
+    write unless their number is given. Document ids are distinct.
     """
 
-    def __init__(self, spark: SparkSession, path: str, columns: list[str], buckets: int = 16) -> None:
+    #: Documents for each bucket of terms.
+    DOCUMENTS = 50_000
+
+    def __init__(self, spark: SparkSession, path: str, columns: list[str], buckets: int | None = None) -> None:
         self.spark, self.path, self.columns, self.buckets = spark, path.rstrip("/"), columns, buckets
 
     @classmethod
-    def over(cls, docs: DataFrame, doc_id: str, columns: list[str], buckets: int = 16) -> FtsIndex:
+    def over(cls, docs: DataFrame, doc_id: str, columns: list[str], buckets: int | None = None) -> FtsIndex:
         index = cls(docs.sparkSession, f"{scratch_folder(docs.sparkSession)}/loreweave-fts-{uuid.uuid4().hex}", columns, buckets)
         index.upsert(docs, doc_id)
         return index
 
-    def _folder(self) -> tuple:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def _manifests(self) -> dict[int, dict]:
+        """The generations that count."""
+        names = [n for n in snapshots.names_in(self.spark, f"{self.path}/generations") if n.endswith(".json")]
+        found = {int(n.removesuffix(".json")): json.loads(snapshots.text_of(self.spark, f"{self.path}/generations/{n}")) for n in names}
+        gone = {g for m in found.values() for g in m["replaces"]}
+        return {g: m for g, m in sorted(found.items()) if g not in gone}
 
     def generations(self) -> list[int]:
-        """Those whose lengths are written, which happens last."""
-        files, path = self._folder()
-        if not files.exists(path):
-            return []
-        names = [s.getPath() for s in files.listStatus(path)]
-        return sorted(int(p.getName().split("=")[1]) for p in names if files.exists(p.suffix("/lengths/_SUCCESS")))
-
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+        return list(self._manifests())
+
+    def _publish(self, manifest: dict, number: int | None = None) -> int:
+        """Under the next free number, or under this one; a StaleSnapshot where another writer has it."""
+        names = snapshots.names_in(self.spark, f"{self.path}/generations")
+        at = number or max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0) + 1
+        while not snapshots.publish(self.spark, f"{self.path}/generations/{at:012d}.json", json.dumps(manifest)):
+            if number:
+                raise snapshots.StaleSnapshot("another write came in between")
+            at += 1
+        return at
+
+    @staticmethod
+    def _bucket(term: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+    def _written(self, docs: DataFrame, doc_id: str) -> dict:
+        """Write the rows of a generation and return its manifest. Texts are read and cut into terms once: a document's
+        length is the row of a term that no text has."""
+        folder = uuid.uuid4().hex
+        at = f"{self.path}/data/{folder}"
+        ids = docs.where(F.col(doc_id).isNotNull())
+        buckets = self.buckets or max(16, -(-ids.count() // self.DOCUMENTS))
+        rows = ids.select(F.col(doc_id).alias("doc_id"), *[X.index_tokens(c).alias(f"t{i}") for i, c in enumerate(self.columns)])
+        rows = rows.withColumn("len", sum((F.size(f"t{i}") for i in range(len(self.columns))), F.lit(0)))
+        of = lambda column: lambda t: F.struct(t.alias("term"), F.lit(column).alias("column"))
+        whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("column")))
+        terms = rows.select("doc_id", "len", F.explode(F.concat(whole, *[F.transform(f"t{i}", of(i)) for i in range(len(self.columns))])).alias("t")).select("doc_id", "len", "t.*")
+        # one shuffle, by bucket and an eighth of the documents (lengths: a part of all shares); terms are counted and sorted where they arrive
+        own = F.col("term").isNotNull()
+        part = F.pmod(F.xxhash64("doc_id"), F.when(own, 8).otherwise(8 * buckets))
+        terms = terms.withColumn("bucket", F.when(own, self._bucket(F.col("term"), buckets)).otherwise(-1)).withColumn("part", part)
+        counts = [F.count(F.when(F.col("column") == i, 1)).cast("int").alias(f"tf{i}") for i in range(len(self.columns))]
+        postings = terms.repartition("bucket", "part").groupBy("bucket", "part", "term", "doc_id", "len").agg(*counts).drop("part")
+        postings.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
+        lengths = self.spark.read.schema(f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, len int, tf0 int").parquet(f"{at}/postings/bucket=-1") if "bucket=-1" in snapshots.names_in(self.spark, f"{at}/postings") else None
+        totals = {"rows": 0, "ids": 0, "most": 1, "total": 0}
+        if lengths is not None:
+            totals = lengths.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.max("tf0").alias("most"), F.sum("len").alias("total")).first()
+        if totals["rows"] != totals["ids"] or totals["most"] > 1:
+            raise ValueError("repeated document ids")
+        return {"folder": folder, "buckets": buckets, "rows": totals["rows"], "total": totals["total"], "key": rows.schema["doc_id"].dataType.simpleString(), "deletes": False, "replaces": []}
 
     def upsert(self, docs: DataFrame, doc_id: str) -> int:
         """Index the documents of a table, in place of what the index has of them; returns the generation."""
-        generation = max(self.generations(), default=0) + 1
-        rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), *[X.index_tokens(c).alias(f"t{i}") for i, c in enumerate(self.columns)])
-        rows = rows.select("doc_id", sum((F.size(f"t{i}") for i in range(len(self.columns))), F.lit(0)).alias("len"), *[f"t{i}" for i in range(len(self.columns))])
-        of = lambda column: lambda t: F.struct(t.alias("term"), F.lit(column).alias("column"))
-        marked = F.concat(*[F.transform(f"t{i}", of(i)) for i in range(len(self.columns))])
-        terms = rows.select("doc_id", "len", F.explode(marked).alias("t")).groupBy("doc_id", "len", F.col("t.term").alias("term"))
-        postings = terms.agg(*[F.count(F.when(F.col("t.column") == i, 1)).cast("int").alias(f"tf{i}") for i in range(len(self.columns))]).withColumn("bucket", self._bucket(F.col("term")))
-        folder = f"{self.path}/generation={generation}"
-        # a term's rows lie together in a bucket's files; a term of very many documents is spread over eight of them
-        postings = postings.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term")
-        postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-        rows.select("doc_id", F.col("len").alias("len")).write.mode("overwrite").parquet(f"{folder}/lengths")
-        return generation
+        return self._publish(self._written(docs, doc_id))
 
     def delete(self, ids: DataFrame, doc_id: str) -> int:
         """Take the documents with these ids out of the index."""
-        generation = max(self.generations(), default=0) + 1
-        ids.select(F.col(doc_id).alias("doc_id"), F.lit(None).cast("int").alias("len")).write.mode("overwrite").parquet(f"{self.path}/generation={generation}/lengths")
-        return generation
+        folder = uuid.uuid4().hex
+        gone = ids.select(F.col(doc_id).alias("doc_id"), F.lit(None).cast("int").alias("len")).distinct()
+        gone.write.parquet(f"{self.path}/data/{folder}/postings/bucket=-1")
+        return self._publish({"folder": folder, "buckets": 0, "rows": 0, "total": 0, "key": gone.schema["doc_id"].dataType.simpleString(), "deletes": True, "replaces": []})
 
     def rebuild(self, docs: DataFrame, doc_id: str) -> int:
-        """Index a whole table anew; what was there is dropped once the new generation is written."""
-        before, generation = self.generations(), self.upsert(docs, doc_id)
-        files, path = self._folder()
-        for old in before:
-            files.delete(path.suffix(f"/generation={old}"), True)
-        return generation
-
-    def lengths(self) -> DataFrame:
+        """Index a whole table anew, in place of all generations; a StaleSnapshot if a write came in between."""
+        before = self.generations()
+        return self._publish({**self._written(docs, doc_id), "replaces": before}, max(before, default=0) + 1)
+
+    def vacuum(self) -> None:
+        """Drop the files that no generation names. Run it when readers and writers of older ones are done."""
+        named = {m["folder"] for m in self._manifests().values()}
+        for folder in snapshots.names_in(self.spark, f"{self.path}/data"):
+            if folder not in named:
+                snapshots.remove(self.spark, f"{self.path}/data/{folder}")
+
+    def lengths(self, manifests: dict[int, dict] | None = None) -> DataFrame:
         """``doc_id, len, generation`` of the documents that count."""
-        found = self.generations()
-        parts = [self.spark.read.parquet(f"{self.path}/generation={g}/lengths").withColumn("generation", F.lit(g)) for g in found]
+        found = manifests or self._manifests()
+        parts = [self.spark.read.schema(f"doc_id {m['key']}, len int").parquet(f"{self.path}/data/{m['folder']}/postings/bucket=-1").withColumn("generation", F.lit(g)) for g, m in found.items() if m["rows"] or m["deletes"]]
+        if not parts:
+            return self.spark.createDataFrame([], "doc_id long, len int, generation int")
         if len(parts) == 1:
             return parts[0].where("len is not null")
         rows = reduce(DataFrame.unionByName, parts)
         latest = rows.groupBy("doc_id").agg(F.max("generation").alias("generation"), F.max_by("len", "generation").alias("len"))
         return latest.where("len is not null").select("doc_id", "len", "generation")
 
-    def postings(self, terms: list[str]) -> DataFrame:
+    def postings(self, terms: list[str], manifests: dict[int, dict] | None = None) -> DataFrame:
         """The rows of these terms, from their buckets alone, of the documents that count."""
-        files, path = self._folder()
-        found = [g for g in self.generations() if files.exists(path.suffix(f"/generation={g}/postings"))]
-        asked = [r["b"] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket(F.col("term")).alias("b")).distinct().collect()]  # the query's terms
-        key = self.spark.read.parquet(f"{self.path}/generation={self.generations()[0]}/lengths").schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {key}, len int, term string, " + "".join(f"tf{i} int, " for i in range(len(self.columns))) + "bucket int"
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/generation={g}/postings").withColumn("generation", F.lit(g)) for g in found]
-        rows = reduce(DataFrame.unionByName, parts).where(F.col("bucket").isin(asked) & F.col("term").isin(terms))
-        return rows if len(self.generations()) == 1 else rows.join(self.lengths().select("doc_id", "generation"), ["doc_id", "generation"])
+        found = manifests or self._manifests()
+        counts = sorted({m["buckets"] for m in found.values() if not m["deletes"]})
+        asked = self.spark.range(1).select(*[F.array_distinct(F.array(*[self._bucket(F.lit(t), n) for t in terms])).alias(str(n)) for n in counts]).first() if counts else {}
+        fields = "".join(f", tf{i} int" for i in range(len(self.columns)))
+        parts = []
+        for g, m in found.items():
+            if m["deletes"]:
+                continue
+            folder = f"{self.path}/data/{m['folder']}/postings"
+            there = set(snapshots.names_in(self.spark, folder))
+            paths = [f"{folder}/bucket={b}" for b in asked[str(m["buckets"])] if f"bucket={b}" in there]
+            rows = self.spark.read.schema(f"term string, doc_id {m['key']}, len int{fields}").parquet(*paths) if paths else self.spark.createDataFrame([], f"term string, doc_id {m['key']}, len int{fields}")
+            parts.append(rows.where(F.col("term").isin(terms)).withColumn("generation", F.lit(g)))
+        if not parts:
+            key = next((m["key"] for m in found.values()), "long")
+            return self.spark.createDataFrame([], f"term string, doc_id {key}, len int{fields}, generation int")
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows if len(found) == 1 else rows.join(self.lengths(found).select("doc_id", "generation"), ["doc_id", "generation"])
 
     def search(self, query: str, weights: list[float] | None = None, params: Bm25 = Bm25()) -> DataFrame:
         """``doc_id, bm25``: documents that hold every term of the query, the more negative the better."""
-        asked = [folded(t) for t in query_terms(query)]
+        query_terms(query)  # its bounds
+        # cut and folded by the same functions that cut and fold the texts
+        asked = self.spark.range(1).select(X.composed_index_tokens(F.lit(unicodedata.normalize("NFC", query.strip()))).alias("t")).first()["t"]
         distinct, weights = list(dict.fromkeys(asked)), weights or [1.0] * len(self.columns)
-        totals = self.lengths().agg(F.count("*").alias("rows"), F.avg("len").alias("avg_len")).first()
-        own = self.postings(distinct)
+        found = self._manifests()
+        if len(found) == 1:
+            only = next(iter(found.values()))
+            totals = {"rows": only["rows"], "avg_len": only["total"] / max(1, only["rows"])}
+        else:
+            totals = self.lengths(found).agg(F.count("*").alias("rows"), F.avg("len").alias("avg_len")).first() if found else {"rows": 0, "avg_len": 0.0}
+        own = self.postings(distinct, found)
         df = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row a term of the query
         if len(df) < len(distinct):
             return own.where("false").select("doc_id", F.lit(0.0).alias("bm25"))
@@ -242,11 +294,11 @@ def fallback(rows: DataFrame, query: str, terms: str, alias: str = "fallback") -
     occurs = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
 
     def reduces(candidate: Column, asked: Column, whole: Column) -> Column:
-        own = X.tokens(candidate)
+        own = X.composed_tokens(candidate)
         return (F.size(own) > 0) & (candidate != whole) & (F.size(own) < F.size(asked)) & F.forall(own, lambda t: occurs(own, t) <= occurs(asked, t))
 
     own = rows.withColumn("loreweave_query", X.nfc(F.regexp_replace(F.coalesce(F.col(query), F.lit("")), r"^\s+|\s+$", "")))
-    own = own.withColumn("loreweave_asked", X.tokens("loreweave_query")).withColumn("loreweave_technical", F.array_join(X.anchors("loreweave_query"), " "))
+    own = own.withColumn("loreweave_asked", X.composed_tokens(F.col("loreweave_query"))).withColumn("loreweave_technical", F.array_join(X.anchors("loreweave_query"), " "))
     own = own.withColumn("loreweave_kept", F.array_intersect("loreweave_asked", F.coalesce(F.col(terms), F.array().cast("array<string>"))))
     kept = F.col("loreweave_kept")
     worth = F.when(F.size(kept) > 1, F.exists(kept, lambda t: F.length(t) >= 2)).otherwise(F.exists(kept, lambda t: (F.length(t) >= 4) & t.rlike("[A-Za-z0-9]")))

@@ -78,7 +78,8 @@ _NOISY_SQL = "chr(65279) || text || ' ' || chr(9) || chr(13) || chr(10) || chr(1
 
 
 def normalized_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.sha256(X.normalized(_noisy())).alias("hash"), F.length(X.normalized(_noisy(), compose=False)).alias("length"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", _noisy().alias("raw")).select("doc_id", X.normalized("raw").alias("text"))
+    return rows.select("doc_id", X.sha256("text").alias("hash"), F.length("text").alias("length"))
 
 
 _NORMALIZED = rf"""WITH a AS (SELECT doc_id, nfc_normalize(replace(replace({_NOISY_SQL}, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS x FROM documents),

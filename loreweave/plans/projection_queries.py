@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
-from loreweave.operators import digests, embedding, evidence, fusion, graph
+from loreweave.operators import digests, embedding, evidence, fusion, graph, rewrite
 from loreweave.plans.knowledge_queries import _EDGES_SQL, _graph_edges
 from loreweave.plans.search_queries import _CHANNELS, _channels, table, titled
 from loreweave.plans.serving_queries import _chunks
@@ -216,7 +216,32 @@ SELECT CAST(i AS VARCHAR) AS stable_id, lexical, vector, graph, rejections, roun
  CASE WHEN reason IS NULL AND fate = 'SELECTED' THEN sha256(substr(content, 1, CAST(room AS INTEGER))) END AS evidence_hash FROM x"""
 
 
-QUERIES = {f.__name__: f for f in (graph_generations, graph_admission, graph_fused_duplicates, embedding_delta, digest_refresh, fused_trace)}
+def rewrite_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's first words as a query, some with a question's words or a technical one, and rewrites of them of
+    every kind."""
+    i = F.col("doc_id")
+    words = F.trim(F.regexp_replace(F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 100), r"[\x00-\x1F\x7F-\x9F]", " "))
+    query = F.concat(F.when(i % 3 != 0, F.lit("Please ")).otherwise(F.lit("")), words, F.when(i % 4 == 0, F.lit(" ERR-1234")).otherwise(F.lit("")))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", query.alias("query"), F.when(i % 5 == 0, "LEXICAL").when(i % 5 == 1, "FUSED").otherwise("HYBRID").alias("strategy"), (i % 11 != 0).alias("lexical_empty"), (i % 13 != 0).alias("evidence_there")
+    )
+    q = F.col("query")
+    other = F.when(i % 8 == 1, q).when(i % 8 == 2, F.regexp_replace(q, " ", "  ")).when(i % 8 == 3, F.concat(q, F.lit(" busy_timeout "))).when(i % 8 == 4, F.lit("other words ERR-1234")).when(i % 8 == 5, F.concat(q, F.lit("\x07")))
+    other = other.when(i % 8 == 6, F.repeat(F.lit("word "), 60)).when(i % 8 == 7, F.repeat(F.lit("a "), 65)).when(i % 16 == 0, F.lit("other words"))
+    return rewrite.decisions(rows.withColumn("rewritten", other)).select("doc_id", "applicability", "status")
+
+
+_REWRITES = r"""WITH q AS (SELECT doc_id AS i, trim(CASE WHEN doc_id % 3 <> 0 THEN 'Please ' ELSE '' END || trim(regexp_replace(substr(split_part(text, chr(10), 1), 1, 100), '[\x00-\x1F\x7F-\x{9F}]', ' ', 'g')) || CASE WHEN doc_id % 4 = 0 THEN ' ERR-1234' ELSE '' END) AS q FROM documents),
+w AS (SELECT i, q, trim(CASE i % 8 WHEN 1 THEN q WHEN 2 THEN replace(q, ' ', '  ') WHEN 3 THEN q || ' busy_timeout ' WHEN 4 THEN 'other words ERR-1234' WHEN 5 THEN q || chr(7) WHEN 6 THEN repeat('word ', 60) WHEN 7 THEN repeat('a ', 65) ELSE CASE WHEN i % 16 = 0 THEN 'other words' END END) AS r FROM q),
+t AS (SELECT *, list_transform(regexp_extract_all(q, '[\p{L}\p{Nd}\p{M}]+'), lambda x: lower(x)) AS tq, list_transform(regexp_extract_all(r, '[\p{L}\p{Nd}\p{M}]+'), lambda x: lower(x)) AS tr,
+  regexp_extract_all(q, '(?i)(?:[A-Z]{2,}-\d{3,}|[A-Z][A-Za-z0-9_$]*(?:Error|Exception)|[a-z][a-z0-9_]*_[a-z0-9_]+|[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*)+)') AS keep FROM w),
+a AS (SELECT *, CASE WHEN i % 5 = 0 THEN 'RETRIEVAL_SHAPE_UNSUPPORTED' WHEN len(tq) < 3 OR NOT (contains(lower(q), 'please') OR contains(lower(q), 'what is') OR contains(lower(q), 'how do')) THEN 'QUERY_SHAPE_UNSUPPORTED'
+  WHEN i % 11 = 0 OR i % 13 = 0 THEN 'RETRIEVAL_SHAPE_UNSUPPORTED' ELSE 'LEXICAL_MISS_CROWD_OUT' END AS applicability FROM t)
+SELECT i AS doc_id, applicability, CASE WHEN applicability <> 'LEXICAL_MISS_CROWD_OUT' THEN 'NO_OP_NOT_APPLICABLE' WHEN r IS NULL OR trim(r) = '' OR contains(r, chr(7)) THEN 'FALLBACK_PROVIDER_INVALID'
+ WHEN length(r) > 256 OR len(tr) > 64 THEN 'FALLBACK_OUTPUT_OVER_LIMIT' WHEN lower(r) = lower(q) OR tq = tr THEN 'NO_OP_DUPLICATE' WHEN len(list_filter(keep, lambda x: NOT contains(r, x))) > 0 THEN 'FALLBACK_EXACT_TOKEN_LOSS' ELSE 'REWRITE_APPLIED' END AS status FROM a"""
+
+
+QUERIES = {f.__name__: f for f in (graph_generations, graph_admission, graph_fused_duplicates, embedding_delta, digest_refresh, fused_trace, rewrite_decisions)}
 
 ORACLE = {
     "graph_generations": _STATUS,
@@ -226,4 +251,5 @@ ORACLE = {
     "embedding_delta": _EMBEDDING,
     "digest_refresh": _DIGESTS,
     "fused_trace": _TRACE,
+    "rewrite_decisions": _REWRITES,
 }

@@ -28,7 +28,7 @@ def _tokens_sql(column: str) -> str:
 
 def _bm25_sql(source: str, columns: dict[str, float], query: str) -> str:
     """CTEs that end in ``hits(doc_id, bm25)``."""
-    terms = [lexical.folded(t) for t in lexical.query_terms(query)]
+    terms = [X.folded_term(t) for t in lexical.query_terms(query)]
     distinct = list(dict.fromkeys(terms))
     lists = ", ".join(f"{_tokens_sql(c)} AS t_{c}" for c in columns)
     length = " + ".join(f"len(t_{c})" for c in columns)

@@ -1,9 +1,13 @@
+import sqlite3
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
 from loreweave.functions import vectors as V
 from loreweave.operators import lexical
+from loreweave.sources import snapshots
 
 
 def one(spark, expression):
@@ -129,6 +133,7 @@ def test_a_stored_index_is_replaced_by_document(spark, tmp_path):
     assert [d for d, _ in want] == [6] and sorted(map(tuple, index.search("by from").collect())) == want
     assert index.generations() == [1, 2, 3]
     index.rebuild(left, "id")
+    index.vacuum()
     assert index.generations() == [4] and sorted(map(tuple, index.search("by from").collect())) == want
     assert index.search("absent by").count() == 0
 
@@ -168,3 +173,54 @@ def test_repeated_page_edges(spark):
     assert clean("Head\f\n\fHead\nx") == "\f\n\fx"
     assert clean("a\nb\fb\na") == "a\nb\fb\na"
     assert one(spark, X.without_edges(F.lit(None).cast("string"))) is None
+
+
+def fts5(docs, query):
+    """Ids that SQLite's own index finds, over projected texts."""
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize = 'unicode61 remove_diacritics 2')")
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", [(i, " ".join(lexical.query_tokens(x))) for i, x in docs])
+    return [r[0] for r in con.execute("SELECT rowid FROM t WHERE t MATCH ? ORDER BY rowid", (lexical.match_expression(query),))]
+
+
+SCRIPTS = ["한국어 문서", "データベース 入門", "ガイド", "हिन्दी पाठ", "Café Ångström", "Ελλάδα ΟΔΟΣ", "ЁЖ йод", "naïve ầ ş", "全文搜尋", "ไทย", "עברית", "İstanbul Straße", "x̌y"]
+
+
+@pytest.mark.parametrize("query", ["한국어", "データベース", "ガイド", "हिन्दी", "cafe", "CAFÉ", "ångström", "ελλάδα", "οδος", "ёж", "ЙОД", "naive", "a", "Ş", "全文", "搜尋", "ไทย", "עברית", "istanbul", "straße", "Ελλαδα", "еж"])
+def test_scripts_are_found_as_sqlite_finds_them(spark, query):
+    docs = list(enumerate(SCRIPTS))
+    decomposed = [(i, unicodedata.normalize("NFD", x)) for i, x in docs]
+    want = fts5(docs, query)
+    for rows, asked in ((docs, query), (decomposed, query), (docs, unicodedata.normalize("NFD", query))):
+        index = lexical.FtsIndex.over(spark.createDataFrame(rows, "id long, body string"), "id", ["body"])
+        assert sorted(r["doc_id"] for r in index.search(asked).collect()) == want
+
+
+def test_one_fold_for_index_and_query(spark):
+    letters = [chr(i) for i in range(0x21, 0x30000) if unicodedata.category(chr(i))[0] == "L"]
+    words = [f"a{c}b" for c in letters if ord(c) < 0x3000] + [f"a{c}b" for c in letters[::29]]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").where(F.col("w").rlike(r"^[\p{L}\p{M}]+$")).select("w", X.index_tokens("w").alias("t"))
+    assert rows.count() > 4000  # letters that the JVM's version of Unicode has
+    assert [(r["w"], r["t"]) for r in rows.collect() if r["t"] != [X.folded_term(t) for t in lexical.query_tokens(r["w"])]] == []
+
+
+def test_composition_is_asked_for_where_it_may_change(spark):
+    changed = [chr(i) for i in range(0x21, 0x30000) if not 0xD800 <= i < 0xE000 and unicodedata.normalize("NFC", chr(i)) != chr(i)]
+    changed += [unicodedata.normalize("NFD", chr(i)) for i in range(0xAC00, 0xAC00 + 2000)] + ["カ\u3099", "e\u0301", "\u0627\u0653"]
+    rows = spark.createDataFrame([(c,) for c in changed], "c string").select("c", X.nfc("c").alias("n"))
+    assert all(r["n"] == unicodedata.normalize("NFC", r["c"]) for r in rows.collect())
+
+
+def test_writers_of_an_index_do_not_overwrite_each_other(spark, tmp_path):
+    index = lexical.FtsIndex(spark, str(tmp_path / "fts"), ["body"])
+    table = lambda *rows: spark.createDataFrame(list(rows), "id long, body string")
+    one, two = index._written(table((1, "alpha")), "id"), index._written(table((2, "alpha")), "id")
+    assert (index._publish(one), index._publish(two)) == (1, 2)
+    assert sorted(r["doc_id"] for r in index.search("alpha").collect()) == [1, 2]
+    late = index._written(table((3, "alpha")), "id")
+    index.upsert(table((4, "alpha")), "id")
+    with pytest.raises(snapshots.StaleSnapshot):  # a rebuild that another write overtook
+        index._publish({**late, "replaces": [1, 2]}, 3)
+    with pytest.raises(ValueError, match="repeated"):
+        index.upsert(table((5, "a"), (5, "a")), "id")
+    assert lexical.FtsIndex(spark, str(tmp_path / "empty"), ["body"]).search("alpha").count() == 0
