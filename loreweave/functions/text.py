@@ -202,10 +202,11 @@ def token_estimate(characters: Column) -> Column:
 
 def title_key(c: Column | str) -> Column:
     """A title as links compare it, composed."""
-    return _title_key(nfc(c))
+    return composed_title_key(nfc(c))
 
 
-def _title_key(c: Column) -> Column:
+def composed_title_key(c: Column) -> Column:
+    """``title_key`` of a text that is composed already."""
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
@@ -227,7 +228,7 @@ def wiki_path(page_type: Column, title: Column | str) -> Column:
 def tags(c: Column | str, count: int = 50, size: int = 80) -> Column:
     """Tags in normal form, distinct and sorted, of at most ``size`` characters; at most ``count``."""
     joined = nfc(F.array_join(F.transform(_col(c), lambda t: F.regexp_replace(t, r"[\s\x00]+", " ")), "\x00"))  # one text a row to compose
-    own = F.transform(F.split(joined, "\x00"), _title_key)
+    own = F.transform(F.split(joined, "\x00"), composed_title_key)
     own = F.filter(own, lambda t: t.isNotNull() & (t != "") & (F.length(t) <= size))
     return F.slice(F.array_sort(F.array_distinct(own)), 1, count)
 
@@ -235,7 +236,7 @@ def tags(c: Column | str, count: int = 50, size: int = 80) -> Column:
 def wikilinks(c: Column | str) -> Column:
     """Normalised targets of ``[[target|label]]`` links, first seen first."""
     found = F.regexp_extract_all(nfc(c), F.lit(WIKILINK), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, lambda t: _title_key(F.substring_index(t, "|", 1))), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: composed_title_key(F.substring_index(t, "|", 1))), lambda t: t != ""))
 
 
 def anchors(c: Column | str, pattern: str = FALLBACK_ANCHOR, limit: int = 4) -> Column:

@@ -58,9 +58,14 @@ def duplicate_clusters(registered: DataFrame) -> DataFrame:
     return own.groupBy(F.col("duplicate_of").alias("canonical_id")).agg(F.count("*").alias("copies"), F.min("document_id").alias("promoted_id"))
 
 
-def promote(registered: DataFrame, deleted_id: int) -> DataFrame:
-    """The rows after a canonical document is deleted: the least copy is PENDING, and the rest point at it."""
-    heir = registered.where(F.col("duplicate_of") == deleted_id).agg(F.min("document_id").alias("heir"))
+def promote(registered: DataFrame, deleted_id: int, files: DataFrame | None = None) -> DataFrame:
+    """The rows after a canonical document is deleted: the least copy whose file is there (``files``: ``source_path``) is
+    PENDING, or the least copy where no file is, and the rest point at it."""
+    copies = registered.where(F.col("duplicate_of") == deleted_id)
+    if files is not None:
+        copies = copies.join(files.select("source_path", F.lit(True).alias("there")).distinct(), "source_path", "left")
+    there = F.col("there") if files is not None else F.lit(None).cast("boolean")
+    heir = copies.agg(F.coalesce(F.min(F.when(there, F.col("document_id"))), F.min("document_id")).alias("heir"))
     rows = registered.join(F.broadcast(heir), F.lit(True), "left")  # one row
     mine = F.col("duplicate_of") == deleted_id
     status = F.when(F.col("document_id") == deleted_id, "DELETED").when(mine & (F.col("document_id") == F.col("heir")), "PENDING").otherwise(F.col("status"))

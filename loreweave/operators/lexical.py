@@ -265,6 +265,11 @@ def ranked(hits: DataFrame, limit: int, digits: int = 6) -> DataFrame:
     return best.withColumn("rank", rank).withColumn("score", F.round(1 / (RRF_K + F.col("rank")), 9))
 
 
+def match_order(hits: DataFrame, rows: DataFrame, row_id: str) -> DataFrame:
+    """Hits in the index's own order: by score, then by the place at which a document was put in (``doc_id, row_id``)."""
+    return hits.join(rows.select("doc_id", row_id), "doc_id").orderBy("bm25", row_id)
+
+
 def vocabulary(docs: DataFrame, doc_id: str, column: str) -> DataFrame:
     """``doc_id, terms``: the distinct tokens of each document."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.array_sort(F.array_distinct(X.tokens(column))).alias("terms"))

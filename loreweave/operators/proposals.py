@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
 from loreweave.operators import digests
+from loreweave.operators import published as published_files
 
-# The page types that a candidate's type may name.
+# The page types, and those that a candidate's type allows.
 PAGE_TYPES = tuple(X.PAGE_FOLDERS)
+ALLOWED_TYPES = {
+    "CONCEPT": ("CONCEPT", "TECHNOLOGY", "PROJECT", "PERSON", "ORGANIZATION"),
+    "FACT": ("CONCEPT", "TECHNOLOGY", "PROJECT", "PERSON", "ORGANIZATION", "REFERENCE"),
+    "PROCEDURE": ("HOWTO", "TROUBLESHOOTING"),
+    "DECISION": ("DECISION",),
+    "REFERENCE": ("REFERENCE", "TECHNOLOGY"),
+}
 
 
 def overview(proposals: DataFrame, documents: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -59,10 +67,20 @@ def retagged(proposals: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).withColumn("tags", F.when(asked & open_, X.tags("new_tags")).otherwise(F.col("tags"))).drop("new_tags")
 
 
-def page_type(candidate_type: Column | str) -> Column:
-    """The page type that a candidate's type names; CONCEPT for any other."""
-    c = F.upper(F.trim(F.col(candidate_type) if isinstance(candidate_type, str) else candidate_type))
-    return F.when(c.isin(*PAGE_TYPES), c).otherwise("CONCEPT")
+def page_type(candidate_type: Column, requested: Column) -> tuple[Column, Column]:
+    """The page type of a candidate, and why it has none: the type that was asked for, if the candidate's type allows
+    it, else the one that the candidate's type names. Null types are types that were not given."""
+    known = F.array(*[F.lit(t) for t in PAGE_TYPES])
+    allowed = F.element_at(F.create_map(*[x for kind, own in ALLOWED_TYPES.items() for x in (F.lit(kind), F.array(*[F.lit(t) for t in own]))]), candidate_type)
+    refusal = (
+        F.when(requested.isNotNull() & ~F.array_contains(known, requested), "UNSUPPORTED_CANDIDATE_MAPPING")
+        .when(candidate_type.isNull() & requested.isNull(), "UNSUPPORTED_CANDIDATE_MAPPING")
+        .when(candidate_type.isNull(), F.lit(None))
+        .when(allowed.isNull(), "UNSUPPORTED_CANDIDATE_MAPPING")
+        .when(requested.isNull() & candidate_type.isin("FACT", "PROCEDURE"), "AMBIGUOUS_CANDIDATE_MAPPING")
+        .when(requested.isNotNull() & ~F.array_contains(allowed, requested), "UNSUPPORTED_CANDIDATE_MAPPING")
+    )
+    return F.when(refusal.isNull(), F.coalesce(requested, candidate_type)), refusal
 
 
 def target_reference(c: Column | str) -> tuple[Column, Column]:
@@ -79,16 +97,49 @@ def valid_path(c: Column | str) -> Column:
     return F.coalesce(c.rlike(rf"^vault/(?:{folders})/[^/\\\\\x00-\x1f\x7f]+\.md$") & ~c.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), F.lit(False))
 
 
-def drafted(proposals: DataFrame) -> DataFrame:
-    """Approved proposals as drafts: title, type, path, action, tags and the markdown body.
+#: The agreed form of a proposal's data.
+DATA = "struct<pageType:string,title:string,summary:string,tags:array<string>,aliases:array<string>,sections:array<struct<heading:string,content:string>>,wikilinks:array<struct<targetTitle:string,label:string>>,_corrupt:string>"
+
 
-    The body: a heading of the title, a summary, and sections with their heading and text, parted by blank lines.
+def drafted(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Proposals as drafts: ``proposal_id, title, page_type, path, action, tags, markdown``, or ``refusal``.
+
+    Proposals: ``proposal_id, status, action, candidate_type, title, summary, data`` (JSON), ``document_id``; evidence:
+    ``proposal_id, chunk_id, chunk_no, page_no, document_id, excerpt``, bounded for a proposal. Only an approved
+    proposal that creates or merges is drafted. What its data gives goes before its candidate's title and summary;
+    without sections the summary is one.
     """
-    sections = F.transform("sections", lambda s: F.concat(F.lit("## "), s["heading"], F.lit("\n\n"), s["text"]))
-    body = F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), F.when(~X.is_blank("summary"), F.col("summary")), F.array_join(sections, "\n\n"))
-    kind = page_type("candidate_type")
-    rows = proposals.where("status = 'APPROVED'")
-    return rows.select("proposal_id", "title", kind.alias("page_type"), X.wiki_path(kind, "title").alias("path"), "action", X.tags("tags").alias("tags"), F.concat(body, F.lit("\n")).alias("markdown"))
+    own = evidence.groupBy("proposal_id").agg(
+        F.array_sort(F.collect_list(F.struct("chunk_id", "chunk_no", "page_no", "excerpt"))).alias("evidence"), F.array_sort(F.collect_set("document_id")).alias("evidence_documents"), F.count_distinct("chunk_id").alias("evidence_ids")
+    )
+    rows = proposals.join(own, "proposal_id", "left").withColumn("d", F.from_json("data", DATA, {"columnNameOfCorruptRecord": "_corrupt"}))
+    kind, mapping = page_type(F.col("candidate_type"), F.col("d.pageType"))
+    inline = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    title, summary = inline(F.coalesce("d.title", "title")), inline(F.coalesce("d.summary", "summary"))
+    given = F.col("d.sections")
+    bad_sections = (F.size(given) == 0) | F.exists(given, lambda s: X.is_blank(s["heading"]) | X.is_blank(s["content"])) | (F.size(F.array_distinct(F.transform(given, lambda s: F.lower(inline(s["heading"]))))) < F.size(given))
+    refusal = (
+        F.when(F.col("status") != "APPROVED", "PROPOSAL_NOT_APPROVED").when(~F.col("action").isin("CREATE", "MERGE"), "UNSUPPORTED_ACTION")
+        .when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), "INVALID_NORMALIZED_DATA").when(mapping.isNotNull(), mapping)
+        .when((F.coalesce(title, F.lit("")) == "") | (F.coalesce(summary, F.lit("")) == "") | F.coalesce(bad_sections, F.lit(False)), "INVALID_NORMALIZED_DATA")
+        .when(F.col("evidence").isNull() | (F.col("evidence_ids") < F.size("evidence")), "INVALID_EVIDENCE").when(X.slug(title).isNull(), "PATH_CONTRACT_MISMATCH")
+    )
+    rows = rows.withColumn("refusal", refusal).withColumn("page_type", kind).withColumn("draft_title", title).withColumn("draft_summary", summary)
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("draft_tags", X.tags(F.coalesce("d.tags", none)))
+    aliases = F.transform(F.array_sort(F.array_distinct(F.transform(F.coalesce("d.aliases", none), lambda a: F.struct(F.lower(inline(a)).alias("key"), inline(a).alias("alias"))))), lambda a: a["alias"])
+    whole = F.array(F.struct(F.lit("Summary").alias("heading"), F.col("draft_summary").alias("content")))
+    sections = F.when(given.isNotNull(), F.transform(given, lambda s: F.struct(inline(s["heading"]).alias("heading"), s["content"].alias("content")))).otherwise(whole)
+    links = F.transform(F.coalesce("d.wikilinks", F.array().cast("array<struct<targetTitle:string,label:string>>")), lambda x: F.struct(inline(x["targetTitle"]).alias("target"), inline(F.coalesce(x["label"], x["targetTitle"])).alias("label")))
+    links = F.array_sort(F.array_distinct(links))
+    documents = F.when(F.col("document_id").isNotNull(), F.array("document_id")).otherwise(F.col("evidence_documents"))
+    text = published_files.body(F.col("draft_title"), sections, links, F.col("evidence"))
+    markdown = published_files.draft_file(F.col("draft_title"), F.col("page_type"), F.col("draft_summary"), F.col("draft_tags"), aliases, documents, F.transform("evidence", lambda e: e["chunk_id"]), text)
+    kept = lambda c: F.when(F.col("refusal").isNull(), c)
+    return rows.select(
+        "proposal_id", kept(F.col("draft_title")).alias("title"), kept(F.col("page_type")).alias("page_type"), kept(X.wiki_path(F.col("page_type"), "draft_title")).alias("path"), "action",
+        kept(F.col("draft_tags")).alias("tags"), kept(markdown).alias("markdown"), "refusal",
+    )
 
 
 def published(pages: DataFrame, operations: DataFrame) -> DataFrame:

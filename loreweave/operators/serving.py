@@ -73,6 +73,14 @@ def paged(rows: DataFrame, order: list[Column | str], page: int, size: int) -> t
     return rows.orderBy(*order).offset(page * size).limit(size), total
 
 
+def wiki_list(pages: DataFrame, page_type: str | None, page: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """One page of the published pages, of one type or all, by id, and the totals."""
+    if page_type is not None and page_type not in X.PAGE_FOLDERS:
+        raise ValueError("unknown page type")
+    rows = pages.where("status = 'PUBLISHED'")
+    return paged(rows if page_type is None else rows.where(F.col("page_type") == page_type), ["knowledge_id"], page, size)
+
+
 def revalidated_sources(candidates: DataFrame, documents: DataFrame, chunks: DataFrame, now: DataFrame, workspace: int) -> DataFrame:
     """Every source candidate with ``rejection``: null where canonical rows still back it, else the first test that fails.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions import vectors as V
@@ -42,16 +42,18 @@ def candidates(projections: DataFrame, authority: DataFrame, query: list[float],
     return legal.orderBy("distance", "kind", F.col("stable_id").cast("string")).limit(limit)
 
 
+def drift(readiness: DataFrame, contract: dict[str, object]) -> DataFrame:
+    """``kind, generation, reason`` of the projections that a query vector of this contract may not be compared with: not
+    READY, or built by another provider or model, of another dimension or version."""
+    other = F.lit(False)
+    for column, value in contract.items():
+        other = other | ~F.col(column).eqNullSafe(F.lit(value))
+    reason = F.when(~F.col("status").eqNullSafe(F.lit("READY")), F.concat(F.lit("NOT_READY/"), F.coalesce("status", F.lit("NOT_BUILT")))).when(other, "METADATA_DRIFT")
+    return readiness.withColumn("reason", reason).where("reason is not null").select("kind", "generation", "reason")
+
+
 def fresh(projections: DataFrame, contract: dict[str, object]) -> DataFrame:
     """Projections of the current provider, model, dimension, version and generation."""
     for column, value in contract.items():
         projections = projections.where(F.col(column).eqNullSafe(F.lit(value)))
     return projections
-
-
-def nearest_each(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
-    """For a bounded set of queries (``query_id, query_vector``): the nearest rows of each. The queries are broadcast."""
-    pairs = right.join(F.broadcast(left), F.size("embedding") == F.size("query_vector"))
-    pairs = pairs.select("query_id", "stable_id", F.round(1 - V.cosine("embedding", "query_vector"), 6).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", F.col("stable_id").cast("string"))
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -43,16 +43,18 @@ def current_status(transitions: DataFrame, key: str, order: str) -> DataFrame:
 def lint(pages: DataFrame, proposals: DataFrame) -> DataFrame:
     """``knowledge_id, code, severity, detail``.
 
-    Pages: ``page_id, knowledge_id, title, targets`` (normalised link targets), ``content_ok``, ``proposal_id``. A page
-    whose content is not valid is skipped for links, but still checked for inbound links and provenance.
+    Pages: ``page_id, knowledge_id, title, targets`` (normalised link targets), ``content_status`` (VALID, INVALID or
+    UNREADABLE, see ``published.checked``), ``proposal_id``. A page whose content is not valid is skipped for links, but
+    still checked for inbound links and provenance.
     """
     rows = pages.withColumn("title_key", X.title_key("title"))
     find = lambda df, code, severity, detail: df.select("knowledge_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.alias("detail"))
     twice = rows.groupBy("knowledge_id").count().where("count > 1").select("knowledge_id")
     out = find(rows.join(twice, "knowledge_id", "left_semi"), "DUPLICATE_IDENTITY", "ERROR", F.lit("duplicate knowledgeId in workspace"))
-    out = out.unionByName(find(rows.where(~F.col("content_ok")), "CANONICAL_CONTENT_INVALID", "ERROR", F.lit("content does not match its metadata")))
+    out = out.unionByName(find(rows.where("content_status = 'INVALID'"), "CANONICAL_CONTENT_INVALID", "ERROR", F.lit("content does not match its metadata")))
+    out = out.unionByName(find(rows.where("content_status = 'UNREADABLE'"), "CANONICAL_CONTENT_UNREADABLE", "ERROR", F.lit("content could not be read")))
     titles = rows.select("title_key").distinct()
-    links = rows.where("content_ok").select("page_id", "knowledge_id", "title_key", F.explode("targets").alias("target")).where("target <> title_key")
+    links = rows.where("content_status = 'VALID'").select("page_id", "knowledge_id", "title_key", F.explode("targets").alias("target")).where("target <> title_key")
     broken = links.join(titles.withColumnRenamed("title_key", "target"), "target", "left_anti")
     out = out.unionByName(find(broken, "BROKEN_INTERNAL_LINK", "ERROR", F.concat(F.lit("wikilink target not published: "), F.col("target"))))
     orphans = rows.join(links.select(F.col("target").alias("title_key")).distinct(), "title_key", "left_anti")
@@ -95,19 +97,6 @@ def tag_suggestions(candidates: DataFrame, analyses: DataFrame, documents: DataF
     return rows.select("document_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), freshness.alias("freshness"))
 
 
-def rendered(title: str, page_type: str, tags: str, body: str, knowledge_id: str, revision: str) -> Column:
-    """The published file of a page: frontmatter and body."""
-    listed = F.concat_ws("\n", F.transform(tags, lambda t: F.concat(F.lit("  - "), t)))
-    lines = [F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in (("id", knowledge_id), ("title", title), ("type", page_type))]
-    head = F.concat_ws("\n", F.lit("---"), *lines, F.lit("status: PUBLISHED"), F.when(F.size(tags) > 0, F.concat(F.lit("tags:\n"), listed)).otherwise(F.lit("tags: []")), F.concat(F.lit("revision: "), F.col(revision).cast("string")), F.lit("---"))
-    return F.concat(head, F.lit("\n\n# "), F.col(title), F.lit("\n\n"), F.col(body))
-
-
-def body_of(content: Column | str) -> Column:
-    """What follows the frontmatter of a published file."""
-    return F.regexp_replace(content, r"(?s)^---\n.*?\n---\n\n", "")
-
-
 def diff(before: str, after: str, path: str = "page.md", cells: int = 4_000_000) -> Column:
     """A unified diff; texts whose line counts multiply to more than ``cells`` are shown as removed and added whole."""
 

@@ -319,12 +319,13 @@ def tag_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as wiki pages: the title and link targets; some repeat an id, are damaged or name a proposal."""
-    links = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)), lambda t: F.lower(t)))
+    own = [F.concat(F.lit("page "), n.cast("string")) for n in (F.col("page_id") - F.col("page_id") % 4, F.col("page_id") * 3)]
+    links = F.array_distinct(F.concat(F.transform(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)), lambda t: F.lower(t)), F.array(*own)))
     knowledge = F.concat(F.lit("k"), F.when(F.col("page_id") % 50 == 0, F.col("page_id") + 1).otherwise(F.col("page_id")).cast("string"))
-    title = F.when(F.col("page_id") % 40 == 0, F.element_at(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)), 3)).otherwise(F.regexp_extract("html", r"<title>([^<]*)", 1))
+    title = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("Page  "), F.col("page_id").cast("string"))).otherwise(F.regexp_extract("html", r"<title>([^<]*)", 1))
     return table(spark, sf_dir, "pages").select(
         "page_id", knowledge.alias("knowledge_id"), title.alias("title"), links.alias("targets"),
-        (F.col("page_id") % 7 != 0).alias("content_ok"), F.when(F.col("page_id") % 3 == 0, F.col("page_id")).alias("proposal_id"),
+        F.when(F.col("page_id") % 7 == 0, "INVALID").when(F.col("page_id") % 11 == 0, "UNREADABLE").otherwise("VALID").alias("content_status"), F.when(F.col("page_id") % 3 == 0, F.col("page_id")).alias("proposal_id"),
     )
 
 
@@ -334,12 +335,13 @@ def vault_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAGES_SQL = r"""p AS (SELECT page_id, 'k' || CASE WHEN page_id % 50 = 0 THEN page_id + 1 ELSE page_id END AS knowledge_id,
-  lower(trim(regexp_replace(CASE WHEN page_id % 40 = 0 THEN regexp_extract_all(html, 'href="/([^"]*)"', 1)[3] ELSE regexp_extract(html, '<title>([^<]*)', 1) END, '\s+', ' ', 'g'))) AS title_key,
-  list_distinct(list_transform(regexp_extract_all(html, 'href="/([^"]*)"', 1), lambda t: lower(t))) AS targets, page_id % 7 <> 0 AS content_ok, CASE WHEN page_id % 3 = 0 THEN page_id END AS proposal_id FROM pages),
-l AS (SELECT knowledge_id, page_id, title_key, target FROM (SELECT knowledge_id, page_id, title_key, unnest(targets) AS target FROM p WHERE content_ok) WHERE target <> title_key)"""
+  lower(trim(regexp_replace(CASE WHEN page_id % 4 = 0 THEN 'Page  ' || page_id ELSE regexp_extract(html, '<title>([^<]*)', 1) END, '\s+', ' ', 'g'))) AS title_key,
+  list_distinct(list_concat(list_transform(regexp_extract_all(html, 'href="/([^"]*)"', 1), lambda t: lower(t)), ['page ' || (page_id - page_id % 4), 'page ' || (page_id * 3)])) AS targets, CASE WHEN page_id % 7 = 0 THEN 'INVALID' WHEN page_id % 11 = 0 THEN 'UNREADABLE' ELSE 'VALID' END AS content_status, CASE WHEN page_id % 3 = 0 THEN page_id END AS proposal_id FROM pages),
+l AS (SELECT knowledge_id, page_id, title_key, target FROM (SELECT knowledge_id, page_id, title_key, unnest(targets) AS target FROM p WHERE content_status = 'VALID') WHERE target <> title_key)"""
 _LINT = f"""WITH {_PAGES_SQL}
 SELECT knowledge_id, 'DUPLICATE_IDENTITY' AS code, 'ERROR' AS severity, 'duplicate knowledgeId in workspace' AS detail FROM p WHERE knowledge_id IN (SELECT knowledge_id FROM p GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT knowledge_id, 'CANONICAL_CONTENT_INVALID', 'ERROR', 'content does not match its metadata' FROM p WHERE NOT content_ok
+UNION ALL SELECT knowledge_id, 'CANONICAL_CONTENT_INVALID', 'ERROR', 'content does not match its metadata' FROM p WHERE content_status = 'INVALID'
+UNION ALL SELECT knowledge_id, 'CANONICAL_CONTENT_UNREADABLE', 'ERROR', 'content could not be read' FROM p WHERE content_status = 'UNREADABLE'
 UNION ALL SELECT knowledge_id, 'BROKEN_INTERNAL_LINK', 'ERROR', 'wikilink target not published: ' || target FROM l WHERE target NOT IN (SELECT title_key FROM p)
 UNION ALL SELECT knowledge_id, 'ORPHAN_PAGE', 'WARNING', 'no inbound reference from other published pages' FROM p WHERE title_key NOT IN (SELECT target FROM l)
 UNION ALL SELECT knowledge_id, 'DANGLING_PROVENANCE', 'WARNING', 'referenced proposal is missing from the workspace' FROM p WHERE proposal_id IS NOT NULL AND proposal_id NOT IN (SELECT page_id FROM pages WHERE page_id % 2 = 0)"""

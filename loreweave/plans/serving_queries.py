@@ -206,15 +206,52 @@ _TAGS = f"""WITH {_PROPOSALS} SELECT proposal_id, CASE WHEN proposal_id % 5 <> 0
  CASE WHEN proposal_id % 5 = 0 AND status = 'REVIEW' THEN array_to_string(list_sort([lower(o_orderstatus), 'new tag']), '|') ELSE tag END AS tags FROM pr JOIN orders ON proposal_id = o_orderkey"""
 
 
-def proposal_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _proposals(spark, sf_dir).join(_candidates(spark, sf_dir), "candidate_id").withColumn("action", F.lit("CREATE")).withColumn("summary", F.when(F.col("proposal_id") % 2 == 0, F.concat(F.lit("About "), "title")).otherwise(" "))
-    sections = F.array(F.struct(F.lit("One").alias("heading"), F.col("title").alias("text")), F.struct(F.lit("Two").alias("heading"), F.col("candidate_type").alias("text")))
-    return proposals.drafted(own.withColumn("sections", sections)).select("proposal_id", "page_type", "path", F.array_join("tags", "|").alias("tags"), X.sha256("markdown").alias("markdown_hash"))
+def _draft_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as proposals of every action, candidate type and requested page type, with data of every kind, and their
+    lines as evidence."""
+    key = F.col("o_orderkey")
+    types = lambda by, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (by % len(names) + 1).cast("int"))
+    title = F.when(key % 2 == 0, F.concat(F.lit('"title":"Order '), key.cast("string"), F.lit('  of  "quoted'), F.lit('",'))).otherwise("")
+    title = F.replace(title, F.lit('"quoted'), F.lit("quoted"))
+    sections = F.when(key % 11 == 1, F.lit(',"sections":[{"heading":"One","content":" first  "},{"heading":"ONE","content":"x"}]')).when(key % 3 == 0, F.lit(',"sections":[{"heading":"One","content":" first\\nline "},{"heading":"Two","content":"second"}]')).otherwise("")
+    kind = F.coalesce(F.concat(F.lit(',"pageType":"'), types(F.floor(key / 5), None, "HOWTO", "DECISION", "REFERENCE", "CONCEPT", "MEMO"), F.lit('"')), F.lit(""))
+    data = F.concat(F.lit("{"), title, F.lit('"tags":["B"," a "],"aliases":["b","A"],"wikilinks":[{"targetTitle":"Z"},{"targetTitle":"Y","label":"y"}]'), sections, kind, F.lit("}"))
+    proposals_ = table(spark, sf_dir, "orders").select(
+        key.alias("proposal_id"), F.when(key % 10 != 3, "APPROVED").otherwise("REVIEW").alias("status"), types(key, "CREATE", "MERGE", "CREATE", "LINK_ONLY").alias("action"),
+        types(key, "CONCEPT", "FACT", "PROCEDURE", "DECISION", "REFERENCE", None).alias("candidate_type"), F.concat(F.lit("Candidate "), F.col("o_custkey").cast("string")).alias("title"),
+        F.when(key % 13 == 0, F.lit(" ")).otherwise(F.concat(F.lit("About "), "o_orderpriority")).alias("summary"), F.when(key % 17 != 0, data).otherwise("{").alias("data"), F.when(key % 4 == 0, F.col("o_custkey")).alias("document_id"),
+    )
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("proposal_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_linenumber").alias("chunk_no"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber")).alias("page_no"),
+        F.col("l_partkey").alias("document_id"), F.concat(F.lit(" "), "l_linestatus", F.lit("\n"), "l_returnflag", F.lit(" ")).alias("excerpt"),
+    )
+    return proposals_, lines
 
 
-_DRAFTS = rf"""WITH {_PROPOSALS}, d AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(title), '\s+', '-', 'g'), '[^\p{{L}}\p{{N}}\-_]', '', 'g'), '-{{2,}}', '-', 'g'), '^-+|-+$', '', 'g')) AS stem FROM pr JOIN ca USING (candidate_id) WHERE status = 'APPROVED')
-SELECT proposal_id, CASE WHEN candidate_type = 'howto' THEN 'HOWTO' ELSE 'CONCEPT' END AS page_type, 'vault/' || CASE WHEN candidate_type = 'howto' THEN 'howtos' ELSE 'concepts' END || '/' || stem || '.md' AS path, lower(tag) AS tags,
- sha256('# ' || title || chr(10) || chr(10) || CASE WHEN proposal_id % 2 = 0 THEN 'About ' || title || chr(10) || chr(10) ELSE '' END || '## One' || chr(10) || chr(10) || title || chr(10) || chr(10) || '## Two' || chr(10) || chr(10) || candidate_type || chr(10)) AS markdown_hash FROM d"""
+def proposal_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = proposals.drafted(*_draft_inputs(spark, sf_dir))
+    return out.select("proposal_id", "page_type", "path", F.array_join("tags", "|").alias("tags"), X.sha256("markdown").alias("markdown_hash"), "refusal")
+
+
+_NL = "chr(10)"
+_DRAFTS = f"""WITH p AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 10 <> 3 THEN 'APPROVED' ELSE 'REVIEW' END AS status, ['CREATE', 'MERGE', 'CREATE', 'LINK_ONLY'][o_orderkey % 4 + 1] AS action,
+  ['CONCEPT', 'FACT', 'PROCEDURE', 'DECISION', 'REFERENCE', NULL][o_orderkey % 6 + 1] AS ct, CASE WHEN o_orderkey % 17 <> 0 THEN [NULL, 'HOWTO', 'DECISION', 'REFERENCE', 'CONCEPT', 'MEMO'][o_orderkey // 5 % 6 + 1] END AS rt,
+  CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 17 <> 0 THEN 'Order ' || o_orderkey || ' of quoted' ELSE 'Candidate ' || o_custkey END AS title, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'About ' || o_orderpriority END AS summary FROM orders),
+a AS (SELECT * FROM (VALUES {", ".join(f"('{kind}', '{t}')" for kind, own in proposals.ALLOWED_TYPES.items() for t in own)}) AS x(act, art)),
+m AS (SELECT p.*, CASE WHEN rt = 'MEMO' OR ct IS NULL AND rt IS NULL THEN 'UNSUPPORTED_CANDIDATE_MAPPING' WHEN ct IS NULL THEN NULL WHEN rt IS NULL AND ct IN ('FACT', 'PROCEDURE') THEN 'AMBIGUOUS_CANDIDATE_MAPPING'
+  WHEN rt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a WHERE act = ct AND art = rt) THEN 'UNSUPPORTED_CANDIDATE_MAPPING' END AS mapping FROM p),
+r AS (SELECT *, CASE WHEN status <> 'APPROVED' THEN 'PROPOSAL_NOT_APPROVED' WHEN action = 'LINK_ONLY' THEN 'UNSUPPORTED_ACTION' WHEN k % 17 = 0 THEN 'INVALID_NORMALIZED_DATA' WHEN mapping IS NOT NULL THEN mapping
+  WHEN summary = '' OR k % 11 = 1 THEN 'INVALID_NORMALIZED_DATA' WHEN k NOT IN (SELECT l_orderkey FROM lineitem) OR k IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) THEN 'INVALID_EVIDENCE' END AS refusal, coalesce(rt, ct) AS t FROM m),
+e AS (SELECT l_orderkey AS k, string_agg('- sourceChunkId: ' || (l_orderkey * 10 + l_linenumber) || ', chunkNo: ' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN ', pageNo: ' || l_linenumber ELSE '' END || {_NL} || '  > ' || l_linestatus || {_NL} || '  > ' || l_returnflag || {_NL}, '' ORDER BY l_linenumber) AS shown,
+  string_agg('  - ' || (l_orderkey * 10 + l_linenumber) || {_NL}, '' ORDER BY l_linenumber) AS ids FROM lineitem GROUP BY 1),
+d AS (SELECT k, string_agg('  - ' || l_partkey || {_NL}, '' ORDER BY l_partkey) AS documents FROM (SELECT DISTINCT l_orderkey AS k, l_partkey FROM lineitem) GROUP BY 1)
+SELECT r.k AS proposal_id, CASE WHEN refusal IS NULL THEN t END AS page_type,
+ CASE WHEN refusal IS NULL THEN 'vault/' || CASE t {" ".join(f"WHEN '{t}' THEN '{folder}'" for t, folder in X.PAGE_FOLDERS.items())} END || '/' || replace(lower(title), ' ', '-') || '.md' END AS path, CASE WHEN refusal IS NULL THEN 'a|b' END AS tags,
+ CASE WHEN refusal IS NULL THEN sha256('---' || {_NL} || 'title: "' || title || '"' || {_NL} || 'pageType: "' || t || '"' || {_NL} || 'summary: "' || summary || '"' || {_NL} || 'tags:' || {_NL} || '  - "a"' || {_NL} || '  - "b"' || {_NL} || 'aliases:' || {_NL} || '  - "A"' || {_NL} || '  - "b"' || {_NL}
+  || 'sourceDocumentIds:' || {_NL} || CASE WHEN r.k % 4 = 0 THEN '  - ' || c || {_NL} ELSE documents END || 'sourceChunkIds:' || {_NL} || ids || '---' || {_NL} || {_NL} || '# ' || title || {_NL} || {_NL}
+  || CASE WHEN r.k % 3 = 0 THEN '## One' || {_NL} || {_NL} || 'first' || {_NL} || 'line' || {_NL} || {_NL} || '## Two' || {_NL} || {_NL} || 'second' || {_NL} || {_NL} ELSE '## Summary' || {_NL} || {_NL} || summary || {_NL} || {_NL} END
+  || '## Related Links' || {_NL} || {_NL} || '- [[Y|y]]' || {_NL} || '- [[Z|Z]]' || {_NL} || {_NL} || '## Evidence' || {_NL} || {_NL} || shown) END AS markdown_hash, refusal
+FROM r LEFT JOIN e ON r.k = e.k LEFT JOIN d ON r.k = d.k"""
 
 
 def publish_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,8 +297,10 @@ def embedding_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def target_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" wiki:"), F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 50 == 1, F.lit("  ")).otherwise(F.concat(F.lit("  "), F.upper("p_name")))
     page, title = proposals.target_reference(given)
+    pick = lambda by, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (by % len(names) + 1).cast("int"))
+    kind, refusal = proposals.page_type(pick(F.col("p_partkey"), "CONCEPT", "FACT", "PROCEDURE", "OTHER", None), pick(F.col("p_size"), None, "HOWTO", "CONCEPT"))
     path = F.when(F.col("p_partkey") % 4 == 0, F.lit("vault/concepts/../x.md")).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("vault/howtos/"), "p_brand", F.lit(".md"))).otherwise(F.lit("vault/other/x.md"))
-    return table(spark, sf_dir, "part").select("p_partkey", page.alias("page_id"), title.alias("title"), proposals.valid_path(path).alias("path_valid"), proposals.page_type("p_brand").alias("page_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", page.alias("page_id"), title.alias("title"), proposals.valid_path(path).alias("path_valid"), kind.alias("page_type"), refusal.alias("type_refusal"))
 
 
 QUERIES = {
@@ -293,5 +332,5 @@ ORACLE = {
     "citation_currentness": _CURRENTNESS,
     "latest_ingest_items": "WITH x AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_id % 100 % 3 <> 2 AND event_id % 100 IN (SELECT event_id FROM events WHERE event_id < 100)) SELECT user_id AS document_id, event_id AS item_id, event_type AS status FROM x WHERE n = 1",
     "embedding_snapshot": f"SELECT digest AS token FROM ({digests.ordered_sql('SELECT vec_id || chr(31) || label AS key, vec_id || chr(31) || label AS value FROM embeddings')})",
-    "target_references": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END AS page_id, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 50 <> 1 THEN regexp_replace(lower(trim(p_name)), '\\s+', ' ', 'g') END AS title, p_partkey % 4 = 1 AS path_valid, 'CONCEPT' AS page_type FROM part",
+    "target_references": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END AS page_id, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 50 <> 1 THEN regexp_replace(lower(trim(p_name)), '\\s+', ' ', 'g') END AS title, p_partkey % 4 = 1 AS path_valid, CASE WHEN refusal IS NULL THEN coalesce(rt, ct) END AS page_type, refusal AS type_refusal FROM (SELECT *, CASE WHEN ct IS NULL THEN CASE WHEN rt IS NULL THEN 'UNSUPPORTED_CANDIDATE_MAPPING' END WHEN ct = 'OTHER' THEN 'UNSUPPORTED_CANDIDATE_MAPPING' WHEN rt IS NULL THEN CASE WHEN ct <> 'CONCEPT' THEN 'AMBIGUOUS_CANDIDATE_MAPPING' END WHEN ct = 'PROCEDURE' AND rt <> 'HOWTO' OR ct <> 'PROCEDURE' AND rt <> 'CONCEPT' THEN 'UNSUPPORTED_CANDIDATE_MAPPING' END AS refusal FROM (SELECT *, ['CONCEPT', 'FACT', 'PROCEDURE', 'OTHER', NULL][p_partkey % 5 + 1] AS ct, [NULL, 'HOWTO', 'CONCEPT'][p_size % 3 + 1] AS rt FROM part))",
 }

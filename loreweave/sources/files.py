@@ -1,8 +1,8 @@
-"""File sources and sinks: the inbox, published wiki files, and keyed tables on plain Parquet."""
+"""The inbox as a source of files; published files are read by ``operators.published``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
@@ -24,13 +24,18 @@ def scan_inbox(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rescan(files: DataFrame, documents: DataFrame) -> DataFrame:
-    """``source_path, outcome``: new, duplicate, existing or removed, from one outer join on the path."""
+    """``source_path, outcome``: new, duplicate, existing or removed, from outer joins on the path and the digest. Of
+    new files with one content the one of the least path is new, and the others are duplicates."""
     live = documents.where(~F.col("status").isin("DELETED", "SUPERSEDED"))
     known = live.select("source_path", F.col("sha256").alias("known_sha"))
     hashes = live.select(F.col("sha256").alias("live_sha")).distinct()
     rows = files.select("source_path", "sha256").join(known, "source_path", "full_outer").join(hashes, F.col("sha256") == F.col("live_sha"), "left")
     outcome = F.when(F.col("sha256").isNull(), "removed").when(F.col("sha256") == F.col("known_sha"), "existing").when(F.col("live_sha").isNotNull(), "duplicate").otherwise("new")
-    return rows.select("source_path", outcome.alias("outcome"))
+    rows = rows.select("source_path", "sha256", outcome.alias("outcome"))
+    first = rows.where("outcome = 'new'").groupBy(F.col("sha256").alias("new_sha")).agg(F.min("source_path").alias("first_path"))
+    rows = rows.join(first, F.col("sha256") == F.col("new_sha"), "left")
+    later = (F.col("outcome") == "new") & (F.col("source_path") > F.col("first_path"))
+    return rows.select("source_path", F.when(later, "duplicate").otherwise(F.col("outcome")).alias("outcome"))
 
 
 def extracted(files: DataFrame) -> DataFrame:
@@ -38,27 +43,4 @@ def extracted(files: DataFrame) -> DataFrame:
     choice behind ``mapInArrow``."""
     plain = F.col("extension").isin("txt", "md", "markdown")
     text = F.when(plain, F.decode("content", "UTF-8"))
-    return files.withColumn("text", X.normalized(text)).withColumn("parse_status", F.when(plain, "PROCESSED").when(ingest.supported("file_name"), "PENDING").otherwise("UNSUPPORTED"))
-
-
-def frontmatter(content: Column | str, key: str) -> Column:
-    """A scalar of a published file's frontmatter; null where it is missing."""
-    head = F.regexp_extract(content, r"(?s)\A---\n(.*?)\n---\n", 1)
-    value = F.regexp_extract(head, rf"(?m)^{key}:[ \t]*(.*)$", 1)
-    return F.when(value != "", F.regexp_replace(value, r'^"|"$', ""))
-
-
-def frontmatter_list(content: Column | str, key: str) -> Column:
-    head = F.regexp_extract(content, r"(?s)\A---\n(.*?)\n---\n", 1)
-    items = F.regexp_extract(head, rf"(?ms)^{key}:[ \t]*\n((?:[ \t]+- [^\n]*(?:\n|\z))+)", 1)
-    return F.transform(F.regexp_extract_all(items, F.lit(r"(?m)^[ \t]+- (.*)$"), F.lit(1)), F.trim)
-
-
-def published_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages with ``body``, ``targets``, ``file_tags`` and ``content_ok``: the file's digest, identity, title and type agree
-    with the page's row."""
-    text = F.decode("content", "UTF-8")
-    rows = pages.join(files.select(F.col("source_path").alias("markdown_path"), F.col("sha256").alias("file_hash"), text.alias("file_text")), "markdown_path", "left")
-    agrees = (F.col("file_hash") == F.col("content_hash")) & (frontmatter("file_text", "id") == F.col("knowledge_id")) & (frontmatter("file_text", "title") == F.col("title")) & (frontmatter("file_text", "type") == F.col("page_type"))
-    body = F.regexp_replace("file_text", r"(?s)\A---\n.*?\n---\n\n", "")
-    return rows.select(*pages.columns, body.alias("body"), F.coalesce(X.wikilinks(body), F.array().cast("array<string>")).alias("targets"), frontmatter_list("file_text", "tags").alias("file_tags"), F.coalesce(agrees, F.lit(False)).alias("content_ok"))
+    return files.withColumn("text", X.normalized(text, edges=True)).withColumn("parse_status", F.when(plain, "PROCESSED").when(ingest.supported("file_name"), "PENDING").otherwise("UNSUPPORTED"))

@@ -18,7 +18,10 @@ def test_registration_and_promotion(spark):
     assert sorted(rows(own, "document_id", "status", "duplicate_of")) == [(1, "PENDING", None), (2, "PENDING", None), (3, "DUPLICATE", 1), (4, "DUPLICATE", 1)]
     assert rows(ingest.duplicate_clusters(own)) == [(1, 2, 3)]
     after = {r["document_id"]: (r["status"], r["duplicate_of"]) for r in ingest.promote(own, 1).collect()}
+    placed = own.withColumn("source_path", F.concat(F.lit("f"), F.col("document_id").cast("string")))
+    heirs = lambda *paths: [r["document_id"] for r in ingest.promote(placed, 1, spark.createDataFrame([(p,) for p in paths], "source_path string")).where("status = 'PENDING'").collect()]
     assert after == {1: ("DELETED", None), 2: ("PENDING", None), 3: ("PENDING", None), 4: ("DUPLICATE", 3)}
+    assert heirs("f2", "f4") == [2, 4] and heirs("f3", "f4") == [2, 3] and heirs("f9") == [2, 3]
 
 
 def test_chunk_eligibility(spark):
@@ -125,8 +128,8 @@ def test_budget_and_packing(spark):
 
 def test_lint(spark):
     pages = spark.createDataFrame(
-        [(1, "k1", "One", ["two", "gone", "one"], True, 7), (2, "k2", "Two", [], True, 8), (3, "k3", "Three", ["one"], False, None)],
-        "page_id long, knowledge_id string, title string, targets array<string>, content_ok boolean, proposal_id long",
+        [(1, "k1", "One", ["two", "gone", "one"], "VALID", 7), (2, "k2", "Two", [], "VALID", 8), (3, "k3", "Three", ["one"], "INVALID", None)],
+        "page_id long, knowledge_id string, title string, targets array<string>, content_status string, proposal_id long",
     )
     found = sorted(rows(wiki.lint(pages, spark.createDataFrame([(7,)], "proposal_id long")), "knowledge_id", "code"))
     assert found == [("k1", "BROKEN_INTERNAL_LINK"), ("k1", "ORPHAN_PAGE"), ("k2", "DANGLING_PROVENANCE"), ("k3", "CANONICAL_CONTENT_INVALID"), ("k3", "ORPHAN_PAGE")]
@@ -139,16 +142,6 @@ def test_status_fold_and_diff(spark):
     assert "-b" in out and "+c" in out
 
 
-def test_published_file_round_trip(spark):
-    page = spark.createDataFrame([("k1", "My Page", "CONCEPT", ["a", "b"], "See [[Other|x]].", 3)], "id string, title string, type string, tags array<string>, body string, revision int")
-    text = page.select(wiki.rendered("title", "type", "tags", "body", "id", "revision").alias("t")).first()[0]
-    own = spark.createDataFrame([Row(source_path="vault/p.md", content=bytearray(text.encode()))]).withColumn("sha256", F.sha2("content", 256))
-    meta = own.select(F.lit("k1").alias("knowledge_id"), F.lit("My Page").alias("title"), F.lit("CONCEPT").alias("page_type"), F.lit("vault/p.md").alias("markdown_path"), F.col("sha256").alias("content_hash"))
-    got = files.published_pages(own, meta).first()
-    assert got["content_ok"] and got["targets"] == ["other"] and got["file_tags"] == ["a", "b"]
-    assert not files.published_pages(own, meta.withColumn("title", F.lit("Else"))).first()["content_ok"]
-
-
 def test_health_and_generations(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id int, h string")
     p = spark.createDataFrame([(1, "x"), (2, "old"), (9, "w")], "id int, h string")
@@ -168,7 +161,7 @@ def test_inbox_scan_and_stream(spark, tmp_path):
     found = files.scan_inbox(spark, str(folder))
     assert sorted(rows(files.extracted(found), "file_name", "parse_status")) == [("a.txt", "PROCESSED"), ("b.txt", "PROCESSED"), ("c.bin", "UNSUPPORTED")]
     known = spark.createDataFrame([("inbox/gone.txt", "zz", "PENDING")], "source_path string, sha256 string, status string")
-    assert sorted(rows(files.rescan(found, known))) == [("inbox/a.txt", "new"), ("inbox/b.txt", "new"), ("inbox/c.bin", "new"), ("inbox/gone.txt", "removed")]
+    assert sorted(rows(files.rescan(found, known))) == [("inbox/a.txt", "new"), ("inbox/b.txt", "duplicate"), ("inbox/c.bin", "new"), ("inbox/gone.txt", "removed")]
     (folder / "c.bin").unlink()
     for _ in range(2):
         inbox.run(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
