@@ -12,9 +12,11 @@ Decoding feeds one id at a time. Tokenizers with a byte-level decoder map token
 through an incremental UTF-8 decoder whose state is at most three pending bytes; those without a decoder have
 their tokens joined by a blank. Encoding a word feeds its decoder token by token.
 
-A text is read slice by slice; its ids and its decoded text are hashed as they come. The words of a text come from the vocabulary file's own pattern, after its normalisation (NFC, white space,
-lower case) and after special tokens were cut out of the raw text. Each worker keeps the output of words it
-met, within a bound. Defined results: a null or empty text has no tokens; a null id stays null; repeated rows
+A text is read slice by slice, cut before blanks; its ids and its decoded text are hashed as they come. The words of
+a text come from the vocabulary file's own pattern, after its normalisation (NFC by the library's tables, white space,
+lower case) and after special tokens were cut out of the raw text. Each worker keeps the output of short runs it met,
+within a bound; a longer word goes symbol by symbol through the transducer and leaves token by token, so that of a
+text of any length no more than the text itself and a window is held. Defined results: a null or empty text has no tokens; a null id stays null; repeated rows
 are returned as often as they occur; an empty table gives an empty result.
 """
 
@@ -24,23 +26,26 @@ import codecs
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import normalizers
 
 from loreweave.llm import shared
 
 _KNOWN_WORDS = 200_000
 #: Characters of a text that are encoded, decoded and hashed at a time.
 SLICE = 1 << 16
-_CUT = re.compile(r"[ \n](?=[!-~])")
+#: No character composes with a blank before it, and marks do not move across one; no word reaches across.
+_CUT = re.compile(r"[ \n]")
+#: Characters of a run, and of a word, whose output is kept; tokens of a longer word, and runs, that leave together.
+_SHORT, _TOKENS, _TOGETHER = 512, 64, 4096
 _KNOWN_PAIRS = 300_000
 _PLAIN = regex.compile("[!-~]*")
 _SEPARATORS = regex.compile("[\\x1c-\\x1f]")
@@ -58,6 +63,8 @@ _LATER = regex.compile(
 _LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 _LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _NEW_CASE = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
+_COMPOSABLE = re.compile("[\u0300-\U0010ffff]")
+_NFC = normalizers.NFC()
 _END = ""  # stands for the word-end suffix inside this module
 
 
@@ -182,14 +189,17 @@ class WordEncoder:
         return found[::-1]
 
 
-def encode_word(word: str, merges: MergeList, lookahead: int) -> Iterator[str]:
-    """The tokens of a word (with its end mark, if the vocabulary has one), as they become stable."""
-    encoder, at = WordEncoder(merges, lookahead), 0
-    while at < len(word):
-        end = at + encoder.limit
-        end += word[end : end + 1] == _END
-        yield from encoder.feed(word[at:end])
-        at = end
+def encode_word(pieces: Iterable[str], merges: MergeList, lookahead: int) -> Iterator[str]:
+    """The tokens of a word that comes in pieces (the last with its end mark, if the vocabulary has one), as they become
+    stable."""
+    encoder = WordEncoder(merges, lookahead)
+    for piece in pieces:
+        at = 0
+        while at < len(piece):
+            end = at + encoder.limit
+            end += piece[end : end + 1] == _END
+            yield from encoder.feed(piece[at:end])
+            at = end
     yield from encoder.finish()
 
 
@@ -222,20 +232,26 @@ class Vocabulary:
         self.values = {c: b for b, c in enumerate(self.characters)}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str) -> Iterator[str]:
         plain = text.isascii() or not _LATER.search(text)
-        return (self.pattern if plain else self.strict_pattern).findall(text)
+        return (m[0] for m in (self.pattern if plain else self.strict_pattern).finditer(text))
+
+    def _symbols(self, word: str) -> Iterator[str]:
+        for at in range(0, len(word), _SHORT):
+            piece, last = word[at : at + _SHORT], at + _SHORT >= len(word)
+            raw = piece if _PLAIN.fullmatch(piece) else "".join(map(self.characters.__getitem__, piece.encode()))
+            yield raw + _END if last and self.suffix else raw
 
     def tokens(self, word: str) -> Iterator[str]:
-        raw = word if _PLAIN.fullmatch(word) else "".join(map(self.characters.__getitem__, word.encode()))
-        raw += _END if self.suffix else ""
-        return encode_word(raw, self.merges, self.lookahead)
+        return encode_word(self._symbols(word), self.merges, self.lookahead)
 
 
 def _normal(text: str) -> str:
     """NFC and lower case character by character; white space only separates words and needs no change."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if _COMPOSABLE.search(text):
+            text = _NFC.normalize_str(text)
+        text = text.replace("Σ", "σ")
         if _NEW_CASE.search(text):
             text = text.translate(_LOWER)
     return text.lower()
@@ -264,7 +280,7 @@ class Decoder:
 
 
 class TextCodec(dict):
-    """Per run of a text without white space: its decimal ids and its decoded text, both joined by a blank."""
+    """Per short run of a text without white space: its decimal ids and its decoded text, both joined by a blank."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
@@ -273,45 +289,64 @@ class TextCodec(dict):
     def __missing__(self, run: str) -> tuple[str, str]:
         value = self.older.get(run)
         if value is None:
-            v = self.vocabulary
-            words = v.words(run)
-            if words == [run]:
-                ids, text, decoder = [], [], Decoder(v)
-                for token in v.tokens(run):
-                    ids.append(v.ids[token])
-                    text.append(decoder.push(ids[-1]))
-                value = (" ".join(map(str, ids)), "".join(text) + decoder.finish())
-            else:
-                known = [self[word] for word in words]
-                value = (" ".join([k[0] for k in known]), " ".join([k[1] for k in known]))
+            words = list(self.vocabulary.words(run))
+            parts = list(self._word(run)) if words == [run] else [self[word] for word in words]
+            value = (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
         if len(self) >= _KNOWN_WORDS:  # the runs met since the last time stay at hand
             self.older = dict(self)
             self.clear()
         self[run] = value
         return value
 
-    def _runs(self, text: str) -> list[str]:
+    def _word(self, word: str) -> Iterator[tuple[str, str]]:
+        """A word's ids and text, some tokens at a time."""
+        v, ids, text, decoder = self.vocabulary, [], [], Decoder(self.vocabulary)
+        for token in v.tokens(word):
+            ids.append(v.ids[token])
+            text.append(decoder.push(ids[-1]))
+            if len(ids) >= _TOKENS:
+                yield " ".join(map(str, ids)), "".join(text)
+                ids, text, decoder.first = [], [], True
+        yield " ".join(map(str, ids)), "".join(text) + decoder.finish()
+
+    def _plain(self, text: str) -> Iterator[tuple[str, str]]:
+        """Of a slice without special tokens."""
         normal = _normal(text)
         # split() also splits at four control characters that are no white space to the vocabulary's pattern
-        return self.vocabulary.words(normal) if _SEPARATORS.search(normal) else normal.split()
+        runs = list(self.vocabulary.words(normal)) if _SEPARATORS.search(normal) else normal.split()
+        if max(map(len, runs), default=0) <= _SHORT:
+            return map(self.__getitem__, runs)
+        return chain.from_iterable(map(self._run, runs))
+
+    def _run(self, run: str) -> Iterator[tuple[str, str]]:
+        if len(run) <= _SHORT:
+            yield self[run]
+            return
+        for word in self.vocabulary.words(run):
+            if len(word) <= _SHORT:
+                yield self[word]
+            else:
+                yield from self._word(word)
 
     def _encoded(self, text: str) -> Iterator[tuple[str, str]]:
         v = self.vocabulary
         if v.cut is None or "<" not in text or not v.cut.search(text):
-            return map(self.__getitem__, self._runs(text))
-        parts = [[(str(v.special[p]), p)] if p in v.special else map(self.__getitem__, self._runs(p)) for p in v.cut.split(text)]
+            return self._plain(text)
+        parts = [[(str(v.special[p]), p)] if p in v.special else self._plain(p) for p in v.cut.split(text)]
         return chain.from_iterable(parts)
 
     def stream(self, text: str) -> Iterator[tuple[str, str]]:
-        """The decimal ids and the decoded text of one slice of the text after another, both joined by blanks."""
+        """The decimal ids and the decoded text of a few thousand runs after the others, both joined by blanks."""
         for part in _slices(text):
-            words = [w for w in self._encoded(part) if w[0]]
-            if words:
-                yield " ".join([w[0] for w in words]), " ".join([w[1] for w in words])
+            encoded = self._encoded(part)
+            while words := list(islice(encoded, _TOGETHER)):
+                words = [w for w in words if w[0]]
+                if words:
+                    yield " ".join([w[0] for w in words]), " ".join([w[1] for w in words])
 
 
 def _slices(text: str, size: int = SLICE) -> Iterator[str]:
-    """A text cut before plain words, where neither normalisation nor tokens reach across."""
+    """A text cut before blanks."""
     at = 0
     for m in _CUT.finditer(text, size) if len(text) > size else ():
         if m.start() - at >= size:

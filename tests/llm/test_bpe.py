@@ -1,4 +1,6 @@
 import hashlib
+import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -48,6 +50,28 @@ def test_any_text_equals_the_library(text):
     agree((library, B.codec(PATHS[0]), PATHS[0]), text)
 
 
+def test_marks_are_composed_as_the_library_composes_them(both):
+    """Sequences of marks, also of those that newer tables put in another order."""
+    rng = random.Random(8)
+    marks = [chr(c) for block in ((0x300, 0x370), (0x591, 0x5C0), (0x1DC0, 0x1E00), (0x20D0, 0x20F1), (0x3099, 0x309B)) for c in range(*block)]
+    for _ in range(1500):
+        agree(both, "".join(rng.choice("aéΣ カ가\n") + "".join(rng.choices(marks, k=rng.randrange(7))) for _ in range(4)))
+    agree(both, "a\u1df5\u1dfa")
+
+
+def test_one_long_word_needs_little_memory(both):
+    """Its tokens leave in small groups, are not kept, and are the library's."""
+    _, own, _ = both
+    fresh, text = B.TextCodec(own.vocabulary), "abcdefghij" * 30_000
+    list(fresh.stream(text[:100]))
+    tracemalloc.start()
+    count = sum(len(ids.split()) for ids, _ in fresh.stream(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count > 30_000 and peak < 12_000_000 and len(fresh) <= 2
+    agree(both, "abcdefghij" * 3000 + "語" * 2000 + " x" * 9000 + "слово " * 2000)
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 1000])
 def test_the_state_of_a_word_is_bounded(both, chunk):
     """Tokens leave while the word is read, whatever it is fed by; what is kept does not grow."""
@@ -59,7 +83,7 @@ def test_the_state_of_a_word_is_bounded(both, chunk):
         widest = max(widest, len(encoder.text))
         assert at < 3000 or sum(map(len, out)) > at - encoder.limit - chunk
     out += encoder.finish()
-    assert "".join(out) == word and out == list(B.encode_word(word, v.merges, v.lookahead))
+    assert "".join(out) == word and out == list(B.encode_word([word], v.merges, v.lookahead))
     assert widest <= encoder.limit + v.merges.longest + chunk
 
 

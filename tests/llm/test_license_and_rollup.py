@@ -82,7 +82,8 @@ def test_scan_stays_out_of_python(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_their_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     got = queries.queries()[name](spark, sf_dir)
     want = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in want.description]
@@ -117,10 +118,17 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
 
 
 def test_a_writer_that_dies_leaves_nothing(spark, tmp_path):
+    """Neither deltas that nobody entered nor an entry without content keep others from committing."""
     rows = spark.createDataFrame([("a", "en", 5, 4, "x")], CHANGES)
     rollup = token_rollup.Rollup(spark, f"{tmp_path}/rollup")
     token_rollup.Rollup._deltas(token_rollup.inserted(rows, rows.n, "v1")).write.parquet(f"{tmp_path}/rollup/staged-dead")
-    assert totals(rollup) == {} and rollup.commit("one", token_rollup.inserted(rows, rows.n, "v1")) and totals(rollup) == {("a", "en", "v1"): (1, 5)}
+    (tmp_path / "rollup" / "log").mkdir()
+    (tmp_path / "rollup" / "log" / "000000000000.json").write_text("")
+    assert totals(rollup) == {} and rollup.commit("one", token_rollup.inserted(rows, rows.n, "v1"))
+    (tmp_path / "rollup" / "log" / "000000000002.json").write_text('{"batch": "ha')
+    assert rollup.commit("two", token_rollup.inserted(rows, rows.n, "v1")) and not rollup.commit("one", token_rollup.inserted(rows, rows.n, "v1"))
+    assert totals(rollup) == {("a", "en", "v1"): (2, 10)} and rollup.committed() == ["one", "two"]
+    assert rollup.compact() and totals(rollup) == {("a", "en", "v1"): (2, 10)} and rollup._numbers() == [4]
 
 
 def test_of_two_writers_one_takes_the_next_entry(spark, tmp_path):
@@ -129,9 +137,20 @@ def test_of_two_writers_one_takes_the_next_entry(spark, tmp_path):
     slow, fast = (token_rollup.Rollup(spark, f"{tmp_path}/rollup") for _ in range(2))
     folder = slow._written(token_rollup.inserted(rows, rows.n, "v1"))
     assert fast.commit("same", token_rollup.inserted(rows, rows.n, "v1"))
-    assert not slow._entered("same", folder, False, after=-1) and slow._known("same")
+    assert not slow._entered(0, "same", folder) and slow._known("same", slow._live()[0])
     assert totals(slow) == {("a", "en", "v1"): (1, 5)}
-    assert slow._entered("other", folder, False) and totals(fast) == {("a", "en", "v1"): (2, 10)}
+    assert slow._entered(1, "other", folder) and totals(fast) == {("a", "en", "v1"): (2, 10)}
+
+
+def test_the_log_is_folded_by_itself(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_rollup, "FOLD_AFTER", 3)
+    rows = spark.createDataFrame([("a", "en", 5, 4, "x")], CHANGES)
+    rollup = token_rollup.Rollup(spark, f"{tmp_path}/rollup")
+    for i in range(9):
+        assert rollup.commit(f"batch{i}", token_rollup.inserted(rows, rows.n, "v1"))
+        assert len(rollup._numbers()) <= 4
+    assert totals(rollup) == {("a", "en", "v1"): (9, 45)}
+    assert not any(rollup.commit(f"batch{i}", token_rollup.inserted(rows, rows.n, "v1")) for i in (0, 4, 8))
 
 
 def test_rollup_query_on_edges(spark, tmp_path):
