@@ -5,7 +5,7 @@ hash of their id. The n-grams of their whole texts are counted by class in a fix
 log-count ratio r of an n-gram is log((p + a) / |p|) - log((q + a) / |q|) for its toxic and clean counts.
 The strongest n-grams become features whose value is r where a text holds the n-gram, and a logistic model
 with an L2 penalty is fitted on those values. Scoring is one pass over the whole texts without a shuffle; the
-model it carries has a fixed size.
+model it carries has a fixed size, and a text of any length is worked on piece by piece.
 
 Defined results: a null or empty text gets the score of a text without any feature; labels that are null, or
 whose id is null, are left out; a repeated label counts once and, where the labels of an id differ, the id is
@@ -31,6 +31,8 @@ SIZES = (4, 5, 6, 7)
 BUCKETS = 1 << 20
 THRESHOLD = 0.7
 _CHUNK = 1 << 13
+#: Code points that are worked on at a time.
+_PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -63,22 +65,54 @@ def _hashes(data: np.ndarray, n: int) -> np.ndarray:
     return h & np.uint32(BUCKETS - 1)
 
 
-def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of all texts in one buffer, each after a blank and with one at its end, and where each begins."""
-    parts = [f" {t.lower()} " for t in texts]
-    return np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32), shared.offsets_of([len(p) for p in parts])
-
-
-def _grams(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per n: the buckets, and a mask of those that do not cross from one text to the next."""
-    for n in SIZES:
-        if len(data) < n:
-            continue
-        inside = np.ones(len(data) - n + 1, dtype=bool)
-        for back in range(1, n):
-            ends = starts[1:-1] - back
-            inside[ends[(ends >= 0) & (ends < len(inside))]] = False
-        yield _hashes(data, n), inside
+@dataclass
+class _Buffer:
+    """Code points of pieces of texts, one after the other: where each begins, whose row it is of, and at how many of
+    its places an n-gram may begin. A piece that is not its text's last is followed by what its last n-grams reach."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    rows: np.ndarray
+    places: np.ndarray
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per n: the bucket of the n-gram at each place, and a mask of the places that have one."""
+        for n in SIZES:
+            if len(self.data) < n:
+                continue
+            inside = np.ones(len(self.data) - n + 1, dtype=bool)
+            for back in range(1, n):
+                ends = self.starts[1:-1] - back
+                inside[ends[(ends >= 0) & (ends < len(inside))]] = False
+            for i in np.flatnonzero(self.places < np.diff(self.starts)):
+                inside[self.starts[i] + self.places[i] : self.starts[i + 1]] = False
+            yield _hashes(self.data, n), inside
+
+    def rows_at(self, places: np.ndarray) -> np.ndarray:
+        return self.rows[np.searchsorted(self.starts, places, side="right") - 1]
+
+
+def _buffers(texts: list[str], size: int = _PIECE) -> Iterator[_Buffer]:
+    """All texts, lower-cased and with a blank before and after them, in buffers of about ``size`` code points, so that
+    a text of any length takes no more memory than that beside itself."""
+    pieces, held, reach = [], 0, max(SIZES) - 1
+
+    def buffer() -> _Buffer:
+        joined = "".join(piece for _, piece, _ in pieces)
+        starts = shared.offsets_of([len(piece) for _, piece, _ in pieces])
+        return _Buffer(np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32), starts, np.array([row for row, _, _ in pieces]), np.array([n for _, _, n in pieces]))
+
+    for row, text in enumerate(texts):
+        text = f" {text.lower()} "
+        for at in range(0, len(text), size):
+            piece = text[at : at + size + reach]
+            pieces.append((row, piece, len(piece) if at + size >= len(text) else size))
+            held += len(piece)
+            if held >= size:
+                yield buffer()
+                pieces, held = [], 0
+    if pieces:
+        yield buffer()
 
 
 @dataclass
@@ -89,20 +123,22 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def presence(self, texts: list[str]) -> np.ndarray:
+        """Which features each text holds; the first column is of no feature."""
+        found = np.zeros((len(texts), len(self.weights)), dtype=bool)
+        for buffer in _buffers(texts):
+            for buckets, inside in buffer.grams():
+                slot = self.slots[buckets]
+                at = np.flatnonzero((slot > 0) & inside)
+                found[buffer.rows_at(at), slot[at]] = True
+        return found
+
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
         if len(self.weights) <= 1:
             return np.full(len(texts), self.bias)
-        data, starts = _joined(texts)
-        seen = []
-        for buckets, inside in _grams(data, starts):
-            slot = self.slots[buckets]
-            at = np.flatnonzero((slot > 0) & inside)
-            row = np.searchsorted(starts, at, side="right") - 1
-            seen.append(row * len(self.weights) + slot[at])
-        cells = np.unique(np.concatenate(seen)) if seen else np.zeros(0, dtype=np.int64)
-        z = self.bias + np.bincount(cells // len(self.weights), weights=self.weights[cells % len(self.weights)], minlength=len(texts))
+        z = self.bias + self.presence(texts)[:, 1:] @ self.weights[1:]
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -120,10 +156,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in shared.table_of(batches):
         texts, toxic = shared.as_texts(batch.column(0)), batch.column(1).to_pylist()
         for label in (0, 1):
-            own = [t for t, y in zip(texts, toxic, strict=True) if y == label]
-            if own:
-                data, starts = _joined(own)
-                for buckets, inside in _grams(data, starts):
+            for buffer in _buffers([t for t, y in zip(texts, toxic, strict=True) if y == label]):
+                for buckets, inside in buffer.grams():
                     counts[label] += np.bincount(buckets[inside], minlength=BUCKETS)
     for chunk in range(BUCKETS // _CHUNK):
         part = counts[:, chunk * _CHUNK : (chunk + 1) * _CHUNK]
@@ -178,16 +212,11 @@ def fit(documents: DataFrame, labels: DataFrame, limits: FitLimits = FitLimits()
     slots = np.zeros(BUCKETS, dtype=np.int32)
     slots[[b["bucket"] for b in best]] = np.arange(1, len(best) + 1)
     ratios = np.asarray([b["r"] for b in best], dtype=np.float32)
-    width = len(best) + 1
+    features = Model(slots, np.zeros(len(best) + 1), 0.0)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.table_of(batches):
-            data, starts = _joined(shared.as_texts(batch.column(0)))
-            bits = np.zeros((batch.num_rows, width), dtype=bool)
-            for buckets, inside in _grams(data, starts):
-                slot = slots[buckets]
-                at = np.flatnonzero((slot > 0) & inside)
-                bits[np.searchsorted(starts, at, side="right") - 1, slot[at]] = True
+            bits = features.presence(shared.as_texts(batch.column(0)))
             packed = np.packbits(bits[:, 1:], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([p.tobytes() for p in packed], pa.binary())], ["toxic", "bits"])
 

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import pytest
 from helpers import EDGES, empty, frame
@@ -58,3 +60,54 @@ def test_few_labels_and_edges(spark, labels):
     assert rows.columns[: len(docs.columns)] == docs.columns
     assert rows.count() == len(EDGES) and rows.where((F.col("loreweave_toxicity") >= 0) & (F.col("loreweave_toxicity") <= 1)).count() == len(EDGES)
     assert X.score(empty(spark), model).count() == 0
+
+
+def slow_buckets(text):
+    """The buckets of a text's n-grams, with plain integers."""
+    text, out = f" {text.lower()} ", []
+    for n in X.SIZES:
+        for i in range(len(text) - n + 1):
+            h = 0
+            for c in text[i : i + n]:
+                h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+            h ^= n * 0x9E3779B1 & 0xFFFFFFFF
+            h = h * 0x85EBCA6B & 0xFFFFFFFF
+            out.append((h ^ h >> 15) & (X.BUCKETS - 1))
+    return out
+
+
+PIECES = ["", "a", "Füße İx", "abcdefg" * 9, "你好吗 ok" * 5, "tail"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 13, 64, 1 << 20])
+def test_pieces_hold_every_ngram_once(size):
+    found = {}
+    for buffer in X._buffers(PIECES, size):
+        for buckets, inside in buffer.grams():
+            at = inside.nonzero()[0]
+            for row, bucket in zip(buffer.rows_at(at).tolist(), buckets[at].tolist(), strict=True):
+                found.setdefault(row, []).append(bucket)
+    assert {row: sorted(found.get(row, [])) for row in range(len(PIECES))} == {row: sorted(slow_buckets(t)) for row, t in enumerate(PIECES)}
+
+
+def test_ratios_and_features_equal_plain_counts(spark):
+    """The kept buckets are those of the largest gain, and what a feature adds is its weight times its log-count ratio."""
+    docs, labels = corpus(), [(i, 1, i % 2, None) for i in range(200)]
+    limits = X.FitLimits(features=40)
+    model = X.fit(frame(spark, docs), spark.createDataFrame(labels, LABELS), limits)
+    counts = [Counter(), Counter()]
+    for i, text in docs:
+        if not is_held_out(i):
+            counts[i % 2].update(slow_buckets(text))
+    known = set(counts[0]) | set(counts[1])
+    share = [{b: (c[b] + 1) / (sum(c.values()) + len(known)) for b in known} for c in counts]
+    ratio = {b: math.log(share[1][b]) - math.log(share[0][b]) for b in known}
+    gain = {b: abs(ratio[b] * (share[1][b] - share[0][b])) for b in known}
+    kept = set(model.slots.nonzero()[0].tolist())
+    least = min(gain[b] for b in kept)
+    assert len(kept) == 40 and all(gain[b] <= least + 1e-12 for b in known - kept)
+    for text in (docs[0][1], docs[1][1], "number"):
+        z = model.bias + sum(model.weights[model.slots[b]] for b in set(slow_buckets(text)) & kept)
+        assert abs(model.scores([text])[0] - 1 / (1 + math.exp(-z))) < 1e-9
+    for b in kept:  # a feature's weight has the sign of its ratio or nothing of it: classes are told apart by their words
+        assert model.weights[model.slots[b]] * ratio[b] >= -1e-6
