@@ -26,6 +26,7 @@ import codecs
 import hashlib
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -39,7 +40,7 @@ from tokenizers import normalizers
 
 from loreweave.llm import shared
 
-_KNOWN_WORDS = 200_000
+_KNOWN_WORDS = 300_000
 #: Characters of a text that are encoded, decoded and hashed at a time.
 SLICE = 1 << 16
 #: No character composes with a blank before it, and marks do not move across one; no word reaches across.
@@ -77,7 +78,16 @@ class MergeList:
         self.longest = max(map(len, self.tokens), default=1)
         self.parts = {a + b: (i, a, b) for i, (a, b) in reversed(list(enumerate(merges)))}
         self._spines: dict[tuple[str, int], list[tuple[str, float, float]]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Of each left token, whether what it was asked about may follow it; and how many answers there are.
+        self.pairs: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.answers = 0
+        #: The tokens by their characters from the last to the first; "" leads to the token that is read by then.
+        self.endings: dict = {}
+        for token in self.tokens:
+            node = self.endings
+            for c in reversed(token):
+                node = node.setdefault(c, {})
+            node[""] = token
 
     def _spine(self, token: str, side: int) -> list[tuple[str, float, float]]:
         """The token, its part on that side (1: left, 2: right), that one's part and so on, each with the ranks of the
@@ -95,18 +105,20 @@ class MergeList:
 
     def compatible(self, left: str, right: str) -> bool:
         """No merge across the boundary comes before both of its sides are used up; of equal ranks the left one goes first."""
-        known = self.pairs.get((left, right))
+        known = self.pairs[left].get(right)
         if known is None:
-            if len(self.pairs) >= _KNOWN_PAIRS:
+            if self.answers >= _KNOWN_PAIRS:
                 self.pairs.clear()
                 self._spines.clear()
+                self.answers = 0
             known, rank = True, self.rank
             for x, x_made, x_used in self._spine(left, 2):
                 for y, y_made, y_used in self._spine(right, 1):
                     across = rank.get((x, y))
                     if across is not None and across < x_used and across <= y_used and x_made < y_used and y_made < x_used:
                         known = False
-            self.pairs[(left, right)] = known
+            self.pairs[left][right] = known
+            self.answers += 1
         return known
 
 
@@ -141,28 +153,33 @@ class WordEncoder:
 
     def feed(self, symbols: str) -> list[str]:
         """Read symbols; a word's end mark comes together with the symbol before it."""
-        tokens, pairs, longest, fits_side_by_side = self.merges.tokens, self.merges.pairs, self.merges.longest, self.merges.compatible
+        pairs, endings, fits_side_by_side = self.merges.pairs, self.merges.endings, self.merges.compatible
         read, last = len(self.text), self.last
         self.text = text = self.text + symbols
         size = len(text)
         inside = size - 1 if symbols[-1:] == _END else 0  # no prefix ends before the end mark
         for end in range(read + 1, size + 1):
-            found = None
-            if end != inside:
-                for begin in range(end - longest if end > longest else 0, end):
-                    token = text[begin:end]
-                    if token in tokens:
-                        before = last[begin]
-                        if before is None:
+            found, begin, node = None, end, endings
+            if end == inside:
+                begin = 0
+            while begin:
+                begin -= 1
+                node = node.get(text[begin])
+                if node is None:
+                    break
+                token = node.get("")
+                if token is not None:
+                    before = last[begin]
+                    if before is None:
+                        continue
+                    if before:
+                        fits = pairs[before].get(token)
+                        if fits is None:
+                            fits = fits_side_by_side(before, token)
+                        if not fits:
                             continue
-                        if before:
-                            fits = pairs.get((before, token))
-                            if fits is None:
-                                fits = fits_side_by_side(before, token)
-                            if not fits:
-                                continue
-                        found = token
-                        break
+                    found = token
+                    break
             last.append(found)
         return self._emit(size - self.lookahead) if size > self.limit else []
 
@@ -232,9 +249,21 @@ class Vocabulary:
         self.values = {c: b for b, c in enumerate(self.characters)}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
+    def _splitter(self, text: str) -> regex.Pattern:
+        return self.pattern if text.isascii() or not _LATER.search(text) else self.strict_pattern
+
     def words(self, text: str) -> Iterator[str]:
-        plain = text.isascii() or not _LATER.search(text)
-        return (m[0] for m in (self.pattern if plain else self.strict_pattern).finditer(text))
+        return (m[0] for m in self._splitter(text).finditer(text))
+
+    def short_words(self, text: str) -> list[str]:
+        return self._splitter(text).findall(text)
+
+    def short_tokens(self, word: str) -> list[str]:
+        """``tokens`` of a word that is read at once."""
+        raw = word if _PLAIN.fullmatch(word) else "".join(map(self.characters.__getitem__, word.encode()))
+        encoder = WordEncoder(self.merges, self.lookahead)
+        stable = encoder.feed(raw + _END if self.suffix else raw)
+        return stable + encoder.finish() if stable else encoder.finish()
 
     def _symbols(self, word: str) -> Iterator[str]:
         for at in range(0, len(word), _SHORT):
@@ -285,13 +314,22 @@ class TextCodec(dict):
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary, self.older = vocabulary, {}
+        #: Per token its decimal id and its text.
+        self.shown = {t: (str(i), vocabulary.names[i]) for t, i in vocabulary.ids.items()}
 
     def __missing__(self, run: str) -> tuple[str, str]:
         value = self.older.get(run)
         if value is None:
-            words = list(self.vocabulary.words(run))
-            parts = list(self._word(run)) if words == [run] else [self[word] for word in words]
-            value = (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+            words = self.vocabulary.short_words(run)
+            if len(words) != 1 or words[0] != run:
+                parts = [self[word] for word in words]
+                value = (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+            elif self.vocabulary.byte_decoder:
+                parts = list(self._word(run))
+                value = (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+            else:
+                parts = list(map(self.shown.__getitem__, self.vocabulary.short_tokens(run)))
+                value = (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
         if len(self) >= _KNOWN_WORDS:  # the runs met since the last time stay at hand
             self.older = dict(self)
             self.clear()
