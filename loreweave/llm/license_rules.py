@@ -28,6 +28,7 @@ from loreweave.llm import shared
 #: Known sentences by identifier. The wording of public licences.
 SENTENCES = {
     "apache-under": ["Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License")'],
+    "apache-title": ["Apache License Version 2.0, January 2004", "Apache License, Version 2.0"],
     "apache-comply": ["you may not use this file except in compliance with the License"],
     "apache-copy": ["You may obtain a copy of the License at"],
     "apache-basis": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'],
@@ -39,6 +40,24 @@ SENTENCES = {
     "gpl3-under": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GPLv3"],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "gpl3-only-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"],
+    "gpl2-only-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation"],
+    "gpl2-under": ["Licensed under the GNU General Public License, version 2", "Licensed under the GPLv2"],
+    "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "lgpl21-free": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-free": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl-hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "lgpl-details": ["See the GNU Lesser General Public License for more details"],
+    "lgpl21-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "agpl3-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl-details": ["See the GNU Affero General Public License for more details"],
+    "agpl3-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "epl2-terms": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"],
+    "epl2-title": ["Eclipse Public License - v 2.0"],
+    "mpl-title": ["Mozilla Public License Version 2.0"],
+    "mit-apache-either": ["Licensed under either of Apache License, Version 2.0 or MIT license at your option", "Licensed under either of Apache License, Version 2.0", "This project is dual-licensed under the MIT License and the Apache License, Version 2.0"],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "gpl-details": ["See the GNU General Public License for more details"],
     "bsd-redistribute": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
@@ -55,8 +74,29 @@ SENTENCES = {
     "reserved": ["All rights reserved"],
 }
 
+#: Identifiers of public licences, as lines of the form ``SPDX-License-Identifier: <identifier>`` name them.
+SPDX = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "MPL-2.0", "EPL-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense", "Zlib", "BSL-1.0", "MIT OR Apache-2.0", "Apache-2.0 OR MIT",
+)
+SENTENCES |= {f"spdx-{x.lower().replace(' ', '-')}": [f"SPDX-License-Identifier: {x}"] for x in SPDX}
+
 #: Licence rules in the order in which they are tried.
 RULES = [
+    *[(x, [f"spdx-{x.lower().replace(' ', '-')}"]) for x in SPDX],
+    ("MIT OR Apache-2.0", ["mit-apache-either"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope", "agpl-details"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope", "lgpl-details"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "lgpl-hope", "lgpl-details"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope", "lgpl-details"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("GPL-2.0-only", ["gpl2-only-free", "gpl-hope", "gpl-details"]),
+    ("GPL-2.0-only", ["gpl2-only-free"]),
+    ("GPL-3.0-only", ["gpl3-only-free", "gpl-hope", "gpl-details"]),
+    ("GPL-3.0-only", ["gpl3-only-free"]),
+    ("EPL-2.0", ["epl2-terms"]),
     ("Apache-2.0", ["apache-under", "apache-comply", "apache-copy", "apache-basis"]),
     ("Apache-2.0", ["apache-under", "apache-comply"]),
     ("Apache-2.0", ["apache-under"]),
@@ -70,6 +110,15 @@ RULES = [
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-details"]),
     ("GPL-2.0-or-later", ["gpl2-free"]),
     ("GPL-3.0-only", ["gpl3-under"]),
+    ("GPL-2.0-only", ["gpl2-under"]),
+    ("AGPL-3.0", ["agpl3-title"]),
+    ("LGPL-3.0", ["lgpl3-title"]),
+    ("LGPL-2.1", ["lgpl21-title"]),
+    ("GPL-3.0", ["gpl3-title"]),
+    ("GPL-2.0", ["gpl2-title"]),
+    ("Apache-2.0", ["apache-title"]),
+    ("EPL-2.0", ["epl2-title"]),
+    ("MPL-2.0", ["mpl-title"]),
     ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
@@ -84,8 +133,7 @@ RULES = [
 
 #: Where a fragment ends: each line break by itself, so that a blank line is a fragment without words.
 _CUT = r"[.!?;:]+[ \t]*(?:\r\n|[ \t\n\r\f])|\r\n|[\n\r\f]"
-#: Where the SQL twin ends a sentence: it knows sentences on one line only, and wordings by their first part.
-_END, _NOT_WORD = r"[.!?;:]+[ \t\n\r\f]|[\n\r\f]+", r"[^a-z0-9.+]+"
+_NOT_WORD = r"[^a-z0-9.+]+"
 
 
 def normalised(sentence: str) -> str:
@@ -98,11 +146,6 @@ def _wordings() -> list[tuple[str, str]]:
     return [(" ".join(w for w in (x.strip(".") for x in normalised(wording).split()) if w), name) for name, wordings in SENTENCES.items() for wording in wordings]
 
 
-def _known() -> list[tuple[str, str]]:
-    """Each wording as the SQL twin cuts it. There, a wording that holds a sentence end is known by its first part."""
-    return [(normalised(re.split(_END, wording + " ")[0]), name) for name, wordings in SENTENCES.items() for wording in wordings]
-
-
 @lru_cache(maxsize=1)
 def _word_runs() -> list[tuple[str, str, str, int, int, list[int]]]:
     """Every run of words of each known sentence: the run, the sentence, its name, both lengths and where the run begins."""
@@ -156,9 +199,12 @@ def scan(documents: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same scan in SQL."""
+    """The same scan in SQL. The fragments of a text stand in one string, each between two marks; a wording is known where
+    its words follow each other, parted by a blank or by the end and the beginning of fragments, from a fragment's
+    beginning to a fragment's end."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(s)}, {quote(n)})" for s, n in sorted(set(_known())))
+    patterns = {(name, "\x01" + "( |\x01\x01)".join(re.escape(w) for w in words.split()) + "\x01") for words, name in _wordings()}
+    values = ", ".join(f"({quote(p)}, {quote(n)})" for n, p in sorted(patterns))
     rests, names = ["sequence AS rest0"], []
     for i, (name, parts) in enumerate(RULES):
         rule = quote("".join(f"|{p}|" for p in parts))
@@ -168,12 +214,15 @@ def oracle() -> str:
     last = len(RULES)
     ranked = " UNION ALL ".join(f"SELECT doc_id, digest, {i} AS ord, {n} AS name FROM r{last + 1}" for i, n in enumerate(names))
     return f"""
-WITH known(sentence, name) AS (SELECT DISTINCT * FROM (VALUES {values})),
-split AS (SELECT doc_id, md5(text) AS digest, string_split_regex(text || ' ', '{_END}') AS parts FROM documents),
-cut AS (SELECT doc_id, digest, unnest(parts) AS raw, unnest(range(len(parts))) AS pos FROM split),
-plain AS (SELECT doc_id, digest, pos, regexp_replace(regexp_replace(lower(raw), '{_NOT_WORD}', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') AS sentence FROM cut),
-hits AS (SELECT DISTINCT doc_id, digest, pos, name FROM plain JOIN known USING (sentence)),
-r0 AS (SELECT doc_id, digest, '|' || string_agg(name, '||' ORDER BY pos) || '|' AS sequence FROM hits GROUP BY doc_id, digest){steps},
+WITH known(pattern, name) AS (VALUES {values}),
+split AS (SELECT DISTINCT doc_id, md5(text) AS digest, string_split_regex(text || ' ', '{_CUT}') AS parts FROM documents WHERE text IS NOT NULL),
+plain AS MATERIALIZED (SELECT doc_id, digest, chr(1) || array_to_string(list_transform(parts, lambda x: regexp_replace(regexp_replace(lower(x), '{_NOT_WORD}', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')), chr(1) || chr(1)) || chr(1) AS line FROM split),
+held AS (SELECT doc_id, digest, name, regexp_extract_all(line, pattern) AS found, string_split_regex(line, pattern) AS around FROM plain JOIN known ON regexp_matches(line, pattern)),
+spans AS (SELECT DISTINCT h.doc_id, h.digest, h.name, sum(length(p.ahead)) OVER w + coalesce(sum(length(p.own)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(length(p.ahead) + length(p.own)) OVER w AS b
+  FROM held h, LATERAL (SELECT unnest(h.found) AS own, unnest(h.around[1:len(h.found)]) AS ahead, unnest(range(len(h.found))) AS i) p WINDOW w AS (PARTITION BY h.doc_id, h.digest, h.name, h.found, h.around ORDER BY p.i)),
+reach AS (SELECT *, max(b) OVER (PARTITION BY doc_id, digest ORDER BY a, b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM spans),
+hits AS (SELECT DISTINCT doc_id, digest, a, name FROM reach WHERE reached IS NULL OR reached < b),
+r0 AS (SELECT doc_id, digest, '|' || string_agg(name, '||' ORDER BY a, name) || '|' AS sequence FROM hits GROUP BY doc_id, digest){steps},
 ranked AS ({ranked}),
 firsts AS (SELECT doc_id, digest, name, min(ord) AS ord FROM ranked WHERE name IS NOT NULL GROUP BY ALL),
 listed AS (SELECT doc_id, digest, string_agg(name, ',' ORDER BY ord) AS licenses FROM firsts GROUP BY ALL)

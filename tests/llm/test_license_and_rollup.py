@@ -74,6 +74,37 @@ def test_wordings_are_read_to_their_end(spark):
     assert got == {i: ",".join([name] * len(x)) for i, (name, x) in enumerate(R.SENTENCES.items())}
 
 
+MORE = {
+    "GPL-2.0-only": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "EPL-2.0": "// This program and the accompanying materials are made\n// available under the terms of the Eclipse Public License 2.0\n// which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "MIT": "// SPDX-License-Identifier: MIT",
+    "GPL-3.0-only": "/* SPDX-License-Identifier: GPL-3.0-only */\nint main;",
+    "MIT OR Apache-2.0": "# SPDX-License-Identifier: MIT OR Apache-2.0\n",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n",
+}
+
+
+def sql_scan(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return sorted(map(str, con.execute(R.oracle()).fetchall()))
+
+
+def test_more_licences_and_the_sql_reads_whole_wordings(spark):
+    docs = list(enumerate(MORE.values())) + [(100, "SPDX-License-Identifier: MIT OR Apache-2.0 OR ISC"), (101, "SPDX-License-Identifier:\n\nMIT"), (102, None), (103, "")]
+    got = {r["doc_id"]: r["licenses"] for r in R.scan(frame(spark, docs)).collect()}
+    assert got == dict(enumerate(MORE))
+    bsd = "\n".join(wrapped(n, 76, " * ") for n in ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"))
+    docs += [(200, "MIT License\n\n" + "\n\n".join(wrapped(n, 72) for n in ("mit-grant", "mit-notice", "mit-warranty"))), (201, bsd), (202, bsd + "\n" + bsd), (203, MORE["MIT"] + "\n" + MORE["MIT"]), (204, wrapped("gpl2-free", 70)), (205, "All rights reserved. All rights reserved.")]
+    docs += [(300 + i, ".\n\n".join(x)) for i, x in enumerate(R.SENTENCES.values())]
+    rows = R.scan(frame(spark, docs)).select("doc_id", "licenses", "known_sentences", "unmatched").collect()
+    assert sorted(str(tuple(r)) for r in rows) == sql_scan(docs) and len(rows) > len(R.SENTENCES)
+
+
 def test_scan_stays_out_of_python(spark):
     plan = R.scan(frame(spark, EDGES))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
