@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,69 +43,55 @@ def edge_lines(docs: DataFrame, doc_id: str, content: str, minimum: int = 2) ->
     return rows.groupBy("doc_id", "edge", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= minimum)
 
 
-def _fold(blocks_: list[dict], anchored: bool, target: int) -> Iterator[dict]:
-    """Chunks of one document's blocks. A heading begins a chunk and a new page ends one; a paragraph is never cut.
+def _starts(page: np.ndarray, kind: list[str], units: np.ndarray, anchored: bool, target: int) -> list[int]:
+    """The places of the blocks that begin a chunk.
 
-    Anchored: a heading keeps its first paragraph whatever its length, and tables, figures and captions stand alone.
+    Segments are cut before headings and new pages and, if anchored, around what is neither heading nor paragraph. In
+    a segment the next chunk begins at the first block with which the text from the last beginning, joined by blank
+    lines, has more than ``target`` units; a paragraph is never cut. Anchored, a heading keeps its first paragraph.
     """
-    levels: list[str] = []
-    open_: dict | None = None
-    page, fresh = None, False
-
-    def begin(block: dict) -> dict:
-        named = [x for x in levels if x.strip()]
-        return {"page_no": block["page_no"], "section": named[-1] if named else None, "heading_path": " > ".join(named) or None, "parts": [], "units": 0}
-
-    def add(chunk: dict, text: str) -> None:
-        chunk["units"] += len(text.encode("utf-16-le")) // 2 + (2 if chunk["parts"] else 0)
-        chunk["parts"].append(text)
-
-    for block in blocks_:
-        if block["page_no"] != page:
-            if open_ and open_["parts"]:
-                yield open_
-            open_, fresh = None, False
-        page = block["page_no"]
-        if block["kind"] == "HEADING":
-            if open_ and open_["parts"]:
-                yield open_
-            del levels[block["level"] - 1 :]
-            levels += [""] * (block["level"] - 1 - len(levels)) + [block["title"].strip()]
-            open_, fresh = begin(block), True
-            add(open_, block["text"])
-            continue
-        if anchored and block["kind"] != "PARAGRAPH":
-            if open_ and open_["parts"]:
-                yield open_
-            alone = begin(block)
-            add(alone, block["text"])
-            yield alone
-            open_, fresh = None, False
-            continue
-        open_ = open_ or begin(block)
-        size = len(block["text"].encode("utf-16-le")) // 2
-        if open_["parts"] and not (anchored and fresh) and open_["units"] + 2 + size > target:
-            yield open_
-            open_ = begin(block)
-        add(open_, block["text"])
-        fresh = False
-    if open_ and open_["parts"]:
-        yield open_
-
-
-def _retained(chunks_: Iterator[dict]) -> list[dict]:
-    """Chunks that are blank are kept as evidence of the next, or of the last."""
-    out: list[dict] = []
-    waiting: list[str] = []
-    for c in chunks_:
-        text = "\n\n".join(c["parts"])
-        if not text.strip():
-            waiting.append(text)
-            continue
-        out.append(c | {"content": "\n\n".join([*waiting, text]), "own": text})
-        waiting = []
-    if waiting and out:
-        out[-1]["content"] = "\n\n".join([out[-1]["content"], *waiting])
+    heads = np.array([k == "HEADING" for k in kind])
+    alone = np.array([anchored and k not in ("HEADING", "PARAGRAPH") for k in kind])
+    marks = heads | alone | np.concatenate(([True], page[1:] != page[:-1])) | np.concatenate(([False], alone[:-1]))
+    upto = np.concatenate(([0], np.cumsum(units + 2)))  # units of the blocks before a place, with a blank line each
+    segments, starts = np.append(np.flatnonzero(marks), len(kind)).tolist(), []
+    for begin, end in zip(segments, segments[1:], strict=False):
+        while begin < end:
+            starts.append(begin)
+            first_too_many = int(np.searchsorted(upto, target + 2 + upto[begin], side="right")) - 1
+            begin = max(first_too_many, begin + 1 + int(anchored and heads[begin]))
+    return starts
+
+
+def _paths(level: np.ndarray, titles: list[str | None], at: list[int]) -> list[list[str]]:
+    """The titles that hold at each of the places, outermost first: the last heading of a level counts unless one of a
+    higher level came after it."""
+    place, above, out = np.arange(len(level)), np.full(len(at), -1), [[] for _ in at]
+    for own in range(1, int(level.max(initial=0)) + 1):
+        last = np.maximum.accumulate(np.where(level == own, place, -1))[at]
+        for i in np.flatnonzero(last > above):
+            if title := (titles[last[i]] or "").strip():
+                out[i].append(title)
+        above = np.maximum(above, last)
+    return out
+
+
+def _chunks(own: list[dict], anchored: bool, target: int) -> list[dict]:
+    """The chunks of one document's blocks. What is blank is kept as evidence of the next chunk, or of the last."""
+    if not own:
+        return []
+    texts = [b["text"] for b in own]
+    starts = _starts(np.array([b["page_no"] for b in own]), [b["kind"] for b in own], np.array([len(t.encode("utf-16-le")) // 2 for t in texts]), anchored, target)
+    paths = _paths(np.array([b["level"] for b in own]), [b["title"] for b in own], starts)
+    joined = ["\n\n".join(texts[a:b]) for a, b in zip(starts, [*starts[1:], len(texts)], strict=True)]
+    shown = [i for i, text in enumerate(joined) if text.strip()]
+    if not shown:
+        return []
+    owner = [shown[min(k, len(shown) - 1)] for k in np.searchsorted(shown, np.arange(len(joined)))]
+    out = []
+    for i in shown:
+        content = "\n\n".join(text for text, o in zip(joined, owner, strict=True) if o == i) if len(shown) < len(joined) else joined[i]
+        out.append({"page_no": own[starts[i]]["page_no"], "section": paths[i][-1] if paths[i] else None, "heading_path": " > ".join(paths[i]) or None, "content": content, "own": joined[i]})
     return out
 
 
@@ -116,20 +101,20 @@ _CHUNK = "array<struct<chunk_no: int, page_no: int, section: string, heading_pat
 def chunk(blocks_: DataFrame, policy: str = "chunk-policy-v1-current", target: int = TARGET) -> DataFrame:
     """``doc_id, chunk_no, page_no, section, heading_path, content, normalized_content, content_hash``.
 
-    The fold over a document's blocks is sequential; it runs as an Arrow function on their array.
+    A document's blocks come together in an array, on which an Arrow function marks where chunks begin.
     """
     policies = {"chunk-policy-v1-current": False, "chunk-policy-v2-heading-anchored": True}
     anchored = policies[policy]
 
     @F.arrow_udf(_CHUNK)
-    def folded(own: pa.Array) -> pa.Array:
+    def cut(own: pa.Array) -> pa.Array:
         out = []
         for rows in own.to_pylist():
-            found = _retained(_fold(rows or [], anchored, target))
+            found = _chunks(rows or [], anchored, target)
             out.append([{"chunk_no": i + 1, "page_no": c["page_no"], "section": c["section"], "heading_path": c["heading_path"], "content": c["content"], "normalized_content": c["own"]} for i, c in enumerate(found)])
         kinds = [("chunk_no", pa.int32()), ("page_no", pa.int32()), *((n, pa.string()) for n in ("section", "heading_path", "content", "normalized_content"))]
         return pa.array(out, pa.list_(pa.struct(kinds)))
 
     own = F.array_sort(F.collect_list(F.struct("block_no", "page_no", "kind", "level", "title", "text")))
-    rows = blocks_.groupBy("doc_id").agg(own.alias("own")).select("doc_id", F.explode(folded("own")).alias("c"))
+    rows = blocks_.groupBy("doc_id").agg(own.alias("own")).select("doc_id", F.explode(cut("own")).alias("c"))
     return rows.select("doc_id", "c.*").withColumn("content_hash", F.sha2("normalized_content", 256)).withColumn("chunk_policy_version", F.lit(policy))

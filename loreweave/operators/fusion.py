@@ -80,11 +80,6 @@ def rerank(items: DataFrame, query: str, policy: str = "rerank-policy-v1-exact-a
     return scored.withColumn("reranked", F.row_number().over(Window.orderBy(F.desc("rerank_score"), rank)))
 
 
-def same_identities(a: DataFrame, b: DataFrame, key: str = "stable_id") -> bool:
-    """Whether a reordering kept exactly the identities it got."""
-    return a.select(key).exceptAll(b.select(key)).isEmpty() and b.select(key).exceptAll(a.select(key)).isEmpty()
-
-
 def quality(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Per query: recall, precision and reciprocal rank at k. ``ranked``: query_id, stable_id, rank; ``relevant``: query_id, stable_id."""
     top = ranked.where(F.col("rank") <= k)

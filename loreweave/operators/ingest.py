@@ -78,9 +78,10 @@ def eligible(documents: DataFrame) -> DataFrame:
 
 
 def chunk_eligible() -> Column:
-    """A chunk that may be evidence: valid numbers, content that is not blank and has the digest it claims."""
+    """A chunk that may be evidence: valid numbers, composed content that is not blank and has the digest it claims."""
     fine = (F.col("chunk_id") > 0) & (F.col("chunk_no") > 0) & (F.col("page_no").isNull() | (F.col("page_no") > 0))
-    return fine & ~X.is_blank("normalized_content") & (F.sha2("normalized_content", 256) == F.col("content_hash"))
+    composed = X.nfc("normalized_content") == F.col("normalized_content")
+    return fine & ~X.is_blank("normalized_content") & composed & (F.sha2("normalized_content", 256) == F.col("content_hash"))
 
 
 def extraction_state(text: Column, name: Column, pages: Column, failed: Column) -> Column:

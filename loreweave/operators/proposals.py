@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,9 +187,11 @@ def latest_items(items: DataFrame, jobs: DataFrame, states: tuple[str, ...]) ->
     return rows.withColumn("newest", newest).where("newest").select("document_id", "item_id", "status")
 
 
-def rebuild_counts(attempted: Column, ineligible: Column) -> tuple[Column, Column]:
-    """``total`` and ``skipped`` of a rebuild job."""
-    return attempted + ineligible, ineligible
+def rebuild_counts(items: DataFrame, job: str = "job_id") -> DataFrame:
+    """Per rebuild job: what there was in ``total``, what was ``skipped`` as ineligible, and ``fresh`` and ``failed`` of the
+    rest, from items of ``outcome`` FRESH, FAILED or INELIGIBLE."""
+    count = lambda name: F.count_if(F.col("outcome") == name)
+    return items.groupBy(job).agg(F.count("*").alias("total"), count("INELIGIBLE").alias("skipped"), count("FRESH").alias("fresh"), count("FAILED").alias("failed"))
 
 
 def snapshot_token(rows: DataFrame, *columns: str) -> DataFrame:
@@ -225,15 +225,27 @@ def compacted(blocks: list[dict], policy, limit: int) -> list[dict]:
     return made if fine else blocks
 
 
-def analysis_result(text: str, chunk_ids: set[int]) -> dict | None:
-    """An analysis in the agreed JSON form, or None: a title, a known page type and action, and evidence among the
-    chunks that were asked about; no other fields."""
-    try:
-        found = json.loads(text)
-    except ValueError:
-        return None
-    fields = {"title": str, "pageType": str, "action": str, "summary": str, "tags": list, "evidence": list}
-    if not isinstance(found, dict) or set(found) != set(fields) or not all(isinstance(found[k], t) for k, t in fields.items()):
-        return None
-    fine = found["title"].strip() and found["pageType"] in PAGE_TYPES and found["action"] in ("CREATE", "MERGE", "LINK_ONLY", "IGNORE", "REVIEW")
-    return found if fine and set(found["evidence"]) <= chunk_ids else None
+#: The agreed form of an analysis, and the actions that it may name.
+ANALYSIS = "struct<title:string,pageType:string,action:string,summary:string,tags:array<string>,evidence:array<long>>"
+ACTIONS = ("CREATE", "MERGE", "LINK_ONLY", "IGNORE", "REVIEW")
+
+
+def analysis(text: str, asked: str) -> tuple[Column, Column]:
+    """An analysis in the agreed JSON form, as a struct, and why a text is none: NOT_JSON, other FIELDS than the agreed
+    ones, a field of another TYPE, a blank title or an unknown page type or action (VALUE), or EVIDENCE that is none of
+    the chunks that were asked about (an array column)."""
+    given = F.try_parse_json(text)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(given, f"$.{name}", "variant"))
+    fields = sorted(f.split(":")[0] for f in ANALYSIS[len("struct<") : -1].split(",") )
+    wrong_type = F.lit(False)
+    for name in ("title", "pageType", "action", "summary"):
+        wrong_type = wrong_type | (kind(name) != "STRING")
+    wrong_type = wrong_type | ~kind("tags").isin("ARRAY<STRING>", "ARRAY<VOID>") | ~kind("evidence").isin("ARRAY<BIGINT>", "ARRAY<VOID>")
+    found = F.from_json(text, ANALYSIS)
+    blank = X.is_blank(found["title"]) | ~found["pageType"].isin(*PAGE_TYPES) | ~found["action"].isin(*ACTIONS)
+    keys = F.json_object_keys(text)
+    reason = (
+        F.when(given.isNull() | keys.isNull(), "NOT_JSON").when(F.array_join(F.array_sort(keys), ",") != ",".join(fields), "FIELDS").when(F.coalesce(wrong_type, F.lit(True)), "TYPE")
+        .when(blank, "VALUE").when(F.size(F.array_except(found["evidence"], F.col(asked))) > 0, "EVIDENCE")
+    )
+    return F.when(reason.isNull(), found), reason

@@ -25,24 +25,23 @@ def fresh_documents(documents: DataFrame, now: DataFrame, ledger: DataFrame, pro
     return rows.select("document_id")
 
 
-def same_place(left: DataFrame, right: DataFrame, *columns: str) -> Column:
-    """Equality of places, for which a missing and an empty section, heading or page are the same."""
+def same_place(left: str, right: str, *columns: str) -> Column:
+    """Equality of places under two aliases, for which a missing and an empty section, heading or page are the same."""
     out = F.lit(True)
     for c in columns:
-        out = out & (F.coalesce(left[c].cast("string"), F.lit("")) == F.coalesce(right[c].cast("string"), F.lit("")))
+        out = out & (F.coalesce(F.col(f"{left}.{c}").cast("string"), F.lit("")) == F.coalesce(F.col(f"{right}.{c}").cast("string"), F.lit("")))
     return out
 
 
 def served_sources(hits: DataFrame, indexed: DataFrame, chunks: DataFrame, fresh: DataFrame, workspace: int | None = None) -> DataFrame:
     """Hits on source chunks that may be shown: the indexed row and the canonical chunk agree on document, hash and
     place, and the document is fresh. ``hits`` are few; they are joined first."""
-    own = hits.join(indexed.select("chunk_id", "document_id", "content_hash", "section", "page_no"), hits["doc_id"] == indexed["chunk_id"]).alias("i")
+    own = hits.join(indexed.select("chunk_id", "document_id", "content_hash", *[c for c in ("section", "heading_path", "page_no") if c in indexed.columns]), hits["doc_id"] == indexed["chunk_id"]).alias("i")
     canonical = chunks.where("eligible").alias("c")
     canonical = canonical if workspace is None else canonical.where(F.col("workspace_id") == workspace)
     agree = (F.col("i.chunk_id") == F.col("c.chunk_id")) & (F.col("i.document_id") == F.col("c.document_id")) & (F.col("i.content_hash") == F.col("c.content_hash"))
-    for c in ("section", "page_no"):
-        agree = agree & (F.coalesce(F.col(f"i.{c}").cast("string"), F.lit("")) == F.coalesce(F.col(f"c.{c}").cast("string"), F.lit("")))
-    return own.join(canonical, agree).select("i.doc_id", "i.bm25", "i.document_id").join(fresh, "document_id", "left_semi")
+    places = [c for c in ("section", "heading_path", "page_no") if c in indexed.columns and c in chunks.columns]
+    return own.join(canonical, agree & same_place("i", "c", *places)).select("i.doc_id", "i.bm25", "i.document_id").join(fresh, "document_id", "left_semi")
 
 
 def served_pages(hits: DataFrame, pages: DataFrame, ledger: DataFrame, projection_version: str) -> DataFrame:

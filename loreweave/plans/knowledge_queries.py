@@ -166,6 +166,16 @@ def chunk_policy_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk(own, "chunk-policy-v2-heading-anchored").select("doc_id", "chunk_no", "heading_path", "content_hash")
 
 
+_HEADED = r"""WITH RECURSIVE s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+t AS (SELECT doc_id, pos, regexp_replace(CASE WHEN length(raw) BETWEEN 1 AND 20 THEN '## ' || raw ELSE raw END, '^\s+|\s+$', '', 'g') AS text FROM s),
+h AS (SELECT *, regexp_matches(text, '^[\t ]{0,3}#{1,6}[\t ]+.+$') AS head, trim(regexp_extract(text, '^[\t ]{0,3}(#{1,6})[\t ]+(.+?)[\t ]*#*[\t ]*$', 2)) AS title FROM t WHERE text <> ''),
+b AS (SELECT doc_id, text, head, title, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS block_no FROM h),
+c AS (SELECT doc_id, block_no, text, 1 AS chunk_no, length(text) AS units, head AS fresh, CASE WHEN head THEN title END AS title FROM b WHERE block_no = 1
+ UNION ALL SELECT b.doc_id, b.block_no, b.text, CASE WHEN b.head OR NOT fresh AND units + 2 + length(b.text) > 3000 THEN chunk_no + 1 ELSE chunk_no END,
+ CASE WHEN b.head OR NOT fresh AND units + 2 + length(b.text) > 3000 THEN length(b.text) ELSE units + 2 + length(b.text) END, b.head, CASE WHEN b.head THEN b.title ELSE c.title END FROM c JOIN b ON b.doc_id = c.doc_id AND b.block_no = c.block_no + 1)
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, nullif(max(title), '') AS heading_path, sha256(string_agg(text, chr(10) || chr(10) ORDER BY block_no)) AS content_hash FROM c GROUP BY doc_id, chunk_no"""
+
+
 def document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_no"), "role", "text", X.sha256("text").alias("content_hash")).distinct()
     return lifecycle.document_fingerprint(rows, fields=("chunk_no", "role", "text", "content_hash"))
@@ -280,6 +290,20 @@ def graph_bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.admitted(rows, kept.read(pinned, "vertices", keys=[c[1] for c in found.candidates])).select("seed_id", "entity_id", "depth", F.size("path").alias("steps"), "entity_type", "rejection")
 
 
+_BFS = f"""WITH e AS ({_EDGES_SQL}), v AS ({_VERTICES_SQL}), s AS (SELECT DISTINCT {_entity_sql("WORKSPACE", "r_regionkey")} AS id FROM region WHERE r_regionkey IN (0, 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY relation_type, target_id, relation_id) AS turn FROM e),
+h1 AS (SELECT id AS seed, target_id, row_number() OVER (ORDER BY id, turn) AS pos FROM o JOIN s ON source_id = id WHERE turn <= 8),
+f1 AS (SELECT *, row_number() OVER (ORDER BY pos) AS n FROM (SELECT DISTINCT ON (target_id) * FROM h1 WHERE target_id NOT IN (SELECT id FROM s) ORDER BY target_id, pos)),
+l1 AS (SELECT least(32 - (SELECT count(*) FROM s), 16) AS room, least((SELECT coalesce(min(pos), 999) FROM f1 WHERE n = least(32 - (SELECT count(*) FROM s), 16) + 1), 16 + 1) AS stop),
+c1 AS (SELECT f1.* FROM f1, l1 WHERE n <= room AND pos < stop),
+u AS (SELECT least(16, 32 - (SELECT count(*) FROM h1, l1 WHERE pos <= least(stop, 16))) AS left_edges, least(32 - (SELECT count(*) FROM s), 16) - (SELECT count(*) FROM c1) AS room, (SELECT stop <= 16 FROM l1) AS ended),
+h2 AS (SELECT seed, o.target_id, row_number() OVER (ORDER BY n, turn) AS pos FROM o JOIN c1 ON source_id = c1.target_id WHERE turn <= 8),
+f2 AS (SELECT *, row_number() OVER (ORDER BY pos) AS n FROM (SELECT DISTINCT ON (target_id) * FROM h2 WHERE target_id NOT IN (SELECT id FROM s) AND target_id NOT IN (SELECT target_id FROM c1) ORDER BY target_id, pos)),
+c2 AS (SELECT f2.* FROM f2, u WHERE n <= room AND pos <= left_edges AND NOT ended),
+c AS (SELECT seed, target_id, 1 AS depth FROM c1 UNION ALL SELECT seed, target_id, 2 FROM c2)
+SELECT seed AS seed_id, target_id AS entity_id, depth, depth AS steps, entity_type, CASE entity_type WHEN 'TAG' THEN 'NON_EVIDENCE_ENTITY' WHEN 'SOURCE_DOCUMENT' THEN 'NON_CITATION_AUTHORITY' END AS rejection FROM c LEFT JOIN v ON target_id = entity_id"""
+
+
 _ROW = _prefixed("relation_id", "relation_type", "source_id", "target_id")
 _GRAPH_DIGEST = f"SELECT digest AS fingerprint FROM ({digests.ordered_sql(f'SELECT relation_id AS key, sha256({_ROW}) AS value FROM ({_EDGES_SQL})')})"
 
@@ -469,6 +493,7 @@ g AS (SELECT doc_id, line, count(*) AS pages FROM s WHERE trim(regexp_replace(li
 SELECT doc_id, e AS edge, line, CAST(pages AS BIGINT) AS pages FROM g, (VALUES ('header'), ('footer')) v(e)""",
     "chunk_policy_v1": _CHUNKS,
     "document_fingerprint": _FINGERPRINT,
+    "chunk_policy_v2": _HEADED,
     "stale_policy_documents": "SELECT DISTINCT conv_id AS document_id FROM conversations WHERE turn % 7 = 3",
     "graph_vertices": _VERTICES_SQL,
     "graph_edges": _EDGES_SQL,
@@ -477,6 +502,7 @@ SELECT DISTINCT 'ORPHAN_RELATION' AS defect, relation_id AS id FROM e WHERE sour
     "graph_seeds": _SEEDS,
     "graph_reachability": _REACHABLE,
     "graph_fingerprint": _GRAPH_DIGEST,
+    "graph_bounded_bfs": _BFS,
     "title_slug_path": _SLUG,
     "wikilink_targets": r"""WITH b AS (SELECT p_partkey, list_distinct([lower(trim(p_name)), lower(trim(p_brand))]) AS d, lower(trim(p_name)) AS a, lower(trim(p_brand)) AS c FROM part)
 SELECT p_partkey, CAST(i AS INTEGER) AS ord, CASE WHEN i = 0 THEN a ELSE c END AS target FROM (SELECT *, unnest(range(len(d))) AS i FROM b)""",

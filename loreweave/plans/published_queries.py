@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
-from loreweave.operators import evidence, graph, lexical, prompts, published, serving, vector
+from loreweave.operators import evidence, graph, lexical, prompts, proposals, published, serving, vector
 from loreweave.plans.knowledge_queries import _entity_sql, _prefixed
 from loreweave.plans.search_queries import _DOCS, QUERY, _bm25_sql, hits, table
 from loreweave.plans.serving_queries import page_sources, page_tags
@@ -149,10 +149,43 @@ def projection_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.drift(rows, {"provider": "local", "model": "m2", "dimension": 8})
 
 
-QUERIES = {f.__name__: f for f in (published_files, repair_plans, wiki_page_list, analysis_prompts, wiki_revalidation, graph_page_edges, match_order, projection_drift)}
+def analysis_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An analysis of every document that asks about its own chunk, some of another form."""
+    i = F.col("doc_id")
+    evidence_id = F.when(i % 8 == 2, i + 1).otherwise(i).cast("string")
+    text = F.when(i % 8 == 5, F.lit("{")).otherwise(F.concat(
+        F.lit('{"title":'), F.when(i % 8 == 4, F.lit("7")).when(i % 8 == 7, F.lit('" "')).otherwise(F.concat(F.lit('"About '), "source", F.lit('"'))),
+        F.lit(',"pageType":"'), F.when(i % 8 == 1, "MEMO").otherwise("HOWTO"), F.lit('","action":"MERGE","summary":"","tags":'), F.when(i % 8 == 6, "[1]").otherwise('["a"]'),
+        F.lit(',"evidence":['), evidence_id, F.lit("]"), F.when(i % 8 == 3, ',"more":1').otherwise(""), F.lit("}"),
+    ))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.array("doc_id").alias("asked"))
+    found, reason = proposals.analysis("text", "asked")
+    return rows.select("doc_id", found["title"].alias("title"), F.element_at(found["evidence"], 1).alias("evidence"), reason.alias("reason"))
+
+
+def rebuild_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    return proposals.rebuild_counts(table(spark, sf_dir, "events").select((i % 40).alias("job_id"), F.when(i % 5 == 0, "INELIGIBLE").when(i % 7 == 0, "FAILED").otherwise("FRESH").alias("outcome")))
+
+
+def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors, some with components that are missing or not finite, or without any."""
+    i = F.col("vec_id")
+    given = F.col("embedding").cast("array<double>")
+    damaged = F.when(i % 7 == 0, F.concat(given, F.array(F.lit(float("nan"))))).when(i % 11 == 0, F.concat(given, F.array(F.lit(None).cast("double")))).when(i % 13 == 0, F.array().cast("array<double>")).when(i % 17 == 0, F.array(F.lit(float("inf")))).otherwise(given)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", proposals.decoded_vector(damaged).alias("v"))
+    return rows.select("vec_id", F.size("v").alias("components"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)), 4).alias("length"))
+
+
+QUERIES = {f.__name__: f for f in (published_files, repair_plans, wiki_page_list, analysis_prompts, wiki_revalidation, graph_page_edges, match_order, projection_drift, analysis_contract, rebuild_totals, vector_codec)}
 
 ORACLE = {
     "published_files": _FILES,
+    "analysis_contract": """WITH r AS (SELECT doc_id, source, CASE doc_id % 8 WHEN 1 THEN 'VALUE' WHEN 2 THEN 'EVIDENCE' WHEN 3 THEN 'FIELDS' WHEN 4 THEN 'TYPE' WHEN 5 THEN 'NOT_JSON' WHEN 6 THEN 'TYPE' WHEN 7 THEN 'VALUE' END AS reason FROM documents)
+SELECT doc_id, CASE WHEN reason IS NULL THEN 'About ' || source END AS title, CASE WHEN reason IS NULL THEN doc_id END AS evidence, reason FROM r""",
+    "rebuild_totals": """SELECT event_id % 40 AS job_id, count(*) AS total, count(*) FILTER (event_id % 5 = 0) AS skipped, count(*) FILTER (event_id % 5 <> 0 AND event_id % 7 <> 0) AS fresh, count(*) FILTER (event_id % 5 <> 0 AND event_id % 7 = 0) AS failed FROM events GROUP BY 1""",
+    "vector_codec": """SELECT vec_id, CASE WHEN vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0 OR vec_id % 17 = 0 THEN NULL ELSE CAST(len(embedding) AS INTEGER) END AS components,
+ CASE WHEN vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0 OR vec_id % 17 = 0 THEN NULL ELSE round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))), 4) END AS length FROM embeddings""",
     "repair_plans": _REPAIRS,
     "wiki_page_list": """WITH p AS (SELECT 'k' || p_partkey AS knowledge_id, p_name FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 = 1)
 SELECT knowledge_id, p_name, (SELECT count(*) FROM p) AS total, (SELECT CAST(ceil(count(*) / 30.0) AS BIGINT) FROM p) AS pages FROM p ORDER BY knowledge_id LIMIT 30 OFFSET 60""",

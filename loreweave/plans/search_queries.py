@@ -154,6 +154,18 @@ def snippet_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", lexical.snippet("text", QUERY).alias("snippet"))
 
 
+_WORDS = r"(?i)(^|[^\p{L}\p{Nd}\p{M}\x01])(" + "|".join(sorted({s.lower() for s in lexical.query_segments(QUERY)}, key=len, reverse=True)) + r")($|[^\p{L}\p{Nd}\p{M}])"
+_MARK = rf"'{_WORDS}', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'"
+_ESCAPED = """replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
+_SNIPPETS = f"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, {_MARK}), {_MARK}) AS marked FROM documents),
+w AS (SELECT *, length(text) AS n, CASE WHEN length(text) > 280 AND strpos(marked, chr(1)) > 0 THEN greatest(0, least((strpos(marked, chr(1)) + strpos(marked, chr(2)) - 3) // 2 - 140, length(text) - 280)) ELSE 0 END AS a FROM m),
+q AS (SELECT doc_id, n, a, least(n, a + 280) AS b, string_split(translate(marked, chr(1) || chr(2), chr(3) || chr(3)), chr(3)) AS pieces FROM w),
+p AS (SELECT doc_id, n, a, b, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM q),
+o AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM p),
+x AS (SELECT doc_id, n, a, b, i, i % 2 = 0 AND c >= a AND c + length(piece) <= b AS hit, substr(piece, CAST(greatest(a - c, 0) + 1 AS INTEGER), CAST(greatest(least(c + length(piece), b) - greatest(c, a), 0) AS INTEGER)) AS x FROM o)
+SELECT doc_id, CASE WHEN max(a) > 0 THEN '…' ELSE '' END || string_agg(CASE WHEN hit THEN '<mark>' || {_ESCAPED} || '</mark>' ELSE {_ESCAPED} END, '' ORDER BY i) || CASE WHEN max(b) < max(n) THEN '…' ELSE '' END AS snippet FROM x GROUP BY doc_id"""
+
+
 def _projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("label") % 2 == 0, "WIKI").otherwise("SOURCE_CHUNK")
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("stable_id"), kind.alias("kind"), "embedding")
@@ -335,6 +347,7 @@ SELECT term, CAST(count(*) AS BIGINT) AS documents, CAST(sum(tf) AS BIGINT) AS o
     "bm25_wiki_weighted": f"WITH {_bm25_sql(_TITLED_SQL, {'title': 8.0, 'body': 1.0}, QUERY)} SELECT doc_id, bm25 FROM hits",
     "fts_replace_delete": f"""WITH {_bm25_sql("SELECT doc_id, CASE WHEN source = 'src1' THEN split_part(text, chr(10), 1) ELSE text END AS text FROM documents WHERE source <> 'src2'", {"text": 1.0}, QUERY)} SELECT doc_id, bm25 FROM hits""",
     "search_source_page": _SOURCE_PAGE,
+    "snippet_highlight": _SNIPPETS,
     "scoped_fallback": _FALLBACK,
     "search_all_interleaved": _ALL,
     "scoped_vocabulary": r"WITH t AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{Nd}\p{M}]+'), lambda t: lower(t)))) AS terms FROM documents) SELECT doc_id, CAST(len(terms) AS INTEGER) AS n_terms, terms[1] AS first_term FROM t",

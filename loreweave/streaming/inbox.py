@@ -66,8 +66,3 @@ def run(spark: SparkSession, folder: str, table_path: str, checkpoint: str) -> S
     """Work off what is there into ``documents`` and ``chunks`` under ``table_path``; read them with ``table``."""
     stream = text_stream(spark, folder).writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, table_path))
     return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events by kind and window; on a stream, rows later than the watermark are left out."""
-    return events.withWatermark(time, late).groupBy(F.window(time, size), key).agg(F.count("*").alias("n"))

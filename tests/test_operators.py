@@ -26,7 +26,7 @@ def test_registration_and_promotion(spark):
 
 def test_chunk_eligibility(spark):
     good = spark.createDataFrame([(1, 1, None, "x")], "chunk_id long, chunk_no int, page_no int, normalized_content string").withColumn("content_hash", F.sha2("normalized_content", 256))
-    bad = good.withColumn("content_hash", F.lit("no")).unionByName(good.withColumn("page_no", F.lit(0))).unionByName(good.withColumn("normalized_content", F.lit(" ")))
+    bad = good.withColumn("content_hash", F.lit("no")).unionByName(good.withColumn("page_no", F.lit(0))).unionByName(good.withColumn("normalized_content", F.lit(" "))).unionByName(good.withColumn("normalized_content", F.lit("e\u0301")).withColumn("content_hash", F.sha2("normalized_content", 256)))
     assert good.where(ingest.chunk_eligible()).count() == 1 and bad.where(ingest.chunk_eligible()).count() == 0
 
 
@@ -71,7 +71,6 @@ def test_rerank(spark):
     items = spark.createDataFrame([("a", 1, "other", "nothing"), ("b", 2, "ERR-1234 guide", "about ERR-1234")], "stable_id string, rank int, title string, content string")
     assert rows(fusion.rerank(items, "fix ERR-1234").orderBy("reranked"), "stable_id") == [("b",), ("a",)]
     assert rows(fusion.rerank(items.limit(1), "fix"), "reranked") == [(1,)]
-    assert fusion.same_identities(items, items.orderBy("rank")) and not fusion.same_identities(items, items.limit(1))
 
 
 def test_quality(spark):

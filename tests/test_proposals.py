@@ -18,12 +18,14 @@ def test_compaction_keeps_the_baseline_where_a_policy_breaks_a_rule():
     assert P.compacted(blocks, lambda b: b[:1], 3) == blocks
 
 
-def test_analysis_results_are_checked():
+def test_analysis_results_are_checked(spark):
     good = {"title": "T", "pageType": "HOWTO", "action": "CREATE", "summary": "", "tags": [], "evidence": [1]}
-    assert P.analysis_result(json.dumps(good), {1, 2}) == good
-    for bad in ({**good, "pageType": "X"}, {**good, "evidence": [3]}, {**good, "more": 1}, {**good, "title": " "}, [1]):
-        assert P.analysis_result(json.dumps(bad), {1, 2}) is None
-    assert P.analysis_result("{", set()) is None
+    cases = [(good, None), ({**good, "tags": ["a"], "evidence": []}, None), ({**good, "pageType": "X"}, "VALUE"), ({**good, "evidence": [3]}, "EVIDENCE"), ({**good, "more": 1}, "FIELDS"), ({**good, "title": " "}, "VALUE"), ([1], "NOT_JSON"), ({**good, "title": 5}, "TYPE"), ({**good, "tags": [1]}, "TYPE"), ({**good, "summary": None}, "TYPE"), ({**good, "evidence": ["1"]}, "TYPE")]
+    rows = spark.createDataFrame([(json.dumps(c), [1, 2]) for c, _ in cases] + [("{", [1]), (None, [1])], "t string, a array<long>")
+    found, reason = P.analysis("t", "a")
+    got = rows.select(found.alias("f"), reason.alias("r")).collect()
+    assert [r["r"] for r in got] == [want for _, want in cases] + ["NOT_JSON", "NOT_JSON"]
+    assert got[0]["f"].asDict(True) == good and got[2]["f"] is None
 
 
 def test_vectors_and_paths(spark):
