@@ -40,6 +40,49 @@ def register(documents: DataFrame, by: tuple[str, ...] = ("sha256",)) -> DataFra
     return out.withColumn("status", F.when(copy, "DUPLICATE").otherwise("PENDING")).withColumn("duplicate_of", F.when(copy, F.col("first_id"))).drop("first_id")
 
 
+def _slots(name: Column) -> tuple[Column, Column]:
+    """A file name without its extension, and the extension with its point."""
+    end = F.regexp_extract(name, r"(?s)^.+(\.[^.]*)$", 1)
+    return F.substring(name, F.lit(1), F.length(name) - F.length(end)), end
+
+
+def landed(uploads: DataFrame, stored_names: DataFrame, documents: DataFrame) -> DataFrame:
+    """What becomes of a batch of uploads (``upload_id, file_name, content``): ``upload_id, outcome, reason, stored_name,
+    sha256, file_size, duplicate_of``.
+
+    An upload without content or a usable name is REJECTED, and the others go on. Names in use (``stored_names``:
+    ``stored_name``) are not taken again: a file gets the first free of ``name.ext``, ``name-1.ext`` and so on, earlier
+    uploads first. A content that a live document has (``documents``: ``document_id, sha256, status``), or an earlier
+    upload of the batch, is a DUPLICATE, of that document where there is one; all others are STORED.
+    """
+    name = safe_file_name(F.trim("file_name"))
+    rows = uploads.select("upload_id", name.alias("name"), F.col("file_name"), F.sha2("content", 256).alias("sha256"), F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("file_size"))
+    blank = F.coalesce(F.trim("file_name"), F.lit("")) == ""
+    reason = F.when(F.col("file_size") == 0, "EMPTY").when(blank, "BLANK_NAME").when(F.coalesce(F.trim("name"), F.lit("")) == "", "INVALID_NAME")
+    rows = rows.withColumn("reason", reason)
+    good = rows.where("reason is null").withColumn("base", _slots(F.col("name"))[0]).withColumn("end", _slots(F.col("name"))[1])
+
+    used = stored_names.select("stored_name").withColumn("least", F.lit(0)).unionByName(good.select(F.col("name").alias("stored_name"), F.lit(1).alias("least"))).distinct()
+    base, end = _slots(F.col("stored_name"))
+    numbered = F.regexp_extract(base, r"(?s)^(.+)-([1-9][0-9]{0,8})$", 2)
+    taken = used.where("least = 0").select(base.alias("base"), end.alias("end"), F.lit(0).alias("n"))
+    taken = taken.unionByName(used.where(numbered != "").select(F.regexp_extract(base, r"(?s)^(.+)-([1-9][0-9]{0,8})$", 1).alias("base"), end.alias("end"), numbered.cast("int").alias("n")))
+    taken = taken.groupBy("base", "end").agg(F.collect_set("n").alias("taken"))  # the files of one name
+    turn = F.row_number().over(Window.partitionBy("base", "end").orderBy("upload_id"))
+    good = good.withColumn("turn", turn).join(taken, ["base", "end"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
+    free = F.array_except(F.sequence(F.lit(0), F.col("turn") + F.size("taken")), "taken")
+    slot = F.element_at(free, F.col("turn"))
+    good = good.withColumn("stored_name", F.when(slot == 0, F.col("name")).otherwise(F.concat("base", F.lit("-"), slot.cast("string"), "end")))
+
+    live = documents.where(~F.col("status").isin(*DEAD)).groupBy(F.col("sha256").alias("live_sha")).agg(F.min("document_id").alias("duplicate_of"))
+    first = good.groupBy(F.col("sha256").alias("own_sha")).agg(F.min("upload_id").alias("first_upload"))
+    good = good.join(live, F.col("sha256") == F.col("live_sha"), "left").join(first, F.col("sha256") == F.col("own_sha"))
+    outcome = F.when(F.col("duplicate_of").isNotNull() | (F.col("first_upload") < F.col("upload_id")), "DUPLICATE").otherwise("STORED")
+    done = good.select("upload_id", outcome.alias("outcome"), "reason", "stored_name", "sha256", "file_size", "duplicate_of")
+    refused = rows.where("reason is not null").select("upload_id", F.lit("REJECTED").alias("outcome"), "reason", F.lit(None).cast("string").alias("stored_name"), "sha256", "file_size")
+    return done.unionByName(refused, allowMissingColumns=True)
+
+
 def versions(documents: DataFrame) -> DataFrame:
     """Rows of one path as versions: the parent, and whether a later one supersedes it."""
     order = Window.partitionBy("source_path").orderBy("document_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.functions import text as X
-from loreweave.operators import evidence, graph, lexical, prompts, proposals, published, serving, vector
+from loreweave.operators import evidence, graph, ingest, lexical, prompts, proposals, published, serving, vector
 from loreweave.plans.knowledge_queries import _entity_sql, _prefixed
 from loreweave.plans.search_queries import _DOCS, QUERY, _bm25_sql, hits, table
 from loreweave.plans.serving_queries import page_sources, page_tags
@@ -83,7 +83,8 @@ def wiki_page_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("p_partkey")
     pages = table(spark, sf_dir, "part").select(F.concat(F.lit("k"), i.cast("string")).alias("knowledge_id"), "p_name", F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (i % 3 + 1).cast("int")).alias("page_type"), F.when(i % 4 == 0, "ARCHIVED").otherwise("PUBLISHED").alias("status"))
     rows, totals = serving.wiki_list(pages, "CONCEPT", 2, 30)
-    return rows.crossJoin(F.broadcast(totals.select("total", "pages"))).select("knowledge_id", "p_name", "total", "pages")  # thirty rows and one
+    counted = totals.first()  # one row
+    return rows.select("knowledge_id", "p_name", F.lit(counted["total"]).cast("long").alias("total"), F.lit(counted["pages"]).cast("long").alias("pages"))
 
 
 TEMPLATE = "<!-- prompt-version: analysis-v3 -->\nRead {{ document.metadata }} with care.\n\n{{evidence}}\n-- end of {{document.metadata}}\n"
@@ -177,10 +178,31 @@ def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.size("v").alias("components"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x)), 4).alias("length"))
 
 
-QUERIES = {f.__name__: f for f in (published_files, repair_plans, wiki_page_list, analysis_prompts, wiki_revalidation, graph_page_edges, match_order, projection_drift, analysis_contract, rebuild_totals, vector_codec)}
+def upload_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploads with names that repeat, are taken or are none, against those of one source as live documents."""
+    i = F.col("doc_id")
+    name = F.when(i % 41 == 0, "  ").when(i % 43 == 0, "a/..").otherwise(F.concat(F.lit("in\\f"), (i % 60).cast("string"), F.lit(".txt")))
+    uploads = table(spark, sf_dir, "documents").select(i.alias("upload_id"), name.alias("file_name"), F.when(i % 47 != 0, F.encode("text", "UTF-8")).alias("content"))
+    ids = table(spark, sf_dir, "documents").select((i % 60).alias("id")).distinct()
+    used = ids.where("id % 3 = 0").select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".txt")).alias("stored_name"))
+    used = used.unionByName(ids.where("id % 5 = 0").select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit("-1.txt")).alias("stored_name")))
+    live = table(spark, sf_dir, "documents").where("source = 'src1'").select(i.alias("document_id"), X.sha256("text").alias("sha256"), F.when(i % 4 == 0, "DELETED").otherwise("PENDING").alias("status"))
+    return ingest.landed(uploads, used, live).select("upload_id", "outcome", "reason", "stored_name", "file_size", "duplicate_of")
+
+
+_UPLOADS = """WITH u AS (SELECT doc_id AS i, doc_id % 60 AS f, text, CASE WHEN doc_id % 47 = 0 THEN 'EMPTY' WHEN doc_id % 41 = 0 THEN 'BLANK_NAME' WHEN doc_id % 43 = 0 THEN 'INVALID_NAME' END AS reason FROM documents),
+l AS (SELECT text, min(doc_id) AS live FROM documents WHERE source = 'src1' AND doc_id % 4 <> 0 GROUP BY 1),
+g AS (SELECT i, f, u.text, live, row_number() OVER (PARTITION BY f ORDER BY i) AS turn, min(i) OVER (PARTITION BY u.text) AS first_upload FROM u LEFT JOIN l ON u.text = l.text WHERE reason IS NULL),
+s AS (SELECT *, list_filter(range(0, turn + 3), lambda x: NOT (x = 0 AND f % 3 = 0 OR x = 1 AND f % 5 = 0))[turn] AS slot FROM g)
+SELECT i AS upload_id, CASE WHEN live IS NOT NULL OR first_upload < i THEN 'DUPLICATE' ELSE 'STORED' END AS outcome, NULL AS reason, 'f' || f || CASE WHEN slot = 0 THEN '' ELSE '-' || slot END || '.txt' AS stored_name, CAST(strlen(text) AS BIGINT) AS file_size, live AS duplicate_of FROM s
+UNION ALL SELECT i, 'REJECTED', reason, NULL, CASE WHEN reason = 'EMPTY' THEN 0 ELSE CAST(strlen(text) AS BIGINT) END, NULL FROM u WHERE reason IS NOT NULL"""
+
+
+QUERIES = {f.__name__: f for f in (published_files, repair_plans, wiki_page_list, analysis_prompts, wiki_revalidation, graph_page_edges, match_order, projection_drift, analysis_contract, rebuild_totals, vector_codec, upload_outcomes)}
 
 ORACLE = {
     "published_files": _FILES,
+    "upload_outcomes": _UPLOADS,
     "analysis_contract": """WITH r AS (SELECT doc_id, source, CASE doc_id % 8 WHEN 1 THEN 'VALUE' WHEN 2 THEN 'EVIDENCE' WHEN 3 THEN 'FIELDS' WHEN 4 THEN 'TYPE' WHEN 5 THEN 'NOT_JSON' WHEN 6 THEN 'TYPE' WHEN 7 THEN 'VALUE' END AS reason FROM documents)
 SELECT doc_id, CASE WHEN reason IS NULL THEN 'About ' || source END AS title, CASE WHEN reason IS NULL THEN doc_id END AS evidence, reason FROM r""",
     "rebuild_totals": """SELECT event_id % 40 AS job_id, count(*) AS total, count(*) FILTER (event_id % 5 = 0) AS skipped, count(*) FILTER (event_id % 5 <> 0 AND event_id % 7 <> 0) AS fresh, count(*) FILTER (event_id % 5 <> 0 AND event_id % 7 = 0) AS failed FROM events GROUP BY 1""",

@@ -24,6 +24,18 @@ def test_registration_and_promotion(spark):
     assert heirs("f2", "f4") == [2, 4] and heirs("f3", "f4") == [2, 3] and heirs("f9") == [2, 3]
 
 
+def test_uploads_get_free_names(spark):
+    given = [(1, "a.txt", b"x"), (2, "dir/a.txt", b"y"), (3, "a-1.txt", b"x"), (4, " ", b"z"), (5, "..", b"z"), (6, "b", b""), (7, "c\\a.txt", b"live"), (8, ".hidden", b"h"), (9, ".hidden", b"i"), (10, None, b"z"), (11, "t.tar.gz", b"t"), (12, "b/", b"z")]
+    uploads = spark.createDataFrame(given, "upload_id long, file_name string, content binary")
+    used = spark.createDataFrame([("a.txt",), ("t.tar.gz",), ("t.tar-1.gz",)], "stored_name string")
+    live = spark.createDataFrame([(7, "live", "PENDING"), (5, "y", "DELETED")], "document_id long, t string, status string").withColumn("sha256", F.sha2("t", 256))
+    got = {r["upload_id"]: (r["outcome"], r["reason"] or r["stored_name"], r["duplicate_of"]) for r in ingest.landed(uploads, used, live).collect()}
+    assert got == {
+        1: ("STORED", "a-2.txt", None), 2: ("STORED", "a-3.txt", None), 3: ("DUPLICATE", "a-1.txt", None), 4: ("REJECTED", "BLANK_NAME", None), 5: ("REJECTED", "INVALID_NAME", None), 6: ("REJECTED", "EMPTY", None),
+        7: ("DUPLICATE", "a-4.txt", 7), 8: ("STORED", ".hidden", None), 9: ("STORED", ".hidden-1", None), 10: ("REJECTED", "BLANK_NAME", None), 11: ("STORED", "t.tar-2.gz", None), 12: ("REJECTED", "INVALID_NAME", None),
+    }
+
+
 def test_chunk_eligibility(spark):
     good = spark.createDataFrame([(1, 1, None, "x")], "chunk_id long, chunk_no int, page_no int, normalized_content string").withColumn("content_hash", F.sha2("normalized_content", 256))
     bad = good.withColumn("content_hash", F.lit("no")).unionByName(good.withColumn("page_no", F.lit(0))).unionByName(good.withColumn("normalized_content", F.lit(" "))).unionByName(good.withColumn("normalized_content", F.lit("e\u0301")).withColumn("content_hash", F.sha2("normalized_content", 256)))
