@@ -147,15 +147,16 @@ def _wordings() -> list[tuple[str, str]]:
 
 
 @lru_cache(maxsize=1)
-def _word_runs() -> list[tuple[str, str, str, int, int, list[int]]]:
-    """Every run of words of each known sentence: the run, the sentence, its name, both lengths and where the run begins."""
+def _word_runs() -> list[tuple[str, int, str, int, int, list[int]]]:
+    """Every run of words of each known sentence: the run, the sentence's number, its name, both lengths and where the run
+    begins."""
     found = []
-    for sentence, name in sorted(set(_wordings())):
+    for number, (sentence, name) in enumerate(sorted(set(_wordings()))):
         words, starts = sentence.split(), defaultdict(list)
         for a in range(len(words)):
             for b in range(a, len(words)):
                 starts[" ".join(words[a : b + 1])].append(a)
-        found += [(run, sentence, name, run.count(" ") + 1, len(words), at) for run, at in starts.items()]
+        found += [(run, number, name, run.count(" ") + 1, len(words), at) for run, at in starts.items()]
     return found
 
 
@@ -164,9 +165,9 @@ def _hits(documents: DataFrame) -> DataFrame:
 
     In fragments that follow each other, the words before a fragment less the words of the sentence before its run
     are the same for all parts of one occurrence; it is whole where the parts have as many words as the sentence."""
-    known = documents.sparkSession.createDataFrame(_word_runs(), "fragment string, sentence string, name string, n int, total int, starts array<int>")
+    known = documents.sparkSession.createDataFrame(_word_runs(), "fragment string, sentence int, name string, n int, total int, starts array<int>")
     rows = documents.select("doc_id", shared.text_digest().alias("digest"), F.posexplode(F.split(F.concat("text", F.lit(" ")), _CUT)).alias("pos", "raw"))
-    parts = rows.select("doc_id", "digest", "pos", _sentence("raw").alias("fragment")).join(F.broadcast(known), "fragment")  # a fixed table
+    parts = rows.select("doc_id", "digest", "pos", _sentence("raw").alias("fragment")).join(F.broadcast(known), "fragment").drop("fragment")  # a fixed table
     parts = parts.repartition("doc_id", "digest").dropDuplicates(["doc_id", "digest", "sentence", "name", "pos"])
     order = Window.partitionBy("doc_id", "digest", "sentence", "name").orderBy("pos")
     parts = parts.withColumn("island", F.col("pos") - F.row_number().over(order)).withColumn("before", F.sum("n").over(order) - F.col("n"))
