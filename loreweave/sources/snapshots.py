@@ -227,12 +227,16 @@ class SnapshotStore:
         touched = [d.select(self._bucket(F.col(spec.key)).alias("b")) for d in (rows, gone) if d is not None and spec.key in d.columns]
         if gone is not None and spec.key not in gone.columns:
             touched.append(self.spark.createDataFrame([(int(b),) for b in before], "b int"))
-        hit = {str(r["b"]) for r in reduce(DataFrame.unionByName, touched).where("b is not null").distinct().collect()}  # one row a bucket
-        kept = self.read(base, name, buckets=hit & set(before)) if before else self.spark.createDataFrame([], schema)
-        if gone is not None:
-            kept = kept.join(gone, gone.columns, "left_anti")
-        if rows is not None:
-            kept = kept.join(rows.select(*identity), identity, "left_anti").unionByName(rows)
+        hit: set[str] = set()
+        if before:
+            hit = {str(r["b"]) for r in reduce(DataFrame.unionByName, touched).where("b is not null").distinct().collect()}  # one row a bucket
+            kept = self.read(base, name, buckets=hit & set(before))
+            if gone is not None:
+                kept = kept.join(gone, gone.columns, "left_anti")
+            if rows is not None:
+                kept = kept.join(rows.select(*identity), identity, "left_anti").unionByName(rows)
+        else:
+            kept = rows if rows is not None else self.spark.createDataFrame([], schema)
         folder = f"{name}-{uuid.uuid4().hex}"
         place = F.pmod(F.xxhash64(*identity), F.lit(self.files))
         written = kept.withColumn("bucket", self._bucket(F.col(spec.key))).repartition("bucket", place).sortWithinPartitions("bucket", spec.key)
