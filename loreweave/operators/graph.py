@@ -257,8 +257,8 @@ def admission(candidates: DataFrame, vertices_: DataFrame, relations: DataFrame,
     steps = steps.join(own, "relation_id", "left").withColumn("wrong", wrong).where("wrong is not null")
     rows = rows.join(steps.groupBy("candidate").agg(F.min_by("wrong", "step").alias("wrong_step")), "candidate", "left")
 
-    place = F.regexp_extract(F.col("authority_id"), r"^document:(\d{1,18})(?::chunk:(\d{1,9}))?$", 1)
-    number = F.regexp_extract(F.col("authority_id"), r"^document:(\d{1,18}):chunk:(\d{1,9})$", 2)
+    place = F.regexp_extract(F.col("authority_id"), r"^document:(\d{1,18})(?::chunk:(\d{1,18}))?$", 1)
+    number = F.regexp_extract(F.col("authority_id"), r"^document:(\d{1,18}):chunk:(\d{1,18})$", 2)
     number_of = lambda c: F.when(c != "", c.cast("long"))
     is_kind = lambda kind: F.col("entity_type") == kind
     rows = rows.withColumn("at_page", F.when(is_kind("WIKI_PAGE"), F.col("authority_id"))).withColumn("at_document", number_of(place)).withColumn("at_chunk", F.when(is_kind("SOURCE_CHUNK"), number_of(number)))

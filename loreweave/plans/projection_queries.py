@@ -65,7 +65,7 @@ def graph_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
             "authority_id", (i % 29 != 0).alias("eligible"), F.when(i % 23 != 0, F.concat(F.lit("h"), i.cast("string"))).alias("content_hash"), F.lit(1).alias("revision"), "n",
         )
 
-    document_of = F.concat(F.lit("document:"), F.col("o_custkey").cast("string"), F.lit(":chunk:"), (F.col("o_orderkey") % 1000000).cast("string"))
+    document_of = F.concat(F.lit("document:"), F.col("o_custkey").cast("string"), F.lit(":chunk:"), F.col("o_orderkey").cast("string"))
     vertices = entities(orders, "SOURCE_CHUNK", "o_orderkey", F.when(F.col("o_orderkey") % 19 == 0, "chunk").otherwise(document_of))
     vertices = vertices.unionByName(entities(customers, "SOURCE_DOCUMENT", "c_custkey", F.concat(F.lit("document:"), F.col("c_custkey").cast("string"))))
     vertices = vertices.unionByName(entities(parts, "WIKI_PAGE", "p_partkey", F.concat(F.lit("k"), (F.col("p_partkey") - F.col("p_partkey") % 10).cast("string"))))
@@ -78,7 +78,7 @@ def graph_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = vertices.select(F.lit("seed").alias("seed_id"), "entity_id", (i % 2 + 1).cast("int").alias("depth"), path.alias("path"))
     own_documents = customers.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("document_id"), (F.col("c_custkey") % 7 != 0).alias("eligible"), F.concat(F.lit("h"), F.when(F.col("c_custkey") % 5 == 0, 0).otherwise(F.col("c_custkey")).cast("string")).alias("sha256"))
     chunks = orders.where("o_orderkey % 13 <> 0").select(
-        F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("document_id"), (F.col("o_orderkey") % 1000000).alias("chunk_no"), (F.col("o_orderkey") % 17 != 0).alias("eligible"),
+        F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("chunk_no"), (F.col("o_orderkey") % 17 != 0).alias("eligible"),
         F.concat(F.lit("h"), F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_orderkey")).cast("string")).alias("content_hash"), F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise(F.col("o_orderpriority")).alias("content"),
     )
     pages = parts.where("p_partkey % 10 = 0 and p_partkey % 70 <> 0").select(
