@@ -7,11 +7,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreweave.sources.tables import small_batches
+
 # A blank line between blocks, and a heading that is a whole block.
 _BOUNDARY = r"(?:\r\n|\r|\n)[\t ]*(?:\r\n|\r|\n)+"
 _HEADING = r"^[\t ]{0,3}(#{1,6})[\t ]+(.+?)[\t ]*#*[\t ]*$"
 #: UTF-16 units that a chunk aims at.
 TARGET = 3000
+#: Characters of chunks that are kept as Python's before they go back to Arrow.
+_HELD = 1 << 20
 
 
 def pages(content: Column | str) -> Column:
@@ -106,15 +110,22 @@ def chunk(blocks_: DataFrame, policy: str = "chunk-policy-v1-current", target: i
     policies = {"chunk-policy-v1-current": False, "chunk-policy-v2-heading-anchored": True}
     anchored = policies[policy]
 
+    kinds = [("chunk_no", pa.int32()), ("page_no", pa.int32()), *((n, pa.string()) for n in ("section", "heading_path", "content", "normalized_content"))]
+    kind = pa.list_(pa.struct(kinds))
+
     @F.arrow_udf(_CHUNK)
     def cut(own: pa.Array) -> pa.Array:
-        out = []
-        for rows in own.to_pylist():
-            found = _chunks(rows or [], anchored, target)
+        parts, out, held = [], [], 0
+        for rows in own:  # one document at a time becomes Python's; what is cut goes back to Arrow soon
+            found = _chunks(rows.as_py() or [], anchored, target)
             out.append([{"chunk_no": i + 1, "page_no": c["page_no"], "section": c["section"], "heading_path": c["heading_path"], "content": c["content"], "normalized_content": c["own"]} for i, c in enumerate(found)])
-        kinds = [("chunk_no", pa.int32()), ("page_no", pa.int32()), *((n, pa.string()) for n in ("section", "heading_path", "content", "normalized_content"))]
-        return pa.array(out, pa.list_(pa.struct(kinds)))
+            held += sum(len(c["content"]) for c in found)
+            if held > _HELD:
+                parts.append(pa.array(out, kind))
+                out, held = [], 0
+        return pa.concat_arrays([*parts, pa.array(out, kind)])
 
     own = F.array_sort(F.collect_list(F.struct("block_no", "page_no", "kind", "level", "title", "text")))
+    small_batches(blocks_.sparkSession)
     rows = blocks_.groupBy("doc_id").agg(own.alias("own")).select("doc_id", F.explode(cut("own")).alias("c"))
     return rows.select("doc_id", "c.*").withColumn("content_hash", F.sha2("normalized_content", 256)).withColumn("chunk_policy_version", F.lit(policy))

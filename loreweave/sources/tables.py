@@ -35,3 +35,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_folder(df.sparkSession)}/loreweave-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 4 << 20) -> None:
+    """Keep the Arrow batches of whole documents small where the session has Spark's defaults of 10,000 rows and 64 MB."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt out (by keys, if given) for work that takes long for its bytes: by number, as Spark would else put
+    what is small in bytes into few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
