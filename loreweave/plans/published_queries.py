@@ -10,6 +10,7 @@ from loreweave.operators import evidence, graph, ingest, lexical, prompts, propo
 from loreweave.plans.knowledge_queries import _entity_sql, _prefixed
 from loreweave.plans.search_queries import _DOCS, QUERY, _bm25_sql, hits, table
 from loreweave.plans.serving_queries import page_sources, page_tags
+from loreweave.sources.tables import spread
 
 _TYPES = ("HOWTO", "CONCEPT", "DECISION")
 
@@ -17,7 +18,7 @@ _TYPES = ("HOWTO", "CONCEPT", "DECISION")
 def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parts as published pages, and their files, of which some are missing, damaged or cannot be read."""
     i, n = F.col("p_partkey"), F.col("n")
-    parts = table(spark, sf_dir, "part").withColumn("title", F.concat(F.lit("Part "), i.cast("string"))).withColumn("type", F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (i % 3 + 1).cast("int")))
+    parts = spread(table(spark, sf_dir, "part")).withColumn("title", F.concat(F.lit("Part "), i.cast("string"))).withColumn("type", F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (i % 3 + 1).cast("int")))
     sections = F.array(F.struct(F.lit("Facts").alias("heading"), F.concat(F.lit(" "), "p_type", F.lit(' "quoted" ')).alias("content")))
     links = F.array(F.struct(F.concat(F.lit("Part "), (i + 1).cast("string")).alias("target"), F.lit("next").alias("label")), F.struct(F.when(i % 23 == 0, "a/b").otherwise("Zeta  One").alias("target"), F.lit("z").alias("label")))
     own = F.array(F.struct(i.alias("chunk_id"), F.lit(1).alias("chunk_no"), F.lit(None).cast("int").alias("page_no"), F.concat("p_name", F.lit("\n"), "p_brand").alias("excerpt")))
