@@ -140,7 +140,11 @@ def fused_trace(candidates: DataFrame, authority: DataFrame, now: DataFrame, pol
     own = own.select(*group, "channel", "kind", "stable_id", "first", "c.*")
     by_channel = Window.partitionBy(*group, "channel")  # a channel is bounded by its candidate limit
     own = own.withColumn("ordinal", F.row_number().over(by_channel.orderBy("first")))
-    then = _authority(authority.withColumn("stable_id", F.col("stable_id").cast("string")), "a_", "content")
+    authority, now = (rows.withColumn("stable_id", F.col("stable_id").cast("string")) for rows in (authority, now))
+    if not group:  # the candidates of one query are few: what they ask for is taken out before any text is shuffled
+        asked = F.broadcast(own.select("kind", "stable_id").distinct())
+        authority, now = (rows.join(asked, ["kind", "stable_id"], "left_semi") for rows in (authority, now))
+    then = _authority(authority, "a_", "content")
     own = own.join(then, ["kind", "stable_id"], "left").withColumn("rejection", _rejection("a_"))
     own = own.withColumn("rank", F.when(F.col("rejection").isNull(), F.row_number().over(Window.partitionBy(*group, "channel", F.col("rejection").isNull()).orderBy("ordinal"))))
 
@@ -177,7 +181,7 @@ def fused_trace(candidates: DataFrame, authority: DataFrame, now: DataFrame, pol
         )
 
     fates = lists.select(*group, F.explode(F.aggregate("items", begin, step, lambda state: state["out"])).alias("f")).select(*group, "f.*")
-    rows = merged.join(fates, key, "left").join(_authority(now.withColumn("stable_id", F.col("stable_id").cast("string")), "n_"), ["kind", "stable_id"], "left")
+    rows = merged.join(fates, key, "left").join(_authority(now, "n_"), ["kind", "stable_id"], "left")
     selected = F.col("fate") == "SELECTED"
     graph_only = F.lit(not graph_current) & (F.array_join("modalities", ",") == "GRAPH")
     late = F.when(selected, F.when(graph_only, "PROJECTION_STALE").otherwise(_rejection("n_")))

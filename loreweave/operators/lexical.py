@@ -9,10 +9,13 @@ import re
 import unicodedata
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,7 @@ from loreweave.sources.tables import scratch_folder
 
 MAX_QUERY_CHARACTERS, MAX_QUERY_TERMS = 256, 64
 RRF_K = 60
+_DOCUMENTS_AT_ONCE = 256
 
 
 # The index's classes of characters (``text.HAN``, ``text.WORD``), for queries and snippets on the driver and in tasks.
@@ -99,6 +103,24 @@ def bm25(docs: DataFrame, doc_id: str, columns: dict[str, float], query: str, pa
     return FtsIndex.over(docs, doc_id, list(columns)).search(query, list(columns.values()), params)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of an id and lists of tokens, one a column, as ``doc_id, len, term`` and the term's number in each column; a
+    row without a term holds the length alone."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _DOCUMENTS_AT_ONCE):
+            ids, *lists = batch.slice(at, _DOCUMENTS_AT_ONCE).columns
+            parts = []
+            for i, tokens in enumerate(lists):
+                row, term = pc.list_parent_indices(tokens), pc.list_flatten(tokens).cast(pa.string())
+                parts.append(pa.table([row, term, *[pa.array(np.full(len(term), int(i == j), np.int32)) for j in range(len(lists))]], ["row", "term", *[f"tf{j}" for j in range(len(lists))]]))
+            counts = pa.concat_tables(parts).group_by(["row", "term"]).aggregate([(f"tf{j}", "sum") for j in range(len(lists))])
+            lengths = sum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False) for tokens in lists).astype(np.int32)
+            row = np.concatenate([np.arange(len(ids)), counts["row"].to_numpy()])
+            term = pa.concat_arrays([pa.nulls(len(ids), pa.string()), counts["term"].combine_chunks()])
+            own = [np.concatenate([np.full(len(ids), int(j == 0)), counts[f"tf{j}_sum"].to_numpy()]).astype(np.int32) for j in range(len(lists))]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(lengths[row]), term, *map(pa.array, own)], ["doc_id", "len", "term", *[f"tf{j}" for j in range(len(lists))]])
+
+
 class FtsIndex:
     """A stored full-text index: postings by bucket of their term, document lengths, and generations of both.
 
@@ -110,8 +132,8 @@ class FtsIndex:
     write unless their number is given. Document ids are distinct.
     """
 
-    #: Documents for each bucket of terms.
-    DOCUMENTS = 50_000
+    #: Documents for each bucket of terms, and bytes of text for each task that sorts and writes postings.
+    DOCUMENTS, TASK_BYTES = 50_000, 16 << 20
 
     def __init__(self, spark: SparkSession, path: str, columns: list[str], buckets: int | None = None) -> None:
         self.spark, self.path, self.columns, self.buckets = spark, path.rstrip("/"), columns, buckets
@@ -147,23 +169,24 @@ class FtsIndex:
         return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
     def _written(self, docs: DataFrame, doc_id: str) -> dict:
-        """Write the rows of a generation and return its manifest. Texts are read and cut into terms once: a document's
-        length is the row of a term that no text has."""
+        """Write the rows of a generation and return its manifest. Texts are cut into terms once, and counted before they
+        are shuffled: a document's length is the row of a term that no text has."""
         folder = uuid.uuid4().hex
         at = f"{self.path}/data/{folder}"
         ids = docs.where(F.col(doc_id).isNotNull())
-        buckets = self.buckets or max(16, -(-ids.count() // self.DOCUMENTS))
+        size = ids.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(f"b{i}") for i, c in enumerate(self.columns)]).first()
+        buckets = self.buckets or max(16, -(-size["rows"] // self.DOCUMENTS))
+        shares = max(8, -(-size["rows"] // (2 * self.DOCUMENTS)))
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-sum(size[f"b{i}"] for i in range(len(self.columns))) // self.TASK_BYTES))
         rows = ids.select(F.col(doc_id).alias("doc_id"), *[X.index_tokens(c).alias(f"t{i}") for i, c in enumerate(self.columns)])
-        rows = rows.withColumn("len", sum((F.size(f"t{i}") for i in range(len(self.columns))), F.lit(0)))
-        of = lambda column: lambda t: F.struct(t.alias("term"), F.lit(column).alias("column"))
-        whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("column")))
-        terms = rows.select("doc_id", "len", F.explode(F.concat(whole, *[F.transform(f"t{i}", of(i)) for i in range(len(self.columns))])).alias("t")).select("doc_id", "len", "t.*")
-        # one shuffle, by bucket and an eighth of the documents (lengths: a part of all shares); terms are counted and sorted where they arrive
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        fields = "".join(f", tf{i} int" for i in range(len(self.columns)))
+        terms = rows.mapInArrow(_counted, f"doc_id {kind}, len int, term string{fields}")
+        # one shuffle, by bucket and a share of the documents (lengths: a part of all shares); what arrives is sorted alone, by as many tasks as the texts need
         own = F.col("term").isNotNull()
-        part = F.pmod(F.xxhash64("doc_id"), F.when(own, 8).otherwise(8 * buckets))
+        part = F.pmod(F.xxhash64("doc_id"), F.when(own, shares).otherwise(shares * buckets))
         terms = terms.withColumn("bucket", F.when(own, self._bucket(F.col("term"), buckets)).otherwise(-1)).withColumn("part", part)
-        counts = [F.count(F.when(F.col("column") == i, 1)).cast("int").alias(f"tf{i}") for i in range(len(self.columns))]
-        postings = terms.repartition("bucket", "part").groupBy("bucket", "part", "term", "doc_id", "len").agg(*counts).drop("part")
+        postings = terms.repartition(tasks, "bucket", "part").drop("part")
         postings.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
         lengths = self.spark.read.schema(f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, len int, tf0 int").parquet(f"{at}/postings/bucket=-1") if "bucket=-1" in snapshots.names_in(self.spark, f"{at}/postings") else None
         totals = {"rows": 0, "ids": 0, "most": 1, "total": 0}
