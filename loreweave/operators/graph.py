@@ -32,7 +32,8 @@ def vertices(workspace: int, **tables: tuple[DataFrame, str]) -> DataFrame:
     """``entity_id, entity_type, key`` of every row of the tables, given as TYPE=(table, key column)."""
     out = None
     for kind, (table, key) in tables.items():
-        own = table.where(F.col(key).isNotNull()).select(entity_id(workspace, kind, key).alias("entity_id"), F.lit(kind).alias("entity_type"), F.col(key).cast("string").alias("key")).distinct()
+        own = table.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key")).distinct()  # keys are shorter than ids
+        own = own.select(entity_id(workspace, kind, "key").alias("entity_id"), F.lit(kind).alias("entity_type"), "key")
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -40,7 +41,8 @@ def vertices(workspace: int, **tables: tuple[DataFrame, str]) -> DataFrame:
 def edges(workspace: int, relation: str, pairs: DataFrame, source: tuple[str, str], target: tuple[str, str]) -> DataFrame:
     """``relation_id, relation_type, source_id, target_id`` of key pairs; source and target are (TYPE, column)."""
     rows = pairs.where(F.col(source[1]).isNotNull() & F.col(target[1]).isNotNull())
-    rows = rows.select(entity_id(workspace, *source).alias("source_id"), entity_id(workspace, *target).alias("target_id")).distinct()
+    rows = rows.select(F.col(source[1]).cast("string").alias("s"), F.col(target[1]).cast("string").alias("t")).distinct()  # keys are shorter than ids
+    rows = rows.select(entity_id(workspace, source[0], "s").alias("source_id"), entity_id(workspace, target[0], "t").alias("target_id"))
     return rows.select(relation_id(workspace, "source_id", relation, "target_id").alias("relation_id"), F.lit(relation).alias("relation_type"), "source_id", "target_id")
 
 
@@ -51,13 +53,27 @@ def links_to(pages: DataFrame, page_id: str, title: str, targets: str) -> DataFr
     return asked.join(named, "target").where("source_page <> target_page").select("source_page", "target_page").distinct()
 
 
+def _digest(c: str):
+    """What stands for an id where ids are only compared: 128 bits, a quarter of its length."""
+    return F.unhex(F.md5(F.col(c)))
+
+
+def _repeated(rows: DataFrame, id_: str) -> DataFrame:
+    """The ids of several rows, once: found by their digests, and then looked at themselves."""
+    own = rows.select(id_, F.coalesce(_digest(id_), F.lit(b"")).alias("digest"))
+    twice = stored(own.groupBy("digest").count().where("count > 1").select("digest"), "repeated")
+    if twice.isEmpty():
+        return rows.select(id_).where("false")
+    return own.join(twice, "digest", "left_semi").groupBy(id_).count().where("count > 1").select(id_)
+
+
 def defects(vertices_: DataFrame, edges_: DataFrame) -> DataFrame:
     """``defect, id``: repeated identities, and relations whose end is no vertex."""
-    repeated = vertices_.groupBy("entity_id").count().where("count > 1").select(F.lit("DUPLICATE_ENTITY").alias("defect"), F.col("entity_id").alias("id"))
-    twice = edges_.groupBy("relation_id").count().where("count > 1").select(F.lit("DUPLICATE_RELATION").alias("defect"), F.col("relation_id").alias("id"))
-    out = repeated.unionByName(twice)
+    out = _repeated(vertices_, "entity_id").select(F.lit("DUPLICATE_ENTITY").alias("defect"), F.col("entity_id").alias("id"))
+    out = out.unionByName(_repeated(edges_, "relation_id").select(F.lit("DUPLICATE_RELATION").alias("defect"), F.col("relation_id").alias("id")))
+    there = vertices_.select(_digest("entity_id").alias("end"))
     for end in ("source_id", "target_id"):
-        loose = edges_.join(vertices_.select(F.col("entity_id").alias(end)), end, "left_anti")
+        loose = edges_.select("relation_id", _digest(end).alias("end")).join(there, "end", "left_anti")
         out = out.unionByName(loose.select(F.lit("ORPHAN_RELATION").alias("defect"), F.col("relation_id").alias("id")))
     return out.distinct()
 

@@ -197,9 +197,10 @@ def _entities(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, st
     return {kind: (table(spark, sf_dir, name), key) for kind, (name, key) in keys.items()}
 
 
-def _graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions contain nations, customers are linked from nations, orders are their chunks."""
-    nation, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+def _graph_edges(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Regions contain nations, customers are linked from nations, orders (all, or these) are their chunks."""
+    nation, customer = (table(spark, sf_dir, t) for t in ("nation", "customer"))
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
     out = graph.edges(1, "CONTAINS", nation, ("WORKSPACE", "n_regionkey"), ("TAG", "n_nationkey"))
     out = out.unionByName(graph.edges(1, "LINKS_TO", customer, ("TAG", "c_nationkey"), ("SOURCE_DOCUMENT", "c_custkey")))
     return out.unionByName(graph.edges(1, "CONTAINS", orders, ("SOURCE_DOCUMENT", "o_custkey"), ("SOURCE_CHUNK", "o_orderkey")))

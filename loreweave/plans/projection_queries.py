@@ -14,7 +14,7 @@ from loreweave.plans.knowledge_queries import _EDGES_SQL, _graph_edges
 from loreweave.plans.search_queries import _CHANNELS, _channels, table, titled
 from loreweave.plans.serving_queries import _chunks
 from loreweave.sources.snapshots import Change
-from loreweave.sources.tables import scratch_folder
+from loreweave.sources.tables import scratch_folder, stored
 
 
 def _folder(spark: SparkSession, label: str) -> str:
@@ -24,15 +24,14 @@ def _folder(spark: SparkSession, label: str) -> str:
 def graph_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three generations of a graph, each read by its number after all are written: without the finished orders, with
     those upserted, and without what open orders no longer hold."""
-    edges = _graph_edges(spark, sf_dir)
     orders = table(spark, sf_dir, "orders")
-    own = lambda where: graph.edges(1, "CONTAINS", orders.where(where), ("SOURCE_DOCUMENT", "o_custkey"), ("SOURCE_CHUNK", "o_orderkey"))
-    late, stale = own("o_orderstatus = 'F'"), own("o_orderstatus = 'O'")
+    without = lambda status: orders.join(orders.where(F.col("o_orderstatus") == status).select("o_custkey", "o_orderkey").distinct(), ["o_custkey", "o_orderkey"], "left_anti")
+    late = graph.edges(1, "CONTAINS", orders.where("o_orderstatus = 'F'"), ("SOURCE_DOCUMENT", "o_custkey"), ("SOURCE_CHUNK", "o_orderkey"))
     kept = graph.store(spark, _folder(spark, "graph"))
-    vertices = edges.select(F.col("source_id").alias("entity_id")).distinct()
-    kept.commit({"vertices": Change(vertices), "adjacency": Change(edges.join(late, "relation_id", "left_anti"))})
+    vertices = _graph_edges(spark, sf_dir).select(F.col("source_id").alias("entity_id")).distinct()
+    kept.commit({"vertices": Change(vertices), "adjacency": Change(_graph_edges(spark, sf_dir, without("F")))})
     kept.commit({"adjacency": Change(late)})
-    kept.retain({"adjacency": edges.join(stale, "relation_id", "left_anti")})
+    kept.retain({"adjacency": _graph_edges(spark, sf_dir, without("O"))})
     out = None
     for generation in (1, 2, 3):
         rows = kept.read(kept.snapshot(generation), "adjacency").groupBy("source_id", "relation_type").agg(F.count("*").alias("targets"), F.min("target_id").alias("first_target"), F.max("relation_id").alias("last_relation"))
@@ -190,7 +189,8 @@ def fused_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, own in _channels(spark, sf_dir).items():
         rows = own if rows is None else rows.unionByName(own)
     candidates = rows.select("channel", "kind", "stable_id", F.col("rank").alias("ordinal"), F.when(i % 23 == 0, 2).otherwise(1).alias("workspace_id"), F.when((i % 11 == 0) & (F.col("channel") != "VECTOR"), F.lit("old")).otherwise(F.concat(F.lit("h"), "stable_id")).alias("content_hash"))
-    documents = table(spark, sf_dir, "documents").where("doc_id % 17 <> 0")
+    candidates = stored(candidates, "candidates")  # some hundred rows that are read three times
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 17 <> 0")
     d = F.col("doc_id")
     authority = documents.select(F.lit("SOURCE_CHUNK").alias("kind"), d.alias("stable_id"), F.lit(1).alias("workspace_id"), F.concat(F.lit("h"), d.cast("string")).alias("content_hash"), (F.col("n_chars") % 7 != 0).alias("eligible"), F.when(d % 13 == 0, " ").otherwise(F.col("text")).alias("content"))
     now = authority.where("stable_id % 9 <> 0").withColumn("content_hash", F.when(F.col("stable_id") % 5 == 0, "newer").otherwise(F.col("content_hash"))).drop("content")

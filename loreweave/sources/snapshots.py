@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,6 +96,8 @@ class Change:
 
     rows: DataFrame | None = None
     gone: DataFrame | None = None
+    #: Identities: rows with none of these go.
+    active: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -187,9 +189,7 @@ class SnapshotStore:
 
     def retain(self, active: dict[str, DataFrame], base: Snapshot | None = None) -> Committed:
         """Remove what is stale: rows whose identity is none of ``active``. Buckets without such rows stay as they are."""
-        base = base or self.snapshot()
-        gone = {name: self.read(base, name).join(rows.select(*self.tables[name].identity), list(self.tables[name].identity), "left_anti") for name, rows in active.items()}
-        return self.commit({name: Change(gone=rows.select(*self.tables[name].identity)) for name, rows in gone.items()}, base)
+        return self.commit({name: Change(active=rows.select(*self.tables[name].identity)) for name, rows in active.items()}, base)
 
     def clear(self, base: Snapshot) -> Committed:
         """A generation without rows."""
@@ -210,45 +210,82 @@ class SnapshotStore:
         spec = self.tables[name]
         identity = list(spec.identity)
         schema = T.StructType.fromJson(base.tables[name]["schema"]) if base is not None and name in base.tables else None
-        rows = change.rows
+        rows, first = change.rows, schema is None
         if rows is not None:
             rows = rows.where(F.col(spec.key).isNotNull())
-            rows = (rows if schema is None else rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])).distinct()
-            rows = stored(rows, f"{name}-rows")  # read several times below
-            if not rows.groupBy(identity).count().where("count > 1").isEmpty():
-                raise ValueError(f"rows of {name} conflict: one identity with two contents")
-        gone = None if change.gone is None else stored(change.gone.distinct(), f"{name}-gone")
-        if schema is None:
+        if first:
             if rows is None:
                 raise ValueError(f"the first generation has no {name}")
             schema, before = rows.schema, {}
         else:
             before = base.tables[name]["buckets"]
+            rows = None if rows is None else stored(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]), f"{name}-rows")  # read several times below
+        gone = None if change.gone is None else stored(change.gone.distinct(), f"{name}-gone")
+        active = None if change.active is None else stored(change.active.select(_told(identity).alias("told")), f"{name}-active")
         touched = [d.select(self._bucket(F.col(spec.key)).alias("b")) for d in (rows, gone) if d is not None and spec.key in d.columns]
         if gone is not None and spec.key not in gone.columns:
             touched.append(self.spark.createDataFrame([(int(b),) for b in before], "b int"))
+        if active is not None and before:
+            whole = self.read(base, name).select(self._bucket(F.col(spec.key)).alias("b"), _told(identity).alias("told"))
+            touched.append(whole.join(active, "told", "left_anti").select("b"))
         hit: set[str] = set()
+        kept = self.spark.createDataFrame([], schema) if rows is None else rows
         if before:
             hit = {str(r["b"]) for r in reduce(DataFrame.unionByName, touched).where("b is not null").distinct().collect()}  # one row a bucket
             kept = self.read(base, name, buckets=hit & set(before))
             if gone is not None:
                 kept = kept.join(gone, gone.columns, "left_anti")
+            for told, how in ((active, "left_semi"), (None if rows is None else rows.select(_told(identity).alias("told")), "left_anti")):
+                if told is not None:
+                    kept = _unpacked(_packed(kept.withColumn("told", _told(identity))).join(told, "told", how), schema)
             if rows is not None:
-                kept = kept.join(rows.select(*identity), identity, "left_anti").unionByName(rows)
-        else:
-            kept = rows if rows is not None else self.spark.createDataFrame([], schema)
+                kept = kept.unionByName(rows)
         folder = f"{name}-{uuid.uuid4().hex}"
+        # one shuffle brings the rows of an identity together: they are told apart, counted and sorted where they arrive
         place = F.pmod(F.xxhash64(*identity), F.lit(self.files))
-        written = kept.withColumn("bucket", self._bucket(F.col(spec.key))).repartition("bucket", place).sortWithinPartitions("bucket", spec.key)
-        written.write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
-        now = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/data/{folder}")
-        parts = {str(r["bucket"]): {"folder": folder, "rows": r["n"], "digest": r["digest"]} for r in contents(now, [f.name for f in schema], "bucket").collect()}  # one row a bucket
+        dealt = _packed(kept.withColumn("bucket", self._bucket(F.col(spec.key))).withColumn("place", place)).repartition("bucket", "place").distinct()
+        dealt = dealt.withColumn("copies", F.count("*").over(Window.partitionBy("bucket", "place", *identity)))
+        written = _unpacked(dealt, schema, "bucket", "copies").sortWithinPartitions("bucket", spec.key)
+        written.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        now = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("copies", T.LongType()), T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/data/{folder}")
+        found = contents(now, [f.name for f in schema], "bucket", F.max("copies").alias("copies")).collect()  # one row a bucket
+        if any(r["copies"] > 1 for r in found):
+            remove(self.spark, f"{self.path}/data/{folder}")
+            raise ValueError(f"rows of {name} conflict: one identity with two contents")
+        parts = {str(r["bucket"]): {"folder": folder, "rows": r["n"], "digest": r["digest"]} for r in found}
         return {"schema": schema.jsonValue(), "buckets": {b: p for b, p in before.items() if b not in hit} | parts}
 
 
-def contents(rows: DataFrame, columns: list[str], group: str) -> DataFrame:
+#: Ids of a prefix of four characters and a SHA-256, which take half their room as bytes.
+_ID = r"\A[ -~]{4}[0-9a-f]{64}\z"
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows as they are shuffled: texts as bytes, with ids of hexadecimal digits as what these stand for."""
+    def pack(c: Column) -> Column:
+        short = F.concat(F.lit(b"\x01"), F.substring(c, 1, 4).cast("binary"), F.unhex(F.substring(c, 5, 64)))
+        return F.when(c.rlike(_ID), short).otherwise(F.concat(F.lit(b"\x00"), c.cast("binary")))
+
+    return rows.select(*[pack(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in rows.schema])
+
+
+def _unpacked(rows: DataFrame, schema: T.StructType, *more: str) -> DataFrame:
+    def unpack(c: Column) -> Column:
+        whole = F.concat(F.substring(c, 2, 4).cast("string"), F.lower(F.hex(F.substring(c, 6, 32))))
+        return F.when(F.substring(c, 1, 1) == F.lit(b"\x01"), whole).otherwise(F.substring(c, 2, (1 << 31) - 1).cast("string"))
+
+    return rows.select(*[unpack(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in schema], *more)
+
+
+def _told(identity: list[str]) -> Column:
+    """128 bits that tell identities apart."""
+    one = lambda c: F.md5(F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}))
+    return F.unhex(F.md5(F.concat(*[one(F.col(c)) for c in identity])))
+
+
+def contents(rows: DataFrame, columns: list[str], group: str, *more: Column) -> DataFrame:
     """``group``, ``n`` and ``digest``, which tells sets of rows apart whatever their order: the sums of two 60-bit
     pieces of the rows' SHA-256, so that partial sums do and no group is gathered."""
     row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
     pieces = [F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16)]
-    return rows.groupBy(group).agg(F.count("*").alias("n"), F.concat_ws(":", F.count("*").cast("string"), *[p.cast("string") for p in pieces]).alias("digest"))
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.concat_ws(":", F.count("*").cast("string"), *[p.cast("string") for p in pieces]).alias("digest"), *more)
