@@ -225,12 +225,21 @@ def wiki_path(page_type: Column, title: Column | str) -> Column:
     return F.concat(F.lit("vault/"), folder, F.lit("/"), slug(title), F.lit(".md"))
 
 
+def joined_tags(c: Column | str) -> Column:
+    """A row's tags as one text to compose, parted by U+0000."""
+    return F.array_join(F.transform(_col(c), lambda t: F.regexp_replace(t, r"[\s\x00]+", " ")), "\x00")
+
+
+def split_tags(joined: Column | str, count: int = 50, size: int = 80) -> Column:
+    """``tags`` of ``joined_tags``, best given as a plain column."""
+    own = F.transform(F.split(nfc(joined), "\x00"), composed_title_key)
+    own = F.filter(own, lambda t: t.isNotNull() & (t != "") & (F.length(t) <= size))
+    return F.slice(F.sort_array(F.array_distinct(own)), 1, count)
+
+
 def tags(c: Column | str, count: int = 50, size: int = 80) -> Column:
     """Tags in normal form, distinct and sorted, of at most ``size`` characters; at most ``count``."""
-    joined = nfc(F.array_join(F.transform(_col(c), lambda t: F.regexp_replace(t, r"[\s\x00]+", " ")), "\x00"))  # one text a row to compose
-    own = F.transform(F.split(joined, "\x00"), composed_title_key)
-    own = F.filter(own, lambda t: t.isNotNull() & (t != "") & (F.length(t) <= size))
-    return F.slice(F.array_sort(F.array_distinct(own)), 1, count)
+    return split_tags(joined_tags(c), count, size)
 
 
 def wikilinks(c: Column | str) -> Column:

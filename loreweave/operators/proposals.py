@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loreweave.functions import text as X
 from loreweave.operators import digests
 from loreweave.operators import published as published_files
+from loreweave.sources.tables import spread
 
 # The page types, and those that a candidate's type allows.
 PAGE_TYPES = tuple(X.PAGE_FOLDERS)
@@ -107,35 +108,44 @@ def drafted(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
     proposal that creates or merges is drafted. What its data gives goes before its candidate's title and summary;
     without sections the summary is one.
     """
-    own = evidence.groupBy("proposal_id").agg(
-        F.array_sort(F.collect_list(F.struct("chunk_id", "chunk_no", "page_no", "excerpt"))).alias("evidence"), F.array_sort(F.collect_set("document_id")).alias("evidence_documents"), F.count_distinct("chunk_id").alias("evidence_ids")
-    )
-    rows = proposals.join(own, "proposal_id", "left").withColumn("d", F.from_json("data", DATA, {"columnNameOfCorruptRecord": "_corrupt"}))
-    kind, mapping = page_type(F.col("candidate_type"), F.col("d.pageType"))
+    # What several columns name is a column of an earlier step, the JSON is parsed where it can matter, and pages are written
+    # after the join, for those alone that are drafts; who is refused before takes nothing along.
     inline = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    title, summary = inline(F.coalesce("d.title", "title")), inline(F.coalesce("d.summary", "summary"))
+    rows = proposals.withColumn("unfit", F.when(F.col("status") != "APPROVED", "PROPOSAL_NOT_APPROVED").when(~F.col("action").isin("CREATE", "MERGE"), "UNSUPPORTED_ACTION"))
+    rows = rows.withColumn("d", F.when(F.col("unfit").isNull(), F.from_json("data", DATA, {"columnNameOfCorruptRecord": "_corrupt"})))
+    rows = rows.withColumn("draft_title", inline(F.coalesce("d.title", "title"))).withColumn("draft_summary", inline(F.coalesce("d.summary", "summary")))
+    kind, mapping = page_type(F.col("candidate_type"), F.col("d.pageType"))
     given = F.col("d.sections")
     bad_sections = (F.size(given) == 0) | F.exists(given, lambda s: X.is_blank(s["heading"]) | X.is_blank(s["content"])) | (F.size(F.array_distinct(F.transform(given, lambda s: F.lower(inline(s["heading"]))))) < F.size(given))
-    refusal = (
-        F.when(F.col("status") != "APPROVED", "PROPOSAL_NOT_APPROVED").when(~F.col("action").isin("CREATE", "MERGE"), "UNSUPPORTED_ACTION")
-        .when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), "INVALID_NORMALIZED_DATA").when(mapping.isNotNull(), mapping)
-        .when((F.coalesce(title, F.lit("")) == "") | (F.coalesce(summary, F.lit("")) == "") | F.coalesce(bad_sections, F.lit(False)), "INVALID_NORMALIZED_DATA")
-        .when(F.col("evidence").isNull() | (F.col("evidence_ids") < F.size("evidence")), "INVALID_EVIDENCE").when(X.slug(title).isNull(), "PATH_CONTRACT_MISMATCH")
+    early = (
+        F.when(F.col("unfit").isNotNull(), F.col("unfit")).when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), "INVALID_NORMALIZED_DATA").when(mapping.isNotNull(), mapping)
+        .when((F.coalesce("draft_title", F.lit("")) == "") | (F.coalesce("draft_summary", F.lit("")) == "") | (given.isNotNull() & F.coalesce(bad_sections, F.lit(False))), "INVALID_NORMALIZED_DATA")
     )
-    rows = rows.withColumn("refusal", refusal).withColumn("page_type", kind).withColumn("draft_title", title).withColumn("draft_summary", summary)
+    rows = rows.withColumn("early", early).withColumn("kind", kind)
+    kept = lambda c: F.when(F.col("early").isNull(), c)
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("draft_tags", X.tags(F.coalesce("d.tags", none)))
-    aliases = F.transform(F.array_sort(F.array_distinct(F.transform(F.coalesce("d.aliases", none), lambda a: F.struct(F.lower(inline(a)).alias("key"), inline(a).alias("alias"))))), lambda a: a["alias"])
+    rows = rows.select(
+        "proposal_id", "document_id", "action", "early", kept(F.col("draft_title")).alias("draft_title"), kept(F.col("draft_summary")).alias("draft_summary"), kept(F.col("kind")).alias("page_type"),
+        kept(F.col("d.aliases")).alias("aliases"), kept(given).alias("sections"), kept(F.col("d.wikilinks")).alias("links"), kept(X.joined_tags(F.coalesce("d.tags", none))).alias("joined_tags"),
+    )
+    rows = rows.withColumn("draft_tags", X.split_tags("joined_tags")).withColumn("path", X.wiki_path(F.col("page_type"), "draft_title")).drop("joined_tags")
+    own = spread(evidence, "proposal_id").groupBy("proposal_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "chunk_no", "page_no", "excerpt", F.col("document_id").alias("origin")))).alias("evidence"))
+    ids = F.col("evidence")["chunk_id"]
+    rows = rows.join(own, "proposal_id", "left")
+    late = F.when(F.col("evidence").isNull() | F.get(ids, F.lit(0)).isNull() | (F.size(F.array_distinct(ids)) < F.size(ids)), "INVALID_EVIDENCE").when(F.col("path").isNull(), "PATH_CONTRACT_MISMATCH")
+    rows = rows.withColumn("refusal", F.coalesce("early", late))
+    aliases = F.transform(F.transform(F.coalesce("aliases", none), inline), lambda a: F.struct(F.lower(a).alias("key"), a.alias("alias")))
+    aliases = F.sort_array(F.array_distinct(aliases))["alias"]
     whole = F.array(F.struct(F.lit("Summary").alias("heading"), F.col("draft_summary").alias("content")))
-    sections = F.when(given.isNotNull(), F.transform(given, lambda s: F.struct(inline(s["heading"]).alias("heading"), s["content"].alias("content")))).otherwise(whole)
-    links = F.transform(F.coalesce("d.wikilinks", F.array().cast("array<struct<targetTitle:string,label:string>>")), lambda x: F.struct(inline(x["targetTitle"]).alias("target"), inline(F.coalesce(x["label"], x["targetTitle"])).alias("label")))
-    links = F.array_sort(F.array_distinct(links))
-    documents = F.when(F.col("document_id").isNotNull(), F.array("document_id")).otherwise(F.col("evidence_documents"))
+    sections = F.when(F.col("sections").isNotNull(), F.transform("sections", lambda s: F.struct(inline(s["heading"]).alias("heading"), s["content"].alias("content")))).otherwise(whole)
+    links = F.transform(F.coalesce("links", F.array().cast("array<struct<targetTitle:string,label:string>>")), lambda x: F.struct(inline(x["targetTitle"]).alias("target"), inline(F.coalesce(x["label"], x["targetTitle"])).alias("label")))
+    links = F.sort_array(F.array_distinct(links))
+    documents = F.when(F.col("document_id").isNotNull(), F.array("document_id")).otherwise(F.sort_array(F.array_except(F.col("evidence")["origin"], F.array(F.lit(None)))))
     text = published_files.body(F.col("draft_title"), sections, links, F.col("evidence"))
-    markdown = published_files.draft_file(F.col("draft_title"), F.col("page_type"), F.col("draft_summary"), F.col("draft_tags"), aliases, documents, F.transform("evidence", lambda e: e["chunk_id"]), text)
+    markdown = published_files.draft_file(F.col("draft_title"), F.col("page_type"), F.col("draft_summary"), F.col("draft_tags"), aliases, documents, ids, text)
     kept = lambda c: F.when(F.col("refusal").isNull(), c)
     return rows.select(
-        "proposal_id", kept(F.col("draft_title")).alias("title"), kept(F.col("page_type")).alias("page_type"), kept(X.wiki_path(F.col("page_type"), "draft_title")).alias("path"), "action",
+        "proposal_id", kept(F.col("draft_title")).alias("title"), kept(F.col("page_type")).alias("page_type"), kept(F.col("path")).alias("path"), "action",
         kept(F.col("draft_tags")).alias("tags"), kept(markdown).alias("markdown"), "refusal",
     )
 

@@ -24,10 +24,15 @@ def _scalar(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\n"))
 
 
+def _let(value: Column, within: Callable[[Column], Column]) -> Column:
+    """What ``within`` makes of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), within), 1)
+
+
 def _list(name: str, items: Column) -> Column:
     """``items`` are texts as they are to stand there."""
-    listed = F.concat(F.lit(f"{name}:\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("  - "), x, F.lit("\n"))), ""))
-    return F.when(F.size(items) > 0, listed).otherwise(F.lit(f"{name}: []\n"))
+    listed = lambda own: F.concat(F.lit(f"{name}:\n"), F.array_join(F.transform(own, lambda x: F.concat(F.lit("  - "), x, F.lit("\n"))), ""))
+    return _let(items, lambda own: F.when(F.size(own) > 0, listed(own)).otherwise(F.lit(f"{name}: []\n")))
 
 
 def _stripped(c: Column) -> Column:
@@ -38,12 +43,12 @@ def body(title: Column, sections: Column, links: Column, evidence: Column) -> Co
     """A page's text: its title, sections (``heading, content``), links (``target, label``) and evidence (``chunk_id,
     chunk_no, page_no, excerpt``)."""
     own = F.array_join(F.transform(sections, lambda s: F.concat(F.lit("## "), s["heading"], F.lit("\n\n"), _stripped(s["content"]), F.lit("\n\n"))), "")
-    related = F.array_join(F.transform(links, lambda x: F.concat(F.lit("- [["), x["target"], F.lit("|"), x["label"], F.lit("]]\n"))), "")
-    related = F.when(F.size(links) > 0, F.concat(F.lit("## Related Links\n\n"), related, F.lit("\n"))).otherwise("")
+    listed = lambda own: F.array_join(F.transform(own, lambda x: F.concat(F.lit("- [["), x["target"], F.lit("|"), x["label"], F.lit("]]\n"))), "")
+    related = _let(links, lambda own: F.when(F.size(own) > 0, F.concat(F.lit("## Related Links\n\n"), listed(own), F.lit("\n"))).otherwise(""))
 
     def shown(e: Column) -> Column:
         page = F.coalesce(F.concat(F.lit(", pageNo: "), e["page_no"].cast("string")), F.lit(""))
-        lines = F.array_join(F.transform(F.split(_stripped(e["excerpt"]), r"\R"), lambda line: F.concat(F.lit("  > "), line, F.lit("\n"))), "")
+        lines = F.concat(F.lit("  > "), F.regexp_replace(_stripped(e["excerpt"]), r"\R", "\n  > "), F.lit("\n"))
         return F.concat(F.lit("- sourceChunkId: "), e["chunk_id"].cast("string"), F.lit(", chunkNo: "), e["chunk_no"].cast("string"), page, F.lit("\n"), lines)
 
     return F.concat(F.lit("# "), title, F.lit("\n\n"), own, related, F.lit("## Evidence\n\n"), F.array_join(F.transform(evidence, shown), ""))
@@ -117,11 +122,6 @@ def checked(pages: DataFrame, files_: DataFrame, max_bytes: int = MAX_PAGE_BYTES
     return rows.select(*pages.columns, status.alias("content_status"), "reason", F.when(fine, F.col("markdown")).alias("markdown"), F.when(fine, searchable).alias("body"))
 
 
-def _let(value: Column, within: Callable[[Column], Column]) -> Column:
-    """What ``within`` makes of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), within), 1)
-
-
 def relations(markdown: str) -> Column:
     """What a composed file relates to, from its column: a struct of ``tags``, ``sources`` (ids) and ``links`` (titles as
     links compare them), each distinct and in order, and ``error``, the first rule that is broken; then the lists

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loreweave.functions import text as X
 from loreweave.operators import digests, proposals, serving
 from loreweave.plans.search_queries import _DOCS, QUERY, _bm25_sql, hits, table
-from loreweave.sources.tables import files_of, scratch_folder
+from loreweave.sources.tables import files_of, scratch_folder, spread
 
 VERSION = "projection-v1"
 
@@ -216,7 +216,8 @@ def _draft_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     sections = F.when(key % 11 == 1, F.lit(',"sections":[{"heading":"One","content":" first  "},{"heading":"ONE","content":"x"}]')).when(key % 3 == 0, F.lit(',"sections":[{"heading":"One","content":" first\\nline "},{"heading":"Two","content":"second"}]')).otherwise("")
     kind = F.coalesce(F.concat(F.lit(',"pageType":"'), types(F.floor(key / 5), None, "HOWTO", "DECISION", "REFERENCE", "CONCEPT", "MEMO"), F.lit('"')), F.lit(""))
     data = F.concat(F.lit("{"), title, F.lit('"tags":["B"," a "],"aliases":["b","A"],"wikilinks":[{"targetTitle":"Z"},{"targetTitle":"Y","label":"y"}]'), sections, kind, F.lit("}"))
-    proposals_ = table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")  # a draft takes long for the bytes of its order
+    proposals_ = orders.select(
         key.alias("proposal_id"), F.when(key % 10 != 3, "APPROVED").otherwise("REVIEW").alias("status"), types(key, "CREATE", "MERGE", "CREATE", "LINK_ONLY").alias("action"),
         types(key, "CONCEPT", "FACT", "PROCEDURE", "DECISION", "REFERENCE", None).alias("candidate_type"), F.concat(F.lit("Candidate "), F.col("o_custkey").cast("string")).alias("title"),
         F.when(key % 13 == 0, F.lit(" ")).otherwise(F.concat(F.lit("About "), "o_orderpriority")).alias("summary"), F.when(key % 17 != 0, data).otherwise("{").alias("data"), F.when(key % 4 == 0, F.col("o_custkey")).alias("document_id"),
