@@ -159,7 +159,7 @@ class SnapshotStore:
     def read(self, snapshot: Snapshot, name: str, keys: list | None = None, buckets: set[str] | None = None) -> DataFrame:
         """The rows of a table in a generation; with ``keys`` (a bounded list) from the buckets of these alone."""
         table = snapshot.tables[name]
-        schema = T.StructType.fromJson(table["schema"])
+        schema = _schema(table)
         buckets = self._buckets_of(keys, schema, self.tables[name].key) if keys is not None else buckets
         folders = [f"{self.path}/data/{part['folder']}/bucket={b}" for b, part in table["buckets"].items() if buckets is None or b in buckets]
         if not folders:
@@ -209,14 +209,14 @@ class SnapshotStore:
     def _changed(self, name: str, change: Change, base: Snapshot | None) -> dict:
         spec = self.tables[name]
         identity = list(spec.identity)
-        schema = T.StructType.fromJson(base.tables[name]["schema"]) if base is not None and name in base.tables else None
+        schema = _schema(base.tables[name]) if base is not None and name in base.tables else None
         rows, first = change.rows, schema is None
         if rows is not None:
             rows = rows.where(F.col(spec.key).isNotNull())
         if first:
             if rows is None:
                 raise ValueError(f"the first generation has no {name}")
-            schema, before = rows.schema, {}
+            schema, before = _nullable(rows.schema), {}
         else:
             before = base.tables[name]["buckets"]
             rows = None if rows is None else stored(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]), f"{name}-rows")  # read several times below
@@ -256,6 +256,21 @@ class SnapshotStore:
         return {"schema": schema.jsonValue(), "buckets": {b: p for b, p in before.items() if b not in hit} | parts}
 
 
+def _nullable(kind: T.DataType) -> T.DataType:
+    """A type with nulls allowed at every depth, as Spark reads files: what the first rows happen not to hold is no rule
+    for those that follow, and rows that may hold nulls cannot be cast to a type without."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType), True, f.metadata) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType), True)
+    return T.MapType(_nullable(kind.keyType), _nullable(kind.valueType), True) if isinstance(kind, T.MapType) else kind
+
+
+def _schema(table: dict) -> T.StructType:
+    """The columns of a table as its manifest names them; manifests may hold types without nulls."""
+    return _nullable(T.StructType.fromJson(table["schema"]))
+
+
 #: Ids of a prefix of four characters and a SHA-256, which take half their room as bytes.
 _ID = r"\A[ -~]{4}[0-9a-f]{64}\z"
 

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -93,6 +94,25 @@ def test_stale_rows_go_and_all_rows_go(spark, store):
     assert store.generations() == [4] and held(store) == [("n", 1, "new")]
 
 
+def test_nulls_may_follow_first_rows_that_can_hold_none(spark, store):
+    parts = [F.array(F.lit(0.0)).alias("vector"), F.array(F.struct(F.lit(1).alias("n"))).alias("nested")]
+    first = spark.createDataFrame([("a", 1), ("b", 1)], "key string, id int").select("key", "id", *parts)
+    assert not first.schema["vector"].dataType.containsNull and not first.schema["nested"].dataType.elementType["n"].nullable
+    store.commit({"rows": Change(first)})
+    kind = "key string, id int, vector array<double>, nested array<struct<n: int>>"
+    assert store.commit({"rows": Change(spark.createDataFrame([("a", 1, [None, 2.0], [(None,), None]), ("c", 1, None, None)], kind))}).status == "APPLIED"
+    assert held(store) == [("a", 1, [None, 2.0], [(None,), None]), ("b", 1, [0.0], [(1,)]), ("c", 1, None, None)]
+
+
+def test_a_manifest_without_nulls_takes_rows_with_nulls(spark, store):
+    kind = "key string, id int, vector array<double>"
+    base = store.commit({"rows": Change(spark.createDataFrame([("a", 1, [1.0])], kind))}).snapshot
+    base.tables["rows"]["schema"] = json.loads(json.dumps(base.tables["rows"]["schema"]).replace('"containsNull": true', '"containsNull": false'))
+    assert "false" in json.dumps(base.tables["rows"]["schema"])
+    store.commit({"rows": Change(spark.createDataFrame([("a", 1, [None])], kind))}, base)
+    assert held(store) == [("a", 1, [None])]
+
+
 def test_traversal_reads_one_generation(spark, tmp_path):
     pairs = [("s", "a"), ("s", "b"), ("a", "c"), ("c", "d"), ("b", "s")]
     edges = spark.createDataFrame([(f"{a}{b}", "LINKS_TO", a, b) for a, b in pairs], "relation_id string, relation_type string, source_id string, target_id string")
